@@ -7,13 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op4_bpe_codes
+from .mixing import op10_mixed_sources
+from .pii import op7_private_spans
+from .quality import op6_quality_rules
 from .sharding import op5_jump_shards
 from .simhash import op9_simhash_components
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_bpe_codes": op4_bpe_codes,
     "op5_jump_shards": op5_jump_shards,
+    "op6_quality_rules": op6_quality_rules,
+    "op7_private_spans": op7_private_spans,
     "op9_simhash_components": op9_simhash_components,
+    "op10_mixed_sources": op10_mixed_sources,
 }
 
 ORACLES: dict[str, str] = {}
