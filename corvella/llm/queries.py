@@ -12,8 +12,10 @@ from .pii import op7_private_spans
 from .quality import op6_quality_rules
 from .sharding import op5_jump_shards
 from .simhash import op9_simhash_components
+from .suffixes import op3_suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_bpe_codes": op4_bpe_codes,
     "op5_jump_shards": op5_jump_shards,
     "op6_quality_rules": op6_quality_rules,
