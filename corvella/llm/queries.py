@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op4_bpe_codes
+from .chat import OP8_SQL, op8_chat_prefix_trees
+from .media import op2_media_columns
 from .mixing import op10_mixed_sources
 from .pii import op7_private_spans
 from .quality import op6_quality_rules
@@ -15,13 +17,15 @@ from .simhash import op9_simhash_components
 from .suffixes import op3_suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_media_columns": op2_media_columns,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_bpe_codes": op4_bpe_codes,
     "op5_jump_shards": op5_jump_shards,
     "op6_quality_rules": op6_quality_rules,
     "op7_private_spans": op7_private_spans,
+    "op8_chat_prefix_trees": op8_chat_prefix_trees,
     "op9_simhash_components": op9_simhash_components,
     "op10_mixed_sources": op10_mixed_sources,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op8_chat_prefix_trees": OP8_SQL}
