@@ -15,8 +15,10 @@ from .quality import op6_quality_rules
 from .sharding import op5_jump_shards
 from .simhash import op9_simhash_components
 from .suffixes import op3_suffix_dedup
+from .wrappers import op1_page_wrappers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_page_wrappers": op1_page_wrappers,
     "op2_media_columns": op2_media_columns,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_bpe_codes": op4_bpe_codes,
