@@ -2,10 +2,10 @@
 
 A text of N bytes is far too long for one suffix array, so passages that can repeat are brought together first:
 every window of ``length`` bytes picks the byte gram in it that hashes lowest (of ties the last), so two equal
-windows pick equal grams at equal places. Grams that occur once settle their windows: those don't repeat. Around
-each gram that occurs again, the bytes all its windows span form a segment. Equal segments settle each other:
-all their windows repeat. Segments that differ meet by gram, and a suffix array over each such group decides
-which windows repeat. Every step is a Spark aggregation or join on hashes; a text moves only to fetch segments
+windows pick equal grams at equal places. Grams that occur once settle their windows: those don't repeat. The
+windows that pick one place, which follow each other, span a segment. Equal segments settle each other: all their
+windows repeat. Segments that differ meet by gram, lined up at it, lose the bytes at both ends that no other one
+shares, and a suffix array over each such group decides which windows repeat. Every step is a Spark aggregation or join on hashes; a text moves only to fetch segments
 and to cut the result.
 """
 
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import map_texts, materialize, shuffle_width, table, whole_text
 
 LENGTH = 200
-GRAM = 64
+GRAM = 32
 #: Bits of the filter that spares the second pass what occurs once: 4 MB at any input size; it only prunes.
 FILTER_BITS = 1 << 25
 #: Segments of one gram that share a suffix array; beyond, several arrays and an exact count of their windows.
@@ -101,30 +101,66 @@ def suffix_array(s: list[int]) -> list[int]:
     return sa
 
 
-def window_classes(segments: list[bytes], length: int = LENGTH) -> list[list[tuple[int, int]]]:
-    """Equal windows of ``length`` bytes as lists of (segment, start), by the suffix array of all segments."""
-    text, owner, begin = [], [], []
-    for k, seg in enumerate(segments):
-        begin.append(len(text))
-        text += [b + 2 for b in seg]
+def window_classes(strings: list[tuple[bytes, bytes]], symbols: int) -> list[tuple[int, list[int]]]:
+    """Equal windows of ``symbols`` symbols as (bytes left of the gram, numbers of the strings that have it).
+
+    A string is what stands left and right of the gram, the same in all strings, which counts as one symbol and is
+    part of every window.
+    """
+    text, owner, reach, flat = [], [], [], []
+    for k, (left, right) in enumerate(strings):
+        at = len(text)
+        text += [b + 2 for b in left]
+        text.append(258)
+        text += [b + 2 for b in right]
         text.append(1)
-        owner += [k] * (len(seg) + 1)
+        size = len(text) - at
+        owner += [k] * size
+        # Bytes left of the gram for the windows that fit; -1 for starts without one.
+        fits = min(len(left), size - 1 - symbols)
+        reach += [len(left) - i if i <= fits else -1 for i in range(size)]
+        flat += [left, b"\0", right, b"\0"]
     text.append(0)
-    flat = b"\0".join(segments)
-    classes: list[list[tuple[int, int]]] = []
+    reach.append(-1)
+    joined = b"".join(flat)
+    classes: list[tuple[int, list[int]]] = []
     before = None
-    ends = [b + len(s) - length for b, s in zip(begin, segments, strict=True)]
     for i in suffix_array(text):
-        if i >= len(owner) or i > ends[owner[i]]:
-            continue
-        window = flat[i : i + length]
-        if window != before:
-            classes.append([])
-            before = window
-        classes[-1].append((owner[i], i - begin[owner[i]]))
+        if reach[i] >= 0:
+            now = (reach[i], joined[i : i + symbols])
+            if now == before:
+                classes[-1][1].append(owner[i])
+            else:
+                classes.append((reach[i], [owner[i]]))
+                before = now
     return classes
 
 
+def _shared(a: bytes, b: bytes) -> int:
+    """Length of the common beginning."""
+    n = min(len(a), len(b))
+    if a[:n] == b[:n]:
+        return n
+    low = 0
+    while n - low > 1:
+        mid = (low + n) // 2
+        if a[low:mid] == b[low:mid]:
+            low = mid
+        else:
+            n = mid
+    return low
+
+
+def _most_shared(parts: list[bytes], copies: list[bool]) -> list[int]:
+    """For every part the longest beginning that it shares with another one: a neighbour in sorted order."""
+    order = sorted(range(len(parts)), key=parts.__getitem__)
+    out = [len(p) if c else 0 for p, c in zip(parts, copies, strict=True)]
+    for x, y in zip(order, order[1:], strict=False):
+        n = _shared(parts[x], parts[y])
+        out[x], out[y] = max(out[x], n), max(out[y], n)
+    return out
+
+
 # Powers of the rolling hash and their inverses, for pieces up to _PIECE bytes.
 _POWERS: list[np.ndarray] = []
 
@@ -136,8 +172,8 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0][:n], _POWERS[1][:n]
 
 
-def _picked(piece: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """(places, hashes) of the grams that the windows of one piece pick."""
+def _picked(piece: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(place, hash, first window, last window) of every gram that windows of one piece pick."""
     power, inverse = _powers(len(piece) + 1)
     prefix = np.concatenate([[np.uint64(0)], np.cumsum((piece.astype(np.uint64) + np.uint64(1)) * power[:-1])])
     h = (prefix[gram:] - prefix[:-gram]) * inverse[: len(piece) - gram + 1]
@@ -156,32 +192,30 @@ def _picked(piece: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.n
     ahead = np.minimum.accumulate(grid, axis=1).ravel()
     behind = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
     least = np.minimum(behind[: n - w + 1], ahead[w - 1 : n])
-    changed = np.concatenate([[True], least[1:] != least[:-1]])
-    places = (low - (least[changed] & low)).astype(np.int64)
-    return places, h[places]
+    first = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
+    last = np.concatenate([first[1:], [len(least)]]) - 1
+    places = (low - (least[first] & low)).astype(np.int64)
+    return places, h[places].view(np.int64), first, last
+
 
+def anchors(raw: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(place, hash, segment's first byte, its last byte + 1) of every picked gram of a text.
 
-def anchors(raw: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    """(places, hashes) of all picked grams of a text; pieces overlap, so that each window is in one of them."""
+    Long texts go in pieces that overlap so that every window is in exactly one.
+    """
     if len(raw) < length:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return (np.zeros(0, np.int64),) * 4
     data = np.frombuffer(raw, np.uint8)
-    places, hashes = [], []
-    step = _PIECE - length + 1
-    for at in range(0, max(1, len(raw) - length + 1), step):
-        p, h = _picked(data[at : at + _PIECE], length, gram)
-        places.append(p + at)
-        hashes.append(h)
-    place, first = np.unique(np.concatenate(places), return_index=True)
-    return place, np.concatenate(hashes)[first].view(np.int64)
+    found = []
+    for at in range(0, len(raw) - length + 1, _PIECE - length + 1):
+        places, hashes, first, last = _picked(data[at : at + _PIECE], length, gram)
+        found.append((places + at, hashes, first + at, last + at + length))
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))  # type: ignore[return-value]
 
 
-def _segments(raw: bytes, places: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first byte, last byte + 1, hash) of the bytes that the windows around each place span."""
-    lo = np.maximum(places - (length - gram), 0)
-    hi = np.minimum(places + length, len(raw))
-    hashes = [xxhash.xxh3_64_intdigest(raw[a:z], p - a) for a, z, p in zip(lo.tolist(), hi.tolist(), places.tolist(), strict=True)]
-    return lo, hi, np.array(hashes, np.uint64).view(np.int64)
+def _segment_hashes(raw: bytes, places: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Hashes of the segments and where in them the gram stands."""
+    return np.array([xxhash.xxh3_64_intdigest(raw[a:z], p - a) for p, a, z in zip(places.tolist(), lo.tolist(), hi.tolist(), strict=True)], np.uint64).view(np.int64)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -196,10 +230,10 @@ def _count_anchors(rows: DataFrame, length: int, gram: int) -> DataFrame:
         all_a, all_s = [], []
         for text in batch.column("text").to_pylist():
             raw = text.encode("utf-8")
-            places, a = anchors(raw, length, gram)
+            places, a, lo, hi = anchors(raw, length, gram)
             if len(places):
                 all_a.append(a)
-                all_s.append(_segments(raw, places, length, gram)[2])
+                all_s.append(_segment_hashes(raw, places, lo, hi))
         if not all_a:
             return None
         a, s = np.concatenate(all_a), np.concatenate(all_s)
@@ -235,13 +269,12 @@ def _hits(rows: DataFrame, bits, length: int, gram: int) -> DataFrame:
         out: list[list[np.ndarray]] = []
         for text, k1, k2 in zip(*(batch.column(c).to_pylist() for c in ("text", "k1", "k2")), strict=True):
             raw = text.encode("utf-8")
-            places, a = anchors(raw, length, gram)
+            places, a, lo, hi = anchors(raw, length, gram)
             slot = (a % FILTER_BITS).astype(np.uint64)
             keep = (bits.value[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
             if keep.any():
-                places, a = places[keep], a[keep]
-                lo, hi, s = _segments(raw, places, length, gram)
-                n = len(places)
+                places, a, lo, hi = places[keep], a[keep], lo[keep], hi[keep]
+                s, n = _segment_hashes(raw, places, lo, hi), len(places)
                 out.append([a, s, np.full(n, k1), np.full(n, k2), places.astype(np.int32), lo.astype(np.int32), hi.astype(np.int32)])
         if not out:
             return None
@@ -252,25 +285,25 @@ def _hits(rows: DataFrame, bits, length: int, gram: int) -> DataFrame:
 
 
 def _cut_segments(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(a, s, n, k1, k2, lo, segment): the bytes of one occurrence of every wanted segment."""
-    lists = wanted.groupBy("k1", "k2").agg(F.collect_list(F.struct("a", "s", "n", "lo", "hi")).alias("cuts"))
+    """(a, s, n, k1, k2, place, lo, segment): the bytes of one occurrence of every wanted segment."""
+    lists = wanted.groupBy("k1", "k2").agg(F.collect_list(F.struct("a", "s", "n", "place", "lo", "hi")).alias("cuts"))
     joined = rows.select("k1", "k2", "text").join(lists, ["k1", "k2"])
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out: dict[str, list] = {c: [] for c in ("a", "s", "n", "k1", "k2", "lo", "segment")}
+        out: dict[str, list] = {c: [] for c in ("a", "s", "n", "k1", "k2", "place", "lo", "segment")}
         for text, k1, k2, cuts in zip(*(batch.column(c).to_pylist() for c in ("text", "k1", "k2", "cuts")), strict=True):
             raw = text.encode("utf-8")
             for c in cuts:
-                for name, value in (("a", c["a"]), ("s", c["s"]), ("n", c["n"]), ("k1", k1), ("k2", k2), ("lo", c["lo"]), ("segment", raw[c["lo"] : c["hi"]])):
+                for name, value in (("a", c["a"]), ("s", c["s"]), ("n", c["n"]), ("k1", k1), ("k2", k2), ("place", c["place"]), ("lo", c["lo"]), ("segment", raw[c["lo"] : c["hi"]])):
                     out[name].append(value)
-        return pa.RecordBatch.from_arrays([pa.array(out[c], pa.binary() if c == "segment" else pa.int32() if c == "lo" else pa.int64()) for c in out], list(out))
+        return pa.RecordBatch.from_arrays([pa.array(out[c], pa.binary() if c == "segment" else pa.int32() if c in ("place", "lo") else pa.int64()) for c in out], list(out))
 
-    cut = map_texts(joined, run, "a long, s long, n long, k1 long, k2 long, lo int, segment binary")
+    cut = map_texts(joined, run, "a long, s long, n long, k1 long, k2 long, place int, lo int, segment binary")
     # A row that stands twice in the table gives its cuts twice: one of each is enough.
     return cut.dropDuplicates(["a", "s"])
 
 
-def _decide(length: int, limit: int):
+def _decide(length: int, gram: int, limit: int):
     """For groups of segments sorted by gram: repeated windows as ranges of their documents.
 
     Rows (0, k1, k2, first, last): windows first to last (of a segment that occurs once) repeat. For a group over
@@ -281,37 +314,52 @@ def _decide(length: int, limit: int):
     types = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32()]
 
     def close(part: list[tuple], split: bool) -> Iterator[tuple]:
+        """part: (n, k1, k2, place, lo, segment) of one gram."""
         if len(part) == 1 and not split:
             return
+        left = [seg[: place - lo] for _, _, _, place, lo, seg in part]
+        right = [seg[place - lo + gram :] for _, _, _, place, lo, seg in part]
+        if not split:
+            copies = [p[0] > 1 for p in part]
+            keep_left, keep_right = _most_shared([x[::-1] for x in left], copies), _most_shared(right, copies)
+            left = [x[len(x) - k :] for x, k in zip(left, keep_left, strict=True)]
+            right = [x[:k] for x, k in zip(right, keep_right, strict=True)]
+        members: dict[tuple[bytes, bytes], list[int]] = {}
+        for k, both in enumerate(zip(left, right, strict=True)):
+            if len(both[0]) + len(both[1]) + gram >= length:
+                members.setdefault(both, []).append(k)
+        if not members:
+            return
+        owners = list(members.values())
         hit: dict[int, list[int]] = {}
-        for windows in window_classes([p[4] for p in part], length):
-            # Segments of one text can overlap: the same bytes at the same place are no repeat.
-            again = any(part[k][0] > 1 for k, _ in windows) or len({(part[k][1], part[k][2], part[k][3] + start) for k, start in windows}) > 1
+        for before, strings in window_classes(list(members), length - gram + 1):
+            having = [k for x in strings for k in owners[x]]
+            again = len(having) > 1 or part[having[0]][0] > 1
             if again:
-                for k, start in windows:
+                for k in having:
                     if part[k][0] == 1:
-                        hit.setdefault(k, []).append(start)
+                        hit.setdefault(k, []).append(part[k][3] - before)
             if split:
-                k, start = windows[0]
-                d = xxhash.xxh3_128_digest(part[k][4][start : start + length])
+                _, k1, k2, place, lo, seg = part[having[0]]
+                start = place - before - lo
+                d = xxhash.xxh3_128_digest(seg[start : start + length])
                 h1, h2 = (int.from_bytes(d[x : x + 8], "little", signed=True) for x in (0, 8))
-                yield 1, part[k][1], part[k][2], part[k][3] + start, part[k][3] + start, h1, h2, 2 if again else 1
+                yield 1, k1, k2, lo + start, lo + start, h1, h2, 2 if again else 1
         for k, starts in hit.items():
             starts.sort()
-            _, k1, k2, lo, _ = part[k]
             first = last = starts[0]
             for x in starts[1:]:
                 if x != last + 1:
-                    yield 0, k1, k2, lo + first, lo + last, 0, 0, 0
+                    yield 0, part[k][1], part[k][2], first, last, 0, 0, 0
                     first = x
                 last = x
-            yield 0, k1, k2, lo + first, lo + last, 0, 0, 0
+            yield 0, part[k][1], part[k][2], first, last, 0, 0, 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def group() -> Iterator[tuple]:
             current, part, split = None, [], False
             for b in batches:
-                for a, *row in zip(*(b.column(c).to_pylist() for c in ("a", "n", "k1", "k2", "lo", "segment")), strict=True):
+                for a, *row in zip(*(b.column(c).to_pylist() for c in ("a", "n", "k1", "k2", "place", "lo", "segment")), strict=True):
                     if a != current:
                         yield from close(part, split) if part else ()
                         current, part, split = a, [], False
@@ -340,12 +388,12 @@ def repeated_ranges(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, lim
     repeated = materialize(_count_anchors(rows, length, gram), "sa-anchors")
     bits = spark.sparkContext.broadcast(_filter_bits(repeated))
     hits = materialize(_hits(rows, bits, length, gram).join(repeated, "a"), "sa-hits")
-    one = F.min(F.struct("k1", "k2", "lo", "hi")).alias("one")
+    one = F.min(F.struct("k1", "k2", "place", "lo", "hi")).alias("one")
     known = materialize(hits.groupBy("a", "s").agg(F.count("*").alias("n"), F.max("mixed").alias("mixed"), one), "sa-segments")
-    whole = hits.join(known.where("n > 1").select("a", "s"), ["a", "s"], "left_semi").where(F.col("hi") - F.col("lo") >= length).select("k1", "k2", "lo", "hi")
+    whole = hits.join(known.where("n > 1").select("a", "s"), ["a", "s"], "left_semi").select("k1", "k2", "lo", "hi")
     wanted = known.where("mixed").select("a", "s", "n", "one.*")
     grouped = _cut_segments(rows, wanted).repartition(shuffle_width(spark), "a").sortWithinPartitions("a", "s")
-    decided = materialize(grouped.mapInArrow(_decide(length, limit), "kind int, k1 long, k2 long, first int, last int, h1 long, h2 long, seen int"), "sa-decided")
+    decided = materialize(grouped.mapInArrow(_decide(length, gram, limit), "kind int, k1 long, k2 long, first int, last int, h1 long, h2 long, seen int"), "sa-decided")
     ranges = decided.where("kind = 0").select("k1", "k2", F.col("first").alias("lo"), (F.col("last") + length).alias("hi"))
     windows = decided.where("kind = 1")
     spot = F.struct("k1", "k2", "first")
