@@ -82,7 +82,7 @@ def normalize_page(c: Column) -> Column:
 
     def step(done: Column, line: Column) -> Column:
         now = strip(line)
-        last = F.coalesce(F.element_at(F.slice(done, -1, 1), 1), F.lit(""))
+        last = F.coalesce(F.get(done, F.size(done) - 1), F.lit(""))
         first = F.substring(now, 1, 1)
         lower = (F.lower(first) == first) & (F.upper(first) != first)
         start = F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))
@@ -94,7 +94,7 @@ def normalize_page(c: Column) -> Column:
             .otherwise(F.concat(done, F.array(gaps)))
         )
 
-    folded = F.aggregate(lines, F.array().cast("array<string>"), lambda done, line: F.when(F.size(done) == 0, step(done, line)).otherwise(step(done, line)))
+    folded = F.aggregate(lines, F.array().cast("array<string>"), step)
     return F.regexp_replace(F.array_join(folded, "\n"), "\\n+$", "")
 
 

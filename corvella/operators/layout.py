@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,36 +38,38 @@ def box_center(box: Column) -> Column:
     return F.when(bad, F.struct(F.lit(0.0).alias("y"), F.lit(0.0).alias("x"))).otherwise(F.struct(mean(1).alias("y"), mean(0).alias("x")))
 
 
-def line_height(ys: Column) -> Column:
+def line_height(ys: Sequence[float]) -> float:
     """0.6 of the mean gap between different heights, 8 at least; 12 of a single height."""
-    levels = F.array_sort(F.array_distinct(ys))
-    gaps = F.size(levels) - 1
-    mean = (F.array_max(levels) - F.array_min(levels)) / F.greatest(gaps, F.lit(1))
-    return F.greatest(F.lit(8.0), F.when(gaps > 0, mean * 0.6).otherwise(F.lit(12.0)))
+    levels = sorted(set(ys))
+    return max(8.0, 0.6 * (levels[-1] - levels[0]) / (len(levels) - 1) if len(levels) > 1 else 12.0)
 
 
-def positioned_text(boxes: DataFrame, key: Sequence[str]) -> DataFrame:
-    """(key, text) of boxes (y, x, text, box_no). A page's boxes make up one array.
+def join_positioned(boxes: Sequence[tuple[float, float, int, str]]) -> str:
+    """Boxes (y, x, number, text) of one page as lines.
 
-    From the top down, a box opens a line if it stands further from the line's first box than the line height.
+    From the top down, a box opens a line if it stands further from the line's first box than the line height; what
+    follows depends on where earlier lines began, so one pass goes through the page.
     """
-    item = F.struct("y", "x", "box_no", "text")
-    pages = boxes.groupBy(*key).agg(F.array_sort(F.collect_list(item)).alias("items"))
-    placed = pages.withColumn("height", line_height(F.transform("items", lambda i: i["y"])))
-    kind = "struct<done:array<struct<line:int,x:double,nth:int,text:string>>,line:int,top:double>"
-    start = F.struct(F.array().cast("array<struct<line:int,x:double,nth:int,text:string>>").alias("done"), F.lit(-1).alias("line"), F.lit(None).cast("double").alias("top")).cast(kind)
-
-    def step(acc: Column, i: Column) -> Column:
-        opens = acc["top"].isNull() | (F.abs(i["y"] - acc["top"]) > F.col("height"))
-        line = acc["line"] + F.when(opens, 1).otherwise(0)
-        one = F.struct(line.alias("line"), i["x"].cast("double").alias("x"), F.size(acc["done"]).alias("nth"), i["text"].alias("text"))
-        return F.struct(F.concat(acc["done"], F.array(one)).alias("done"), line.alias("line"), F.when(opens, i["y"].cast("double")).otherwise(acc["top"]).alias("top")).cast(kind)
-
-    flat = F.array_sort(F.aggregate("items", start, step, lambda acc: acc["done"]))
-    glue = F.aggregate(
-        flat,
-        F.struct(F.lit("").alias("out"), F.lit(-1).alias("line")),
-        lambda acc, i: F.struct(F.concat(acc["out"], F.when(acc["line"] < 0, "").when(acc["line"] == i["line"], " ").otherwise("\n"), i["text"]).alias("out"), i["line"].alias("line")),
-        lambda acc: acc["out"],
-    )
-    return placed.select(*key, glue.alias("text"))
+    height = line_height([b[0] for b in boxes]) if boxes else 0.0
+    lines: list[list[tuple[float, int, str]]] = []
+    top = float("nan")
+    for nth, (y, x, _, text) in enumerate(sorted(boxes, key=lambda b: b[:3])):
+        if not abs(y - top) <= height:
+            lines.append([])
+            top = y
+        lines[-1].append((x, nth, text))
+    return "\n".join(" ".join(t for _, _, t in sorted(line)) for line in lines)
+
+
+def positioned_text(boxes: DataFrame, key: Sequence[str]) -> DataFrame:
+    """(key, text) of boxes (y, x, text, box_no); a page's boxes meet in one row."""
+    item = F.struct(F.col("y").cast("double").alias("y"), F.col("x").cast("double").alias("x"), F.col("box_no").cast("long").alias("n"), "text")
+    pages = boxes.groupBy(F.struct(*key).alias("key")).agg(F.collect_list(item).alias("items"))
+    kind = pages.schema["key"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [join_positioned([(i["y"], i["x"], i["n"], i["text"]) for i in items]) for items in b.column("items").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(texts, pa.string())], ["key", "text"])
+
+    return pages.mapInArrow(run, f"key {kind}, text string").select("key.*", "text")

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import search_queries
+from . import governance_queries, search_queries, text_queries
 
-_MODULES = (search_queries,)
+_MODULES = (search_queries, text_queries, governance_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -135,6 +135,12 @@ def _open(table: str, key: str, outer: str) -> str:
     return f"(NOT EXISTS (SELECT 1 FROM {table} p WHERE p.{key} = {outer}.{key}) OR EXISTS (SELECT 1 FROM {table} p WHERE p.{key} = {outer}.{key} AND {_match('p')}))"
 
 
+def readable_sql(d: str) -> str:
+    """Whether the principal may read a document, as a condition."""
+    own = f"coalesce({d}.department = '{PRINCIPAL.department}', false)"
+    return f"coalesce({d}.status <> 'archived' AND {d}.confidential_level IN ({_LEVELS}) AND ({own} OR ({_open('v_base_permissions', 'knowledge_base_id', d)} AND {_open('v_permissions', 'document_id', d)})), false)"
+
+
 _ALLOWED = f"""
   SELECT d.document_id FROM v_documents d
   WHERE d.confidential_level IN ({_LEVELS}) AND (coalesce(d.department = '{PRINCIPAL.department}', false) OR {_open('v_permissions', 'document_id', 'd')})"""
@@ -241,13 +247,7 @@ ORACLES: dict[str, str] = {
         extra=_IMAGES,
     ),
     "acl_retrieval": with_views(_ALLOWED, "v_documents", "v_permissions"),
-    "acl_documents": with_views(
-        f"""
-        SELECT d.document_id, coalesce(d.status <> 'archived' AND d.confidential_level IN ({_LEVELS})
-          AND (coalesce(d.department = '{PRINCIPAL.department}', false) OR ({_open('v_base_permissions', 'knowledge_base_id', 'd')} AND {_open('v_permissions', 'document_id', 'd')})), false) AS can_read
-        FROM v_documents d""",
-        "v_documents", "v_permissions", "v_base_permissions",
-    ),
+    "acl_documents": with_views(f" SELECT d.document_id, {readable_sql('d')} AS can_read FROM v_documents d", "v_documents", "v_permissions", "v_base_permissions"),
     "kb_access": with_views(f" SELECT b.knowledge_base_id, coalesce(b.owner_department = '{PRINCIPAL.department}', false) OR {_open('v_base_permissions', 'knowledge_base_id', 'b')} AS can_access FROM v_bases b", "v_base_permissions"),
     "bearer_tokens": with_views(
         f"""
