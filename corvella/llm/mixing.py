@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize, shuffle_width, table, text_chunks, whole_text, with_offsets
+from .common import WORD, materialize, shuffle_width, table, text_chunks, unused, whole_text, with_offsets
 
 BLOCK_WORDS = 64
 OUTPUT_SHARDS = 64
@@ -203,9 +203,9 @@ def keep_mixed(docs: DataFrame, block_words: int = BLOCK_WORDS, shards: int = OU
     """
     documents, pieces = mix(docs, block_words, shards, seed)
     by_pass = pieces.groupBy("row_no", "pass").agg(F.array_sort(F.collect_list(F.struct("first", "n"))).alias("parts"))
-    wanted = documents.select("row_no", F.col("row_hash").alias("_hash")).join(by_pass, "row_no").groupBy("_hash").agg(F.array_sort(F.collect_list(F.struct("pass", "row_no", "parts"))).alias("_taken"))
-    once = Window.partitionBy("_hash").orderBy(F.lit(0))
-    rows = docs.withColumn("_hash", _row_hash()).withColumn("_nth", F.row_number().over(once)).where("_nth = 1")
+    wanted = documents.select("row_no", "row_hash").join(by_pass, "row_no").groupBy("row_hash").agg(F.array_sort(F.collect_list(F.struct("pass", "row_no", "parts"))).alias("taken"))
+    once = Window.partitionBy("row_hash").orderBy(F.lit(0))
+    rows = docs.select(F.struct("*").alias("row"), _row_hash().alias("row_hash")).withColumn("nth", F.row_number().over(once)).where("nth = 1")
     columns, at = docs.columns, docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,7 +218,7 @@ def keep_mixed(docs: DataFrame, block_words: int = BLOCK_WORDS, shards: int = OU
             picked = b.take(pa.array(source, pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if i == at else picked.column(i) for i in range(len(columns))], columns)
 
-    return rows.join(wanted, "_hash").select(*columns, "_taken").mapInArrow(run, docs.schema)
+    return rows.join(wanted, "row_hash").select("row.*", F.col("taken").alias(unused(docs, "taken"))).mapInArrow(run, docs.schema)
 
 
 def op10_mixed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

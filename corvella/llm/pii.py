@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_texts, materialize, table, text_chunks, whole_text
+from .common import map_texts, materialize, table, text_chunks, unused, whole_text
 
 KINDS = ("email", "ip", "card", "phone", "context")
 #: Bounds of the bootstrapping: least sum of instance scores, least mean score, rounds.
@@ -201,13 +201,13 @@ def redact(docs: DataFrame) -> DataFrame:
     """
     scanned = materialize(scan(docs), "pii-scan")
     columns, at = docs.columns, docs.columns.index("text")
-    keyed = docs.withColumn("_key", row_key())
-    extra = _discovered(scanned).select(F.col("key").alias("_key"), F.col("extra").alias("_extra"))
+    more = unused(docs, "extra")
+    keyed = docs.select(F.struct("*").alias("row"), row_key().alias("key"))
 
-    def mask(text: str | None, more: list[dict] | None) -> str | None:
+    def mask(text: str | None, extra: list[dict] | None) -> str | None:
         if text is None:
             return None
-        spans = sorted(base_spans(text) + [(s["start"], s["kind"], s["end"]) for s in more or []])
+        spans = sorted(base_spans(text) + [(s["start"], s["kind"], s["end"]) for s in extra or []])
         out, end = [], 0
         for s, k, e in spans:
             if s >= end:
@@ -220,7 +220,8 @@ def redact(docs: DataFrame) -> DataFrame:
             masked = pa.array([mask(t, x) for t, x in zip(b.column(at).to_pylist(), b.column(len(columns)).to_pylist(), strict=True)], pa.string())
             yield pa.RecordBatch.from_arrays([masked if i == at else b.column(i) for i in range(len(columns))], columns)
 
-    return keyed.join(extra, "_key", "left").select(*columns, "_extra").mapInArrow(run, docs.schema)
+    joined = keyed.join(_discovered(scanned), "key", "left").select("row.*", F.col("extra").alias(more))
+    return joined.mapInArrow(run, docs.schema)
 
 
 def op7_private_spans(spark: SparkSession, sf_dir: str) -> DataFrame:

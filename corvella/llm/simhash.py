@@ -213,11 +213,12 @@ def keep_one(docs: DataFrame, run_limit: int = RUN_LIMIT) -> DataFrame:
         .agg(F.min("text_hash").alias("_hash"))
         .select(F.col("doc_id").alias("_id"), "_hash")
     )
-    hashed = docs.withColumn("_text_hash", F.xxhash64(whole_text()))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash"))
-    repeats = Window.partitionBy("doc_id", "_text_hash").orderBy(F.lit(0))
-    kept = hashed.join(chosen, same, "left_semi").withColumn("_nth", F.row_number().over(repeats))
-    return kept.where("_nth = 1").select(*docs.columns)
+    # The rows travel as one struct, so no column of theirs clashes with the ones added here.
+    hashed = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.xxhash64(whole_text()).alias("text_hash"))
+    same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))
+    repeats = Window.partitionBy("id", "text_hash").orderBy(F.lit(0))
+    kept = hashed.join(chosen, same, "left_semi").withColumn("nth", F.row_number().over(repeats))
+    return kept.where("nth = 1").select("row.*")
 
 
 def op9_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
