@@ -22,7 +22,7 @@ TABLE_BITS = 16
 FAMILIES = 3
 DIM = FAMILIES << TABLE_BITS
 MAX_LABELLED = 6_000
-KEEP_PROBABILITY = 0.3
+KEEP_PROBABILITY = 0.5
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 _SCALE = 1 << 16
@@ -54,7 +54,8 @@ class Layout:
 
     def per_doc(self, values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         total = np.concatenate([[0], np.cumsum(values, dtype=np.int64)])
-        return total[np.maximum(hi, lo)] - total[lo]
+        lo = np.minimum(lo, len(values))  # an empty last document begins past the last gram
+        return total[np.minimum(np.maximum(hi, lo), len(values))] - total[lo]
 
     def families(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(hashed feature of every position, first and last + 1 position of every document) by family."""
@@ -116,7 +117,7 @@ def _features(batch: pa.RecordBatch) -> pa.RecordBatch:
     )
 
 
-def fit_logistic(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, rounds: int = 250, ridge: float = 1e-5) -> tuple[np.ndarray, float]:
+def fit_logistic(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, rounds: int = 250, ridge: float = 3e-3) -> tuple[np.ndarray, float]:
     """Full-batch Adam on sparse rows (indices, values); deterministic."""
     row = np.repeat(np.arange(len(rows)), [len(i) for i, _ in rows])
     idx = np.concatenate([i for i, _ in rows]).astype(np.int64)
