@@ -10,8 +10,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.principal import Principal
 from ..functions.text import first_non_empty, session_title
-from .security import delete_by_key, upsert
+from .security import can_read_documents, delete_by_key, upsert
 
 # Progress and message of every document status.
 STATUSES: dict[str, tuple[int, str]] = {
@@ -208,3 +209,19 @@ def llm_log_rows(calls: DataFrame) -> DataFrame:
 def overall_status(dependencies: DataFrame) -> DataFrame:
     """ok if every dependency is, else degraded."""
     return dependencies.agg(F.when(F.coalesce(F.bool_and(F.col("status") == "ok"), F.lit(True)), "ok").otherwise("degraded").alias("status"))
+
+
+def document_status_for(documents: DataFrame, document_permissions: DataFrame, kb_permissions: DataFrame, document_id: object, principal: Principal) -> DataFrame:
+    """The status tool: one row of the document's status if it is there and may be read, else none."""
+    one = documents.where(F.col("document_id") == F.lit(document_id))
+    return status_view(can_read_documents(one, document_permissions, kb_permissions, principal).where("can_read"))
+
+
+def grants_of(permissions: DataFrame, key: str, value: object) -> DataFrame:
+    """An object's grants, in order of subject."""
+    return permissions.where(F.col(key) == F.lit(value)).orderBy("subject_type", "subject_value")
+
+
+def set_grants(permissions: DataFrame, changes: DataFrame, key: str) -> DataFrame:
+    """Grants after changes: one permission for each object and subject, the changed one where there are both."""
+    return upsert(permissions, changes, [key, "subject_type", "subject_value"])

@@ -149,6 +149,19 @@ def archived_documents(spark: SparkSession, sf: str) -> DataFrame:
     return after.groupBy("status").agg(F.count("*").alias("n"), F.sum((F.col("updated_at") > F.col("created_at")).cast("long")).alias("n_touched"))
 
 
+def status_tool(spark: SparkSession, sf: str) -> DataFrame:
+    """The status of document 1, as far as the principal may see it."""
+    return gov.document_status_for(views.documents(spark, sf), views.document_permissions(spark, sf), views.base_permissions(spark, sf), 1, PRINCIPAL)
+
+
+def grant_changes(spark: SparkSession, sf: str) -> DataFrame:
+    """Every labelled document's user grants become admin ones; then all grants to departments are withdrawn."""
+    old = views.document_permissions(spark, sf)
+    new = old.where("subject_type = 'user'").withColumn("permission", F.lit("admin"))
+    left = security.delete_by_key(gov.set_grants(old, new, "document_id"), old.where("subject_type = 'department'"), ["document_id", "subject_type", "subject_value"])
+    return left.groupBy("subject_type", "permission").agg(F.count("*").alias("n"))
+
+
 def ingested(spark: SparkSession, sf: str) -> DataFrame:
     """Documents of one page and two images each, through the page pipeline to chunk rows."""
     docs = views.documents(spark, sf).withColumn("original_filename", F.concat(F.lit("f"), "document_id"))
@@ -174,7 +187,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         status_counts, audit_totals, kb_document_counts, chunk_stats, document_statuses, doc_listing_page, chat_logs, user_chat_logs, llm_logs, message_retrieval_logs, permission_denied,
-        user_audit_events, session_messages, retention_preview, retention_counts, retention_survivors, job_claim, job_dedupe, latest_active_job, job_outcomes, sessions, user_upsert, archived_documents, ingested, queue_stream,
+        user_audit_events, session_messages, retention_preview, retention_counts, retention_survivors, job_claim, job_dedupe, latest_active_job, job_outcomes, sessions, user_upsert, archived_documents, status_tool, grant_changes, ingested, queue_stream,
     )
 }
 
@@ -260,6 +273,7 @@ ORACLES: dict[str, str] = {
         "v_users", "v_messages",
     ),
     "archived_documents": with_views(f" SELECT replace(status, 'failed', 'archived') AS status, count(*) AS n, CAST(sum(CASE WHEN status = 'failed' AND created_at < TIMESTAMP '{NOW:%Y-%m-%d} 00:00:00' THEN 1 ELSE 0 END) AS BIGINT) AS n_touched FROM v_documents GROUP BY ALL", "v_documents"),
+    "grant_changes": with_views(" SELECT subject_type, CASE subject_type WHEN 'user' THEN 'admin' ELSE permission END AS permission, count(*) AS n FROM v_permissions WHERE subject_type <> 'department' GROUP BY ALL", "v_permissions"),
     "ingested": with_views(
         f""", sized AS (SELECT document_id, confidential_level, regexp_matches(text, '[\\x{{4e00}}-\\x{{9fff}}]') AS zh, len({views.sql_words('text')}) AS n FROM v_documents),
         cut AS (SELECT *, (CASE WHEN n < 700 THEN 0 ELSE (n - 700) // 580 + 1 END) AS full_ones FROM sized),
@@ -274,3 +288,11 @@ ORACLES["doc_listing_page"] = with_views(
     f", page AS (SELECT * FROM v_documents WHERE status = 'ready' ORDER BY created_at DESC, document_id LIMIT 20 OFFSET 40) SELECT d.document_id FROM page d WHERE {readable_sql('d')}",
     "v_documents", "v_permissions", "v_base_permissions",
 )
+ORACLES["status_tool"] = with_views(
+    " SELECT document_id, status, CAST(CASE status "
+    + " ".join(f"WHEN '{s}' THEN {p}" for s, (p, _) in gov.STATUSES.items())
+    + " END AS INTEGER) AS progress, coalesce(error_message, CASE status "
+    + " ".join(f"WHEN '{s}' THEN '{m}'" for s, (_, m) in gov.STATUSES.items())
+    + f" END) AS message FROM v_documents d WHERE document_id = 1 AND {readable_sql('d')}",
+    "v_documents", "v_permissions", "v_base_permissions",
+)
