@@ -119,12 +119,10 @@ def permute(index: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
 def slot_table(spark: SparkSession, plans: list[SourcePlan], shards: int, seed: int) -> DataFrame:
     """(source_no, shard, slot, pass, block): every slot of the mix with the block it takes."""
     blocks = {p.number: p.blocks for p in plans}
-    rows = [
-        (shard, i, at, min(at + _SLOTS_A_ROW, first + n), blocks[i])
-        for shard, i, first, n in deal_slots(plans, shards, seed)
-        for at in range(first, first + n, _SLOTS_A_ROW)
-    ]
-    ranges = spark.createDataFrame(rows, "shard int, source_no int, first long, last long, blocks long")
+    dealt = [(shard, i, first, first + n, blocks[i]) for shard, i, first, n in deal_slots(plans, shards, seed)]
+    starts = F.explode(F.sequence("first", F.col("last") - 1, F.lit(_SLOTS_A_ROW)))
+    ranges = spark.createDataFrame(dealt, "shard int, source_no int, first long, last long, blocks long").select("shard", "source_no", starts.alias("first"), "last", "blocks")
+    ranges = ranges.select("shard", "source_no", "first", F.least("last", F.col("first") + _SLOTS_A_ROW).alias("last"), "blocks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -135,7 +133,7 @@ def slot_table(spark: SparkSession, plans: list[SourcePlan], shards: int, seed:
                 columns = [np.full(len(slot), source, np.int32), np.full(len(slot), shard, np.int32), slot, (slot // n).astype(np.int32), block]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["source_no", "shard", "slot", "pass", "block"])
 
-    return ranges.repartition(min(shuffle_width(spark), max(1, len(rows)))).mapInArrow(run, "source_no int, shard int, slot long, pass int, block long")
+    return ranges.repartition(shuffle_width(spark)).mapInArrow(run, "source_no int, shard int, slot long, pass int, block long")
 
 
 def _sized(docs: DataFrame) -> DataFrame:
@@ -166,7 +164,8 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, shards: int = OUTPUT_SH
     begin = F.greatest(F.col("first"), F.col("block") * block_words)
     stop = F.least(F.col("first") + F.col("size"), (F.col("block") + 1) * block_words)
     blocks = cut.select("source_no", "block", "row_no", (begin - F.col("first")).alias("first"), (stop - begin).alias("n"))
-    pieces = slot_table(spark, plans, shards, seed).join(blocks, ["source_no", "block"])
+    # Exploded blocks are far larger than the table they are estimated from: no broadcast on that estimate.
+    pieces = slot_table(spark, plans, shards, seed).join(blocks.hint("merge"), ["source_no", "block"])
     taken = pieces.groupBy("row_no").agg(F.sum("n").alias("taken"))
     documents = laid.join(taken, "row_no", "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "row_hash", "row_no")
     return documents, pieces
@@ -203,7 +202,7 @@ def keep_mixed(docs: DataFrame, block_words: int = BLOCK_WORDS, shards: int = OU
     """
     documents, pieces = mix(docs, block_words, shards, seed)
     by_pass = pieces.groupBy("row_no", "pass").agg(F.array_sort(F.collect_list(F.struct("first", "n"))).alias("parts"))
-    wanted = documents.select("row_no", "row_hash").join(by_pass, "row_no").groupBy("row_hash").agg(F.array_sort(F.collect_list(F.struct("pass", "row_no", "parts"))).alias("taken"))
+    wanted = documents.select("row_no", "row_hash").join(by_pass.hint("merge"), "row_no").groupBy("row_hash").agg(F.array_sort(F.collect_list(F.struct("pass", "row_no", "parts"))).alias("taken"))
     once = Window.partitionBy("row_hash").orderBy(F.lit(0))
     rows = docs.select(F.struct("*").alias("row"), _row_hash().alias("row_hash")).withColumn("nth", F.row_number().over(once)).where("nth = 1")
     columns, at = docs.columns, docs.columns.index("text")
