@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -56,6 +57,25 @@ def shuffle_width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+#: Bits of a hash filter: 4 MB whatever the input, so it may be broadcast.
+FILTER_BITS = 1 << 25
+
+
+def hash_filter(df: DataFrame, column: str) -> np.ndarray:
+    """One bit for every value of a column of hashes, as 64-bit words. It only prunes: others may pass as well."""
+    bit = F.pmod(column, F.lit(FILTER_BITS))
+    words = df.select(F.shiftright(bit, 6).cast("int").alias("word"), F.expr(f"shiftleft(1L, cast(pmod(`{column}`, {FILTER_BITS}) & 63 as int))").alias("bit"))
+    rows = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+    out = np.zeros(FILTER_BITS // 64, np.int64)
+    out[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)
+    return out.view(np.uint64)
+
+
+def passes(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    slot = (hashes % FILTER_BITS).astype(np.uint64)
+    return (bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
+
+
 def text_chunks(batches: Iterator[pa.RecordBatch], limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Split Arrow batches so that the column "text" of one holds about ``limit`` bytes.
 

@@ -2,23 +2,26 @@
 
 One pass over the texts finds the base spans and, as possible identifiers, the digit-bearing tokens outside them.
 Both give (lexical pattern, instance) pairs: a pattern is the word or two words before the value. Base spans are
-the seeds. Spark then scores the pattern-instance graph in rounds: a pattern is as sure as the mean score of its
-distinct instances, an instance outside the seeds as sure as its surest accepted pattern. Patterns that stay
-sure mark every value that follows them.
+the seeds. A second pass counts how often each pattern that could do stands before anything at all, so that words
+such as "the" come out as unsure as they are. Spark then scores the pattern-instance graph in rounds: a pattern is as
+sure as the mean score of all that follows it, an instance outside the seeds as sure as its surest accepted pattern.
+Patterns that stay sure mark every possible identifier that follows them.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_texts, materialize, table, text_chunks, unused, whole_text
+from .common import hash_filter, map_texts, materialize, passes, table, text_chunks, unused, whole_text
 
 KINDS = ("email", "ip", "card", "phone", "context")
 #: Bounds of the bootstrapping: least sum of instance scores, least mean score, rounds.
@@ -112,8 +115,7 @@ def contexts(text: str, spans: list[Span]) -> list[tuple[int, int, int, bool, li
             t += 1
         if a < reach:
             continue
-        cut = max(text.rfind("=", a, b - 1), text.rfind(":", a, b - 1)) + 1
-        start = max(a, cut)
+        start = a + _cut(text[a:b])
         value = text[start:b]
         start += len(value) - len(value.lstrip(_EDGE))
         value = value.strip(_EDGE)
@@ -157,24 +159,81 @@ def row_key():
     return F.concat_ws(":", F.xxhash64("doc_id", whole_text()), F.crc32(F.encode(whole_text(), "UTF-8")))
 
 
-def accepted_patterns(seen: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(pattern, confidence) after ``rounds`` rounds over rows (pattern, instance, seed)."""
-    graph = materialize(seen.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")), "pii-graph")
+def _cut(token: str) -> int:
+    """Where the value begins in a token such as key=value or key:value."""
+    end = len(token) - 1
+    return max(token.rfind("=", 0, end), token.rfind(":", 0, end)) + 1
+
+
+def followers(docs: DataFrame, patterns: DataFrame, remembered: int = 1_000_000) -> DataFrame:
+    """(pattern, total): how often each of the patterns stands before a token, or the value of one, in all texts."""
+    bits = docs.sparkSession.sparkContext.broadcast(hash_filter(patterns, "pattern"))
+
+    def wanted(pattern: str) -> int | None:
+        h = _hash(pattern)
+        return h if passes(bits.value, np.array([h]))[0] else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before: dict[str, int | None] = {}  # by word, its one-word pattern if wanted
+        glued: dict[str, int | None] = {}
+        pairs: dict[tuple[str, str], int | None] = {}
+        for batch in text_chunks(batches):
+            for known in (before, glued, pairs):
+                if len(known) > remembered:
+                    known.clear()
+            counts: Counter[int] = Counter()
+            for text in batch.column("text").to_pylist():
+                tokens = _TOKEN.findall(text)
+                for w in {w for w in tokens if w not in before}:
+                    before[w] = wanted("1 " + w.lower())
+                for i, w in enumerate(tokens[:-1]):
+                    h = before[w]
+                    if h is None:
+                        continue
+                    counts[h] += 1
+                    if i:  # a pair of words is wanted only if its second word is
+                        pair = (tokens[i - 1], w)
+                        if pair not in pairs:
+                            pairs[pair] = wanted(f"2 {pair[0].lower()} {w.lower()}")
+                        if (h := pairs[pair]) is not None:
+                            counts[h] += 1
+                if "=" in text or ":" in text:
+                    for w in tokens:
+                        if at := _cut(w):
+                            at += len(w[at:]) - len(w[at:].lstrip(_EDGE))
+                            head = w[:at]
+                            if head not in glued:
+                                glued[head] = wanted("0 " + head.lower().lstrip(_EDGE))
+                            if (h := glued[head]) is not None:
+                                counts[h] += 1
+            if counts:
+                yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int64()), pa.array(list(counts.values()), pa.int64())], ["pattern", "total"])
+
+    found = docs.select(whole_text().alias("text")).mapInArrow(run, "pattern long, total long")
+    return found.groupBy("pattern").agg(F.sum("total").alias("total"))
+
+
+def accepted_patterns(docs: DataFrame, seen: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """(pattern, confidence) after ``rounds`` rounds over rows (pattern, instance, seed) found in docs."""
+    graph = materialize(seen.groupBy("pattern", "instance").agg(F.max("seed").alias("seed"), F.count("*").alias("n")), "pii-graph")
+    possible = graph.groupBy("pattern").agg(F.count("*").alias("instances"), F.sum("n").alias("n")).where(F.col("instances") >= MIN_SUPPORT)
+    totals = materialize(possible.join(followers(docs, possible), "pattern", "left").select("pattern", F.greatest("n", F.coalesce("total", F.lit(0))).alias("total")), "pii-totals")
     scores = None
     for _ in range(rounds):
         scored = graph.withColumn("score", F.col("seed").cast("double"))
         if scores is not None:
             scored = graph.join(scores, "instance", "left").withColumn("score", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("learned", F.lit(0.0))))
-        sure = scored.groupBy("pattern").agg(F.sum("score").alias("support"), F.avg("score").alias("confidence"))
-        sure = materialize(sure.where((F.col("support") >= MIN_SUPPORT) & (F.col("confidence") >= MIN_CONFIDENCE)).select("pattern", "confidence"), "pii-patterns")
+        sums = scored.groupBy("pattern").agg(F.sum("score").alias("support"), F.sum(F.col("score") * F.col("n")).alias("mass"))
+        sure = sums.where(F.col("support") >= MIN_SUPPORT).join(totals, "pattern").withColumn("confidence", F.col("mass") / F.col("total"))
+        sure = materialize(sure.where(F.col("confidence") >= MIN_CONFIDENCE).select("pattern", "confidence"), "pii-patterns")
         scores = graph.where("not seed").join(sure, "pattern").groupBy("instance").agg(F.max("confidence").alias("learned"))
     return sure
 
 
-def _discovered(scanned: DataFrame) -> DataFrame:
+def _discovered(docs: DataFrame, scanned: DataFrame) -> DataFrame:
     """(key, extra): spans outside the base that follow an accepted pattern."""
     seen = scanned.select("key", F.explode("seen").alias("s")).select("key", "s.start", "s.end", "s.instance", "s.seed", F.explode("s.patterns").alias("pattern"))
-    sure = accepted_patterns(seen.select("pattern", "instance", "seed"))
+    sure = accepted_patterns(docs, seen.select("pattern", "instance", "seed"))
     span = F.struct("start", F.lit(KINDS.index("context")).alias("kind"), "end")
     return seen.where("not seed").join(sure, "pattern").groupBy("key").agg(F.collect_set(span).alias("extra"))
 
@@ -186,7 +245,7 @@ def find_private(docs: DataFrame) -> DataFrame:
     spans. Columns beyond doc_id and text are not read.
     """
     scanned = materialize(scan(docs), "pii-scan")
-    joined = scanned.join(_discovered(scanned), "key", "left")
+    joined = scanned.join(_discovered(docs, scanned), "key", "left")
     spans = F.array_sort(F.concat("base", F.coalesce("extra", F.array().cast(f"array<{_SPAN}>"))))
     names = F.array(*map(F.lit, KINDS))
     text = F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["end"])), ",")
@@ -220,7 +279,7 @@ def redact(docs: DataFrame) -> DataFrame:
             masked = pa.array([mask(t, x) for t, x in zip(b.column(at).to_pylist(), b.column(len(columns)).to_pylist(), strict=True)], pa.string())
             yield pa.RecordBatch.from_arrays([masked if i == at else b.column(i) for i in range(len(columns))], columns)
 
-    joined = keyed.join(_discovered(scanned), "key", "left").select("row.*", F.col("extra").alias(more))
+    joined = keyed.join(_discovered(docs, scanned), "key", "left").select("row.*", F.col("extra").alias(more))
     return joined.mapInArrow(run, docs.schema)
 
 

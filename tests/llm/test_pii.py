@@ -95,3 +95,25 @@ def test_an_unsure_pattern_finds_nothing(make_docs):
     rows = [(i, f"number user{i}@host.example.org here", "a") for i in range(10)] + [(50 + i, f"number A{i}12345678 here", "a") for i in range(40)]
     found = {r.doc_id: r.spans for r in pii.find_private(make_docs(rows)).collect()}
     assert all(found[50 + i] == "" for i in range(40))
+
+
+def test_common_words_are_no_patterns(make_docs):
+    """Seeds often follow "the", but so does all else."""
+    rows = [(i, f"write to the user{i}@host.example.org and wait", "a") for i in range(20)] + [(50 + i, "the cat and the dog saw the code AB12345678 on the wall", "a") for i in range(5)]
+    found = {r.doc_id: r.spans for r in pii.find_private(make_docs(rows)).collect()}
+    assert all(found[50 + i] == "" for i in range(5))
+
+
+def test_keys_glued_to_values(make_docs):
+    """token=... is a pattern of its own; only values that could be identifiers are marked."""
+    rows = [(i, f"see contact=user{i}@host.example.org", "a") for i in range(12)] + [(50, "see contact=QX-99812-77", "a"), (51, "see contact=none", "a")]
+    found = {r.doc_id: r.spans for r in pii.find_private(make_docs(rows)).collect()}
+    assert found[50] == "context:12:23" and found[51] == ""
+
+
+def test_follower_counts(spark, make_docs):
+    rows = [(1, "Acc No. 1 acc no. 2 acc", "a"), (2, "no. acc no. k=v K=w k=", "a")]
+    patterns = {p: pii._hash(p) for p in ("1 acc", "1 no.", "2 acc no.", "0 k=")}
+    wanted = spark.createDataFrame([(h,) for h in patterns.values()], "pattern long")
+    got = {r.pattern: r.total for r in pii.followers(make_docs(rows), wanted).collect()}
+    assert {p: got.get(h) for p, h in patterns.items()} == {"1 acc": 3, "1 no.": 4, "2 acc no.": 3, "0 k=": 2}
