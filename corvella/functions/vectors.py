@@ -8,6 +8,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Vectors up to this length are compared by plain arithmetic.
+UNROLLED = 128
+
+
 def vector_literal(c: Column) -> Column:
     """``[0.10000000,0.20000000]``"""
     return F.concat(F.lit("["), F.array_join(F.transform(c, lambda x: F.format_string("%.8f", x.cast("double"))), ","), F.lit("]"))
@@ -28,12 +32,19 @@ def cosine_similarity(a: Column, b: Column) -> Column:
 
 
 def cosine_to(a: Column, query: Sequence[float]) -> Column:
-    """Cosine similarity to one query vector, unrolled: no lambda, so it compiles with the scan."""
+    """Cosine similarity to one query vector.
+
+    Up to UNROLLED numbers the sums are written out, so they compile with the scan; longer ones, whose code would grow
+    beyond what the JVM compiles, fold over the array.
+    """
     values = [round(float(v), 8) for v in query]
     norm = sum(v * v for v in values) ** 0.5
-    items = [F.get(a, F.lit(i)).cast("double") for i in range(len(values))]
-    top = sum((x * v for x, v in zip(items[1:], values[1:], strict=True)), items[0] * values[0])
-    own = sum((x * x for x in items[1:]), items[0] * items[0])
+    if len(values) > UNROLLED:
+        top, own = dot(a, F.lit(values).cast("array<double>")), dot(a, a)
+    else:
+        items = [F.get(a, F.lit(i)).cast("double") for i in range(len(values))]
+        top = sum((x * v for x, v in zip(items[1:], values[1:], strict=True)), items[0] * values[0])
+        own = sum((x * x for x in items[1:]), items[0] * items[0])
     return F.when(F.size(a) == len(values), F.try_divide(top, F.sqrt(own) * F.lit(norm)))
 
 
