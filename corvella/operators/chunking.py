@@ -20,9 +20,9 @@ def text_chunk_array(text: Column, size: int = SIZE, overlap: int = OVERLAP) ->
     return F.when(n > 0, F.transform(F.sequence(F.lit(0), last), at)).otherwise(F.array().cast("array<string>"))
 
 
-def chunk_text(docs: DataFrame, key: str, text: str, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
-    """(key, chunk_index, content, token_count)"""
-    return docs.select(key, F.posexplode(text_chunk_array(F.col(text), size, overlap)).alias("chunk_index", "content")).withColumn("token_count", count_tokens(F.col("content")))
+def chunk_text(docs: DataFrame, key: str, text: str, size: int = SIZE, overlap: int = OVERLAP, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, *keep, chunk_index, content, token_count); what is kept of a document goes along with its chunks."""
+    return docs.select(key, *keep, F.posexplode(text_chunk_array(F.col(text), size, overlap)).alias("chunk_index", "content")).withColumn("token_count", count_tokens(F.col("content")))
 
 
 def chunk_pages(pages: DataFrame, key: str, size: int = SIZE, overlap: int = OVERLAP, source_type: str = "pdf_text") -> DataFrame:

@@ -143,7 +143,12 @@ _LOGS = ("retrieval_logs", "masking_events", "llm_logs", "audit_events")
 
 
 def _old(days: int, now: dt.datetime) -> Column:
-    return F.coalesce(F.col("created_at") < F.lit(now - dt.timedelta(days=days)).cast("timestamp_ntz"), F.lit(False))
+    """A plain comparison, so that it reaches the scan; unset times are not old."""
+    return F.col("created_at") < F.lit(now - dt.timedelta(days=days)).cast("timestamp_ntz")
+
+
+def _young(days: int, now: dt.datetime) -> Column:
+    return F.col("created_at").isNull() | (F.col("created_at") >= F.lit(now - dt.timedelta(days=days)).cast("timestamp_ntz"))
 
 
 def _unused_old_messages(messages: DataFrame, logs: Mapping[str, DataFrame], days: int, now: dt.datetime) -> DataFrame:
@@ -166,7 +171,7 @@ def retention(tables: Mapping[str, DataFrame], policy: RetentionPolicy, now: dt.
     for name in _LOGS:
         counts[name] = tables[name].where(_old(getattr(policy, name), now))
         if apply:
-            after[name] = tables[name].where(~_old(getattr(policy, name), now))
+            after[name] = tables[name].where(_young(getattr(policy, name), now))
     gone = _unused_old_messages(after["messages"], after, policy.messages, now)
     counts["messages"] = gone
     if apply:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_db_text, detect_language, structured_text
@@ -42,10 +42,10 @@ def chunk_rows(documents: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def _after(chunks: DataFrame, more: DataFrame) -> DataFrame:
-    """more, renumbered to follow a document's chunks."""
-    last = chunks.groupBy("document_id").agg((F.max("chunk_index") + 1).alias("_next"))
-    moved = more.join(last, "document_id", "left").withColumn("chunk_index", (F.col("chunk_index") + F.coalesce("_next", F.lit(0))).cast("int"))
-    return chunks.unionByName(moved.drop("_next"), allowMissingColumns=True)
+    """Both, numbered through within a document. One shuffle; what parsed and chunked the documents runs once."""
+    both = chunks.withColumn("_part", F.lit(0)).unionByName(more.withColumn("_part", F.lit(1)), allowMissingColumns=True)
+    order = Window.partitionBy("document_id").orderBy("_part", "chunk_index")
+    return both.withColumn("chunk_index", F.row_number().over(order) - 1).drop("_part")
 
 
 def ingest_pages(documents: DataFrame, pages: DataFrame, images: DataFrame | None = None, source_type: str = "pdf_text", size: int = SIZE, overlap: int = OVERLAP) -> tuple[DataFrame, DataFrame | None]:

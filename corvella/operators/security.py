@@ -1,7 +1,7 @@
 """Row-level security: clearance, departments and grants to users, departments and roles.
 
-Grants are looked up by semi and anti joins on the object's key. Who asks is a literal in the plan, so the grant scan
-is filtered by subject before it is joined.
+An object without grants is open, so all grants count: they are reduced to one flag an object, combined before the
+shuffle, and joined by the object's key. Who asks is a literal in the plan.
 """
 
 from __future__ import annotations

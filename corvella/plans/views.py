@@ -47,9 +47,8 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
 
 def chunks(spark: SparkSession, sf: str, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
     """Chunks with the vector of their document's turn; every 50th document has none."""
-    docs = documents(spark, sf)
     d = F.col("document_id")
-    cut = chunk_text(docs, "document_id", "text", size, overlap).join(docs.select("document_id", "knowledge_base_id", "confidential_level"), "document_id")
+    cut = chunk_text(documents(spark, sf), "document_id", "text", size, overlap, ("knowledge_base_id", "confidential_level"))
     vectors = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("_vector"))
     n = vectors.agg(F.count("*")).first()[0]
     joined = cut.join(vectors, F.pmod(d, F.lit(n)) == F.col("vec_id"), "left")
