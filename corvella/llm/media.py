@@ -10,6 +10,7 @@ need: 33 bytes for the columns a header fills, or the whole member to check and
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import tarfile
 import uuid
@@ -67,7 +68,8 @@ def png_decode(data: bytes) -> bytes:
 
 
 def _file_system(folder: str) -> tuple[pafs.FileSystem, str]:
-    """Any store Arrow knows by its URI; a plain path is local."""
+    """Any store Arrow knows by its URI (Hadoop's name for S3 included); a plain path is local."""
+    folder = re.sub("^s3[an]://", "s3://", folder)
     if folder.startswith("file:"):
         folder = "/" + folder.removeprefix("file:").lstrip("/")
     return pafs.FileSystem.from_uri(folder) if "://" in folder else (pafs.LocalFileSystem(), folder)
