@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.principal import LEVELS, token_columns
-from ..operators import context, search, security
+from ..operators import cells, context, search, security
 from . import views
 from .views import PRINCIPAL, QUERY, QUERY_VECTOR, with_views
 
@@ -59,6 +59,13 @@ def image_chunk_filter(spark: SparkSession, sf: str) -> DataFrame:
     return search.filter_image_chunks(hits, QUERY).select("rank", "chunk_id", F.col("metadata.source_type").alias("source_type"))
 
 
+def vector_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """vector_topk by the cell index with every cell probed, which must give the exact result."""
+    chunks, documents, permissions = _tables(spark, sf)
+    centroids = cells.fit_centroids(chunks)
+    return _flat(cells.cell_search(cells.with_cells(chunks, centroids), centroids, documents, permissions, QUERY_VECTOR, None, TOP_K, PRINCIPAL, cells.LISTS), "ord")
+
+
 def vector_batch(spark: SparkSession, sf: str) -> DataFrame:
     """Every 50th vector as a query against all vectors."""
     vectors = views.table(spark, sf, "embeddings")
@@ -118,7 +125,7 @@ def bearer_tokens(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (hybrid_search, vector_topk, keyword_topk, rerank_cut, citations, agent_search, image_chunk_filter, vector_batch, context_build, context_text, restricted_block, hit_images, image_context, acl_retrieval, acl_documents, kb_access, bearer_tokens)
+    for f in (hybrid_search, vector_topk, keyword_topk, rerank_cut, citations, agent_search, image_chunk_filter, vector_cells, vector_batch, context_build, context_text, restricted_block, hit_images, image_context, acl_retrieval, acl_documents, kb_access, bearer_tokens)
 }
 
 # ---- DuckDB ----------------------------------------------------------------------------------------------------
@@ -217,8 +224,11 @@ shown AS (
   WHERE i.image_id IN (SELECT id FROM named) OR EXISTS (SELECT 1 FROM pages p WHERE p.document_id = i.document_id AND p.page_number = i.page_number)
 )"""
 
+_VECTOR_TOPK = _hits("SELECT " + _SCORES.format(v="score", k="0.0", f="score") + ", CAST(ord AS INTEGER) AS ord FROM vec")
+
 ORACLES: dict[str, str] = {
-    "vector_topk": _hits("SELECT " + _SCORES.format(v="score", k="0.0", f="score") + ", CAST(ord AS INTEGER) AS ord FROM vec"),
+    "vector_topk": _VECTOR_TOPK,
+    "vector_cells": _VECTOR_TOPK,
     "keyword_topk": _hits("SELECT " + _SCORES.format(v="0.0", k="score", f="score") + ", CAST(ord AS INTEGER) AS ord FROM kw"),
     "hybrid_search": _hits(_HYBRID.format(n=2 * TOP_K)),
     "rerank_cut": _hits(_HYBRID.format(n=search.RERANK_TOP_N)),
