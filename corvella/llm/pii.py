@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -166,53 +165,64 @@ def _cut(token: str) -> int:
 
 
 def followers(docs: DataFrame, patterns: DataFrame, remembered: int = 1_000_000) -> DataFrame:
-    """(pattern, total): how often each of the patterns stands before a token, or the value of one, in all texts."""
-    bits = docs.sparkSession.sparkContext.broadcast(hash_filter(patterns, "pattern"))
+    """(pattern, total): how often each of the patterns stands before a token, or the value of one, in all texts.
 
-    def wanted(pattern: str) -> int | None:
-        h = _hash(pattern)
-        return h if passes(bits.value, np.array([h]))[0] else None
+    What a word means for patterns is looked up once a word; counting is done on whole batches of word numbers. A task
+    that knows ``remembered`` words forgets them.
+    """
+    bits = docs.sparkSession.sparkContext.broadcast(hash_filter(patterns, "pattern"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before: dict[str, int | None] = {}  # by word, its one-word pattern if wanted
-        glued: dict[str, int | None] = {}
-        pairs: dict[tuple[str, str], int | None] = {}
+        number: dict[str, int] = {}
+        lowered: list[str] = []
+        # By word number: its one-word pattern and its glued one, and whether they are wanted.
+        before, before_ok, glued, glued_ok = (np.zeros(0, t) for t in (np.int64, bool, np.int64, bool))
         for batch in text_chunks(batches):
-            for known in (before, glued, pairs):
-                if len(known) > remembered:
-                    known.clear()
-            counts: Counter[int] = Counter()
-            for text in batch.column("text").to_pylist():
-                tokens = _TOKEN.findall(text)
-                for w in {w for w in tokens if w not in before}:
-                    before[w] = wanted("1 " + w.lower())
-                for i, w in enumerate(tokens[:-1]):
-                    h = before[w]
-                    if h is None:
-                        continue
-                    counts[h] += 1
-                    if i:  # a pair of words is wanted only if its second word is
-                        pair = (tokens[i - 1], w)
-                        if pair not in pairs:
-                            pairs[pair] = wanted(f"2 {pair[0].lower()} {w.lower()}")
-                        if (h := pairs[pair]) is not None:
-                            counts[h] += 1
-                if "=" in text or ":" in text:
-                    for w in tokens:
-                        if at := _cut(w):
-                            at += len(w[at:]) - len(w[at:].lstrip(_EDGE))
-                            head = w[:at]
-                            if head not in glued:
-                                glued[head] = wanted("0 " + head.lower().lstrip(_EDGE))
-                            if (h := glued[head]) is not None:
-                                counts[h] += 1
-            if counts:
-                yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int64()), pa.array(list(counts.values()), pa.int64())], ["pattern", "total"])
+            if len(number) > remembered:
+                number.clear()
+                lowered.clear()
+                before, before_ok, glued, glued_ok = before[:0], before_ok[:0], glued[:0], glued_ok[:0]
+            split = [_TOKEN.findall(t) for t in batch.column("text").to_pylist()]
+            tokens = [w for words in split for w in words]
+            if not tokens:
+                continue
+            fresh = list(set(tokens).difference(number))
+            number.update(zip(fresh, range(len(number), len(number) + len(fresh)), strict=True))
+            low = [w.lower() for w in fresh]
+            lowered += low
+            h = np.array([_hash("1 " + w) for w in low], np.int64)
+            before, before_ok = np.concatenate([before, h]), np.concatenate([before_ok, passes(bits.value, h)])
+            heads = [_glue(w) for w in fresh]
+            h = np.array([_hash("0 " + g) if g else 0 for g in heads], np.int64)
+            glued, glued_ok = np.concatenate([glued, h]), np.concatenate([glued_ok, passes(bits.value, h) & np.array([g != "" for g in heads], bool)])
+
+            ids = np.fromiter(map(number.__getitem__, tokens), np.int64, len(tokens))
+            ends = np.cumsum([len(words) for words in split])
+            first, last = np.zeros(len(ids) + 1, bool), np.zeros(len(ids) + 1, bool)
+            first[np.concatenate([[0], ends[:-1]])] = True
+            last[ends - 1] = True  # of an empty text: the token before, which is a last one itself, or the spare place
+            at = np.flatnonzero(before_ok[ids] & ~last[:-1])
+            inner = at[~first[at]]
+            pair, n_pair = np.unique(ids[inner - 1] << 32 | ids[inner], return_counts=True)
+            h = np.array([_hash(f"2 {lowered[x]} {lowered[y]}") for x, y in zip((pair >> 32).tolist(), (pair & 0xFFFFFFFF).tolist(), strict=True)], np.int64)
+            ok = passes(bits.value, h)
+            found, n = np.concatenate([before[ids[at]], glued[ids[glued_ok[ids]]], h[ok]]), np.concatenate([np.ones(len(at), np.int64), np.ones(int(glued_ok[ids].sum()), np.int64), n_pair[ok]])
+            if len(found):
+                keys, where = np.unique(found, return_inverse=True)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.bincount(where, n).astype(np.int64))], ["pattern", "total"])
 
     found = docs.select(whole_text().alias("text")).mapInArrow(run, "pattern long, total long")
     return found.groupBy("pattern").agg(F.sum("total").alias("total"))
 
 
+def _glue(token: str) -> str:
+    """The key in front of a value in its token, as patterns name it; empty if there is none."""
+    at = _cut(token) if "=" in token or ":" in token else 0
+    if not at:
+        return ""
+    return token[: len(token) - len(token[at:].lstrip(_EDGE))].lower().lstrip(_EDGE)
+
+
 def accepted_patterns(docs: DataFrame, seen: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(pattern, confidence) after ``rounds`` rounds over rows (pattern, instance, seed) found in docs."""
     graph = materialize(seen.groupBy("pattern", "instance").agg(F.max("seed").alias("seed"), F.count("*").alias("n")), "pii-graph")
