@@ -5,8 +5,8 @@ every window of ``length`` bytes picks the byte gram in it that hashes lowest (o
 windows pick equal grams at equal places. Grams that occur once settle their windows: those don't repeat. The
 windows that pick one place, which follow each other, span a segment. Equal segments settle each other: all their
 windows repeat. Segments that differ meet by gram, lined up at it, lose the bytes at both ends that no other one
-shares, and a suffix array over each such group decides which windows repeat. Every step is a Spark aggregation or join on hashes; a text moves only to fetch segments
-and to cut the result.
+shares, and a suffix array over each such group decides which windows repeat. Every step is a Spark aggregation or
+join on hashes; a text moves only to fetch segments and to cut the result.
 """
 
 from __future__ import annotations
@@ -20,13 +20,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_texts, materialize, shuffle_width, table, whole_text
+from .common import hash_filter, map_texts, materialize, passes, shuffle_width, table, whole_text
 
 LENGTH = 200
 GRAM = 32
-#: Bits of the filter that spares the second pass what occurs once: 4 MB at any input size; it only prunes.
-FILTER_BITS = 1 << 25
-#: Segments of one gram that share a suffix array; beyond, several arrays and an exact count of their windows.
+#: Segments of one gram that share a suffix array, about; more are dealt to several, and their windows counted exactly.
 GROUP_SEGMENTS = 20_000
 _PIECE = 1 << 18
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -249,16 +247,6 @@ def _count_anchors(rows: DataFrame, length: int, gram: int) -> DataFrame:
     return total.where("n > 1").select("a", (F.col("s_min") != F.col("s_max")).alias("mixed"))
 
 
-def _filter_bits(repeated: DataFrame) -> np.ndarray:
-    """One bit for every hash value of a repeated gram, as 64-bit words; FILTER_BITS bits whatever the input."""
-    bit = F.pmod("a", F.lit(FILTER_BITS))
-    words = repeated.select(F.shiftright(bit, 6).cast("int").alias("word"), F.expr(f"shiftleft(1L, cast(pmod(a, {FILTER_BITS}) & 63 as int))").alias("bit"))
-    rows = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
-    out = np.zeros(FILTER_BITS // 64, np.int64)
-    out[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)
-    return out.view(np.uint64)
-
-
 _HIT = "a long, s long, k1 long, k2 long, place int, lo int, hi int"
 
 
@@ -270,8 +258,7 @@ def _hits(rows: DataFrame, bits, length: int, gram: int) -> DataFrame:
         for text, k1, k2 in zip(*(batch.column(c).to_pylist() for c in ("text", "k1", "k2")), strict=True):
             raw = text.encode("utf-8")
             places, a, lo, hi = anchors(raw, length, gram)
-            slot = (a % FILTER_BITS).astype(np.uint64)
-            keep = (bits.value[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
+            keep = passes(bits.value, a)
             if keep.any():
                 places, a, lo, hi = places[keep], a[keep], lo[keep], hi[keep]
                 s, n = _segment_hashes(raw, places, lo, hi), len(places)
@@ -285,29 +272,32 @@ def _hits(rows: DataFrame, bits, length: int, gram: int) -> DataFrame:
 
 
 def _cut_segments(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(a, s, n, k1, k2, place, lo, segment): the bytes of one occurrence of every wanted segment."""
-    lists = wanted.groupBy("k1", "k2").agg(F.collect_list(F.struct("a", "s", "n", "place", "lo", "hi")).alias("cuts"))
+    """(a, part, parts, s, n, k1, k2, place, lo, segment): the bytes of one occurrence of every wanted segment."""
+    own = ("a", "part", "parts", "s", "n", "place", "lo", "hi")
+    lists = wanted.groupBy("k1", "k2").agg(F.collect_list(F.struct(*own)).alias("cuts"))
     joined = rows.select("k1", "k2", "text").join(lists, ["k1", "k2"])
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out: dict[str, list] = {c: [] for c in ("a", "s", "n", "k1", "k2", "place", "lo", "segment")}
+        kinds = {"a": pa.int64(), "part": pa.int32(), "parts": pa.int32(), "s": pa.int64(), "n": pa.int64(), "k1": pa.int64(), "k2": pa.int64(), "place": pa.int32(), "lo": pa.int32(), "segment": pa.binary()}
+        out: dict[str, list] = {c: [] for c in kinds}
         for text, k1, k2, cuts in zip(*(batch.column(c).to_pylist() for c in ("text", "k1", "k2", "cuts")), strict=True):
             raw = text.encode("utf-8")
             for c in cuts:
-                for name, value in (("a", c["a"]), ("s", c["s"]), ("n", c["n"]), ("k1", k1), ("k2", k2), ("place", c["place"]), ("lo", c["lo"]), ("segment", raw[c["lo"] : c["hi"]])):
-                    out[name].append(value)
-        return pa.RecordBatch.from_arrays([pa.array(out[c], pa.binary() if c == "segment" else pa.int32() if c in ("place", "lo") else pa.int64()) for c in out], list(out))
+                for name, value in {**c, "k1": k1, "k2": k2, "segment": raw[c["lo"] : c["hi"]]}.items():
+                    if name in out:
+                        out[name].append(value)
+        return pa.RecordBatch.from_arrays([pa.array(v, kinds[c]) for c, v in out.items()], list(out))
 
-    cut = map_texts(joined, run, "a long, s long, n long, k1 long, k2 long, place int, lo int, segment binary")
+    cut = map_texts(joined, run, "a long, part int, parts int, s long, n long, k1 long, k2 long, place int, lo int, segment binary")
     # A row that stands twice in the table gives its cuts twice: one of each is enough.
     return cut.dropDuplicates(["a", "s"])
 
 
-def _decide(length: int, gram: int, limit: int):
-    """For groups of segments sorted by gram: repeated windows as ranges of their documents.
+def _decide(length: int, gram: int):
+    """For groups of segments sorted by gram and part: repeated windows as ranges of their documents.
 
-    Rows (0, k1, k2, first, last): windows first to last (of a segment that occurs once) repeat. For a group over
-    the limit also rows (1, k1, k2, first, first, h1, h2, seen): a window that no other one of its part equals, or
+    Rows (0, k1, k2, first, last): windows first to last (of a segment that occurs once) repeat. For a gram of
+    several parts also rows (1, k1, k2, first, first, h1, h2, seen): a window that no other one of its part equals, or
     (seen 2) one of those that repeat in it, to be counted over all parts.
     """
     names = ["kind", "k1", "k2", "first", "last", "h1", "h2", "seen"]
@@ -359,14 +349,10 @@ def _decide(length: int, gram: int, limit: int):
         def group() -> Iterator[tuple]:
             current, part, split = None, [], False
             for b in batches:
-                for a, *row in zip(*(b.column(c).to_pylist() for c in ("a", "n", "k1", "k2", "place", "lo", "segment")), strict=True):
-                    if a != current:
+                for a, number, parts, *row in zip(*(b.column(c).to_pylist() for c in ("a", "part", "parts", "n", "k1", "k2", "place", "lo", "segment")), strict=True):
+                    if (a, number) != current:
                         yield from close(part, split) if part else ()
-                        current, part, split = a, [], False
-                    elif len(part) >= limit:
-                        split = True
-                        yield from close(part, split)
-                        part = []
+                        current, part, split = (a, number), [], parts > 1
                     part.append(row)
             yield from close(part, split) if part else ()
 
@@ -386,14 +372,17 @@ def repeated_ranges(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, lim
     """(k1, k2, lo, hi): byte ranges that windows which repeat cover; ranges of a text may overlap."""
     spark = rows.sparkSession
     repeated = materialize(_count_anchors(rows, length, gram), "sa-anchors")
-    bits = spark.sparkContext.broadcast(_filter_bits(repeated))
+    bits = spark.sparkContext.broadcast(hash_filter(repeated, "a"))
     hits = materialize(_hits(rows, bits, length, gram).join(repeated, "a"), "sa-hits")
     one = F.min(F.struct("k1", "k2", "place", "lo", "hi")).alias("one")
     known = materialize(hits.groupBy("a", "s").agg(F.count("*").alias("n"), F.max("mixed").alias("mixed"), one), "sa-segments")
     whole = hits.join(known.where("n > 1").select("a", "s"), ["a", "s"], "left_semi").select("k1", "k2", "lo", "hi")
-    wanted = known.where("mixed").select("a", "s", "n", "one.*")
-    grouped = _cut_segments(rows, wanted).repartition(shuffle_width(spark), "a").sortWithinPartitions("a", "s")
-    decided = materialize(grouped.mapInArrow(_decide(length, gram, limit), "kind int, k1 long, k2 long, first int, last int, h1 long, h2 long, seen int"), "sa-decided")
+    # A gram with very many segments is dealt to several parts, each a group of its own in a task of its own.
+    mixed = known.where("mixed")
+    parts = mixed.groupBy("a").agg(F.ceil(F.count("*") / limit).cast("int").alias("parts"))
+    wanted = mixed.join(parts, "a").select("a", F.pmod(F.xxhash64("s"), F.col("parts")).cast("int").alias("part"), "parts", "s", "n", "one.*")
+    grouped = _cut_segments(rows, wanted).repartition(shuffle_width(spark), "a", "part").sortWithinPartitions("a", "part", "s")
+    decided = materialize(grouped.mapInArrow(_decide(length, gram), "kind int, k1 long, k2 long, first int, last int, h1 long, h2 long, seen int"), "sa-decided")
     ranges = decided.where("kind = 0").select("k1", "k2", F.col("first").alias("lo"), (F.col("last") + length).alias("hi"))
     windows = decided.where("kind = 1")
     spot = F.struct("k1", "k2", "first")
