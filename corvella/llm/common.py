@@ -30,7 +30,12 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df once to the shared folder and read it back: cuts lineage, survives lost executors."""
+    """Write df once to the shared folder and read it back: cuts lineage, survives lost executors.
+
+    Spark removes the shuffle files of finished steps when the driver's collector finds them unreferenced, which may take
+    many steps; asking for a collection here keeps what lies on the executors' disks to the steps in progress.
+    """
+    df.sparkSession.sparkContext._jvm.java.lang.System.gc()
     path = fresh_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
