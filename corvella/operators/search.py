@@ -74,8 +74,10 @@ def merge_hits(vector: DataFrame, keyword: DataFrame) -> DataFrame:
 
     Ties keep the legs' order, vector hits first.
     """
-    extra = keyword.join(vector.select("chunk_id"), "chunk_id", "left_anti").withColumn("src", F.lit(1))
-    merged = vector.withColumn("src", F.lit(0)).unionByName(extra)
+    both = vector.withColumn("src", F.lit(0)).unionByName(keyword.withColumn("src", F.lit(1)))
+    # Each leg is computed once; an anti join would compute the vector leg again.
+    first = Window.partitionBy("chunk_id").orderBy("src")
+    merged = both.withColumn("_nth", F.row_number().over(first)).where("_nth = 1").drop("_nth")
     return merged.withColumn("final_score", VECTOR_WEIGHT * F.col("vector_score") + KEYWORD_WEIGHT * F.col("keyword_score"))
 
 
