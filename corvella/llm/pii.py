@@ -164,7 +164,7 @@ def _cut(token: str) -> int:
     return max(token.rfind("=", 0, end), token.rfind(":", 0, end)) + 1
 
 
-def followers(docs: DataFrame, patterns: DataFrame, remembered: int = 1_000_000) -> DataFrame:
+def followers(docs: DataFrame, patterns: DataFrame, remembered: int = 400_000) -> DataFrame:
     """(pattern, total): how often each of the patterns stands before a token, or the value of one, in all texts.
 
     What a word means for patterns is looked up once a word; counting is done on whole batches of word numbers. A task

@@ -117,21 +117,38 @@ def _features(batch: pa.RecordBatch) -> pa.RecordBatch:
     )
 
 
-def fit_logistic(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, rounds: int = 250, ridge: float = 3e-3) -> tuple[np.ndarray, float]:
-    """Full-batch Adam on sparse rows (indices, values); deterministic."""
-    row = np.repeat(np.arange(len(rows)), [len(i) for i, _ in rows])
-    idx = np.concatenate([i for i, _ in rows]).astype(np.int64)
-    used, idx = np.unique(idx, return_inverse=True)
-    val = np.concatenate([v for _, v in rows]).astype(np.float64)
+def fit_logistic(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, rounds: int = 250, ridge: float = 3e-3, block: int = 1 << 20) -> tuple[np.ndarray, float]:
+    """Full-batch Adam on sparse rows (indices, values); deterministic.
+
+    Rows go in blocks of about ``block`` values, so a round needs little beyond the rows themselves.
+    """
+    used = np.zeros(DIM, bool)
+    for i, _ in rows:
+        used[i] = True
+    place = np.cumsum(used, dtype=np.int32) - 1
+    n_used = int(used.sum())
+    ends = np.cumsum([len(i) for i, _ in rows])
+    starts = np.unique(np.searchsorted(ends, np.arange(0, ends[-1] + 1, block), "right"))
+    cuts = [*starts[starts < len(rows)].tolist(), len(rows)]
+    blocks, square = [], np.zeros(n_used)
+    for lo, hi in zip(cuts, cuts[1:], strict=False):
+        row = np.repeat(np.arange(hi - lo, dtype=np.int32), [len(i) for i, _ in rows[lo:hi]])
+        idx = place[np.concatenate([i for i, _ in rows[lo:hi]])]
+        val = np.concatenate([v for _, v in rows[lo:hi]]).astype(np.float32)
+        square += np.bincount(idx, val.astype(np.float64) ** 2, n_used)
+        blocks.append((lo, hi, row, idx, val))
     # Rare features have tiny frequencies: divide each by its root mean square so that all learn alike.
-    spread = np.sqrt(np.bincount(idx, val * val, len(used)) / len(rows)) + 1e-4
-    val = val / spread[idx]
-    w, bias = np.zeros(len(used)), 0.0
-    m, v = np.zeros(len(used) + 1), np.zeros(len(used) + 1)
+    spread = np.sqrt(square / len(rows)) + 1e-4
+    blocks = [(lo, hi, row, idx, (val / spread[idx]).astype(np.float32)) for lo, hi, row, idx, val in blocks]
+    w, bias = np.zeros(n_used), 0.0
+    m, v = np.zeros(n_used + 1), np.zeros(n_used + 1)
     share = np.where(y > 0, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9)) / len(rows)  # classes weigh alike
     for t in range(1, rounds + 1):
-        residual = (_sigmoid(np.bincount(row, val * w[idx], len(rows)) + bias) - y) * share
-        grad = np.concatenate([np.bincount(idx, val * residual[row], len(used)) + ridge * w, [residual.sum()]])
+        grad = np.concatenate([ridge * w, [0.0]])
+        for lo, hi, row, idx, val in blocks:
+            residual = (_sigmoid(np.bincount(row, val * w[idx], hi - lo) + bias) - y[lo:hi]) * share[lo:hi]
+            grad[:-1] += np.bincount(idx, val * residual[row], n_used)
+            grad[-1] += residual.sum()
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         move = 0.02 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, bias = w - move[:-1], bias - move[-1]
@@ -175,7 +192,7 @@ def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         keys += b.column("doc_id").to_pylist()
         labels += b.column("label").to_pylist()
-        rows += [(np.array(i.values), np.array(v.values)) for i, v in zip(b.column("idx"), b.column("val"), strict=True)]
+        rows += [(np.array(i.values), np.array(v.values)) for i, v in zip(b.column("idx"), b.column("val"), strict=True)]  # copies: batches go
     order = sorted(range(len(rows)), key=lambda i: (keys[i], labels[i], len(rows[i][0])))
     rows, y = [rows[i] for i in order], np.array([labels[i] for i in order], np.float64)
     held = np.arange(len(rows)) % 5 == 4
