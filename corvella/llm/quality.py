@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_texts, table, whole_text
+from .common import map_texts, table, text_chunks, whole_text
 
 TABLE_BITS = 16
 FAMILIES = 3
@@ -26,6 +26,8 @@ KEEP_PROBABILITY = 0.5
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 _SCALE = 1 << 16
+#: Bytes of text looked at together: each takes some eighty bytes of hashes and sums.
+_CHUNK = 1 << 20
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0x100000001B3)
 _WS = np.zeros(256, bool)
@@ -220,7 +222,7 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
     )
     rows = docs.select("doc_id", whole_text().alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    features = map_texts(rows, _features, f"doc_id {kind}, label int, idx array<int>, val array<float>")
+    features = map_texts(rows, _features, f"doc_id {kind}, label int, idx array<int>, val array<float>", _CHUNK)
     found = features.repartition(1).mapInArrow(_fit, "weights array<int>, bias double, slope double, shift double").collect()
     if not found:
         return QualityModel(None, 0.0, 1.0, 0.0)
@@ -274,7 +276,7 @@ def judge(docs: DataFrame, model: QualityModel, keep_probability: float = KEEP_P
 
     rows = docs.select("doc_id", whole_text().alias("text"))
     longs = ", ".join(f"{c} long" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"))
-    return map_texts(rows, run, f"doc_id {kind}, {longs}, base_failed boolean, kept boolean, probability double")
+    return map_texts(rows, run, f"doc_id {kind}, {longs}, base_failed boolean, kept boolean, probability double", _CHUNK)
 
 
 def keep_good(docs: DataFrame, model: QualityModel, keep_probability: float = KEEP_PROBABILITY) -> DataFrame:
@@ -283,9 +285,7 @@ def keep_good(docs: DataFrame, model: QualityModel, keep_probability: float = KE
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from .common import text_chunks
-
-        for batch in text_chunks(batches):
+        for batch in text_chunks(batches, _CHUNK):
             layout = Layout([t or "" for t in batch.column(at).to_pylist()])
             n_words = layout.word_to - layout.word_from
             kept = (n_words >= MIN_WORDS) & (sent.value.probability(layout) >= keep_probability)
