@@ -200,14 +200,10 @@ def near_duplicates(docs: DataFrame, run_limit: int = RUN_LIMIT) -> DataFrame:
     return _components(docs, run_limit).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, run_limit: int = RUN_LIMIT) -> DataFrame:
-    """The rows of docs without near-duplicates: of each component one row of its least id stays.
-
-    Of several rows with that id the one whose text hashes lowest stays; a component without any id keeps the
-    one row of all whose text hashes lowest. Of rows repeated in full one stays. All columns are returned.
-    """
+def one_of_each(docs: DataFrame, components: DataFrame) -> DataFrame:
+    """The rows of docs that stay; components: doc_id, text_hash, root and component_id of every row."""
     chosen = (
-        _components(docs, run_limit)
+        components
         .where(F.col("doc_id").eqNullSafe(F.col("component_id")))
         .groupBy("root", "doc_id")
         .agg(F.min("text_hash").alias("_hash"))
@@ -221,5 +217,14 @@ def keep_one(docs: DataFrame, run_limit: int = RUN_LIMIT) -> DataFrame:
     return kept.where("nth = 1").select("row.*")
 
 
+def keep_one(docs: DataFrame, run_limit: int = RUN_LIMIT) -> DataFrame:
+    """The rows of docs without near-duplicates: of each component one row of its least id stays.
+
+    Of several rows with that id the one whose text hashes lowest stays; a component without any id keeps the
+    one row of all whose text hashes lowest. Of rows repeated in full one stays. All columns are returned.
+    """
+    return one_of_each(docs, _components(docs, run_limit))
+
+
 def op9_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
