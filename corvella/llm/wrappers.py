@@ -238,7 +238,8 @@ def page_wrapper(items: list[Item]) -> list[dict]:
 
 def mark_main(kids: list[dict]) -> list[dict]:
     """Set "a" on the nodes that hold the article: article or main elements; without them, the innermost node that
-    holds most of the text outside boilerplate, slots counting in full and constants not at all if there are slots.
+    holds all of the text outside boilerplate, without what stands before or after it on every page alike. Where the wrapper
+    shows that pages differ, slots count in full and constants not at all.
     """
     found = False
 
@@ -257,22 +258,24 @@ def mark_main(kids: list[dict]) -> list[dict]:
             return 0 if slots and k["c"] is not None else k["m"]
         return 0 if k["l"].startswith("!") else sum(mass(x, slots) for x in k["k"])
 
+    def differs(nodes: list[dict]) -> bool:
+        """A slot outside repeated groups: at least two pages were seen."""
+        return any(not k["+"] and (k["c"] is None if k["l"] == "#" else not k["l"].startswith("!") and differs(k["k"])) for k in nodes)
+
     elements(kids)
     if not found:
         top = {"l": "", "k": kids}
-        slots = mass(top, True) > 0
+        slots = differs(kids)
         while True:
             whole = mass(top, slots)
             inner = max((k for k in top["k"] if k["l"] != "#"), key=lambda k: mass(k, slots), default=None)
-            if inner is None or not whole or mass(inner, slots) < 0.7 * whole or inner["+"]:
+            if inner is None or not whole or mass(inner, slots) < whole or inner["+"]:
                 break
             top = inner
-        if top["l"]:
-            top["a"] = True
-        else:
-            for k in kids:
-                if not k["l"].startswith("!"):
-                    k["a"] = True
+        holds = [i for i, k in enumerate(top["k"]) if mass(k, slots)]
+        for i, k in enumerate(top["k"]):
+            if not k["l"].startswith("!") and (not slots or k["?"] or holds[0] <= i <= holds[-1]):
+                k["a"] = True
     return kids
 
 

@@ -99,3 +99,26 @@ def test_longest_common_subsequences():
             for j in range(len(b)):
                 table[i + 1][j + 1] = table[i][j] + 1 if a[i] == b[j] else max(table[i][j + 1], table[i + 1][j])
         assert len(pairs) == table[-1][-1]
+
+
+def _read_host(pages):
+    wrapper = []
+    for k, page in enumerate(pages):
+        own = wrappers.page_wrapper(wrappers.parse_page(page))
+        wrapper = wrappers.merge(wrapper, own) if k else own
+    wrapper = wrappers.mark_main(wrapper)
+    return [" ".join(wrappers.read_page(wrappers.parse_page(p), wrapper)) for p in pages]
+
+
+@pytest.mark.parametrize("n_pages", [1, 5])
+@pytest.mark.parametrize("paragraphs", [1, 3])
+@pytest.mark.parametrize("shape", ["<h1>Title {k}</h1><div class='body'>{body}</div>", "<div class='lead'>Title {k}</div><div class='body'>{body}</div>", "<div><h1>Title {k}</h1>{body}</div>"])
+def test_titles_and_leads_outside_the_body_stay(shape, paragraphs, n_pages):
+    texts = [[f"page {k} text {i} " + "words " * 40 + "end" for i in range(paragraphs)] for k in range(n_pages)]
+    pages = ["<body><nav>Home</nav>" + shape.format(k=k, body="".join(f"<p>{t}</p>" for t in texts[k])) + "<footer>Rights</footer></body>" for k in range(n_pages)]
+    assert _read_host(pages) == [" ".join([f"Title {k}", *texts[k]]) for k in range(n_pages)]
+
+
+def test_what_stands_outside_on_every_page_alike_goes():
+    pages = [f"<body><div class='tagline'>The same line</div><h1>Title {k}</h1><div class='text'><p>Text {k}</p><h2>Sources</h2><p>List {k}</p></div></body>" for k in range(4)]
+    assert _read_host(pages) == [f"Title {k} Text {k} Sources List {k}" for k in range(4)]
