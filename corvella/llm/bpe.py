@@ -18,12 +18,14 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_chunks, whole_text
+from .common import release_memory, table, text_chunks, whole_text
 
 # Fixed value: the splitting pattern of the byte-level vocabulary.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 # White space as the vocabulary's own splitter sees it: U+001C to U+001F are not white space there.
 _SPLIT = regex.compile(SPLIT.replace(r"\S", r"\P{White_Space}").replace(r"\s", r"\p{White_Space}"))
+#: Before a space that stands alone between a word and a letter one match always ends and another begins.
+_CUT = regex.compile(r"\P{White_Space} (?=\p{L})")
 _NONE = np.iinfo(np.int64).max
 
 
@@ -40,10 +42,16 @@ def _byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in visible} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+#: Bytes of text encoded together, and of words (with what Python adds to each) that a task remembers.
+_CHUNK = 1 << 20
+CACHE_BYTES = 24 << 20
+_WORD_COST = 200
+
+
 class BytePairCoder:
-    """Vocabulary tables plus a bounded word cache; one per Python worker."""
+    """Vocabulary tables, which a Python worker keeps, plus a cache of words, bounded in bytes, which a task drops."""
 
-    def __init__(self, path: str, cache_words: int = 400_000):
+    def __init__(self, path: str, cache_bytes: int = CACHE_BYTES):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab: dict[str, int] = spec["model"]["vocab"]
@@ -65,13 +73,13 @@ class BytePairCoder:
         order = np.argsort(keys, kind="stable")
         self.keys, self.ranks, self.merged_by_rank = keys[order], order.astype(np.int64), merged
         self.cache: dict[str, int] = {}
-        self.cache_words = cache_words
-        self.flat: list[np.ndarray] = []
-        self._reset()
+        self.cache_bytes, self.cached = cache_bytes, 0
+        self.forget()
         self.splitter = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
 
-    def _reset(self) -> None:
-        self.cache.clear()
+    def forget(self) -> None:
+        """Drop the cached words."""
+        self.cache, self.cached = {}, 0
         self.ids, self.starts, self.lens = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
         for token, i in self.special.items():
             self.cache["\0special:" + token] = len(self.lens)
@@ -133,20 +141,42 @@ class BytePairCoder:
             at = m.end()
         return out + _SPLIT.findall(text[at:])
 
+    def _pieces(self, text: str) -> Iterator[str]:
+        """The text in pieces of about _CHUNK characters, cut where no word or special token can span."""
+        at = 0
+        while len(text) - at > 2 * _CHUNK and (m := _CUT.search(text, at + _CHUNK)):
+            yield text[at : m.end() - 1]
+            at = m.end() - 1
+        yield text[at:] if at else text
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of every text (int32)."""
-        if len(self.cache) > self.cache_words:
-            self._reset()
-        split = [self._words(t) for t in texts]
-        fresh = list({w for words in split for w in words}.difference(self.cache))
-        for i in range(0, len(fresh), 65_536):
-            part = fresh[i : i + 65_536]
+        out: list[list[np.ndarray]] = [[] for _ in texts]
+        held, size = [], 0
+        for k, text in enumerate(texts):
+            for piece in self._pieces(text):
+                held.append((k, self._words(piece)))
+                size += len(piece)
+                if size >= _CHUNK:
+                    self._encode_held(held, out)
+                    held, size = [], 0
+        self._encode_held(held, out)
+        return [parts[0] if len(parts) == 1 else np.concatenate(parts) for parts in out]
+
+    def _encode_held(self, held: list[tuple[int, list[str]]], out: list[list[np.ndarray]]) -> None:
+        if self.cached > self.cache_bytes:
+            self.forget()
+        fresh = list({w for _, words in held for w in words}.difference(self.cache))
+        for i in range(0, len(fresh), 32_768):
+            part = fresh[i : i + 32_768]
             ids, lens = self.merge_words([w.encode("utf-8") for w in part])
             base = len(self.lens)
             self._append(ids, lens)
             self.cache.update(zip(part, range(base, base + len(part)), strict=True))
+            self.cached += 5 * len(ids) + sum(map(len, part)) + _WORD_COST * len(part)
         get = self.cache.__getitem__
-        return [self._gather(np.fromiter(map(get, words), np.int64, len(words))) for words in split]
+        for k, words in held:
+            out[k].append(self._gather(np.fromiter(map(get, words), np.int64, len(words))))
 
     def _gather(self, index: np.ndarray) -> np.ndarray:
         return self.ids[_spread(self.starts[index], self.lens[index])]
@@ -175,50 +205,57 @@ def coder(path: str) -> BytePairCoder:
     return _CODERS[path]
 
 
-def encode_documents(docs: DataFrame, vocabulary: str | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Add ids (array<int>) and decoded (string) to the kept columns, from the column text.
-
-    Null and empty texts have no ids and decode to the empty text. Special tokens written out in a text become
-    their ids, as the library does. A column of the input named text, ids or decoded can't be kept.
-    """
-    path = vocabulary or default_vocabulary()
+def _encoded(docs: DataFrame, path: str, keep: tuple[str, ...], columns: list[tuple[str, str]], fn) -> DataFrame:
+    """The kept columns and what fn(coder, texts, ids) gives for ``columns`` (name, type), in bounded batches."""
     assert os.path.exists(path), path
     rows = docs.select(*keep, whole_text().alias("text"))
-    schema = rows.select(*keep, F.array().cast("array<int>").alias("ids"), F.lit("").alias("decoded")).schema
+    schema = rows.select(*keep, *(F.lit(None).cast(kind).alias(c) for c, kind in columns)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder(path)
-        for batch in text_chunks(batches):
-            ids = own.encode(batch.column("text").to_pylist())
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-            values = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32), pa.int32())
-            arrays = [batch.column(c) for c in keep]
-            arrays += [pa.ListArray.from_arrays(pa.array(offsets), values), pa.array([own.decode(x) for x in ids], pa.string())]
-            yield pa.RecordBatch.from_arrays(arrays, [*keep, "ids", "decoded"])
+        for batch in text_chunks(batches, _CHUNK):
+            texts = batch.column("text").to_pylist()
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *fn(own, texts, own.encode(texts))], [*keep, *(c for c, _ in columns)])
+        own.forget()
+        release_memory()
 
     return rows.mapInArrow(run, schema)
 
 
+def encode_documents(docs: DataFrame, vocabulary: str | None = None, keep: tuple[str, ...] = ("doc_id",), decoded: bool = True) -> DataFrame:
+    """The kept columns of every row with ids (array<int>) and decoded (string), or else lossless: whether they decode to the text.
+
+    Null and empty texts have no ids and decode to the empty text. Special tokens written out in a text become
+    their ids, as the library does. Repeated rows are encoded each; an empty table gives an empty one. A column of the
+    input named text, ids, lossless or decoded can't be kept; columns not kept are not read.
+    """
+
+    def fn(own: BytePairCoder, texts: list[str], ids: list[np.ndarray]) -> list[pa.Array]:
+        offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+        out = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32), pa.int32()))]
+        if decoded:
+            return [*out, pa.array([own.decode(x) for x in ids], pa.string())]
+        return [*out, pa.array([own.decode_bytes(x) == t.encode("utf-8") for x, t in zip(ids, texts, strict=True)], pa.bool_())]
+
+    last = ("decoded", "string") if decoded else ("lossless", "boolean")
+    return _encoded(docs, vocabulary or default_vocabulary(), keep, [("ids", "array<int>"), last], fn)
+
+
 def encode_digests(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every whole text; a null text counts as empty."""
-    path = vocabulary or default_vocabulary()
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every whole text.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = coder(path)
-        for batch in text_chunks(batches):
-            ids = own.encode(batch.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"),
-                    pa.array([len(x) for x in ids], pa.int64()),
-                    pa.array([hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in ids], pa.string()),
-                    pa.array([hashlib.sha256(own.decode(x).encode("utf-8")).hexdigest() for x in ids], pa.string()),
-                ],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", whole_text().alias("text")).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    A null text counts as empty: no tokens, both digests of nothing. Repeated rows give equal digests, an empty table an
+    empty one. Only doc_id and text are read, so further columns of any name do no harm.
+    """
+
+    def fn(own: BytePairCoder, texts: list[str], ids: list[np.ndarray]) -> list[pa.Array]:
+        return [
+            pa.array([len(x) for x in ids], pa.int64()),
+            pa.array([hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in ids], pa.string()),
+            pa.array([hashlib.sha256(own.decode(x).encode("utf-8")).hexdigest() for x in ids], pa.string()),
+        ]
+
+    return _encoded(docs, vocabulary or default_vocabulary(), ("doc_id",), [("n_tokens", "long"), ("ids_sha256", "string"), ("decoded_sha256", "string")], fn)
 
 
 def op4_bpe_codes(spark: SparkSession, sf_dir: str) -> DataFrame:

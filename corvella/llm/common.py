@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
@@ -17,9 +18,11 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
+    """The folder all executors share: spark.checkpoint.dir. Only a local session may do without: it gets a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -29,16 +32,35 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/corvella/{name}-{uuid.uuid4().hex}"
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df once to the shared folder and read it back: cuts lineage, survives lost executors.
 
-    Spark removes the shuffle files of finished steps when the driver's collector finds them unreferenced, which may take
-    many steps; asking for a collection here keeps what lies on the executors' disks to the steps in progress.
+    Spark is told to remove the shuffle files of this write when it is done, since nothing reads them again.
     """
-    df.sparkSession.sparkContext._jvm.java.lang.System.gc()
-    path = fresh_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = fresh_path(spark, name)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Empty a table that ``materialize`` has written and that nothing will read again."""
+    files = df.inputFiles()
+    if files:
+        path = files[0].rsplit("/", 1)[0]
+        assert "/corvella/" in path, path
+        df.sparkSession.createDataFrame([], df.schema).coalesce(1).write.mode("overwrite").parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,16 +103,19 @@ def passes(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
 
 
-def text_chunks(batches: Iterator[pa.RecordBatch], limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Split Arrow batches so that the column "text" of one holds about ``limit`` bytes.
+def text_chunks(batches: Iterator[pa.RecordBatch], limit: int = 1 << 20, index: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Split Arrow batches so that the column "text" (or number ``index``) of one holds about ``limit`` bytes.
 
     A text is never cut; one longer than the limit is a batch of its own.
     """
     for batch in batches:
-        index = batch.schema.get_field_index("text")
-        sizes = pc.binary_length(batch.column(index)).to_pylist() if batch.num_rows else []
+        column = batch.column(batch.schema.get_field_index("text") if index is None else index)
+        sizes = pc.binary_length(column).to_pylist() if batch.num_rows else []
         start = total = 0
         for i, size in enumerate(sizes):
+            if size and size >= limit and start < i:
+                yield batch.slice(start, i - start)
+                start, total = i, 0
             total += size or 0
             if total >= limit:
                 yield batch.slice(start, i + 1 - start)
@@ -99,7 +124,15 @@ def text_chunks(batches: Iterator[pa.RecordBatch], limit: int = 4 << 20) -> Iter
             yield batch.slice(start)
 
 
-def map_texts(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, limit: int = 4 << 20) -> DataFrame:
+def release_memory() -> None:
+    """Give back what a task has freed: a Python worker outlives its tasks, and allocators keep freed memory."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library only
+    if trim:
+        trim(0)
+
+
+def map_texts(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, limit: int = 1 << 20) -> DataFrame:
     """mapInArrow over batches with a bounded amount of text each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,6 +140,7 @@ def map_texts(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Non
             out = fn(chunk)
             if out is not None and out.num_rows:
                 yield out
+        release_memory()
 
     return df.mapInArrow(run, schema)
 

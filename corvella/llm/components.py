@@ -6,10 +6,10 @@ the shared folder, so a lost executor costs one round at most. Nothing but two c
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize, whole_text
 
 
 def _stars(edges: DataFrame) -> DataFrame:
@@ -36,10 +36,28 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
     current = materialize(current, name)
     seen = _state(current)
     while seen[0]:
-        current = materialize(_stars(current), name)
+        before, current = current, materialize(_stars(current), name)
+        discard(before)
         now = _state(current)
         if now == seen:
             break
         seen = now
     roots = current.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return current.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
+
+
+def one_of_each(docs: DataFrame, components: DataFrame) -> DataFrame:
+    """The rows of docs that stay; components: doc_id, text_hash, root and component_id of every row."""
+    chosen = (
+        components
+        .where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+        .groupBy("root", "doc_id")
+        .agg(F.min("text_hash").alias("_hash"))
+        .select(F.col("doc_id").alias("_id"), "_hash")
+    )
+    # The rows travel as one struct, so no column of theirs clashes with the ones added here.
+    hashed = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.xxhash64(whole_text()).alias("text_hash"))
+    same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))
+    repeats = Window.partitionBy("id", "text_hash").orderBy(F.lit(0))
+    kept = hashed.join(chosen, same, "left_semi").withColumn("nth", F.row_number().over(repeats))
+    return kept.where("nth = 1").select("row.*")

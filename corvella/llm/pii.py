@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hash_filter, map_texts, materialize, passes, table, text_chunks, unused, whole_text
+from .common import discard, hash_filter, map_texts, materialize, passes, release_memory, table, text_chunks, unused, whole_text
 
 KINDS = ("email", "ip", "card", "phone", "context")
 #: Bounds of the bootstrapping: least sum of instance scores, least mean score, rounds.
@@ -164,7 +164,7 @@ def _cut(token: str) -> int:
     return max(token.rfind("=", 0, end), token.rfind(":", 0, end)) + 1
 
 
-def followers(docs: DataFrame, patterns: DataFrame, remembered: int = 400_000) -> DataFrame:
+def followers(docs: DataFrame, patterns: DataFrame, remembered: int = 100_000) -> DataFrame:
     """(pattern, total): how often each of the patterns stands before a token, or the value of one, in all texts.
 
     What a word means for patterns is looked up once a word; counting is done on whole batches of word numbers. A task
@@ -210,6 +210,8 @@ def followers(docs: DataFrame, patterns: DataFrame, remembered: int = 400_000) -
             if len(found):
                 keys, where = np.unique(found, return_inverse=True)
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.bincount(where, n).astype(np.int64))], ["pattern", "total"])
+        del number, lowered, before, glued
+        release_memory()
 
     found = docs.select(whole_text().alias("text")).mapInArrow(run, "pattern long, total long")
     return found.groupBy("pattern").agg(F.sum("total").alias("total"))

@@ -1,6 +1,6 @@
 """Quality rules: fixed base rules plus a calibrated logistic regression over hashed n-grams.
 
-Features are relative frequencies of hashed byte 3-grams, words and word pairs, each family in a table of its
+Features are relative frequencies of hashed character 3-grams, words and word pairs, each family in a table of its
 own. The model is fitted on a bounded, hash-chosen sample of the labelled rows (``max_labelled``), calibrated by
 a logistic curve on rows held out from the fit, and scored over whole texts in Arrow batches. Weights are
 rounded to integers, so a score does not depend on how rows are batched.
@@ -8,6 +8,7 @@ rounded to integers, so a score does not depend on how rows are batched.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,33 +17,48 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_texts, table, text_chunks, whole_text
+from .common import map_texts, release_memory, table, text_chunks, whole_text
 
 TABLE_BITS = 16
 FAMILIES = 3
 DIM = FAMILIES << TABLE_BITS
+#: The fit sees at most so many labelled ids, and so many features of each.
 MAX_LABELLED = 6_000
+MAX_FEATURES = 4_096
 KEEP_PROBABILITY = 0.5
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 _SCALE = 1 << 16
-#: Bytes of text looked at together: each takes some eighty bytes of hashes and sums.
-_CHUNK = 1 << 20
+#: Bytes of text looked at together: each takes some hundred bytes of hashes and sums.
+_CHUNK = 1 << 18
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0x100000001B3)
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
 _WS = np.zeros(256, bool)
 _WS[[32, *range(9, 14)]] = True
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 
 
+def _pieces(raw: bytes) -> Iterator[tuple[bytes, bytes]]:
+    """A text in pieces of about _CHUNK bytes, cut after white space, each with the two characters that follow it.
+
+    A word is never cut, however long.
+    """
+    at = 0
+    while len(raw) - at > _CHUNK and (m := _SPACE.search(raw, at + _CHUNK)):
+        yield raw[at : m.end()], raw[m.end() : m.end() + 8].decode("utf-8", "ignore")[:2].encode("utf-8")
+        at = m.end()
+    yield raw[at:] if at else raw, b""
+
+
 class Layout:
-    """A batch of texts as one byte array, with its documents and words."""
+    """Texts, or pieces of them, as one byte array, with their words."""
 
-    def __init__(self, texts: list[str]):
-        raw = [t.encode("utf-8") for t in texts]
+    def __init__(self, raw: list[bytes], following: list[bytes] | None = None):
         self.raw = raw
         self.bytes = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
+        self.following = following
         sizes = np.array([len(r) for r in raw], np.int64)
         self.begin = np.concatenate([[0], np.cumsum(sizes + 1)])[:-1]
         self.end = self.begin + sizes
@@ -59,24 +75,60 @@ class Layout:
         lo = np.minimum(lo, len(values))  # an empty last document begins past the last gram
         return total[np.minimum(np.maximum(hi, lo), len(values))] - total[lo]
 
-    def families(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(hashed feature of every position, first and last + 1 position of every document) by family."""
-        shift = np.uint64(64 - TABLE_BITS)
-        b = self.bytes.astype(np.uint64)
-        grams = b[:-2] | b[1:-1] << np.uint64(8) | b[2:] << np.uint64(16) if len(b) > 2 else b[:0]
-        yield (grams * _MULT >> shift).astype(np.int64), self.begin, np.maximum(self.end - 2, self.begin)
-        # Word hashes: a sum of bytes times growing powers, brought back to the word's own start.
-        power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(b), _STEP)]))
-        prefix = np.concatenate([[np.uint64(0)], np.cumsum((b + np.uint64(1)) * power[:-1])])
-        inverse = np.uint64(pow(int(_STEP), -1, 1 << 64))
-        back = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(b), inverse)]))
-        words = (prefix[self.word_end] - prefix[self.word_start]) * back[self.word_start]
+    def grams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes of character 3-grams, and the place of the first and after the last one of every text."""
+        after = self.following[0] if self.following else b""
+        b = np.frombuffer(self.bytes[:-1].tobytes() + after + b"\n", np.uint8) if after else self.bytes
+        at = np.flatnonzero((b & 0xC0) != 0x80)  # where characters begin
+        code = np.zeros(len(at), np.uint64)
+        sizes = np.diff(np.concatenate([at, [len(b)]]))
+        for k in range(4):
+            part = np.minimum(at + k, len(b) - 1)
+            code = np.where(sizes > k, code << np.uint64(8) | b[part], code)
+        grams = (code[:-2] * _MULT + code[1:-1]) * _STEP + code[2:] if len(code) > 2 else code[:0]
+        grams ^= grams >> np.uint64(29)
+        lo, hi = np.searchsorted(at, self.begin), np.searchsorted(at, self.end)
+        return grams, lo, np.maximum(hi - 2 + len(after.decode("utf-8")), lo)
+
+    def words(self) -> np.ndarray:
+        """Hashes of the words: sums of bytes times powers that begin anew with every word."""
+        keep = ~self.ws
+        sizes = self.word_end - self.word_start
+        first = np.cumsum(sizes) - sizes
+        inside = np.arange(int(sizes.sum())) - np.repeat(first, sizes)
+        power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(int(sizes.max(initial=0)), _STEP)]))
+        values = (self.bytes[keep].astype(np.uint64) + np.uint64(1)) * power[inside]
+        words = np.add.reduceat(values, first) if len(first) else values
         words ^= words >> np.uint64(29)
+        return words
+
+    def families(self, last_word: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(hashed feature of every place, first place and after the last one of every text) by family.
+
+        last_word is the hash of the word before the first one, if the texts go on from an earlier piece.
+        """
+        shift = np.uint64(64 - TABLE_BITS)
+        grams, lo, hi = self.grams()
+        yield (grams * _MULT >> shift).astype(np.int64), lo, hi
+        words = self.words()
         yield (words * _MULT >> shift).astype(np.int64) + (1 << TABLE_BITS), self.word_from, self.word_to
+        start, stop = self.word_from, self.word_to
+        if last_word is not None and len(last_word):
+            words, stop = np.concatenate([last_word, words]), stop + 1
         pairs = words[:-1] * _STEP + words[1:] if len(words) else words
         pairs ^= pairs >> np.uint64(31)
-        last = np.minimum(np.maximum(self.word_to - 1, self.word_from), len(pairs))
-        yield (pairs * _MULT >> shift).astype(np.int64) + (2 << TABLE_BITS), np.minimum(self.word_from, last), last
+        last = np.minimum(np.maximum(stop - 1, start), len(pairs))
+        yield (pairs * _MULT >> shift).astype(np.int64) + (2 << TABLE_BITS), np.minimum(start, last), last
+
+
+def _parts(raw: bytes) -> Iterator[tuple[Layout, list[np.ndarray]]]:
+    """Layout and features by family of every piece of one text."""
+    last = None
+    for piece, following in _pieces(raw):
+        layout = Layout([piece], [following])
+        yield layout, [index[int(lo[0]) : int(hi[0])] for index, lo, hi in layout.families(last)]
+        if len(layout.word_start):
+            last = layout.words()[-1:]
 
 
 @dataclass
@@ -97,29 +149,74 @@ class QualityModel:
             logit += sums / _SCALE / np.maximum(hi - lo, 1)
         return _sigmoid(self.slope * logit + self.shift)
 
+    def measure(self, texts: list[str]) -> dict[str, np.ndarray]:
+        """Counts and probability of every text; a text beyond _CHUNK bytes is looked at piece by piece."""
+        raw = [t.encode("utf-8") for t in texts]
+        if len(raw) == 1 and len(raw[0]) > _CHUNK:
+            return self._measure_long(raw[0])
+        layout = Layout(raw)
+        found = _counts(layout)
+        return found | {"repeats": np.array([_repeat_words(r.split()) for r in raw], np.int64), "dups": np.array([_dup_lines(r) for r in raw], np.int64), "probability": self.probability(layout)}
+
+    def _measure_long(self, raw: bytes) -> dict[str, np.ndarray]:
+        total: dict[str, np.ndarray] = {}
+        sums, sizes = np.zeros(FAMILIES, np.int64), np.zeros(FAMILIES, np.int64)
+        for layout, found in _parts(raw):
+            for name, value in _counts(layout).items():
+                total[name] = total.get(name, 0) + value
+            if self.weights is not None:
+                sums += [int(self.weights[f].sum()) for f in found]
+                sizes += [len(f) for f in found]
+        logit = self.bias
+        for s, n in zip(sums.tolist(), sizes.tolist(), strict=True):
+            logit += s / _SCALE / max(n, 1)
+        probability = 1.0 if self.weights is None else float(_sigmoid(np.float64(self.slope * logit + self.shift)))
+        return total | {"repeats": np.array([_repeat_words(raw.split())], np.int64), "dups": np.array([_dup_lines(raw)], np.int64), "probability": np.array([probability])}
+
+
+def _counts(layout: Layout) -> dict[str, np.ndarray]:
+    """words, chars and symbols of every text."""
+    point = (layout.bytes & 0xC0) != 0x80
+    return {
+        "words": layout.word_to - layout.word_from,
+        "chars": layout.per_doc(point & ~layout.ws, layout.begin, layout.end),
+        "symbols": layout.per_doc(_SYMBOL[layout.bytes], layout.begin, layout.end),
+    }
+
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
 def _features(batch: pa.RecordBatch) -> pa.RecordBatch:
-    layout = Layout(batch.column("text").to_pylist())
-    index: list[list[np.ndarray]] = [[] for _ in layout.raw]
-    value: list[list[np.ndarray]] = [[] for _ in layout.raw]
-    for hashed, lo, hi in layout.families():
-        for d, (a, z) in enumerate(zip(lo.tolist(), hi.tolist(), strict=True)):
-            if z > a:
-                found, n = np.unique(hashed[a:z], return_counts=True)
-                index[d].append(found.astype(np.int32))
-                value[d].append((n / (z - a)).astype(np.float32))
+    """Relative frequencies of every text's features; of a text with more than MAX_FEATURES of them the most frequent ones."""
     none_i, none_v = np.zeros(0, np.int32), np.zeros(0, np.float32)
+    index: list[np.ndarray] = []
+    value: list[np.ndarray] = []
+    for text in batch.column("text").to_pylist():
+        counts, sizes = np.zeros(DIM, np.int64), np.zeros(FAMILIES, np.int64)
+        used: list[np.ndarray] = [none_i]
+        for _, found in _parts(text.encode("utf-8")):
+            for k, f in enumerate(found):
+                features, n = np.unique(f, return_counts=True)
+                counts[features] += n
+                sizes[k] += len(f)
+                used.append(features)
+        features = np.unique(np.concatenate(used))
+        share = (counts[features] / np.maximum(sizes, 1)[features >> TABLE_BITS]).astype(np.float32)
+        if len(features) > MAX_FEATURES:
+            most = np.sort(np.lexsort((features, -share))[:MAX_FEATURES])
+            features, share = features[most], share[most]
+        index.append(features.astype(np.int32))
+        value.append(share)
+    offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in index])]).astype(np.int32))
     return pa.RecordBatch.from_arrays(
-        [batch.column("doc_id"), batch.column("label"), pa.array([np.concatenate([none_i, *x]) for x in index], pa.list_(pa.int32())), pa.array([np.concatenate([none_v, *x]) for x in value], pa.list_(pa.float32()))],
+        [batch.column("doc_id"), batch.column("label"), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([none_i, *index]), pa.int32())), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([none_v, *value]), pa.float32()))],
         ["doc_id", "label", "idx", "val"],
     )
 
 
-def fit_logistic(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, rounds: int = 250, ridge: float = 3e-3, block: int = 1 << 20) -> tuple[np.ndarray, float]:
+def fit_logistic(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, rounds: int = 100, ridge: float = 3e-3, block: int = 1 << 20) -> tuple[np.ndarray, float]:
     """Full-batch Adam on sparse rows (indices, values); deterministic.
 
     Rows go in blocks of about ``block`` values, so a round needs little beyond the rows themselves.
@@ -204,14 +301,17 @@ def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rounded = np.clip(np.round(weights * _SCALE), -(2**31) + 1, 2**31 - 1).astype(np.int32)
     logits = np.array([bias + (rounded[i] / _SCALE) @ v for (i, v), h in zip(rows, held, strict=True) if h])
     slope, shift = calibrate(logits, y[held]) if held.any() else (1.0, 0.0)
+    del rows, weights
     yield pa.RecordBatch.from_arrays([pa.array([rounded], pa.list_(pa.int32())), pa.array([bias]), pa.array([slope]), pa.array([shift])], ["weights", "bias", "slope", "shift"])
 
 
 def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> QualityModel:
     """Fit on at most ``max_labelled`` labelled ids, chosen by their hash.
 
-    Null ids and null labels are left out; an id labelled twice counts as good if any label says so. The sample
-    is small by that bound, so its rows meet in one task; only the weights (DIM integers) reach the driver.
+    Null ids and null labels are left out; an id labelled twice counts as good if any label says so; of several rows
+    with one id the text that hashes lowest counts, and a null text is empty. The sample is small by its bounds (ids, and
+    features of each), so its rows meet in one task; only the weights (DIM integers) reach the driver. Without labels of
+    both kinds the model keeps everything. Columns beyond those named are not read.
     """
     chosen = (
         labels.where("doc_id is not null and quality is not null")
@@ -220,7 +320,9 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(max_labelled)
     )
-    rows = docs.select("doc_id", whole_text().alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
+    text = whole_text()
+    rows = docs.select("doc_id", F.struct(F.xxhash64(text).alias("hash"), text.alias("text")).alias("one")).join(F.broadcast(chosen), "doc_id")
+    rows = rows.groupBy("doc_id", "label").agg(F.min("one").alias("one")).select("doc_id", "label", "one.text")
     kind = docs.schema["doc_id"].dataType.simpleString()
     features = map_texts(rows, _features, f"doc_id {kind}, label int, idx array<int>, val array<float>", _CHUNK)
     found = features.repartition(1).mapInArrow(_fit, "weights array<int>, bias double, slope double, shift double").collect()
@@ -231,16 +333,23 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
 
 def _repeat_words(words: list[bytes]) -> int:
     """Words inside 3-word windows that stand twice or more in the text."""
-    windows = list(zip(words, words[1:], words[2:], strict=False))
-    if len(set(windows)) == len(windows):
+    if len(words) < 4:
+        return 0
+    number: dict[bytes, int] = {}
+    ids = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words))
+    pair = ids[:-1] * len(number) + ids[1:]
+    if len(words) > 1 << 16:  # numbers of pairs, so that a window's number fits 64 bits
+        pair = np.unique(pair, return_inverse=True)[1]
+    windows = pair[:-1] * len(number) + ids[2:]
+    order = np.argsort(windows, kind="stable")
+    same = windows[order][1:] == windows[order][:-1]
+    if not same.any():
         return 0
-    first: dict[tuple, int] = {}
-    marked = np.zeros(len(words), bool)
-    for i, w in enumerate(windows):
-        at = first.setdefault(w, i)
-        if at != i:
-            marked[at : at + 3] = True
-            marked[i : i + 3] = True
+    again = np.zeros(len(words), bool)
+    again[order[1:][same]] = again[order[:-1][same]] = True
+    marked = again.copy()
+    marked[1:] |= again[:-1]
+    marked[2:] |= again[:-2]
     return int(marked.sum())
 
 
@@ -252,6 +361,10 @@ def _dup_lines(raw: bytes) -> int:
     return len(worded) - len(set(worded))
 
 
+def _fails(m: dict[str, np.ndarray]) -> np.ndarray:
+    return (m["words"] < MIN_WORDS) | (100 * m["repeats"] > MAX_REPEAT_PERCENT * m["words"])
+
+
 def judge(docs: DataFrame, model: QualityModel, keep_probability: float = KEEP_PROBABILITY) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, probability.
 
@@ -262,16 +375,9 @@ def judge(docs: DataFrame, model: QualityModel, keep_probability: float = KEEP_P
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        layout = Layout(batch.column("text").to_pylist())
-        n_words = layout.word_to - layout.word_from
-        point = (layout.bytes & 0xC0) != 0x80
-        chars = layout.per_doc(point & ~layout.ws, layout.begin, layout.end)
-        symbols = layout.per_doc(_SYMBOL[layout.bytes], layout.begin, layout.end)
-        dups = np.array([_dup_lines(r) for r in layout.raw], np.int64)
-        repeats = np.array([_repeat_words(r.split()) for r in layout.raw], np.int64)
-        failed = (n_words < MIN_WORDS) | (100 * repeats > MAX_REPEAT_PERCENT * n_words)
-        probability = sent.value.probability(layout)
-        columns = {"doc_id": batch.column("doc_id"), "n_words": n_words, "word_chars": chars, "n_symbols": symbols, "n_dup_lines": dups, "n_repeat_words": repeats, "base_failed": failed, "kept": ~failed & (probability >= keep_probability), "probability": probability}
+        m = sent.value.measure(batch.column("text").to_pylist())
+        failed = _fails(m)
+        columns = {"doc_id": batch.column("doc_id"), "n_words": m["words"], "word_chars": m["chars"], "n_symbols": m["symbols"], "n_dup_lines": m["dups"], "n_repeat_words": m["repeats"], "base_failed": failed, "kept": ~failed & (m["probability"] >= keep_probability), "probability": m["probability"]}
         return pa.RecordBatch.from_arrays([pa.array(v) if isinstance(v, np.ndarray) else v for v in columns.values()], list(columns))
 
     rows = docs.select("doc_id", whole_text().alias("text"))
@@ -280,19 +386,20 @@ def judge(docs: DataFrame, model: QualityModel, keep_probability: float = KEEP_P
 
 
 def keep_good(docs: DataFrame, model: QualityModel, keep_probability: float = KEEP_PROBABILITY) -> DataFrame:
-    """The rows of docs whose text passes the base rules and the model; all columns stay."""
+    """The rows of docs whose text passes the base rules and the model; all columns stay, whatever their names.
+
+    Null and empty texts fail and go. Repeated rows stay or go together; an empty table gives an empty one.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_chunks(batches, _CHUNK):
-            layout = Layout([t or "" for t in batch.column(at).to_pylist()])
-            n_words = layout.word_to - layout.word_from
-            kept = (n_words >= MIN_WORDS) & (sent.value.probability(layout) >= keep_probability)
-            for i in np.flatnonzero(kept).tolist():
-                kept[i] = 100 * _repeat_words(layout.raw[i].split()) <= MAX_REPEAT_PERCENT * int(n_words[i])
+        for batch in text_chunks(batches, _CHUNK, at):
+            m = sent.value.measure([t or "" for t in batch.column(at).to_pylist()])
+            kept = ~_fails(m) & (m["probability"] >= keep_probability)
             if kept.any():
                 yield batch.filter(pa.array(kept))
+        release_memory()
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -16,11 +16,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import nearcopies
 from .common import map_texts, materialize, shuffle_width, table, whole_text
-from .components import connected_components
+from .components import connected_components, one_of_each
 
 SHINGLE_WORDS = 3
 MAX_BITS = 2
@@ -200,30 +201,16 @@ def near_duplicates(docs: DataFrame, run_limit: int = RUN_LIMIT) -> DataFrame:
     return _components(docs, run_limit).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, components: DataFrame) -> DataFrame:
-    """The rows of docs that stay; components: doc_id, text_hash, root and component_id of every row."""
-    chosen = (
-        components
-        .where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-        .groupBy("root", "doc_id")
-        .agg(F.min("text_hash").alias("_hash"))
-        .select(F.col("doc_id").alias("_id"), "_hash")
-    )
-    # The rows travel as one struct, so no column of theirs clashes with the ones added here.
-    hashed = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.xxhash64(whole_text()).alias("text_hash"))
-    same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))
-    repeats = Window.partitionBy("id", "text_hash").orderBy(F.lit(0))
-    kept = hashed.join(chosen, same, "left_semi").withColumn("nth", F.row_number().over(repeats))
-    return kept.where("nth = 1").select("row.*")
-
-
-def keep_one(docs: DataFrame, run_limit: int = RUN_LIMIT) -> DataFrame:
+def keep_one(docs: DataFrame, run_limit: int = RUN_LIMIT, percent: int | None = None) -> DataFrame:
     """The rows of docs without near-duplicates: of each component one row of its least id stays.
 
-    Of several rows with that id the one whose text hashes lowest stays; a component without any id keeps the
-    one row of all whose text hashes lowest. Of rows repeated in full one stays. All columns are returned.
+    Texts link by their fingerprints or, with ``percent``, if their sets of five-word shingles have at least that Jaccard
+    similarity: fingerprints of 64 bits can't tell that (texts 80 % alike differ in some ten bits, as many that are not do),
+    so this setting compares what ``nearcopies`` finds. Of several rows with the least id the one whose text hashes
+    lowest stays; a component without any id keeps the one row of all whose text hashes lowest. Of rows repeated in
+    full one stays. Null and empty texts are copies of each other. All columns are returned, whatever their names.
     """
-    return one_of_each(docs, _components(docs, run_limit))
+    return one_of_each(docs, _components(docs, run_limit) if percent is None else nearcopies.components_of(docs, percent=percent))
 
 
 def op9_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -42,7 +42,7 @@ def test_corner_texts(library, text):
 
 
 def test_cache_overflow_changes_nothing(library):
-    small = bpe.BytePairCoder(PATH, cache_words=3)
+    small = bpe.BytePairCoder(PATH, cache_bytes=3)
     for text in ["some words here", "other words there", "some words here", "yet more distinct words again"]:
         assert small.encode([text])[0].tolist() == library.encode(text, add_special_tokens=False).ids
 
@@ -60,3 +60,13 @@ def test_odd_rows(library, odd_docs, no_docs):
     assert bpe.encode_digests(no_docs).count() == 0
     kept = bpe.encode_documents(odd_docs, keep=("doc_id", "source"))
     assert kept.columns == ["doc_id", "source", "ids", "decoded"] and kept.where("decoded is null").count() == 0
+
+
+def test_long_texts_go_in_pieces(library, monkeypatch):
+    rng = np.random.default_rng(5)
+    words = ["word", "don't", "<|endoftext|>", "  ", "\n", "é\u3000", "12", "文字", "a"]
+    text = " ".join(words[i] for i in rng.integers(0, len(words), 3000))
+    want = library.encode(text, add_special_tokens=False).ids
+    monkeypatch.setattr(bpe, "_CHUNK", 40)
+    assert len(list(bpe.coder(PATH)._pieces(text))) > 50
+    assert bpe.coder(PATH).encode([text, "", text])[2].tolist() == want

@@ -3,7 +3,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline as P
-from corvella.llm import mixing, pii, quality, simhash
+from corvella.llm import mixing, nearcopies, pii, quality
 
 from .conftest import SF, odd_rows
 
@@ -28,9 +28,22 @@ def test_quality_rejects_go(spark, sf_docs, stages):
 
 
 def test_one_of_each_group_stays(stages):
+    """Against all pairs of texts: five-word shingles, Jaccard similarity 0.8 or more."""
     before, after = stages["quality_rules"], stages["near_duplicates"]
-    components = simhash.near_duplicates(before).collect()
-    assert _ids(after) == sorted({r.component_id for r in components})
+    sets = {r.doc_id: nearcopies.shingles(r.text) for r in before.collect()}
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a in sets:
+        for b in sets:
+            if a < b and nearcopies.similar(sets[a], sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    assert _ids(after) == sorted(i for i in root if root[i] == i)
     assert after.count() < before.count()
 
 

@@ -87,3 +87,33 @@ def test_held_out_accuracy(spark):
     assert len(good) > 100 and len(bad) > 20
     assert sum(r.kept for r in good) >= 0.97 * len(good)
     assert sum(not r.kept for r in bad) >= 0.8 * len(bad)
+
+
+def test_long_texts_go_in_pieces(model, monkeypatch):
+    rng = np.random.default_rng(3)
+    words = ["the", "é", "文字文", "a\n", "#x", " ", "word", "\U0001f600", "same same same same"]
+    text = " ".join(words[i] for i in rng.integers(0, len(words), 4000)) + " ab"
+    whole = model.measure([text])
+    features = quality._features(_batch(text))
+    monkeypatch.setattr(quality, "_CHUNK", 50)
+    assert len(list(quality._pieces(text.encode()))) > 100
+    pieces = model.measure([text])
+    assert {k: v.tolist() for k, v in whole.items()} == {k: v.tolist() for k, v in pieces.items()}
+    assert quality._features(_batch(text)).equals(features)
+
+
+def _batch(text):
+    import pyarrow as pa
+
+    return pa.RecordBatch.from_pydict({"doc_id": [1], "label": [1], "text": [text]})
+
+
+def test_rows_with_one_id_and_features_are_bounded(spark, monkeypatch):
+    rows = [(1, "good words " * 30 + str(k % 3)) for k in range(300)] + [(k, f"bad {k} text " * 40) for k in range(2, 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(k, k % 2) for k in range(1, 40)], "doc_id long, quality int")
+    once = docs.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text"), "text"))["text"].alias("text"))
+    a, b = quality.train(docs, labels), quality.train(once, labels)
+    assert (a.weights == b.weights).all() and a.bias == b.bias
+    monkeypatch.setattr(quality, "MAX_FEATURES", 7)
+    assert len(quality._features(_batch("many different words stand in this text")).column("idx")[0]) == 7
