@@ -5,7 +5,7 @@ Repeats of neighbouring items fold into one repeated group. A host's wrapper sta
 page after page: items found in both are merged level by level, items only one side has become optional, runs of one
 label become repeated groups, and texts that differ become slots. Partial wrappers of a host, from as many tasks as
 hold its pages, are aligned with each other the same way. The finished wrapper tells where the host's pages keep
-their article; every page is aligned with it to read the article out.
+their article, and which parts of it are the host's own fixed text; every page is aligned with it to read the article out.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ import html as entities
 import json
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from typing import Any
 
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_texts, materialize, table
+from .common import map_texts, materialize, release_memory, shuffle_width, table
 
 # Elements and class words by their customary meaning.
 RAW = ("script", "style", "title", "textarea", "noscript", "template", "iframe", "object", "svg", "xmp", "noembed", "noframes", "math")
@@ -31,14 +32,20 @@ BOILER_TAGS = frozenset("nav header footer aside form button select dialog menu
 BOILER_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice pagination popup promo promoted recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split()
 )
+#: A class such as comment-list or ad-box is its first word's box; post-header is the article's own; has-sidebar says nothing.
+BOX_WORDS = frozenset("area articles bar block body box container form holder inner item items links list posts section slot stories unit widget widgets wrap wrapper".split())
+ARTICLE_WORDS = frozenset("article content entry page post single story title".split())
+STATE_WORDS = frozenset("has hide is no not show with without".split())
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 MAIN_TAGS = frozenset(("article", "main"))
 #: An opening tag (first) ends these open elements, looking up as far as the listed containers.
 _FLOW = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 _IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "body": ({"head"}, {"html"})}
 
-MAX_DEPTH = 60
-_CELLS = 40_000
+#: Elements below this many others keep their end, their kind and their texts, but are no items of their own.
+MAX_DEPTH = 120
+#: Fixed text inside an article is the host's own if so many pages have it alike.
+TEMPLATE_PAGES = 3
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(?P<raw>" + "|".join(RAW) + r")(?=[\s/>])(?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+>|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:_-]*+)(?P<attrs>(?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>|</?[a-zA-Z][^>]*+(?:>|\Z)|</[^>]*+(?:>|\Z)",
     re.S | re.I,
@@ -51,31 +58,46 @@ _WORD = re.compile(r"[a-z]+")
 Item = Any
 
 
-def _label(tag: str, attrs: str) -> tuple[str, bool]:
-    """(label, whether it is boilerplate by its own tag, role, class or id)."""
+def _boiler_name(name: str) -> bool:
+    """Whether a class or id names a kind of boilerplate."""
+    parts = _WORD.findall(name)
+    if not parts or not STATE_WORDS.isdisjoint(parts):
+        return False
+    if parts[-1] in BOILER_WORDS:
+        return not (parts[-1] == "header" and parts[0] in ARTICLE_WORDS)
+    return parts[0] in BOILER_WORDS and BOX_WORDS.issuperset(parts[1:])
+
+
+def _label(tag: str, attrs: str, in_article: bool = False) -> tuple[str, str]:
+    """(tag with class words, why it is boilerplate: tag, role, name or nothing)."""
     words: list[str] = []
-    boiler = tag in BOILER_TAGS
+    why = "tag" if tag in BOILER_TAGS and not (tag == "header" and in_article) else ""
     if attrs and "=" in attrs:
         for m in _ATTR.finditer(attrs):
             value = (m[2] or m[3] or m[4] or "").lower()
-            found = _WORD.findall(value)
             if m[1].lower() == "role":
-                boiler |= value.strip() in BOILER_ROLES
-                if value.strip() == "main":
-                    tag = "main"
-            else:
-                boiler |= not BOILER_WORDS.isdisjoint(found)
-                if m[1].lower() == "class":
-                    words = found
-    return ("!" if boiler else "") + ".".join([tag, *words[:4]]), boiler
+                role = value.strip()
+                why = why or ("role" if role in BOILER_ROLES else "")
+                tag = "main" if role == "main" else tag
+                continue
+            names = value.split()
+            if tag not in ("html", "body", "main") and any(map(_boiler_name, names[:1] if tag == "article" else names)):
+                why = why or "name"
+            if m[1].lower() == "class" and tag not in ("html", "body", "main", "article"):
+                words = [w for w in dict.fromkeys(map("-".join, map(_WORD.findall, names))) if w]
+    return ".".join([tag, *words]), why
 
 
 def parse_page(page: str) -> list[Item]:
-    """The page as nested items; text is decoded, with one space for white space, cut at block boundaries."""
+    """The page as nested items; text is decoded, with one space for white space, cut at block boundaries.
+
+    Boilerplate has "!" before its label. A form, or an element that its class or id calls boilerplate, is none if it holds
+    the page's main element or an article with a heading of the first level; a form neither if it holds such a heading.
+    """
     top: list[Item] = []
-    stack: list[tuple[str, list[Item]]] = [("", top)]
+    stack: list[tuple[str, list[Item], list]] = [("", top, ["", top, ""])]  # name, where its items go, [label, items, why]
+    open_: Counter[str] = Counter()
     pieces: list[str] = []
-    lost = 0  # open elements too deep to keep
 
     def flush() -> None:
         if pieces:
@@ -85,13 +107,21 @@ def parse_page(page: str) -> list[Item]:
                 stack[-1][1].append(text)
 
     def close(name: str, stops: set[str] | frozenset[str] = frozenset()) -> None:
+        if not open_[name]:
+            return
         for k in range(len(stack) - 1, 0, -1):
             if stack[k][0] == name:
+                open_.subtract(x[0] for x in stack[k:])
                 del stack[k:]
                 return
             if stack[k][0] in stops:
                 return
 
+    def absolve(upto: int, kinds: tuple[str, ...]) -> None:
+        for name, _, node in stack[1:upto]:
+            if node[2] == "name" and "name" in kinds or name == "form" and node[2] == "tag":
+                node[2] = ""
+
     def plain(start: int, end: int) -> None:
         if start < end:
             text = page[start:end]
@@ -108,15 +138,12 @@ def parse_page(page: str) -> list[Item]:
                 end = _RAW_END[m["raw"].lower()].search(page, at)
                 at = end.end() if end else len(page)
         elif name and m["close"]:
-            if name not in INLINE or any(t == name for t, _ in stack[1:]):
+            if name not in INLINE or open_[name]:
                 flush()
-                if lost and name not in INLINE:
-                    lost -= 1
-                else:
-                    close(name)
+                close(name)
         elif name:
-            label, boiler = _label(name, m["attrs"])
-            if name == "br" or (name not in INLINE or (boiler and name not in VOID)):
+            label, why = _label(name, m["attrs"], open_["article"] > 0)
+            if name == "br" or (name not in INLINE or (why and name not in VOID)):
                 flush()
                 if name in _FLOW:
                     close("p", {"button", "td", "th", "li", "article", "main", "section", "div", "body"})
@@ -124,33 +151,46 @@ def parse_page(page: str) -> list[Item]:
                     ends, stops = _IMPLIED[name]
                     for e in ends:
                         close(e, stops)
+                if name == "h1" and open_["article"]:
+                    absolve(max(k for k in range(len(stack)) if stack[k][0] == "article") + 1, ("name",))
+                elif name == "h1":
+                    absolve(len(stack), ())
+                elif label == "main" or label.startswith("main."):
+                    absolve(len(stack), ("name",))
                 if name not in VOID and not m["attrs"].endswith("/"):
+                    node = [label, [], why]
                     if len(stack) < MAX_DEPTH:
-                        items: list[Item] = []
-                        stack[-1][1].append((label, items))
-                        stack.append((name, items))
-                    else:
-                        lost += 1
+                        stack[-1][1].append(node)
+                    elif not why:
+                        node[1] = stack[-1][1]
+                    stack.append((name, node[1], node))
+                    open_[name] += 1
         m = _MARKUP.search(page, at)
     plain(at, len(page))
     flush()
-    return top
+    return _named(top)
+
 
+def _named(items: list) -> list[Item]:
+    """Items as (label, items), boilerplate marked in the label."""
+    return [x if isinstance(x, str) else (("!" if x[2] else "") + x[0], _named(x[1])) for x in items]
 
-# A wrapper node: {"l": label, "k": kids, "?": optional, "+": repeated, "m": characters of text below}.
-# A wrapper text: {"l": "#", "c": checksum of the text, or None for a slot, "?", "+", "m"}.
+
+# A wrapper node: {"l": label, "k": kids, "?": optional, "+": repeated, "m": characters of text below, "n": pages that have it}.
+# A wrapper text: {"l": "#", "c": checksum of the text, or None for a slot, "?", "+", "m", "n"}.
 
 
 def _lift(item: Item) -> dict:
     if isinstance(item, str):
-        return {"l": "#", "c": zlib.crc32(item.encode("utf-8")), "?": 0, "+": 0, "m": len(item)}
+        return {"l": "#", "c": zlib.crc32(item.encode("utf-8")), "?": 0, "+": 0, "m": len(item), "n": 1}
     kids = _fold([_lift(x) for x in item[1]])
-    return {"l": item[0], "k": kids, "?": 0, "+": 0, "m": sum(k["m"] for k in kids)}
+    return {"l": item[0], "k": kids, "?": 0, "+": 0, "m": sum(k["m"] for k in kids), "n": 1}
 
 
 def _unite(a: dict, b: dict) -> dict:
-    """One node for two of the same label."""
-    out = {"l": a["l"], "?": a["?"] | b["?"], "+": a["+"] | b["+"], "m": a["m"] + b["m"]}
+    """One node for two of the same tag; its label is what their labels share."""
+    label = a["l"] if a["l"] == b["l"] else ".".join(w for w in a["l"].split(".") if w in b["l"].split("."))
+    out = {"l": label, "?": a["?"] | b["?"], "+": a["+"] | b["+"], "m": a["m"] + b["m"], "n": a["n"] + b["n"]}
     if a["l"] == "#":
         out["c"] = a["c"] if a["c"] == b["c"] else None
     else:
@@ -177,7 +217,11 @@ def _fold(items: list[dict]) -> list[dict]:
 
 
 def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
-    """Index pairs of a longest common subsequence; of very long lists, of a greedy one."""
+    """Index pairs of a longest common subsequence.
+
+    One row of the table is the bits of one integer: bit y of row x is 0 where the subsequence of a[: x + 1] and b[: y + 1]
+    is longer than that of a[: x + 1] and b[: y].
+    """
     pairs: list[tuple[int, int]] = []
     i = 0
     while i < len(a) and i < len(b) and a[i] == b[i]:
@@ -189,41 +233,52 @@ def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
         n, m = n - 1, m - 1
         tail.append((n, m))
     if n > i and m > i:
-        if (n - i) * (m - i) <= _CELLS:
-            best = [[0] * (m - i + 1) for _ in range(n - i + 1)]
-            for x in range(n - 1, i - 1, -1):
-                row, below = best[x - i], best[x - i + 1]
-                for y in range(m - 1, i - 1, -1):
-                    row[y - i] = below[y - i + 1] + 1 if a[x] == b[y] else max(below[y - i], row[y - i + 1])
-            x = y = i
-            while x < n and y < m:
-                if a[x] == b[y]:
-                    pairs.append((x, y))
-                    x, y = x + 1, y + 1
-                elif best[x - i + 1][y - i] >= best[x - i][y - i + 1]:
-                    x += 1
-                else:
-                    y += 1
-        else:
-            where: dict[str, list[int]] = {}
-            for y in range(m - 1, i - 1, -1):
-                where.setdefault(b[y], []).append(y)
-            reach = i - 1
-            for x in range(i, n):
-                places = where.get(a[x], [])
-                while places and places[-1] <= reach:
-                    places.pop()
-                if places:
-                    reach = places.pop()
-                    pairs.append((x, reach))
+        where: dict[str, int] = {}
+        for y in range(i, m):
+            where[b[y]] = where.get(b[y], 0) | 1 << (y - i)
+        full = (1 << (m - i)) - 1
+        rows, row = [full], full
+        for x in range(i, n):
+            both = row & where.get(a[x], 0)
+            row = ((row + both) | (row - both)) & full
+            rows.append(row)
+        x, y = n - i, m - i
+        middle = []
+        while x and y:
+            if rows[x] >> (y - 1) & 1:
+                y -= 1
+            elif not rows[x - 1] >> (y - 1) & 1:
+                x -= 1
+            else:
+                x, y = x - 1, y - 1
+                middle.append((x + i, y + i))
+        pairs += middle[::-1]
     return pairs + tail[::-1]
 
 
+def _family(label: str) -> str:
+    """The label's tag and first class word."""
+    return ".".join(label.split(".", 2)[:2])
+
+
+def align_labels(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Pairs of equal labels and, between those, of labels with one tag and first class word."""
+    pairs = align(a, b)
+    out, x, y = [], 0, 0
+    for i, j in [*pairs, (len(a), len(b))]:
+        if i > x and j > y:
+            out += [(x + p, y + q) for p, q in align([_family(k) for k in a[x:i]], [_family(k) for k in b[y:j]])]
+        if i < len(a):
+            out.append((i, j))
+        x, y = i + 1, j + 1
+    return out
+
+
 def merge(a: list[dict], b: list[dict]) -> list[dict]:
     """The least wrapper this method finds for what either side matches."""
     out: list[dict] = []
     x = y = 0
-    for i, j in [*align([k["l"] for k in a], [k["l"] for k in b]), (len(a), len(b))]:
+    for i, j in [*align_labels([k["l"] for k in a], [k["l"] for k in b]), (len(a), len(b))]:
         out += [k | {"?": 1} for k in a[x:i]]
         out += [k | {"?": 1} for k in b[y:j]]
         if i < len(a):
@@ -276,9 +331,42 @@ def mark_main(kids: list[dict]) -> list[dict]:
         for i, k in enumerate(top["k"]):
             if not k["l"].startswith("!") and (not slots or k["?"] or holds[0] <= i <= holds[-1]):
                 k["a"] = True
+    _mark_templates(kids, differs(kids))
     return kids
 
 
+def _mark_templates(kids: list[dict], slots: bool) -> None:
+    """Inside main nodes set "t" on elements with a class of their own whose text all pages that have it share, if there are
+    TEMPLATE_PAGES of them, and "x" on what holds such elements.
+    """
+
+    def fixed(nodes: list[dict]) -> bool:
+        return all(not k["+"] and (k["c"] is not None if k["l"] == "#" else fixed(k["k"])) for k in nodes)
+
+    def inside(nodes: list[dict]) -> bool:
+        found = False
+        for k in nodes:
+            if k["l"] == "#" or k["l"].startswith("!"):
+                continue
+            if "." in k["l"] and k["n"] >= TEMPLATE_PAGES and not k["+"] and k["m"] and fixed(k["k"]):
+                k["t"] = found = True
+            elif inside(k["k"]):
+                k["x"] = found = True
+        return found
+
+    def outside(nodes: list[dict]) -> None:
+        for k in nodes:
+            if k["l"] == "#" or k["l"].startswith("!"):
+                continue
+            if not k.get("a"):
+                outside(k["k"])
+            elif inside(k["k"]):
+                k["x"] = True
+
+    if slots:
+        outside(kids)
+
+
 def _texts(items: list[Item], out: list[str]) -> None:
     for x in items:
         if isinstance(x, str):
@@ -288,10 +376,10 @@ def _texts(items: list[Item], out: list[str]) -> None:
 
 
 def read_page(items: list[Item], wrapper: list[dict]) -> list[str]:
-    """Texts of the page's items that align with main nodes of the wrapper, boilerplate inside them left out."""
+    """Texts of the page's items that align with main nodes of the wrapper, without boilerplate and the host's own text."""
     out: list[str] = []
 
-    def walk(items: list[Item], kids: list[dict]) -> None:
+    def walk(items: list[Item], kids: list[dict], inside: bool) -> None:
         labels, owners = [], []
         for i, x in enumerate(items):  # a run of one label is one repeated group
             label = "#" if isinstance(x, str) else x[0]
@@ -300,19 +388,25 @@ def read_page(items: list[Item], wrapper: list[dict]) -> list[str]:
             else:
                 labels.append(label)
                 owners.append([i])
-        matched = {i: kids[j] for k, j in align(labels, [k["l"] for k in kids]) for i in owners[k]}
+        matched = {i: kids[j] for k, j in align_labels(labels, [k["l"] for k in kids]) for i in owners[k]}
         spare = {k["l"]: k for k in kids}  # repeats of several labels in turn
         for i, x in enumerate(items):
             label = "#" if isinstance(x, str) else x[0]
-            node = matched.get(i) or spare.get(label)
-            if node is None or label.startswith("!"):
+            node = matched.get(i)
+            if label.startswith("!") or (node and node.get("t")):
+                continue
+            node = node or spare.get(label)
+            if not inside and node is None:
                 continue
-            if node.get("a"):
-                _texts([x], out)
+            if inside or node.get("a"):
+                if node is not None and node.get("x"):
+                    walk(x[1], node["k"], True)
+                else:
+                    _texts([x], out)
             elif not isinstance(x, str):
-                walk(x[1], node["k"])
+                walk(x[1], node["k"], False)
 
-    walk(items, wrapper)
+    walk(items, wrapper, False)
     return out
 
 
@@ -321,47 +415,67 @@ def host_of(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
-def infer(pages: DataFrame, max_hosts: int = 2_000) -> DataFrame:
+def _size(kids: list[dict]) -> int:
+    return sum(1 + _size(k.get("k", [])) for k in kids)
+
+
+_WRAPPER = "host string, part int, wrapper string"
+
+
+def _wrappers(hosts: list[str], parts: list[int], wrappers: list[list[dict]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(parts, pa.int32()), pa.array([json.dumps(w) for w in wrappers], pa.string())], ["host", "part", "wrapper"])
+
+
+def _merged(finish: bool):
+    """Of rows sorted by host and part the wrapper of each, merged one by one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, wrapper = None, None
+        done = mark_main if finish else lambda w: w
+        for b in batches:
+            for h, k, w in zip(*(b.column(c).to_pylist() for c in ("host", "part", "wrapper")), strict=True):
+                if (h, k) == key:
+                    wrapper = merge(wrapper, json.loads(w))
+                    continue
+                if key is not None:
+                    yield _wrappers([key[0]], [key[1]], [done(wrapper)])
+                key, wrapper = (h, k), json.loads(w)
+        if key is not None:
+            yield _wrappers([key[0]], [key[1]], [done(wrapper)])
+
+    return run
+
+
+def infer(pages: DataFrame, max_nodes: int = 200_000, parts: int = 64) -> DataFrame:
     """(host, wrapper as JSON) from all pages (host, text).
 
-    A task keeps the partial wrappers of at most ``max_hosts`` hosts at a time and passes them on before it takes more.
+    A task keeps partial wrappers of at most about ``max_nodes`` nodes at a time and passes them on before it takes more.
+    Those of one host are merged in ``parts`` groups first, so that no task gets all of a large host's.
     """
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_: dict[str, list[dict]] = {}
-
-        def emit() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(open_), pa.string()), pa.array([json.dumps(w) for w in open_.values()], pa.string())], ["host", "wrapper"])
-
+        size = 0
         for b in batches:
             for host, page in zip(b.column("host").to_pylist(), b.column("text").to_pylist(), strict=True):
                 own = page_wrapper(parse_page(page))
                 if host in open_:
                     open_[host] = merge(open_[host], own)
-                else:
-                    if len(open_) >= max_hosts:
-                        yield emit()
-                        open_.clear()
-                    open_[host] = own
+                    continue
+                size += _size(own)
+                if size > max_nodes and open_:
+                    yield _wrappers(list(open_), [0] * len(open_), list(open_.values()))
+                    open_.clear()
+                    size = _size(own)
+                open_[host] = own
         if open_:
-            yield emit()
+            yield _wrappers(list(open_), [0] * len(open_), list(open_.values()))
+        release_memory()
 
-    def final(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        host, wrapper = None, None
-        for b in batches:
-            for h, w in zip(b.column("host").to_pylist(), b.column("wrapper").to_pylist(), strict=True):
-                if h == host:
-                    wrapper = merge(wrapper, json.loads(w))
-                    continue
-                if host is not None:
-                    yield pa.RecordBatch.from_arrays([pa.array([host]), pa.array([json.dumps(mark_main(wrapper))])], ["host", "wrapper"])
-                host, wrapper = h, json.loads(w)
-        if host is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([host]), pa.array([json.dumps(mark_main(wrapper))])], ["host", "wrapper"])
-
-    schema = "host string, wrapper string"
-    parts = pages.select("host", "text").mapInArrow(partial, schema)
-    return parts.repartition("host").sortWithinPartitions("host", "wrapper").mapInArrow(final, schema)
+    found = pages.select("host", "text").mapInArrow(partial, _WRAPPER).withColumn("part", F.pmod(F.xxhash64("wrapper"), F.lit(parts)).cast("int"))
+    some = found.repartition(shuffle_width(pages.sparkSession), "host", "part").sortWithinPartitions("host", "part", "wrapper").mapInArrow(_merged(False), _WRAPPER)
+    whole = some.select("host", F.lit(0).alias("part"), "wrapper").repartition(shuffle_width(pages.sparkSession), "host").sortWithinPartitions("host", "wrapper")
+    return whole.mapInArrow(_merged(True), _WRAPPER).select("host", "wrapper")
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from corvella.llm import wrappers
 
@@ -26,8 +27,6 @@ def test_whole_table(spark):
 
 
 def _frame(spark, pages):
-    from pyspark.sql import functions as F
-
     df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)
     return df.select("*", *(F.lit("x").alias(c) for c in CLASHING))
 
@@ -122,3 +121,64 @@ def test_titles_and_leads_outside_the_body_stay(shape, paragraphs, n_pages):
 def test_what_stands_outside_on_every_page_alike_goes():
     pages = [f"<body><div class='tagline'>The same line</div><h1>Title {k}</h1><div class='text'><p>Text {k}</p><h2>Sources</h2><p>List {k}</p></div></body>" for k in range(4)]
     assert _read_host(pages) == [f"Title {k} Text {k} Sources List {k}" for k in range(4)]
+
+
+TEXT = "<h1>Title {k}</h1><p>Text {k} of the page</p>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<body class='single has-sidebar'><article>" + TEXT + "</article></body>",
+        "<html class='header-fixed'><body><article>" + TEXT + "</article></body></html>",
+        "<body><article class='post has-comments'>" + TEXT + "</article></body>",
+        "<body><main class='no-sidebar'>" + TEXT + "</main></body>",
+        "<body><article><div class='entry-header'><h1>Title {k}</h1></div><p>Text {k} of the page</p></article></body>",
+        "<body><article><h1>Title {k}</h1><section id='related-work'><p>Text {k} of the page</p></section></article></body>",
+        "<body><form id='page'><div class='content'>" + TEXT + "</div></form></body>",
+        "<body><div class='sidebar-left-layout sidebar'><main>" + TEXT + "</main></div></body>",
+        "<body><article><header><h1>Title {k}</h1></header><p>Text {k} of the page</p><footer>by me</footer></article></body>",
+        "<body><article class='post type-{w} tag-{w}'>" + TEXT + "</article><article class='comment even'>Reader {k}</article></body>",
+        "<body><div class='post type-{w} tag-{w}'>" + TEXT + "</div><div class='comment-list'>Reader {k}</div><div class='related-posts'>More {k}</div></body>",
+        "<body><article>" + TEXT + "<div class='promo-line-x'>The same offer on every page</div></article></body>",
+        "<body><article>" + "<div>" * 200 + TEXT + "<div class='sidebar'>AD</div>" + "</div>" * 200 + "</article><div class='cookie-notice'>Cookies</div></body>",
+    ],
+)
+def test_class_names_of_ordinary_pages(page):
+    pages = [page.format(k=k, w="abcdefgh"[k]) for k in range(6)]
+    assert _read_host(pages) == [f"Title {k} Text {k} of the page" for k in range(6)]
+    assert _read_host(pages[:1]) == ["Title 0 Text 0 of the page" + (" The same offer on every page" if "offer" in page else "")]
+
+
+def test_long_lists_align_exactly():
+    rng = random.Random(6)
+    a, b = [[rng.choice("abcdefghij") for _ in range(300)] for _ in range(2)]
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before = row[:]
+        for j, y in enumerate(b):
+            row[j + 1] = before[j] + 1 if x == y else max(before[j + 1], row[j])
+    pairs = wrappers.align(a, b)
+    assert len(pairs) == row[-1] and all(a[i] == b[j] for i, j in pairs)
+    parts = [f"<{'h2' if rng.random() < 0.5 else 'p'} class='{rng.choice('abcd')}'>item {k}" for k in range(300)]
+    pages = [f"<body><nav>Home</nav><div class='text'><h1>Title {k}</h1>{''.join(p + f' of {k}' for p in parts)}</div></body>" for k in range(3)]
+    assert _read_host(pages) == [" ".join([f"Title {k}", *(f"item {i} of {k}" for i in range(300))]) for k in range(3)]
+
+
+def test_deep_and_unclosed_elements_end():
+    page = "<body><article>" + "<div><p>" * 30_000 + "deep" + "</div>" * 30_000 + "</article><footer>Rights</footer></body>"
+    assert _read_host([page]) == ["deep"]
+
+
+def test_partitions_change_nothing(spark):
+    rng = random.Random(9)
+    pages = []
+    for k in range(60):
+        texts = [" ".join(rng.choice("alpha beta gamma".split()) + str(rng.randrange(99)) for _ in range(12)) for _ in range(1 + k % 4)]
+        name = list(TEMPLATES)[k % 3]
+        pages.append((k, f"https://{name}.example.org/{k}", _site(k, TEMPLATES[name], texts)))
+    df = _frame(spark, pages)
+    got = [sorted((r.page_id, r.text) for r in wrappers.extract(x).collect()) for x in (df.repartition(1), df.repartition(17), df.orderBy(F.desc("page_id")))]
+    assert got[0] == got[1] == got[2]
+    few = wrappers.infer(df.select(wrappers.host_of(F.col("url")).alias("host"), F.col("html").alias("text")), max_nodes=5, parts=3)
+    assert few.count() == 3
