@@ -12,7 +12,8 @@ join on hashes; a text moves only to fetch segments and to cut the result.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -20,18 +21,18 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hash_filter, map_texts, materialize, passes, shuffle_width, table, whole_text
+from .common import discard, hash_filter, map_texts, materialize, passes, release_memory, shuffle_width, table, text_chunks, whole_text
 
 LENGTH = 200
 GRAM = 32
-#: Segments of one gram that share a suffix array, about; more are dealt to several, and their windows counted exactly.
-GROUP_SEGMENTS = 20_000
+#: Bytes of segments of one gram that share a suffix array, about; more are dealt to several, and their windows counted exactly.
+GROUP_BYTES = 1 << 20
 _PIECE = 1 << 18
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0x2545F4914F6CDD1D
 
 
-def suffix_array(s: list[int]) -> list[int]:
+def suffix_array(s: Sequence[int]) -> array:
     """Suffix array of s, whose last value is its only least one.
 
     Phase 1 goes through groups of suffixes from the greatest to the least. A group's common prefix is final when
@@ -42,8 +43,9 @@ def suffix_array(s: list[int]) -> list[int]:
     to the next free place of its group. No names are ever sorted again.
     """
     n = len(s)
-    sa = sorted(range(n), key=s.__getitem__)
-    place, group, size = [0] * n, [0] * n, [0] * n
+    s = array("i", s)
+    sa = array("i", sorted(range(n), key=s.__getitem__))
+    place, group, size = (array("i", bytes(4 * n)) for _ in range(3))
     start = 0
     for k, i in enumerate(sa):
         if k and s[sa[k - 1]] != s[i]:
@@ -52,8 +54,8 @@ def suffix_array(s: list[int]) -> list[int]:
         group[i] = start
         size[start] += 1
     # Open positions as a linked list; index -1, which is index n, closes it into a ring.
-    left, right = [*range(-1, n)], [*range(1, n + 1), 0]
-    repeats = [0] * n
+    left, right = array("i", range(-1, n)), array("i", [*range(1, n + 1), 0])
+    repeats = array("i", bytes(4 * n))
     end = n
     while end:
         start = group[sa[end - 1]]
@@ -85,7 +87,7 @@ def suffix_array(s: list[int]) -> list[int]:
             if most == 1:
                 break
             parents = [p for p in parents if repeats[p]]
-    free = list(range(n))
+    free = array("i", range(n))
     sa[0] = n - 1
     for k in range(n):
         i = sa[k]
@@ -105,18 +107,18 @@ def window_classes(strings: list[tuple[bytes, bytes]], symbols: int) -> list[tup
     A string is what stands left and right of the gram, the same in all strings, which counts as one symbol and is
     part of every window.
     """
-    text, owner, reach, flat = [], [], [], []
+    text, owner, reach, flat = array("i"), array("i"), array("i"), []
     for k, (left, right) in enumerate(strings):
         at = len(text)
-        text += [b + 2 for b in left]
+        text.extend([b + 2 for b in left])
         text.append(258)
-        text += [b + 2 for b in right]
+        text.extend([b + 2 for b in right])
         text.append(1)
         size = len(text) - at
-        owner += [k] * size
+        owner.extend([k] * size)
         # Bytes left of the gram for the windows that fit; -1 for starts without one.
         fits = min(len(left), size - 1 - symbols)
-        reach += [len(left) - i if i <= fits else -1 for i in range(size)]
+        reach.extend([len(left) - i if i <= fits else -1 for i in range(size)])
         flat += [left, b"\0", right, b"\0"]
     text.append(0)
     reach.append(-1)
@@ -274,22 +276,32 @@ def _hits(rows: DataFrame, bits, length: int, gram: int) -> DataFrame:
 def _cut_segments(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """(a, part, parts, s, n, k1, k2, place, lo, segment): the bytes of one occurrence of every wanted segment."""
     own = ("a", "part", "parts", "s", "n", "place", "lo", "hi")
-    lists = wanted.groupBy("k1", "k2").agg(F.collect_list(F.struct(*own)).alias("cuts"))
+    lists = wanted.groupBy("k1", "k2").agg(F.collect_set(F.struct(*own)).alias("cuts"))
     joined = rows.select("k1", "k2", "text").join(lists, ["k1", "k2"])
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        kinds = {"a": pa.int64(), "part": pa.int32(), "parts": pa.int32(), "s": pa.int64(), "n": pa.int64(), "k1": pa.int64(), "k2": pa.int64(), "place": pa.int32(), "lo": pa.int32(), "segment": pa.binary()}
-        out: dict[str, list] = {c: [] for c in kinds}
-        for text, k1, k2, cuts in zip(*(batch.column(c).to_pylist() for c in ("text", "k1", "k2", "cuts")), strict=True):
-            raw = text.encode("utf-8")
-            for c in cuts:
-                for name, value in {**c, "k1": k1, "k2": k2, "segment": raw[c["lo"] : c["hi"]]}.items():
-                    if name in out:
-                        out[name].append(value)
-        return pa.RecordBatch.from_arrays([pa.array(v, kinds[c]) for c, v in out.items()], list(out))
-
-    cut = map_texts(joined, run, "a long, part int, parts int, s long, n long, k1 long, k2 long, place int, lo int, segment binary")
-    # A row that stands twice in the table gives its cuts twice: one of each is enough.
+    kinds = {"a": pa.int64(), "part": pa.int32(), "parts": pa.int32(), "s": pa.int64(), "n": pa.int64(), "k1": pa.int64(), "k2": pa.int64(), "place": pa.int32(), "lo": pa.int32(), "segment": pa.binary()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[tuple[int, int]] = set()  # of a row that stands often one is cut, or few
+        for batch in text_chunks(batches):
+            out: dict[str, list] = {c: [] for c in kinds}
+            for text, k1, k2, cuts in zip(*(batch.column(c).to_pylist() for c in ("text", "k1", "k2", "cuts")), strict=True):
+                if (k1, k2) in done:
+                    continue
+                if len(done) > 100_000:
+                    done.clear()
+                done.add((k1, k2))
+                raw = text.encode("utf-8")
+                for c in cuts:
+                    for name, value in {**c, "k1": k1, "k2": k2, "segment": raw[c["lo"] : c["hi"]]}.items():
+                        if name in out:
+                            out[name].append(value)
+            if out["a"]:
+                yield pa.RecordBatch.from_arrays([pa.array(v, kinds[c]) for c, v in out.items()], list(out))
+        release_memory()
+
+    cut = joined.mapInArrow(run, "a long, part int, parts int, s long, n long, k1 long, k2 long, place int, lo int, segment binary")
+    # A row that stands in several tasks gives its cuts in each: one of each is enough.
     return cut.dropDuplicates(["a", "s"])
 
 
@@ -355,6 +367,7 @@ def _decide(length: int, gram: int):
                         current, part, split = (a, number), [], parts > 1
                     part.append(row)
             yield from close(part, split) if part else ()
+            release_memory()
 
         rows = []
         for row in group():
@@ -368,18 +381,19 @@ def _decide(length: int, gram: int):
     return run
 
 
-def repeated_ranges(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, limit: int = GROUP_SEGMENTS) -> DataFrame:
+def repeated_ranges(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, limit: int = GROUP_BYTES) -> DataFrame:
     """(k1, k2, lo, hi): byte ranges that windows which repeat cover; ranges of a text may overlap."""
     spark = rows.sparkSession
     repeated = materialize(_count_anchors(rows, length, gram), "sa-anchors")
     bits = spark.sparkContext.broadcast(hash_filter(repeated, "a"))
     hits = materialize(_hits(rows, bits, length, gram).join(repeated, "a"), "sa-hits")
+    discard(repeated)
     one = F.min(F.struct("k1", "k2", "place", "lo", "hi")).alias("one")
     known = materialize(hits.groupBy("a", "s").agg(F.count("*").alias("n"), F.max("mixed").alias("mixed"), one), "sa-segments")
     whole = hits.join(known.where("n > 1").select("a", "s"), ["a", "s"], "left_semi").select("k1", "k2", "lo", "hi")
     # A gram with very many segments is dealt to several parts, each a group of its own in a task of its own.
     mixed = known.where("mixed")
-    parts = mixed.groupBy("a").agg(F.ceil(F.count("*") / limit).cast("int").alias("parts"))
+    parts = mixed.groupBy("a").agg(F.ceil(F.sum(F.col("one.hi") - F.col("one.lo")) / limit).cast("int").alias("parts"))
     wanted = mixed.join(parts, "a").select("a", F.pmod(F.xxhash64("s"), F.col("parts")).cast("int").alias("part"), "parts", "s", "n", "one.*")
     grouped = _cut_segments(rows, wanted).repartition(shuffle_width(spark), "a", "part").sortWithinPartitions("a", "part", "s")
     decided = materialize(grouped.mapInArrow(_decide(length, gram), "kind int, k1 long, k2 long, first int, last int, h1 long, h2 long, seen int"), "sa-decided")
@@ -391,7 +405,7 @@ def repeated_ranges(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, lim
     return whole.unionByName(ranges).unionByName(late)
 
 
-def cut_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, limit: int = GROUP_SEGMENTS) -> DataFrame:
+def cut_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, limit: int = GROUP_BYTES) -> DataFrame:
     """(doc_id, n_bytes, kept binary, n_removed, n_spans): every byte that a repeated window covers is cut.
 
     A window repeats if its bytes also start anywhere else in the table, in the same text or another, overlaps
@@ -400,7 +414,7 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, limit:
     text are read.
     """
     rows = _keyed(docs)
-    ranges = repeated_ranges(rows, length, gram, limit).groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
+    ranges = repeated_ranges(rows, length, gram, limit).groupBy("k1", "k2").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
     joined = rows.join(ranges, ["k1", "k2"], "left").select("doc_id", "text", "ranges")
     kind = docs.schema["doc_id"].dataType.simpleString()
 
