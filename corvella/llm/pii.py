@@ -1,11 +1,13 @@
 """Personal data: fixed base patterns, and bootstrapped contextual extraction of identifiers they miss.
 
-One pass over the texts finds the base spans and, as possible identifiers, the digit-bearing tokens outside them.
-Both give (lexical pattern, instance) pairs: a pattern is the word or two words before the value. Base spans are
-the seeds. A second pass counts how often each pattern that could do stands before anything at all, so that words
+One pass over the texts finds the base spans and, as possible identifiers, the digit-bearing tokens outside them, and
+runs of short ones such as a number written in groups. Both give (lexical pattern, instance) pairs: a pattern is the
+word or two words before the value. Base spans are the seeds, and so are long tokens of mixed letters and digits, as keys
+and access tokens are. A second pass counts how often each pattern that could do stands before anything at all, so that words
 such as "the" come out as unsure as they are. Spark then scores the pattern-instance graph in rounds: a pattern is as
 sure as the mean score of all that follows it, an instance outside the seeds as sure as its surest accepted pattern.
-Patterns that stay sure mark every possible identifier that follows them.
+Rounds end when no pattern is added. Patterns that stay sure mark every possible identifier that follows them, short ones
+only if they are very sure.
 """
 
 from __future__ import annotations
@@ -23,12 +25,14 @@ from pyspark.sql import functions as F
 from .common import discard, hash_filter, map_texts, materialize, passes, release_memory, table, text_chunks, unused, whole_text
 
 KINDS = ("email", "ip", "card", "phone", "context")
-#: Bounds of the bootstrapping: least sum of instance scores, least mean score, rounds.
+#: Bounds of the bootstrapping: least sum of instance scores, least mean score, and that for short identifiers.
 MIN_SUPPORT = 3.0
 MIN_CONFIDENCE = 0.7
-ROUNDS = 3
-#: A possible identifier has so many letters and digits, and digits, at least.
-MIN_ALNUM, MIN_DIGITS = 8, 2
+SHORT_CONFIDENCE = 0.9
+#: A possible identifier has so many letters and digits (a short one fewer), and digits, at least.
+MIN_ALNUM, MIN_SHORT, MIN_DIGITS = 8, 5, 2
+#: A token of so many characters, so many of them digits and letters each at least, is a seed.
+SECRET_LENGTH, SECRET_MIX = 20, 5
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -38,6 +42,8 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
+_GROUP = re.compile(r"[0-9A-Z()+./-]*+")
+_SECRET = re.compile(rf"[A-Za-z0-9_+/=-]{{{SECRET_LENGTH},}}+")
 _EDGE = "\"'`()[]{}<>,.;:!?"
 
 Span = tuple[int, int, int]  # start, kind's place in KINDS, end
@@ -85,8 +91,18 @@ def _hash(value: str) -> int:
     return xxhash.xxh64_intdigest(value.encode("utf-8")) - (1 << 63)
 
 
-def contexts(text: str, spans: list[Span]) -> list[tuple[int, int, int, bool, list[int]]]:
-    """(start, end, instance, seed, patterns) of every base span and every other possible identifier."""
+BASE, FULL, SHORT = range(3)
+
+
+def _secret(value: str) -> bool:
+    if not _SECRET.fullmatch(value):
+        return False
+    digits = sum("0" <= c <= "9" for c in value)
+    return digits >= SECRET_MIX and sum(c.isalpha() for c in value) >= SECRET_MIX
+
+
+def contexts(text: str, spans: list[Span]) -> list[tuple[int, int, int, bool, int, list[int]]]:
+    """(start, end, instance, seed, grade, patterns) of every base span and every other possible identifier."""
     if not spans and not _DIGIT.search(text):
         return []
     tokens = [(m.start(), m.end()) for m in _TOKEN.finditer(text)]
@@ -101,32 +117,55 @@ def contexts(text: str, spans: list[Span]) -> list[tuple[int, int, int, bool, li
         found = [_hash("1 " + before[-1])] if before else []
         return found + ([_hash("2 " + " ".join(before))] if len(before) == 2 else [])
 
+    def add(first: int, start: int, end: int) -> None:
+        value = text[start:end]
+        start += len(value) - len(value.lstrip(_EDGE))
+        value = value.strip(_EDGE)
+        n = sum(c.isalnum() for c in value)
+        if n >= MIN_SHORT and sum("0" <= c <= "9" for c in value) >= MIN_DIGITS:
+            out.append((start, start + len(value), _hash(value.lower()), _secret(value), FULL if n >= MIN_ALNUM else SHORT, patterns(first, start)))
+
     taken, t = sorted((s, e) for s, _, e in spans), 0
     i = 0
     for s, e in taken:
         while i < len(tokens) and tokens[i][1] <= s:
             i += 1
-        out.append((s, e, _hash(text[s:e].lower()), True, patterns(i, s)))
+        out.append((s, e, _hash(text[s:e].lower()), True, BASE, patterns(i, s)))
     reach = 0
+    run: list[tuple[int, int, int]] = []  # tokens next to each other that may be one number written in groups
+
+    def close() -> None:
+        if len(run) > 1:
+            add(run[0][0], run[0][1], run[-1][2])
+        elif run:
+            add(*run[0])
+        run.clear()
+
     for i, (a, b) in enumerate(tokens):
         while t < len(taken) and taken[t][0] < b:
             reach = max(reach, taken[t][1])
             t += 1
-        if a < reach:
+        if a < reach or not _DIGIT.search(text, a, b):
+            close()
             continue
         start = a + _cut(text[a:b])
-        value = text[start:b]
-        start += len(value) - len(value.lstrip(_EDGE))
-        value = value.strip(_EDGE)
-        if sum(c.isalnum() for c in value) >= MIN_ALNUM and sum("0" <= c <= "9" for c in value) >= MIN_DIGITS:
-            out.append((start, start + len(value), _hash(value.lower()), False, patterns(i, start)))
+        group = _GROUP.fullmatch(text[start:b].strip(_EDGE)) and sum(c.isalnum() for c in text[start:b]) < MIN_ALNUM
+        if not group or start > a or (run and a != run[-1][2] + 1):
+            close()
+        if not group:
+            add(i, start, b)
+            continue
+        run.append((i, start, b))
+        if text[b - 1] in ",;:!?":
+            close()
+    close()
     return out
 
 
 _SPAN = "struct<start:int,kind:int,end:int>"
-_SEEN = "struct<start:int,end:int,instance:bigint,seed:boolean,patterns:array<bigint>>"
+_SEEN = "struct<start:int,end:int,instance:bigint,seed:boolean,grade:int,patterns:array<bigint>>"
 _SPAN_PA = pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())])
-_SEEN_PA = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("instance", pa.int64()), ("seed", pa.bool_()), ("patterns", pa.list_(pa.int64()))])
+_SEEN_PA = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("instance", pa.int64()), ("seed", pa.bool_()), ("grade", pa.int32()), ("patterns", pa.list_(pa.int64()))])
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -137,7 +176,7 @@ def scan(docs: DataFrame) -> DataFrame:
         texts = batch.column("text").to_pylist()
         spans = [base_spans(t) for t in texts]
         seen = [contexts(t, s) for t, s in zip(texts, spans, strict=True)]
-        names = ("start", "end", "instance", "seed", "patterns")
+        names = ("start", "end", "instance", "seed", "grade", "patterns")
         return pa.RecordBatch.from_arrays(
             [
                 batch.column("doc_id"),
@@ -225,29 +264,32 @@ def _glue(token: str) -> str:
     return token[: len(token) - len(token[at:].lstrip(_EDGE))].lower().lstrip(_EDGE)
 
 
-def accepted_patterns(docs: DataFrame, seen: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(pattern, confidence) after ``rounds`` rounds over rows (pattern, instance, seed) found in docs."""
+def accepted_patterns(docs: DataFrame, seen: DataFrame) -> DataFrame:
+    """(pattern, confidence) when no round over rows (pattern, instance, seed) found in docs adds a pattern."""
     graph = materialize(seen.groupBy("pattern", "instance").agg(F.max("seed").alias("seed"), F.count("*").alias("n")), "pii-graph")
     possible = graph.groupBy("pattern").agg(F.count("*").alias("instances"), F.sum("n").alias("n")).where(F.col("instances") >= MIN_SUPPORT)
     totals = materialize(possible.join(followers(docs, possible), "pattern", "left").select("pattern", F.greatest("n", F.coalesce("total", F.lit(0))).alias("total")), "pii-totals")
-    scores = None
-    for _ in range(rounds):
+    scores, accepted = None, -1
+    while True:
         scored = graph.withColumn("score", F.col("seed").cast("double"))
         if scores is not None:
             scored = graph.join(scores, "instance", "left").withColumn("score", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("learned", F.lit(0.0))))
         sums = scored.groupBy("pattern").agg(F.sum("score").alias("support"), F.sum(F.col("score") * F.col("n")).alias("mass"))
         sure = sums.where(F.col("support") >= MIN_SUPPORT).join(totals, "pattern").withColumn("confidence", F.col("mass") / F.col("total"))
         sure = materialize(sure.where(F.col("confidence") >= MIN_CONFIDENCE).select("pattern", "confidence"), "pii-patterns")
+        before, accepted = accepted, sure.count()
+        if accepted <= max(before, 0):  # scores only grow, so the accepted patterns do too
+            return sure
         scores = graph.where("not seed").join(sure, "pattern").groupBy("instance").agg(F.max("confidence").alias("learned"))
-    return sure
 
 
 def _discovered(docs: DataFrame, scanned: DataFrame) -> DataFrame:
     """(key, extra): spans outside the base that follow an accepted pattern."""
-    seen = scanned.select("key", F.explode("seen").alias("s")).select("key", "s.start", "s.end", "s.instance", "s.seed", F.explode("s.patterns").alias("pattern"))
+    seen = scanned.select("key", F.explode("seen").alias("s")).select("key", "s.start", "s.end", "s.instance", "s.seed", "s.grade", F.explode("s.patterns").alias("pattern"))
     sure = accepted_patterns(docs, seen.select("pattern", "instance", "seed"))
     span = F.struct("start", F.lit(KINDS.index("context")).alias("kind"), "end")
-    return seen.where("not seed").join(sure, "pattern").groupBy("key").agg(F.collect_set(span).alias("extra"))
+    enough = (F.col("grade") == FULL) | ((F.col("grade") == SHORT) & (F.col("confidence") >= SHORT_CONFIDENCE))
+    return seen.join(sure, "pattern").where(enough).groupBy("key").agg(F.collect_set(span).alias("extra"))
 
 
 def find_private(docs: DataFrame) -> DataFrame:
@@ -268,7 +310,8 @@ def find_private(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame) -> DataFrame:
     """docs with every private span replaced by <KIND> (overlapping spans: one mark, of the first); all columns stay.
 
-    A null text stays null.
+    A null text stays null, an empty one empty. Repeated rows come back as often as they stand, marked alike; an empty table
+    gives an empty one. Columns keep their values, whatever their names.
     """
     scanned = materialize(scan(docs), "pii-scan")
     columns, at = docs.columns, docs.columns.index("text")

@@ -1,7 +1,9 @@
 """SimHash near-duplicates, found with tables of Hamming distances to reference fingerprints.
 
-Texts become 64-bit fingerprints; equal ones collapse to one class first. Two fingerprints that differ in at
-most 2 bits agree in at least one of three bit blocks, so each class is dealt to three block keys, sorted.
+Texts become 64-bit fingerprints; equal ones collapse to one class first. Of any division into bit blocks, two
+fingerprints that differ in at most 2 bits agree in all blocks but two, so each class is dealt to one key for every
+choice of all blocks but two. The more classes there are, the more blocks and the longer the keys: a key keeps few
+classes, and the pairs that are looked at grow with the table and not with its square.
 Within a key every fingerprint has a row of precomputed distances to the reference fingerprints (pivots); by
 the triangle inequality a pair whose rows differ by more than 2 anywhere can't link and is discarded. The
 survivors are verified by their exact distance, and each key's links leave as a spanning forest, never as
@@ -12,6 +14,7 @@ at most 2 bits just when they share a fingerprint within 1 bit of both, so group
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +30,9 @@ SHINGLE_WORDS = 3
 MAX_BITS = 2
 N_PIVOTS = 16
 RUN_LIMIT = 65_536
-_BLOCKS = ((0, 21), (21, 21), (42, 22))  # (lowest bit, bits)
+#: Bits beyond those that number the classes that a key has at least, as far as the numbers of blocks allow.
+_SPARE_BITS = 1
+_BLOCKS = (3, 4, 5, 6)
 _PIVOTS = np.random.default_rng(20_240_901).integers(0, 2**64, N_PIVOTS, dtype=np.uint64)
 _SHORT = 24  # runs up to this length are compared by shifts, all runs at once
 
@@ -61,6 +66,17 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return map_texts(rows, run, f"doc_id {kind}, text_hash long, fp long")
 
 
+def block_keys(n_classes: int) -> list[list[tuple[int, int]]]:
+    """For every key the blocks (lowest bit, bits) it consists of: all but MAX_BITS of the least number of blocks that gives keys long enough."""
+    for n in _BLOCKS:
+        edges = [64 * k // n for k in range(n + 1)]
+        blocks = [(a, z - a) for a, z in zip(edges, edges[1:], strict=False)]
+        keys = [list(c) for c in combinations(blocks, n - MAX_BITS)]
+        if min(sum(bits for _, bits in key) for key in keys) >= n_classes.bit_length() + _SPARE_BITS:
+            break
+    return keys
+
+
 def pivot_distances(fps: np.ndarray) -> np.ndarray:
     """Row per fingerprint, column per pivot: their Hamming distances."""
     return np.bitwise_count(fps[:, None] ^ _PIVOTS[None, :]).astype(np.int8)
@@ -165,10 +181,13 @@ def link_fingerprints(classes: DataFrame, run_limit: int = RUN_LIMIT) -> DataFra
     """Edges (a, b) that connect exactly what links of at most 2 bits connect; classes: distinct column fp."""
     spark = classes.sparkSession
     width = shuffle_width(spark)
-    dealt = classes.select(
-        "fp",
-        F.explode(F.array(*(F.shiftleft(F.lit(k).cast("long"), 32).bitwiseOR(F.shiftrightunsigned("fp", low).bitwiseAND(F.lit((1 << bits) - 1))) for k, (low, bits) in enumerate(_BLOCKS)))).alias("key"),
-    )
+    keys = []
+    for k, blocks in enumerate(block_keys(classes.count())):
+        key = F.lit(k).cast("long")
+        for low, bits in blocks:
+            key = F.shiftleft(key, bits).bitwiseOR(F.shiftrightunsigned("fp", low).bitwiseAND(F.lit((1 << bits) - 1).cast("long")))
+        keys.append(key)
+    dealt = classes.select("fp", F.explode(F.array(*keys)).alias("key"))
     runs = dealt.repartition(width, "key").sortWithinPartitions("key").select("key", "fp")
     found = materialize(runs.mapInArrow(_links(run_limit), "a long, b long"), "simhash-links")
     crowded = found.where("b is null").select(F.col("a").alias("fp")).distinct()

@@ -117,3 +117,26 @@ def test_follower_counts(spark, make_docs):
     wanted = spark.createDataFrame([(h,) for h in patterns.values()], "pattern long")
     got = {r.pattern: r.total for r in pii.followers(make_docs(rows), wanted).collect()}
     assert {p: got.get(h) for p, h in patterns.items()} == {"1 acc": 3, "1 no.": 4, "2 acc no.": 3, "0 k=": 2}
+
+
+def test_numbers_written_in_groups_and_short_ones(make_docs):
+    rows = [(i, f"call the desk at user{i}@host{i}.example.org today", "a") for i in range(40)]
+    rows += [(100, "the desk at (555) 123-4567 today", "a"), (101, "the desk at 4111 1111 1111 1112, then", "a"), (102, "the desk at DE89 3704 0044 0532 0130 00", "a"), (103, "the desk at AB12345 now", "a"), (104, "the desk at 12 now", "a")]
+    found = {r.doc_id: r.spans for r in pii.find_private(make_docs(rows)).collect()}
+    assert [found[k] for k in range(100, 105)] == ["context:13:26", "context:12:31", "context:12:39", "context:12:19", ""]
+
+
+def test_access_tokens_are_seeds(make_docs):
+    rows = [(i, f'words token = "{hashlib.sha1(str(i).encode()).hexdigest()}" words', "a") for i in range(20)]
+    rows += [(50, 'more token = "abc-short-9911" words', "a"), (51, 'a digest ' + hashlib.sha1(b"x").hexdigest() + " of a file", "a"), (52, "the token is none", "a")]
+    found = {r.doc_id: r.spans for r in pii.find_private(make_docs(rows)).collect()}
+    assert all(found[i] == "context:15:55" for i in range(20)) and found[50] == "context:14:28" and found[51] == found[52] == ""
+
+
+def test_rounds_go_on_until_no_pattern_is_added(make_docs):
+    """Each marker is learned from instances that the marker before it has made sure."""
+    rows = [(i, f"key0 user{i}@host{i}.example.org", "a") for i in range(100)]
+    for step in range(6):
+        rows += [(1000 + 10 * step + k, f"key{step} ID{step}000{k}777" + f" and key{step + 1} ID{step}000{k}777" * 40, "a") for k in range(4)]
+    found = {r.doc_id: r.spans for r in pii.find_private(make_docs(rows)).collect()}
+    assert all(found[1000 + 10 * step + k].count("context") == 41 for step in range(6) for k in range(4))

@@ -113,3 +113,21 @@ def test_keep_one_keeps_one_row_of_each_component(odd_docs, no_docs):
 
 def test_query_returns_every_row(spark, sf_docs):
     assert simhash.op9_simhash_components(spark, SF).count() == sf_docs.count()
+
+
+@pytest.mark.parametrize("n", [0, 1 << 10, 1 << 19, 1 << 21, 1 << 32, 1 << 36, 1 << 60])
+def test_close_fingerprints_share_a_key_at_any_size(n):
+    keys = simhash.block_keys(n)
+    rng = random.Random(n)
+    assert all(sum(bits for _, bits in key) >= min(n.bit_length() + 1, 42) for key in keys)
+    for _ in range(300):
+        a, b = rng.getrandbits(64), 0
+        b = a ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64))
+        assert any(all((a >> low) % (1 << bits) == (b >> low) % (1 << bits) for low, bits in key) for key in keys)
+
+
+@pytest.mark.parametrize("blocks", [(4,), (5,), (6,)])
+def test_longer_keys_give_the_same_components(sf_docs, monkeypatch, blocks):
+    want = sorted((r.doc_id, r.component_id) for r in simhash.near_duplicates(sf_docs).collect())
+    monkeypatch.setattr(simhash, "_BLOCKS", blocks)
+    assert sorted((r.doc_id, r.component_id) for r in simhash.near_duplicates(sf_docs).collect()) == want
