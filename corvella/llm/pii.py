@@ -214,6 +214,14 @@ def followers(docs: DataFrame, patterns: DataFrame, remembered: int = 100_000) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number: dict[str, int] = {}
         lowered: list[str] = []
+        counted, held = [(np.zeros(0, np.int64), np.zeros(0, np.int64))], 0
+
+        def sums() -> pa.RecordBatch:
+            keys, where = np.unique(np.concatenate([k for k, _ in counted]), return_inverse=True)
+            n = np.bincount(where, np.concatenate([c for _, c in counted]), len(keys)).astype(np.int64)
+            counted[:] = [(keys, n)]
+            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], ["pattern", "total"])
+
         # By word number: its one-word pattern and its glued one, and whether they are wanted.
         before, before_ok, glued, glued_ok = (np.zeros(0, t) for t in (np.int64, bool, np.int64, bool))
         for batch in text_chunks(batches):
@@ -247,8 +255,15 @@ def followers(docs: DataFrame, patterns: DataFrame, remembered: int = 100_000) -
             ok = passes(bits.value, h)
             found, n = np.concatenate([before[ids[at]], glued[ids[glued_ok[ids]]], h[ok]]), np.concatenate([np.ones(len(at), np.int64), np.ones(int(glued_ok[ids].sum()), np.int64), n_pair[ok]])
             if len(found):
-                keys, where = np.unique(found, return_inverse=True)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.bincount(where, n).astype(np.int64))], ["pattern", "total"])
+                counted.append((found, n))
+                held += len(found)
+                if held > 1 << 20:  # sums of a task's batches; too many different patterns leave early
+                    early = sums()
+                    held = early.num_rows
+                    if held > 1 << 19:
+                        yield early
+                        counted[:], held = [(np.zeros(0, np.int64), np.zeros(0, np.int64))], 0
+        yield sums()
         del number, lowered, before, glued
         release_memory()
 
@@ -265,9 +280,15 @@ def _glue(token: str) -> str:
 
 
 def accepted_patterns(docs: DataFrame, seen: DataFrame) -> DataFrame:
-    """(pattern, confidence) when no round over rows (pattern, instance, seed) found in docs adds a pattern."""
+    """(pattern, confidence) when no round over rows (pattern, instance, seed) found in docs adds a pattern.
+
+    Looked at are patterns of at least MIN_SUPPORT instances that are seeds or found in several places.
+    """
     graph = materialize(seen.groupBy("pattern", "instance").agg(F.max("seed").alias("seed"), F.count("*").alias("n")), "pii-graph")
-    possible = graph.groupBy("pattern").agg(F.count("*").alias("instances"), F.sum("n").alias("n")).where(F.col("instances") >= MIN_SUPPORT)
+    # Only seeds and instances of several places can make a pattern sure: one place gives an instance two patterns at most.
+    telling = graph.groupBy("instance").agg(F.max("seed").alias("seed"), F.count("*").alias("patterns")).where("seed or patterns > 2").select("instance")
+    prospects = graph.join(telling, "instance", "left_semi").groupBy("pattern").count().where(F.col("count") >= MIN_SUPPORT).select("pattern")
+    possible = graph.join(prospects, "pattern").groupBy("pattern").agg(F.sum("n").alias("n"))
     totals = materialize(possible.join(followers(docs, possible), "pattern", "left").select("pattern", F.greatest("n", F.coalesce("total", F.lit(0))).alias("total")), "pii-totals")
     scores, accepted = None, -1
     while True:
