@@ -13,11 +13,15 @@ SIZE, OVERLAP = 700, 120
 def text_chunk_array(text: Column, size: int = SIZE, overlap: int = OVERLAP) -> Column:
     """Chunks of one text: a last chunk never consists of overlap alone; no words, no chunk."""
     stride = max(size - overlap, 1)
-    found = words(text)
-    n = F.size(found)
-    last = F.when(n <= size, 0).otherwise(F.ceil((n - size) / F.lit(stride)).cast("int"))
-    at = lambda i: F.array_join(F.slice(found, i * stride + 1, F.lit(size)), " ")
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), last), at)).otherwise(F.array().cast("array<string>"))
+
+    def cut(found: Column) -> Column:
+        n = F.size(found)
+        last = F.when(n <= size, 0).otherwise(F.ceil((n - size) / F.lit(stride)).cast("int"))
+        at = lambda i: F.array_join(F.slice(found, i * stride + 1, F.lit(size)), " ")
+        return F.when(n > 0, F.transform(F.sequence(F.lit(0), last), at)).otherwise(F.array().cast("array<string>"))
+
+    # As an element of an array the words are bound to a name: the text is split once, not once a chunk.
+    return F.get(F.transform(F.array(words(text)), cut), F.lit(0))
 
 
 def chunk_text(docs: DataFrame, key: str, text: str, size: int = SIZE, overlap: int = OVERLAP, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -45,10 +49,12 @@ def chunk_pages(pages: DataFrame, key: str, size: int = SIZE, overlap: int = OVE
     full = F.when(n < size, 0).otherwise(F.floor((n - size) / F.lit(stride)).cast("int") + 1)
     tail = (n - full * stride) > 0
     index = F.when((full > 0) | tail, F.sequence(F.lit(0), full - F.when(tail, 0).otherwise(1)))
-    cut = flat.select(key, "words", "numbers", F.explode(index).alias("chunk_index"))
-    start = F.col("chunk_index") * stride + 1
-    content, numbers = F.array_join(F.slice("words", start, F.lit(size)), " "), F.slice("numbers", start, F.lit(size))
-    return cut.select(key, "chunk_index", content.alias("content"), F.size(F.slice("words", start, F.lit(size))).alias("token_count"), F.array_min(numbers).alias("page_start"), F.array_max(numbers).alias("page_end"), F.lit(source_type).alias("source_type"))
+
+    def chunk(i: Column) -> Column:
+        part, numbers = (F.slice(c, i * stride + 1, F.lit(size)) for c in ("words", "numbers"))
+        return F.struct(i.alias("chunk_index"), F.array_join(part, " ").alias("content"), F.size(part).alias("token_count"), F.array_min(numbers).alias("page_start"), F.array_max(numbers).alias("page_end"))
+
+    return flat.select(key, F.inline(F.transform(index, chunk))).withColumn("source_type", F.lit(source_type))
 
 
 def image_chunk_content(page: Column, path: Column, caption: Column, ocr_text: Column) -> Column:

@@ -26,6 +26,7 @@ def ocr_text(words: DataFrame, key: Sequence[str]) -> DataFrame:
     line = ("block_num", "par_num", "line_num")
     conf = F.col("conf").try_cast("double")
     rows = words.where(stripped != "").select(*key, *(safe_int(F.col(c)).alias(c) for c in line), safe_int(F.col("left")).alias("left"), "word_no", stripped.alias("text"), F.when(conf >= 0, conf / 100).alias("conf"))
+    rows = rows.repartition(*key)  # both groupings below share this shuffle
     lines = rows.groupBy(*key, *line).agg(_ordered_text(F.collect_list(F.struct("left", "word_no", "text")), " ").alias("text"), F.sum("conf").alias("total"), F.count("conf").alias("n"))
     whole = lines.groupBy(*key).agg(_ordered_text(F.collect_list(F.struct(*line, "text")), "\n").alias("text"), F.sum("total").alias("total"), F.sum("n").alias("n"))
     return whole.select(*key, clean_db_text(F.col("text")).alias("text"), F.try_divide("total", "n").alias("confidence"))

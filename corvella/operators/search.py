@@ -12,12 +12,14 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.principal import Principal
 from ..functions.text import wants_images
 from ..functions.vectors import cosine_to, trigram_similarity
+from ..plans.scratch import scratch_dir
 from .security import retrieval_filter
 
 VECTOR_WEIGHT, KEYWORD_WEIGHT = 0.65, 0.35
@@ -128,17 +130,31 @@ def retrieval_log(hits: DataFrame, message_id: int | str, used: DataFrame | None
     return hits.select(F.lit(message_id).alias("message_id"), "document_id", "chunk_id", "vector_score", "keyword_score", F.lit(None).cast("double").alias("rerank_score"), "final_score", "rank", flag.alias("used_in_context"))
 
 
-def vector_search_batch(chunks: DataFrame, queries: DataFrame, top_k: int, block: int = 4096) -> DataFrame:
+def vector_search_batch(chunks: DataFrame, queries: DataFrame, top_k: int, block: int = 4096, max_query_bytes: int = MAX_QUERY_BYTES) -> DataFrame:
     """(query_id, chunk_id, vector_score, rank) for many queries (query_id, embedding) at once.
 
-    The query vectors (at most MAX_QUERY_BYTES, checked) go to the tasks; a task multiplies blocks of chunks with
-    them and keeps ``top_k`` a query, so what is shuffled is queries x top_k rows a task, never all pairs.
+    The query vectors go to the tasks in blocks of about ``max_query_bytes``, sized before anything is fetched; a task
+    multiplies blocks of chunks with them and keeps ``top_k`` a query, so what is shuffled is queries x top_k rows a task,
+    never all pairs. With several blocks each one's result is written to the shared folder before the next is fetched.
     """
-    rows = queries.where("embedding is not null").orderBy("query_id").limit(MAX_QUERY_BYTES // 8 + 1)
-    table = rows.select("query_id", "embedding").toArrow()
-    matrix = np.array(table.column("embedding").to_pylist(), np.float64).reshape(table.num_rows, -1)
-    if matrix.nbytes > MAX_QUERY_BYTES:
-        raise ValueError(f"query vectors beyond {MAX_QUERY_BYTES} bytes: split the batch")
+    spark = chunks.sparkSession
+    asked = queries.where("embedding is not null")
+    n, wide = asked.agg(F.count("*"), F.max(F.size("embedding"))).first()
+    parts = max(1, -(-n * 8 * (wide or 0) // max_query_bytes))
+    if parts == 1:
+        return _search_block(chunks, asked, top_k, block)[0]
+    part = F.pmod(F.xxhash64("query_id"), F.lit(parts))
+    root = scratch_dir(spark, "vector-batch")
+    for k in range(parts):
+        found, sent = _search_block(chunks, asked.where(part == k), top_k, block)
+        found.write.parquet(f"{root}/part={k}")
+        sent.destroy()
+    return spark.read.parquet(*(f"{root}/part={k}" for k in range(parts)))
+
+
+def _search_block(chunks: DataFrame, queries: DataFrame, top_k: int, block: int) -> tuple[DataFrame, Broadcast]:
+    table = queries.select("query_id", "embedding").toArrow()
+    matrix = np.array(table.column("embedding").to_pylist(), np.float64).reshape(table.num_rows, -1 if table.num_rows else 0)
     ids, kind = table.column("query_id").to_pylist(), queries.schema["query_id"].dataType.simpleString()
     key = chunks.schema["chunk_id"].dataType.simpleString()
     norms = np.linalg.norm(matrix, axis=1, keepdims=True)
@@ -148,7 +164,7 @@ def vector_search_batch(chunks: DataFrame, queries: DataFrame, top_k: int, block
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, q = sent.value
         best: list[list[tuple]] = [[] for _ in names]
-        for batch in batches:
+        for batch in batches if names else ():
             for at in range(0, batch.num_rows, block):
                 part = batch.slice(at, block)
                 keys = part.column("chunk_id").to_pylist()
@@ -166,4 +182,4 @@ def vector_search_batch(chunks: DataFrame, queries: DataFrame, top_k: int, block
 
     local = chunks.where("embedding is not null").select("chunk_id", "embedding").mapInArrow(run, f"query_id {kind}, chunk_id {key}, vector_score double")
     order = Window.partitionBy("query_id").orderBy(F.col("vector_score").desc(), "chunk_id")
-    return local.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)
+    return local.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k), sent

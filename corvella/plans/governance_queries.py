@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -183,11 +184,38 @@ def queue_stream(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.schema("document_id bigint, job_type string, batch int").parquet(f"{root}/out").select("document_id", "job_type")
 
 
+def worker_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """A worker goes through the queue: what runs has timed out, documents end three ways, OCR raises, embeddings have no processor."""
+
+    def documents(claimed: DataFrame) -> DataFrame:
+        bad = F.col("job_id") % 3 == 0
+        return claimed.where("job_id % 2 = 0").select("job_id", F.when(F.col("job_id") % 4 == 0, "broken file").alias("error")).where(~bad)
+
+    def ocr(claimed: DataFrame) -> DataFrame:
+        raise RuntimeError("no engine")
+
+    late = NOW - dt.timedelta(seconds=400)
+    waiting = views.jobs(spark, sf).withColumn("started_at", F.when(F.col("status") == "running", F.lit(late).cast("timestamp_ntz")))
+    done = queue.run_jobs(waiting, {"document": documents, "ocr": ocr}, NOW, slots=1_000_000)
+    return done.groupBy("job_type", "status", F.coalesce("error_message", F.lit("")).alias("error")).agg(F.count("*").alias("n"), F.sum("attempts").alias("attempts"))
+
+
+def token_totals(spark: SparkSession, sf: str) -> DataFrame:
+    rows = gov.llm_log_rows(views.llm_logs(spark, sf).withColumn("prompt_tokens", F.when(F.col("log_id") % 5 != 0, F.col("prompt_tokens"))))
+    return rows.groupBy("message_id").agg(F.sum("total_tokens").alias("total_tokens"))
+
+
+def dependency_status(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents' states taken for dependencies: all of them, the good ones, and none."""
+    rows = views.documents(spark, sf).select(F.when(F.col("status") == "failed", "down").otherwise("ok").alias("status"))
+    return reduce(DataFrame.unionByName, (gov.overall_status(rows.where(test)).select(F.lit(of).alias("of"), "status") for of, test in (("all", "true"), ("good", "status = 'ok'"), ("none", "false"))))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         status_counts, audit_totals, kb_document_counts, chunk_stats, document_statuses, doc_listing_page, chat_logs, user_chat_logs, llm_logs, message_retrieval_logs, permission_denied,
-        user_audit_events, session_messages, retention_preview, retention_counts, retention_survivors, job_claim, job_dedupe, latest_active_job, job_outcomes, sessions, user_upsert, archived_documents, status_tool, grant_changes, ingested, queue_stream,
+        user_audit_events, session_messages, retention_preview, retention_counts, retention_survivors, job_claim, job_dedupe, latest_active_job, job_outcomes, sessions, user_upsert, archived_documents, status_tool, grant_changes, ingested, queue_stream, worker_runs, token_totals, dependency_status,
     )
 }
 
@@ -281,6 +309,17 @@ ORACLES: dict[str, str] = {
         SELECT document_id, CASE WHEN zh THEN 'zh' ELSE 'en' END AS language, confidential_level, own + 2 AS n_chunks, CAST(2 AS BIGINT) AS n_image_chunks, CAST(own + 1 AS INTEGER) AS last, CAST(2 AS BIGINT) AS n_linked FROM total""",
         "v_documents",
     ),
+    "worker_runs": with_views(
+        """, w AS (SELECT *, status IN ('queued', 'running') AS waits, CASE WHEN status = 'running' THEN 1 ELSE 0 END AS before FROM v_jobs),
+        x AS (SELECT job_type, waits, before, status AS old, CASE WHEN job_type = 'embedding' THEN 'queued' WHEN job_type = 'document' AND job_id % 2 = 0 AND job_id % 3 <> 0 AND job_id % 4 <> 0 THEN 'completed' ELSE 'failed' END AS ends,
+            CASE WHEN job_type = 'ocr' THEN 'RuntimeError: no engine' WHEN job_type = 'document' AND (job_id % 2 = 1 OR job_id % 3 = 0) THEN 'not processed' WHEN job_type = 'document' AND job_id % 4 = 0 THEN 'broken file'
+              WHEN job_type = 'embedding' AND before = 1 THEN 'Job timed out after 300 seconds.' ELSE '' END AS said FROM w)
+        SELECT job_type, CASE WHEN waits THEN ends ELSE old END AS status, CASE WHEN waits THEN said ELSE '' END AS error, count(*) AS n,
+          CAST(sum(CASE WHEN NOT waits THEN 0 WHEN ends = 'failed' THEN 2 WHEN ends = 'completed' THEN before + 1 ELSE before END) AS BIGINT) AS attempts FROM x GROUP BY ALL""",
+        "v_jobs",
+    ),
+    "token_totals": with_views(" SELECT message_id, CAST(sum(CASE WHEN log_id % 5 <> 0 THEN prompt_tokens ELSE 0 END + coalesce(completion_tokens, 0)) AS BIGINT) AS total_tokens FROM v_llm_logs GROUP BY ALL", "v_llm_logs"),
+    "dependency_status": with_views(" SELECT 'all' AS of, CASE WHEN count(*) FILTER (WHERE status = 'failed') = 0 THEN 'ok' ELSE 'degraded' END AS status FROM v_documents UNION ALL VALUES ('good', 'ok'), ('none', 'ok')", "v_documents"),
     "queue_stream": "SELECT DISTINCT event_id % 200 AS document_id, CASE event_id % 3 WHEN 0 THEN 'document' WHEN 1 THEN 'ocr' ELSE 'embedding' END AS job_type FROM events",
 }
 

@@ -83,6 +83,29 @@ def chunk_images(spark: SparkSession, sf: str) -> DataFrame:
     return cut.select("document_id", "chunk_index", "content", "token_count", F.array_join("image_ids", ",").alias("image_ids"))
 
 
+def image_ocr_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """The OCR text of images, here whole documents, as chunks."""
+    ocr = views.images(spark, sf).join(views.documents(spark, sf).select("document_id", "text"), "document_id").withColumn("ocr_text", F.when(F.col("image_id") % 2 == 0, F.col("text")))
+    cut = chunking.chunk_image_ocr(ocr, start_index=3)
+    return cut.select("document_id", "chunk_index", F.sha2("content", 256).alias("content_sha256"), "token_count", "page_start", F.array_join("image_ids", ",").alias("image_ids"))
+
+
+def image_names(spark: SparkSession, sf: str) -> DataFrame:
+    """File names for extracted images, by the suffix of what they were called."""
+    d = F.col("document_id")
+    called = F.get(F.array(*map(F.lit, ("a.PNG", "b.jpeg", "c.gif", "noname", "d.x.TIF", ".bmp"))), (d % 7).cast("int"))
+    return views.images(spark, sf).select("image_id", text.image_filename(F.col("page_number"), (d % 1200).cast("int"), called).alias("filename"))
+
+
+def parsed_values(spark: SparkSession, sf: str) -> DataFrame:
+    """Times and JSON objects as callers send them, some broken."""
+    d = F.col("document_id")
+    day = F.format_string("2024-%02d-%02d", (d % 14).cast("int"), (d % 28 + 1).cast("int"))
+    moment, broken = text.iso_timestamp(F.when(d % 5 == 0, F.lit("")).when(d % 5 == 1, F.concat(day, F.lit("T10:20:30Z"))).otherwise(day))
+    sent = text.json_object(F.when(d % 3 == 0, F.concat(F.lit('{"top_k": '), d, F.lit(', "q": "x y"}'))).when(d % 3 == 1, F.lit("[1, 2")).otherwise(F.lit("{}")))
+    return views.documents(spark, sf).select("document_id", F.date_format(moment, "yyyy-MM-dd HH:mm:ss").alias("moment"), broken.alias("broken"), F.size(sent).alias("n_fields"), F.get(F.map_values(sent), F.lit(0)).alias("first"))
+
+
 def link_images(spark: SparkSession, sf: str) -> DataFrame:
     cut = views.chunks(spark, sf).select("chunk_id", "chunk_index", "metadata.image_ids")
     return chunking.link_images(cut, views.images(spark, sf)).select("image_id", "chunk_id")
@@ -95,9 +118,9 @@ def document_pages(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _form(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents as forms: a field, three lines of columns, a repeated field, a line with bars."""
+    """Whole documents within forms: a field, two lines of columns, the text, a repeated field, two lines with bars."""
     d = F.col("document_id").cast("string")
-    form = F.concat(F.lit("Case Number:  "), d, F.lit("\nName  Low  High\nx"), d, F.lit("  1  2\n"), F.substring("text", 1, 30), F.lit("\nCase Number: last"), d, F.lit("\n| a | b |\nc | d | e\nend-\ning"))
+    form = F.concat(F.lit("Case Number:  "), d, F.lit("\nName  Low  High\nx"), d, F.lit("  1  2\n"), F.col("text"), F.lit("\nCase Number: last"), d, F.lit("\n| a | b |\nc | d | e\nend-\ning"))
     return views.documents(spark, sf).select("document_id", F.regexp_replace(form, "[\\r\\x0b\\x0c]", " ").alias("text"))
 
 
@@ -114,8 +137,20 @@ def pdf_structure(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def form_tables_fields(spark: SparkSession, sf: str) -> DataFrame:
+    """Tables and fields of form-like pages that hold whole documents."""
+    t = F.col("text")
+    return _form(spark, sf).select(
+        "document_id",
+        F.size(text.table_blocks(t)).alias("n_tables"),
+        F.array_join(text.table_blocks(t), "\n\n").alias("tables"),
+        F.array_join(F.transform(text.field_list(t), lambda f: F.concat(f["key"], F.lit("="), f["value"])), ";").alias("fields"),
+    )
+
+
 def captions(spark: SparkSession, sf: str) -> DataFrame:
-    page = F.concat(F.lit("Intro\nFigure 3. of "), F.col("language"), F.lit("\n圖 1 two\nFigment\nfig.2 last "), F.col("document_id").cast("string"))
+    """Captions among the lines of whole documents and some that follow them."""
+    page = F.concat(F.lit("Intro\nFigure "), F.col("document_id"), F.lit(". of "), F.col("language"), F.lit("\n"), F.col("text"), F.when(F.col("document_id") % 2 == 0, F.concat(F.lit("\n圖 1 two\nFigment\nfig.2 last "), F.col("document_id"))).otherwise(""))
     found = text.captions(page)
     return views.documents(spark, sf).select("document_id", F.size(found).alias("n"), text.caption_at(found, F.lit(2)).alias("second"), text.caption_at(found, F.lit(9)).alias("ninth"))
 
@@ -210,13 +245,23 @@ def dictionary_rules(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (text_functions, prompt_predicates, scalar_helpers, vector_literals, chunk_text, chunk_pages, chunk_images, link_images, document_pages, pdf_structure, captions, ocr_lines, ocr_layout, office_documents, dlp_findings, dlp_mask, dlp_full, dlp_events, dictionary_rules)
+    for f in (text_functions, prompt_predicates, scalar_helpers, vector_literals, chunk_text, chunk_pages, chunk_images, link_images, document_pages, pdf_structure, form_tables_fields, captions, image_ocr_chunks, image_names, parsed_values, ocr_lines, ocr_layout, office_documents, dlp_findings, dlp_mask, dlp_full, dlp_events, dictionary_rules)
 }
 
 # ---- DuckDB ----------------------------------------------------------------------------------------------------
 
 _CONTROL = r"[\x00-\x08\x0b-\x1f]"
 _T = "(' ' || text || chr(1) || chr(9) || chr(31) || ' end' || chr(13))"
+_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]"
+_SPACES = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_CAPTION = r"(?i)^(?:圖|Fig\.?|Figure)[ \t]*[\dA-Za-z一二三四五六七八九十IVXivx.\-:：]*[ \t]+.+"
+_FIELD = r"^([A-Za-z][A-Za-z0-9 _/\-]{1,40})" + _SPACES + r"*[:\x{ff1a}]" + _SPACES + r"*(.{1,120})$"
+
+
+def _sql_strip(text: str) -> str:
+    return f"regexp_replace({text}, '^{_SPACES}+|{_SPACES}+$', '', 'g')"
+
+
 # The patterns in RE2's spelling.
 _RE2 = {d.entity_type: d.pattern.replace("(?iU)", "(?i)").replace("(?U)", "") for d in dlp.BUILT_IN if d.entity_type in _ORACLE_KINDS}
 _PLACE = {d.entity_type: i for i, d in enumerate(dlp.BUILT_IN)}
@@ -304,7 +349,41 @@ ORACLES: dict[str, str] = {
         GROUP BY document_id""",
         "v_documents",
     ),
-    "captions": with_views("SELECT document_id, 3 AS n, '圖 1 two' AS second, 'fig.2 last ' || document_id AS ninth FROM v_documents", "v_documents"),
+    "captions": with_views(
+        f""", l AS (SELECT document_id, list_filter(list_transform(regexp_split_to_array(regexp_replace('Intro' || chr(10) || 'Figure ' || document_id || '. of ' || language || chr(10) || text || CASE WHEN document_id % 2 = 0 THEN chr(10) || '圖 1 two' || chr(10) || 'Figment' || chr(10) || 'fig.2 last ' || document_id ELSE '' END, '(?:{_ENDS})$', ''), '{_ENDS}'), lambda x: {_sql_strip('x')}), lambda x: regexp_matches(x, '{_CAPTION}')) AS found FROM v_documents)
+        SELECT document_id, CAST(len(found) AS INTEGER) AS n, found[least(2, len(found))] AS second, found[least(9, len(found))] AS ninth FROM l""",
+        "v_documents",
+    ),
+    "form_tables_fields": with_views(
+        f""", form AS (SELECT document_id, regexp_replace('Case Number:  ' || document_id || chr(10) || 'Name  Low  High' || chr(10) || 'x' || document_id || '  1  2' || chr(10) || text || chr(10) || 'Case Number: last' || document_id || chr(10) || '| a | b |' || chr(10) || 'c | d | e' || chr(10) || 'end-' || chr(10) || 'ing', '[\\r\\x0b\\x0c]', ' ', 'g') AS t FROM v_documents),
+        split AS (SELECT document_id, regexp_split_to_array(regexp_replace(t, '(?:{_ENDS})$', ''), '{_ENDS}') AS ls FROM form),
+        l AS (SELECT document_id, i, ls[i] AS line, {_sql_strip('ls[i]')} AS s FROM (SELECT document_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM split)),
+        f AS (SELECT document_id, i, {_sql_strip(f"regexp_replace(regexp_extract(s, '{_FIELD}', 1), '{_SPACES}+', ' ', 'g')")} AS k, {_sql_strip(f"regexp_extract(s, '{_FIELD}', 2)")} AS v FROM l),
+        g AS (SELECT document_id, k, min(i) AS first_i, arg_max(v, i) AS v FROM f WHERE k <> '' AND v <> '' GROUP BY ALL),
+        fields AS (SELECT document_id, string_agg(k || '=' || v, ';' ORDER BY first_i) AS fields FROM g GROUP BY document_id),
+        t AS (SELECT document_id, i, CASE WHEN contains(line, '|') THEN list_transform(string_split(regexp_replace(line, '^[| ]+|[| ]+$', '', 'g'), '|'), lambda x: {_sql_strip('x')})
+            ELSE list_filter(list_transform(regexp_split_to_array(s, '{_SPACES}{{2,}}'), lambda x: {_sql_strip('x')}), lambda x: x <> '') END AS cells FROM l
+          WHERE length(s) - length(replace(s, '|', '')) >= 2 OR (regexp_matches(s, '[^ ]{_SPACES}{{2,}}[^ ]') AND len(list_filter(regexp_split_to_array(s, '{_SPACES}{{2,}}'), lambda x: x <> '')) >= 3)),
+        runs AS (SELECT document_id, i, '| ' || array_to_string(cells, ' | ') || ' |' AS r, i - row_number() OVER (PARTITION BY document_id ORDER BY i) AS run FROM t),
+        blocks AS (SELECT document_id, run, string_agg(r, chr(10) ORDER BY i) AS b FROM runs GROUP BY ALL HAVING count(*) >= 2),
+        tables AS (SELECT document_id, CAST(count(*) AS INTEGER) AS n_tables, string_agg(b, chr(10) || chr(10) ORDER BY run) AS tables FROM blocks GROUP BY document_id)
+        SELECT document_id, n_tables, tables, fields FROM tables JOIN fields USING (document_id)""",
+        "v_documents",
+    ),
+    "image_ocr_chunks": with_views(
+        """ SELECT c.document_id, CAST(c.chunk_index + 3 AS INTEGER) AS chunk_index, sha256(c.content) AS content_sha256, CAST(c.token_count AS INTEGER) AS token_count, page_number AS page_start, CAST(image_id AS VARCHAR) AS image_ids
+        FROM v_cut c JOIN v_images i ON i.document_id = c.document_id WHERE image_id % 2 = 0""",
+        "v_cut", "v_images",
+    ),
+    "image_names": with_views(
+        """ SELECT image_id, printf('page-%04d-image-%03d', page_number, document_id % 1200) || CASE document_id % 7 WHEN 0 THEN '.png' WHEN 1 THEN '.jpeg' WHEN 4 THEN '.tif' ELSE '.png' END AS filename FROM v_images""",
+        "v_images",
+    ),
+    "parsed_values": with_views(
+        """ SELECT document_id, CASE WHEN document_id % 5 = 0 OR document_id % 14 = 0 OR document_id % 14 = 13 THEN NULL ELSE printf('2024-%02d-%02d ', document_id % 14, document_id % 28 + 1) || CASE document_id % 5 WHEN 1 THEN '10:20:30' ELSE '00:00:00' END END AS moment,
+          document_id % 5 <> 0 AND document_id % 14 IN (0, 13) AS broken, CAST(CASE document_id % 3 WHEN 0 THEN 2 ELSE 0 END AS INTEGER) AS n_fields, CASE document_id % 3 WHEN 0 THEN CAST(document_id AS VARCHAR) END AS first FROM v_documents""",
+        "v_documents",
+    ),
     "ocr_lines": with_views(
         f""",
         w AS ({_WORD_ROWS}),

@@ -5,6 +5,7 @@ Progress lives in the stream's checkpoint; a micro-batch that fails is run again
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -14,6 +15,8 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.governance import STATUSES
+from ..operators.jobs import MAX_ATTEMPTS, claim, finish, next_queued, timed_out
+from ..plans.scratch import scratch_dir
 from ..sources.files import is_supported
 
 REQUEST = "document_id bigint, job_type string, created_at timestamp"
@@ -47,6 +50,47 @@ def run_worker(requests: DataFrame, process: Callable[[DataFrame, int], DataFram
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=poll)).start()
 
 
+Processor = Callable[[DataFrame], DataFrame]
+
+
+def run_jobs(jobs: DataFrame, processors: dict[str, Processor], now: dt.datetime, slots: int = 100, timeout: int = 300, max_attempts: int = MAX_ATTEMPTS, folder: str | None = None) -> DataFrame:
+    """The jobs table after a worker has gone through its queue.
+
+    Jobs that have run too long end as failed attempts. Then the longest waiting jobs are claimed, ``slots`` at a time, and
+    given by type to their processor, which returns (job_id, error) with a null error for what it has completed; a claimed
+    job that it doesn't name has failed, and so has all of a batch whose processor raises. Failed jobs queue again until
+    their attempts run out. Types without a processor stay queued. Every turn is written as a table of its own.
+    """
+    spark = jobs.sparkSession
+    root = folder or scratch_dir(spark, "jobs")
+    turn = 0
+
+    def kept(table: DataFrame, name: str) -> DataFrame:
+        nonlocal turn
+        turn += 1
+        path = f"{root}/{turn}-{name}"
+        table.write.mode("overwrite").parquet(path)
+        return spark.read.schema(table.schema).parquet(path)
+
+    jobs = kept(finish(jobs, timed_out(jobs, now, timeout), now, max_attempts), "timed-out")
+    while True:
+        busy = False
+        for kind, process in processors.items():
+            claimed = kept(next_queued(jobs, kind, slots), "claimed")
+            if claimed.isEmpty():
+                continue
+            busy = True
+            jobs = kept(claim(jobs, claimed, now), "running")
+            try:
+                said = kept(process(claimed).select("job_id", "error"), "outcomes")
+                outcomes = claimed.select("job_id").join(said.withColumn("_said", F.lit(True)), "job_id", "left").select("job_id", F.when(F.col("_said"), F.col("error")).otherwise("not processed").alias("error"))
+            except Exception as e:  # whatever the processor raises ends this attempt of its jobs
+                outcomes = claimed.select("job_id", F.lit(f"{type(e).__name__}: {e}"[:500]).alias("error"))
+            jobs = kept(finish(jobs, outcomes, now, max_attempts), "finished")
+        if not busy:
+            return jobs
+
+
 _ORDER = {name: i for i, name in enumerate(STATUSES)}
 
 

@@ -66,3 +66,14 @@ def test_odd_vectors(spark):
     none = cells.fit_centroids(rows.where("chunk_id = 2"))
     assert len(none) == 0 and cells.probed(none, [1.0]) == [cells.NO_CELL]
     assert [r.cell for r in cells.with_cells(rows.where("chunk_id = 1"), none).collect()] == [cells.NO_CELL]
+
+
+def test_query_vectors_beyond_the_bound_go_in_blocks(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(size=8).tolist() if i % 7 else None) for i in range(300)]
+    vectors = spark.createDataFrame(rows, "chunk_id long, embedding array<double>")
+    queries = vectors.where("chunk_id % 5 = 0").selectExpr("chunk_id AS query_id", "embedding")
+    plain = sorted(map(tuple, search.vector_search_batch(vectors, queries, 4).collect()))
+    blocks = sorted(map(tuple, search.vector_search_batch(vectors, queries, 4, max_query_bytes=600).collect()))
+    assert [r[:2] + r[3:] for r in plain] == [r[:2] + r[3:] for r in blocks] and len(plain) > 100
+    assert search.vector_search_batch(vectors, queries.where("query_id < 0"), 4).count() == 0
