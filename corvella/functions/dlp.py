@@ -72,7 +72,7 @@ DEFAULT_RULES: tuple[Rule, ...] = (
     Rule("customer_name", "Example Customer Corp", "[CUSTOMER_001]", "medium"),
     Rule("machine_name", "Machine-A12", "[MACHINE_001]", "medium"),
 )
-#: Every rule is an expression of its own in the plan; larger dictionaries are joined by token instead.
+#: Every rule is an expression of its own in the plan; a larger dictionary is refused.
 MAX_RULES = 500
 
 
