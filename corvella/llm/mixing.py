@@ -10,10 +10,10 @@ the blocks by number. No source takes more than three passes, so no document is
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -23,78 +23,73 @@ from .common import WORD, materialize, shuffle_width, table, text_chunks, unused
 BLOCK_WORDS = 64
 OUTPUT_SHARDS = 64
 MAX_PASSES = 3
-#: Sources are a catalogue, not data: so many rows at most reach the driver, else it says so.
-MAX_SOURCES = 100_000
+#: The draws go down in two steps, to so many groups of sources on the driver and to a group's sources in a task.
+SOURCE_GROUPS = 1 << 10
 _SLOTS_A_ROW = 1 << 16
 
 
-@dataclass(frozen=True)
-class SourcePlan:
-    number: int
-    source: str | None
-    size: int
-    target: float
-    blocks: int
-    slots: int
-
-
-def targets(sizes: list[int], weights: list[int], passes: int = MAX_PASSES) -> list[float]:
-    """Shares of the sum of sizes by weight, none above passes times its size; the excess is shared out again."""
-    total = float(sum(sizes))
-    share = [0.0] * len(sizes)
-    open_ = {i for i, s in enumerate(sizes) if s > 0}
-    left = total
-    while open_:
-        unit = left / sum(weights[i] for i in open_)
-        full = {i for i in open_ if unit * weights[i] > passes * sizes[i]}
-        if not full:
-            for i in open_:
-                share[i] = unit * weights[i]
-            break
-        for i in full:
-            share[i] = float(passes * sizes[i])
-            left -= share[i]
-        open_ -= full
-    return share
-
-
-def plan_sources(sized: DataFrame, block_words: int) -> list[SourcePlan]:
-    """Sources in code-point order, null last, with target, blocks and slots. Weights run 1, 2, 3, 1, 2, ..."""
-    rows = sized.groupBy("source").agg(F.sum("size").alias("size")).limit(MAX_SOURCES + 1).collect()
-    if len(rows) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    rows.sort(key=lambda r: (r.source is None, [ord(c) for c in r.source or ""]))
-    sizes = [r["size"] for r in rows]
-    wanted = targets(sizes, [1 + i % 3 for i in range(len(rows))])
-    plans = []
-    for i, (r, size, target) in enumerate(zip(rows, sizes, wanted, strict=True)):
-        blocks = -(-size // block_words)
-        # Whole passes take the source's words exactly; the rest of the target is counted in blocks.
-        passes = min(int(target // size), MAX_PASSES) if size else 0
-        rest = round((target - passes * size) / block_words) if size else 0
-        plans.append(SourcePlan(i, r.source, size, target, blocks, min(passes * blocks + rest, MAX_PASSES * blocks)))
-    return plans
-
-
-def deal_slots(plans: list[SourcePlan], shards: int, seed: int) -> list[tuple[int, int, int, int]]:
-    """(shard, source number, first slot, slots): multinomial draws from what is left, shard after shard."""
+def numbered_sources(sized: DataFrame) -> DataFrame:
+    """(source, source_size, source_no): sources in code-point order, null last, numbered from 0 without a gap.
+
+    Sources are sorted by ranges and numbered within each; only the counts of the ranges are summed in one task.
+    """
+    spark = sized.sparkSession
+    sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    # A range's number is in the upper bits of the id, the place within it in the lower 33.
+    placed = materialize(sizes.orderBy(F.col("source").asc_nulls_last()).withColumn("at", F.monotonically_increasing_id()), "mix-sources")
+    spread = placed.select("source", "source_size", F.shiftright("at", 33).alias("range"), F.col("at").bitwiseAND((1 << 33) - 1).alias("nth"))
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    bases = spread.groupBy("range").count().select("range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
+    return spread.join(bases, "range").select("source", "source_size", (F.col("base") + F.col("nth")).alias("source_no"))
+
+
+def share_unit(sources: DataFrame, passes: int = MAX_PASSES) -> float:
+    """What a weight of 1 is worth: sources (source_size, weight) share all sizes, none above passes times its own.
+
+    Each round takes what is above out and shares the excess out again. A round is one sum over the sources;
+    the worth only rises, so those above stay above and rounds end when no source joins them.
+    """
+    size, weight = F.col("source_size"), F.col("weight")
+    unit, above = 0.0, -1
+    while True:
+        full = F.lit(unit) * weight > passes * size
+        found = sources.where("source_size > 0").agg(
+            F.count(F.when(full, 1)).alias("above"), F.sum(size).alias("total"), F.sum(F.when(full, passes * size)).alias("given"), F.sum(F.when(~full, weight)).alias("open")
+        ).first()
+        if found.total is None or not found.open or found.above == above:
+            return unit
+        unit, above = (found.total - (found.given or 0)) / found.open, found.above
+
+
+def plan_sources(sized: DataFrame, block_words: int) -> DataFrame:
+    """(source_no, source, source_size, target, blocks, slots), written once. Weights run 1, 2, 3, 1, 2, ..."""
+    sources = materialize(numbered_sources(sized).withColumn("weight", 1 + F.col("source_no") % 3), "mix-weights")
+    size, target = F.col("source_size"), F.col("target")
+    wanted = sources.withColumn("target", F.least(F.lit(share_unit(sources)) * F.col("weight"), (MAX_PASSES * size).cast("double")))
+    # Whole passes take the source's words exactly; the rest of the target is counted in blocks.
+    passes = F.when(size > 0, F.least(F.floor(target / size), F.lit(MAX_PASSES))).otherwise(0)
+    blocks = F.ceil(size / block_words).cast("long")
+    slots = F.least(passes * blocks + F.rint((target - passes * size) / block_words).cast("long"), MAX_PASSES * blocks)
+    return materialize(wanted.select("source_no", "source", "source_size", "target", blocks.alias("blocks"), slots.alias("slots")), "mix-plan")
+
+
+def even_shares(total: int, shards: int) -> list[int]:
+    """total dealt to shards, counts at most one apart."""
+    return [total // shards + (i < total % shards) for i in range(shards)]
+
+
+def deal_slots(slots: np.ndarray, wants: Sequence[int], seed: int) -> Iterator[np.ndarray]:
+    """For every shard how many slots it takes of each source: multinomial draws from what is left, shard after shard."""
     rng = np.random.default_rng(seed)
-    left = np.array([p.slots for p in plans], np.int64)
-    first = np.zeros(len(plans), np.int64)
-    out = []
-    for shard in range(shards):
-        total = int(left.sum())
-        want = -(-total // (shards - shard))
-        if not total:
-            break
-        drawn = np.minimum(rng.multinomial(want, left / total), left) if shard < shards - 1 else left.copy()
-        while (short := want - int(drawn.sum())) > 0:
+    left = slots.astype(np.int64)
+    for shard, want in enumerate(wants):
+        drawn = np.zeros(len(left), np.int64)
+        while shard < len(wants) - 1 and (short := want - int(drawn.sum())) > 0:
             room = left - drawn
             drawn += np.minimum(rng.multinomial(short, room / room.sum()), room)
-        out += [(shard, i, int(first[i]), int(n)) for i, n in enumerate(drawn.tolist()) if n]
-        first += drawn
+        drawn = drawn if shard < len(wants) - 1 else left.copy()
         left -= drawn
-    return out
+        yield drawn
 
 
 def permute(index: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -116,12 +111,36 @@ def permute(index: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def slot_table(spark: SparkSession, plans: list[SourcePlan], shards: int, seed: int) -> DataFrame:
+def dealt_slots(plan: DataFrame, shards: int, seed: int) -> DataFrame:
+    """(shard, source_no, blocks, first, last): which slots of a source go to which shard.
+
+    Sources are put into SOURCE_GROUPS groups by number. The groups' draws are made on the driver (groups x
+    shards numbers at any size), those within a group in a task that holds one number a source.
+    """
+    spark = plan.sparkSession
+    grouped = plan.where("slots > 0").select("source_no", "blocks", "slots", (F.col("source_no") % SOURCE_GROUPS).cast("int").alias("grp"))
+    totals = sorted((r.grp, r.slots) for r in grouped.groupBy("grp").agg(F.sum("slots").alias("slots")).collect())
+    sums = np.array([n for _, n in totals], np.int64)
+    dealt = np.array(list(deal_slots(sums, even_shares(int(sums.sum()), shards), seed)))
+    wants = spark.createDataFrame([(g, dealt[:, i].tolist()) for i, (g, _) in enumerate(totals)], "grp int, wants array<long>")
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("source_no", ignore_index=True)
+        first, parts = np.zeros(len(rows), np.int64), []
+        for shard, drawn in enumerate(deal_slots(rows["slots"].to_numpy(), rows["wants"][0].tolist(), seed + 1 + int(rows["grp"][0]))):
+            some = drawn > 0
+            parts.append(rows.loc[some, ["source_no", "blocks"]].assign(shard=shard, first=first[some], last=(first + drawn)[some]))
+            first = first + drawn
+        return pd.concat(parts)[["shard", "source_no", "blocks", "first", "last"]]
+
+    return grouped.join(wants, "grp").groupBy("grp").applyInPandas(run, "shard int, source_no long, blocks long, first long, last long")
+
+
+def slot_table(plan: DataFrame, shards: int, seed: int) -> DataFrame:
     """(source_no, shard, slot, pass, block): every slot of the mix with the block it takes."""
-    blocks = {p.number: p.blocks for p in plans}
-    dealt = [(shard, i, first, first + n, blocks[i]) for shard, i, first, n in deal_slots(plans, shards, seed)]
+    spark = plan.sparkSession
     starts = F.explode(F.sequence("first", F.col("last") - 1, F.lit(_SLOTS_A_ROW)))
-    ranges = spark.createDataFrame(dealt, "shard int, source_no int, first long, last long, blocks long").select("shard", "source_no", starts.alias("first"), "last", "blocks")
+    ranges = dealt_slots(plan, shards, seed).select("shard", "source_no", starts.alias("first"), "last", "blocks")
     ranges = ranges.select("shard", "source_no", "first", F.least("last", F.col("first") + _SLOTS_A_ROW).alias("last"), "blocks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,10 +149,10 @@ def slot_table(spark: SparkSession, plans: list[SourcePlan], shards: int, seed:
                 slot = np.arange(first, last)
                 count = np.full(len(slot), n)
                 block = permute(slot % n, count, (slot // n) * 1_000_003 + source * 7_919 + seed)
-                columns = [np.full(len(slot), source, np.int32), np.full(len(slot), shard, np.int32), slot, (slot // n).astype(np.int32), block]
+                columns = [np.full(len(slot), source, np.int64), np.full(len(slot), shard, np.int32), slot, (slot // n).astype(np.int32), block]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["source_no", "shard", "slot", "pass", "block"])
 
-    return ranges.repartition(shuffle_width(spark)).mapInArrow(run, "source_no int, shard int, slot long, pass int, block long")
+    return ranges.repartition(shuffle_width(spark)).mapInArrow(run, "source_no long, shard int, slot long, pass int, block long")
 
 
 def _sized(docs: DataFrame) -> DataFrame:
@@ -153,9 +172,9 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, shards: int = OUTPUT_SH
     """
     spark = docs.sparkSession
     sized = materialize(_sized(docs), "mix-sizes")
-    plans = plan_sources(sized, block_words)
-    catalogue = spark.createDataFrame([(p.number, p.source, p.size, p.target) for p in plans], "source_no int, source_ string, source_size long, target double")
-    placed = sized.join(F.broadcast(catalogue), F.col("source").eqNullSafe(F.col("source_"))).drop("source_")
+    plan = plan_sources(sized, block_words)
+    catalogue = plan.select("source_no", F.col("source").alias("source_"), "source_size", "target")
+    placed = sized.join(catalogue, F.col("source").eqNullSafe(F.col("source_"))).drop("source_")
     buckets = 4 * shuffle_width(spark)
     laid = with_offsets(placed, ["source_no"], ["doc_id", "row_hash", "size"], "size", "first", buckets)
     laid = materialize(laid.withColumn("row_no", F.monotonically_increasing_id()), "mix-laid")
@@ -165,7 +184,7 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, shards: int = OUTPUT_SH
     stop = F.least(F.col("first") + F.col("size"), (F.col("block") + 1) * block_words)
     blocks = cut.select("source_no", "block", "row_no", (begin - F.col("first")).alias("first"), (stop - begin).alias("n"))
     # Exploded blocks are far larger than the table they are estimated from: no broadcast on that estimate.
-    pieces = slot_table(spark, plans, shards, seed).join(blocks.hint("merge"), ["source_no", "block"])
+    pieces = slot_table(plan, shards, seed).join(blocks.hint("merge"), ["source_no", "block"])
     taken = pieces.groupBy("row_no").agg(F.sum("n").alias("taken"))
     documents = laid.join(taken, "row_no", "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "row_hash", "row_no")
     return documents, pieces

@@ -3,6 +3,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from corvella.llm import mixing
 
@@ -64,15 +65,15 @@ def test_whole_table(spark, sf_docs):
 def test_slots_take_blocks_of_the_planned_sources(sf_docs):
     """Every slot of a source is filled once, by one block; a pass takes a block at most once."""
     documents, pieces = mixing.mix(sf_docs, block_words=50, shards=7)
-    plans = mixing.plan_sources(documents, 50)
+    plans = mixing.plan_sources(documents, 50).collect()
     found = pieces.select("source_no", "slot", "pass", "block", "shard").distinct().collect()
     by = Counter(r.source_no for r in found)
-    assert all(by[p.number] == p.slots for p in plans)
+    assert all(by[p.source_no] == p.slots for p in plans)
     assert len({(r.source_no, r["pass"], r.block) for r in found}) == len(found)
     per_shard = Counter(r.shard for r in found)
     assert max(per_shard.values()) - min(per_shard.values()) <= 7
     for p in plans:
-        assert all(r["pass"] < 3 and 0 <= r.block < p.blocks for r in found if r.source_no == p.number)
+        assert all(r["pass"] < 3 and 0 <= r.block < p.blocks for r in found if r.source_no == p.source_no)
 
 
 def test_odd_rows(odd_docs, no_docs):
@@ -105,7 +106,30 @@ def test_permutations(n):
         assert sorted(out.tolist()) == list(range(n))
 
 
-def test_targets_stop_at_three_sizes():
-    assert mixing.targets([10, 1000], [1, 2]) == [30.0, 980.0]
-    assert mixing.targets([0, 0], [1, 2]) == [0.0, 0.0]
-    assert mixing.targets([], []) == []
+def _plan(spark, sizes):
+    """Targets of sources of these sizes, in order; weights 1, 2, 3, 1, ..."""
+    sized = spark.createDataFrame([(f"s{i:07d}", n) for i, n in enumerate(sizes)], "source string, size long")
+    return mixing.plan_sources(sized, 1).orderBy("source_no")
+
+
+def test_targets_stop_at_three_sizes(spark):
+    assert [r.target for r in _plan(spark, [10, 1000]).collect()] == [30.0, 980.0]
+    assert [r.target for r in _plan(spark, [0, 0]).collect()] == [0.0, 0.0]
+    assert _plan(spark, []).count() == 0
+    sizes = [3**i for i in range(12)]
+    assert [r.target for r in _plan(spark, sizes).collect()] == pytest.approx(list(_targets(dict(enumerate(sizes))).values()))
+
+
+def test_sources_without_bound(spark):
+    """More sources than ever went through the driver: numbers without a gap, every slot dealt once, shards even."""
+    n = 150_000
+    sized = spark.range(n).select(F.format_string("s%07d", "id").alias("source"), (1 + F.col("id") % 5).alias("size"))
+    plan = mixing.plan_sources(sized, 1)
+    stats = plan.agg(F.min("source_no"), F.max("source_no"), F.count_distinct("source_no"), F.sum("source_size"), F.sum("target"), F.sum("slots")).first()
+    assert tuple(stats)[:4] == (0, n - 1, n, 3 * n) and abs(stats[4] - 3 * n) < 1e-3
+    assert plan.where(F.col("source") != F.format_string("s%07d", "source_no")).count() == 0
+    dealt = mixing.dealt_slots(plan, 8, 17).withColumn("n", F.col("last") - F.col("first"))
+    by_source = dealt.groupBy("source_no").agg(F.sum("n").alias("n"), F.max("last").alias("last"))
+    assert by_source.join(plan, "source_no").where("n != slots or last != slots").count() == 0
+    per_shard = [r.n for r in dealt.groupBy("shard").agg(F.sum("n").alias("n")).collect()]
+    assert sum(per_shard) == stats[5] and len(per_shard) == 8 and max(per_shard) - min(per_shard) <= 1
