@@ -6,7 +6,7 @@ A finding is a struct; a text's findings are an array of them in text order. Off
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -72,7 +72,8 @@ DEFAULT_RULES: tuple[Rule, ...] = (
     Rule("customer_name", "Example Customer Corp", "[CUSTOMER_001]", "medium"),
     Rule("machine_name", "Machine-A12", "[MACHINE_001]", "medium"),
 )
-#: Every rule is an expression of its own in the plan; a larger dictionary is refused.
+#: Rules given as a list are expressions of their own in the plan, so many at most. A dictionary of any size is
+#: a table: see ``operators.dlp.scan_with_dictionary``.
 MAX_RULES = 500
 
 
@@ -88,32 +89,32 @@ def _none() -> Column:
     return F.array().cast(f"array<{FINDING}>")
 
 
-def _found(text: Column, d: Detector, place: int) -> Column:
-    """All matches of one detector. What stands between the matches gives their offsets."""
-    hits = F.regexp_extract_all(text, F.lit(d.pattern), F.lit(0))
-    gaps = F.slice(F.split(text, d.pattern, -1), F.lit(1), F.size(hits))
+def _spans(text: Column, pattern: Column, made: Callable[[Column, Column], Column]) -> Column:
+    """All matches of a pattern, as made(start, value). What stands between the matches gives their offsets."""
+    hits = F.regexp_extract_all(text, pattern, F.lit(0))
+    gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(hits))
     pairs = F.zip_with(gaps, hits, lambda g, h: F.struct(F.length(g).alias("gap"), h.alias("hit")))
-
-    def step(done: Column, p: Column) -> Column:
-        start = F.coalesce(F.get(done, F.size(done) - 1)["end"], F.lit(0)) + p["gap"]
-        return F.concat(
-            done,
-            F.array(
-                F.struct(
-                    start.alias("start"),
-                    (-F.length(p["hit"])).alias("shorter"),
-                    F.lit(place).alias("detector"),
-                    (start + F.length(p["hit"])).alias("end"),
-                    F.lit(d.entity_type).alias("entity_type"),
-                    p["hit"].alias("value"),
-                    F.lit(d.action).alias("action"),
-                    F.lit(d.risk_level).alias("risk_level"),
-                    F.lit(d.confidence).alias("confidence"),
-                    F.lit(d.replacement).cast("string").alias("replacement"),
-                ).cast(FINDING)
-            ),
-        )
-
+    reach = lambda done: F.coalesce(F.get(done, F.size(done) - 1)["end"], F.lit(0))
+    return F.aggregate(pairs, _none(), lambda done, p: F.concat(done, F.array(made(reach(done) + p["gap"], p["hit"]).cast(FINDING))))
+
+
+def _finding(start: Column, value: Column, place: Column, entity_type: Column, action: Column, risk_level: Column, confidence: Column, put: Column) -> Column:
+    return F.struct(
+        start.alias("start"),
+        (-F.length(value)).alias("shorter"),
+        place.alias("detector"),
+        (start + F.length(value)).alias("end"),
+        entity_type.alias("entity_type"),
+        value.alias("value"),
+        action.alias("action"),
+        risk_level.alias("risk_level"),
+        confidence.alias("confidence"),
+        put.alias("replacement"),
+    )
+
+
+def _found(text: Column, d: Detector, place: Column) -> Column:
+    """All matches of one detector."""
     might = text.rlike(d.pattern)
     if d.hint:
         lowered = F.lower(text)
@@ -121,12 +122,34 @@ def _found(text: Column, d: Detector, place: int) -> Column:
         for h in d.hint[1:]:
             cheap = cheap | lowered.contains(h)
         might = cheap & might
-    return F.when(might, F.aggregate(pairs, _none(), step)).otherwise(_none())
+    made = lambda start, value: _finding(start, value, place, *map(F.lit, (d.entity_type, d.action, d.risk_level, d.confidence)), F.lit(d.replacement).cast("string"))
+    return F.when(might, _spans(text, F.lit(d.pattern), made)).otherwise(_none())
+
+
+def folded(text: Column) -> Column:
+    """Texts that the rules' patterns hold alike in another case become equal (so do a few others: ß and ss)."""
+    return F.translate(F.lower(F.upper(F.translate(text, "\u1e9eİı", "ßii"))), "ς", "σ")
+
+
+def _found_rule(text: Column, rule: Column, place: Column) -> Column:
+    """All matches of a rule that is a struct (entity_type, value, replacement, risk_level), as of ``Rule``."""
+    literal = F.concat(F.lit("(?iU)\\Q"), F.replace(rule["value"], F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+    put = F.coalesce(F.nullif(rule["replacement"], F.lit("")), F.concat(F.lit("["), F.upper(rule["entity_type"]), F.lit("]")))
+    action = F.when(put == "[BLOCK]", "block").otherwise("mask")
+    return _spans(text, literal, lambda start, value: _finding(start, value, place, rule["entity_type"], action, rule["risk_level"], F.lit(1.0), put))
+
+
+def detect_with(text: Column, rules: Column) -> Column:
+    """``detect`` with the built-in patterns, a row's own array of rules, then names."""
+    t = F.coalesce(text, F.lit(""))
+    first, last = len(BUILT_IN), F.size(rules) + len(BUILT_IN)
+    own = F.flatten(F.transform(rules, lambda r, i: _found_rule(t, r, i + first)))
+    return F.array_sort(F.concat(*(_found(t, d, F.lit(i)) for i, d in enumerate(BUILT_IN)), own, *(_found(t, d, last + i) for i, d in enumerate(NAMES))))
 
 
 def detect(text: Column, chosen: Sequence[Detector]) -> Column:
     """Every match of every detector, by start, then the longer, then the earlier detector. Null text: none."""
-    return F.array_sort(F.concat(*(_found(F.coalesce(text, F.lit("")), d, i) for i, d in enumerate(chosen))))
+    return F.array_sort(F.concat(*(_found(F.coalesce(text, F.lit("")), d, F.lit(i)) for i, d in enumerate(chosen))))
 
 
 def without_overlaps(findings: Column) -> Column:

@@ -12,16 +12,60 @@ from ..functions.dlp import DEFAULT_RULES, MAX_RULES, Rule
 from .security import upsert
 
 
+#: Texts are looked up piece by piece, and first by so many characters of a term.
+_PIECE, _KEY = 128, 4
+
+
 def scan_and_mask(rows: DataFrame, text: str, location: str, rules: Sequence[Rule] = DEFAULT_RULES) -> DataFrame:
     """rows with findings, masked_text, masked_entities, risk_level, blocked and location.
 
     A null text has no findings and stays null.
     """
-    chosen = dlp.detectors(rules)
-    found = rows.withColumn("_all", dlp.detect(F.col(text), chosen)).withColumn("findings", dlp.without_overlaps(F.col("_all"))).drop("_all")
+    return _masked(rows.withColumn("_all", dlp.detect(F.col(text), dlp.detectors(rules))), text, location)
+
+
+def scan_with_dictionary(rows: DataFrame, text: str, location: str, dictionary: DataFrame) -> DataFrame:
+    """``scan_and_mask`` with the active rules of a dictionary of any size, newest first.
+
+    The rules that occur in a text are found by ``dictionary_hits`` and join it as an array; only they are run.
+    """
+    ordered = F.array_sort(F.collect_list(F.struct((-F.unix_micros(F.col("created_at").cast("timestamp"))).alias("age"), "entity_type", "value", "replacement", "risk_level")))
+    own = dictionary_hits(rows, text, dictionary).groupBy("text_hash").agg(ordered.alias("_rules")).withColumnRenamed("text_hash", "_text_hash")
+    found = rows.withColumn("_text_hash", F.xxhash64(text)).join(own, "_text_hash", "left").drop("_text_hash")
+    rules = F.coalesce("_rules", F.array().cast(own.schema["_rules"].dataType))
+    return _masked(found.withColumn("_all", dlp.detect_with(F.col(text), rules)).drop("_rules"), text, location)
+
+
+def dictionary_hits(rows: DataFrame, text: str, dictionary: DataFrame) -> DataFrame:
+    """(text_hash, rule columns): the active rules whose value may occur in a text, in any case, once each.
+
+    Every place of a text is looked up by the next characters among the terms' beginnings, then by the lengths
+    of the terms that begin so among the terms themselves. Both are joins by equality that Catalyst broadcasts
+    if they are small. Rules may be too many by what ``folded`` takes for equal, never too few.
+    """
+    terms = dictionary.where("is_active and value != ''").select("entity_type", "value", "replacement", "risk_level", "created_at").withColumn("term", dlp.folded(F.col("value")))
+    begin = F.substring("term", 1, _KEY)
+    sizes = terms.agg(F.max(F.length("term")).alias("longest"), F.array_sort(F.collect_set(F.length(begin))).alias("keys")).first()
+    longest, keys = sizes.longest or 1, list(sizes["keys"])
+    starts = terms.groupBy(begin.alias("key")).agg(F.collect_set(F.length("term")).alias("sizes"))
+    width = max(_PIECE, longest)
+    cut = F.regexp_extract_all(dlp.folded(F.col(text)), F.lit(f"(?s).{{1,{width}}}"), F.lit(0))
+    # A term may begin in one piece and end in the next.
+    pieces = F.transform(cut, lambda c, i: F.struct(F.length(c).alias("own"), F.concat(c, F.coalesce(F.left(F.get(cut, i + 1), F.lit(longest - 1)), F.lit(""))).alias("said")))
+    looked = rows.select(F.xxhash64(text).alias("text_hash"), F.explode(pieces).alias("piece")).select("text_hash", "piece.own", "piece.said")
+    places = looked.select("text_hash", "said", F.explode(F.sequence(F.lit(1), "own")).alias("at"))
+    keyed = places.select("text_hash", "said", "at", F.explode(F.array(*map(F.lit, keys)).cast("array<int>")).alias("n"))
+    begun = keyed.withColumn("key", F.col("said").substr(F.col("at"), F.col("n"))).join(starts, "key")
+    whole = begun.select("text_hash", "said", "at", F.explode("sizes").alias("n")).select("text_hash", F.col("said").substr(F.col("at"), F.col("n")).alias("term"))
+    return whole.distinct().join(terms, "term").drop("term")
+
+
+def _masked(scanned: DataFrame, text: str, location: str) -> DataFrame:
     f = F.col("findings")
     return (
-        found.withColumn("masked_text", dlp.masked(F.col(text), f))
+        scanned.withColumn("findings", dlp.without_overlaps(F.col("_all")))
+        .drop("_all")
+        .withColumn("masked_text", dlp.masked(F.col(text), f))
         .withColumn("masked_entities", dlp.entities(f))
         .withColumn("risk_level", dlp.highest_risk(f))
         .withColumn("blocked", dlp.is_blocked(f))
@@ -46,7 +90,7 @@ def masking_events(scanned: DataFrame, message_id: str) -> DataFrame:
 
 
 def active_rules(dictionary: DataFrame) -> list[Rule]:
-    """Active rules, newest first. The dictionary is a hand-kept list: more than MAX_RULES active ones are an error."""
+    """Active rules, newest first, as a list. More than MAX_RULES are an error: ``scan_with_dictionary`` takes them as a table."""
     wanted = dictionary.where("is_active").orderBy(F.col("created_at").desc_nulls_first(), "entity_type", "value").limit(MAX_RULES + 1)
     rows = wanted.select("entity_type", "value", "replacement", "risk_level").collect()
     if len(rows) > MAX_RULES:

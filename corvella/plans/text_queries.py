@@ -243,9 +243,21 @@ def dictionary_rules(spark: SparkSession, sf: str) -> DataFrame:
     return rules.select("entity_type", "value", "replacement", "risk_level", "is_active", F.date_format("created_at", "yyyy-MM-dd").alias("created"))
 
 
+def dictionary_terms(spark: SparkSession, sf: str) -> DataFrame:
+    """The terms of a large dictionary (every word of the benchmark's passages) that occur in a document, in any case."""
+    words = F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[a-z]+"), F.lit(0))))
+    terms = spark.read.parquet(f"{sf}/benchmark.parquet").select(words.alias("value")).distinct()
+    none = F.lit(None).cast("string")
+    dictionary = terms.select(F.lit("term").alias("entity_type"), "value", none.alias("replacement"), F.lit("low").alias("risk_level"), F.lit(True).alias("is_active"), F.lit("2024-01-01").cast("timestamp_ntz").alias("created_at"))
+    docs = views.documents(spark, sf)
+    hits = masking.dictionary_hits(docs, "text", dictionary).groupBy("text_hash").agg(F.array_sort(F.collect_set("value")).alias("found"))
+    found = docs.select("document_id", F.xxhash64("text").alias("text_hash")).join(hits, "text_hash")
+    return found.select("document_id", F.size("found").alias("n_terms"), F.sha2(F.array_join("found", ","), 256).alias("terms_sha256"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (text_functions, prompt_predicates, scalar_helpers, vector_literals, chunk_text, chunk_pages, chunk_images, link_images, document_pages, pdf_structure, form_tables_fields, captions, image_ocr_chunks, image_names, parsed_values, ocr_lines, ocr_layout, office_documents, dlp_findings, dlp_mask, dlp_full, dlp_events, dictionary_rules)
+    for f in (text_functions, prompt_predicates, scalar_helpers, vector_literals, chunk_text, chunk_pages, chunk_images, link_images, document_pages, pdf_structure, form_tables_fields, captions, image_ocr_chunks, image_names, parsed_values, ocr_lines, ocr_layout, office_documents, dlp_findings, dlp_mask, dlp_full, dlp_events, dictionary_rules, dictionary_terms)
 }
 
 # ---- DuckDB ----------------------------------------------------------------------------------------------------
@@ -425,6 +437,13 @@ ORACLES: dict[str, str] = {
         SELECT document_id, CAST(n AS INTEGER) AS n, sha256(masked) AS masked_sha256, CASE risk WHEN 3 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END AS risk_level, blocked FROM glued""",
         "v_documents",
     ).replace("WITH ", "WITH RECURSIVE ", 1),
+    "dictionary_terms": with_views(
+        """,
+        terms AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[a-z]+')) AS value FROM benchmark)
+        SELECT document_id, CAST(count(*) AS INTEGER) AS n_terms, sha256(string_agg(value, ',' ORDER BY value)) AS terms_sha256
+        FROM v_documents JOIN terms ON contains(lower(text), value) GROUP BY document_id""",
+        "v_documents",
+    ),
     "dictionary_rules": """
         SELECT * FROM (VALUES ('machine_name', 'Machine-A12', '[MACHINE_001]', 'medium', false, '2024-01-01'), ('word', 'Ende', NULL, 'low', true, '2024-01-01'),
           ('restricted_keyword', 'RESTRICTED_FORMULA', '[BLOCK]', 'high', true, '2024-02-01'), ('customer_name', 'Example Customer Corp', '[CUSTOMER_001]', 'medium', false, '2024-02-01')

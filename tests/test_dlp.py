@@ -101,3 +101,43 @@ def test_templates_come_back_inactive(spark):
     on = masking.toggle_rule(once, "machine_name", "Machine-A12", True)
     again = masking.install_templates(on, dt.datetime(2024, 6, 1)).where("value = 'Machine-A12'").collect()
     assert [r.is_active for r in again] == [False] and on.where("is_active and value = 'Machine-A12'").count() == 1
+
+
+def _table(spark, rules):
+    """Rules as a dictionary table, the first the newest."""
+    rows = [(r.entity_type, r.value, r.replacement, r.risk_level, r.is_active, dt.datetime(2024, 1, 1) - dt.timedelta(hours=i)) for i, r in enumerate(rules)]
+    return spark.createDataFrame(rows, "entity_type string, value string, replacement string, risk_level string, is_active boolean, created_at timestamp_ntz")
+
+
+def _by_table(spark, texts, rules):
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").repartition(3)
+    rows = masking.scan_with_dictionary(df, "t", "query", _table(spark, rules)).orderBy("i").collect()
+    assert len(rows) == len(texts)
+    return [(r.masked_text, [(e.entity_type, e.masked_value) for e in r.masked_entities], r.risk_level, r.blocked) for r in rows]
+
+
+def test_dictionary_table_equals_rules(spark):
+    texts = TEXTS + ["a.b(c) restricted_formula", "a.b(c)", "x" * 126 + "A.B(C)" + "y" * 300 + "Restricted_Formula", "a.b(c)", "x\\ey\nX\\EY"]
+    assert _by_table(spark, texts, RULES) == [_model(t, RULES) for t in texts]
+    assert _by_table(spark, texts, []) == [_model(t, []) for t in texts]
+    (null,) = masking.scan_with_dictionary(spark.createDataFrame([(None,)], "t string"), "t", "query", _table(spark, RULES)).collect()
+    assert null.masked_text is None and null.findings == []
+
+
+def test_dictionary_beyond_the_list(spark, monkeypatch):
+    """More rules than a list may hold: shared beginnings, terms in terms, ties by age, one longer than a piece."""
+    rules = [Rule("code", f"Unit-{i}", f"[U{i}]", "low") for i in range(700)] + [Rule("long", "lang" * 60, "[LONG]", "high"), Rule("short", "q", None, "low"), Rule("twice", "unit-7", "[LATER]", "high")]
+    texts = ["unit-7 and UNIT-77, unit-699unit-700", "a" * 100 + "LANG" * 60 + "lang", "Q unit- 1", "none", ""]
+    got = _by_table(spark, texts, rules)
+    monkeypatch.setattr(dlp, "MAX_RULES", 10_000)
+    assert got == [_model(t, rules) for t in texts]
+
+
+def test_case_folding_misses_no_rule(spark):
+    """What the rules' patterns match in another case is found by the table as well."""
+    pairs = [("straße", "STRA\u1e9eE"), ("kelvin", "\u212aELVIN"), ("ilk", "İLK"), ("ılk", "ILK"), ("σας", "ΣΑΣ"), ("miſt", "MIST"), ("\u00b5m", "\u03bcM"), ("é", "É")]
+    rules = [Rule("r", a, None, "low") for a, _ in pairs]
+    texts = [f"<{b}> {a}" for a, b in pairs]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    listed = masking.scan_and_mask(df, "t", "query", rules).orderBy("i").collect()
+    assert _by_table(spark, texts, rules) == [(r.masked_text, [(e.entity_type, e.masked_value) for e in r.masked_entities], r.risk_level, r.blocked) for r in listed]
