@@ -155,9 +155,9 @@ def slot_table(plan: DataFrame, shards: int, seed: int) -> DataFrame:
     return ranges.repartition(shuffle_width(spark)).mapInArrow(run, "source_no long, shard int, slot long, pass int, block long")
 
 
-def _sized(docs: DataFrame) -> DataFrame:
+def _sized(docs: DataFrame, *more: str) -> DataFrame:
     words = F.size(F.filter(F.split(whole_text(), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")).cast("long")
-    return docs.select("doc_id", "source", words.alias("size"), _row_hash().alias("row_hash"))
+    return docs.select("doc_id", "source", words.alias("size"), _row_hash().alias("row_hash"), *more)
 
 
 def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, shards: int = OUTPUT_SHARDS, seed: int = 17) -> tuple[DataFrame, DataFrame]:
@@ -170,14 +170,19 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, shards: int = OUTPUT_SH
     sources without words. Rows that agree in id and text follow each other in their source and are taken each
     on its own. An empty table gives empty results. Reruns agree: nothing depends on partitions.
     """
-    spark = docs.sparkSession
-    sized = materialize(_sized(docs), "mix-sizes")
+    return _mix(_sized(docs).withColumn("row_no", F.monotonically_increasing_id()), block_words, shards, seed)
+
+
+def _mix(rows: DataFrame, block_words: int, shards: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """``mix`` for rows (doc_id, source, size, row_hash, row_no) whose numbers are their own."""
+    spark = rows.sparkSession
+    sized = materialize(rows, "mix-sizes")
     plan = plan_sources(sized, block_words)
     catalogue = plan.select("source_no", F.col("source").alias("source_"), "source_size", "target")
     placed = sized.join(catalogue, F.col("source").eqNullSafe(F.col("source_"))).drop("source_")
     buckets = 4 * shuffle_width(spark)
     laid = with_offsets(placed, ["source_no"], ["doc_id", "row_hash", "size"], "size", "first", buckets)
-    laid = materialize(laid.withColumn("row_no", F.monotonically_increasing_id()), "mix-laid")
+    laid = materialize(laid, "mix-laid")
     ends = F.floor((F.col("first") + F.col("size") - 1) / block_words)
     cut = laid.where("size > 0").select("source_no", "row_no", "first", "size", F.explode(F.sequence(F.floor(F.col("first") / block_words), ends)).alias("block"))
     begin = F.greatest(F.col("first"), F.col("block") * block_words)
@@ -217,13 +222,13 @@ def keep_mixed(docs: DataFrame, block_words: int = BLOCK_WORDS, shards: int = OU
     A pass that takes a document whole returns its text as it stands; one that takes some blocks of it returns
     the words of those blocks, with the white space among them kept and a line break between blocks that don't
     touch. Documents without a taken word are left out. Of rows that agree in id, source and text each is taken
-    on its own, with the other columns of one of them.
+    on its own, with its own other columns. The rows are numbered and written once, so that a number stays a row's.
     """
-    documents, pieces = mix(docs, block_words, shards, seed)
+    rows = materialize(docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("row_no")), "mix-rows")
+    sized = _sized(rows.select("row.doc_id", "row.source", "row.text", "row_no"), "row_no")
+    _, pieces = _mix(sized, block_words, shards, seed)
     by_pass = pieces.groupBy("row_no", "pass").agg(F.array_sort(F.collect_list(F.struct("first", "n"))).alias("parts"))
-    wanted = documents.select("row_no", "row_hash").join(by_pass.hint("merge"), "row_no").groupBy("row_hash").agg(F.array_sort(F.collect_list(F.struct("pass", "row_no", "parts"))).alias("taken"))
-    once = Window.partitionBy("row_hash").orderBy(F.lit(0))
-    rows = docs.select(F.struct("*").alias("row"), _row_hash().alias("row_hash")).withColumn("nth", F.row_number().over(once)).where("nth = 1")
+    wanted = by_pass.groupBy("row_no").agg(F.array_sort(F.collect_list(F.struct("pass", "parts"))).alias("taken"))
     columns, at = docs.columns, docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,7 +241,7 @@ def keep_mixed(docs: DataFrame, block_words: int = BLOCK_WORDS, shards: int = OU
             picked = b.take(pa.array(source, pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if i == at else picked.column(i) for i in range(len(columns))], columns)
 
-    return rows.join(wanted, "row_hash").select("row.*", F.col("taken").alias(unused(docs, "taken"))).mapInArrow(run, docs.schema)
+    return rows.join(wanted.hint("merge"), "row_no").select("row.*", F.col("taken").alias(unused(docs, "taken"))).mapInArrow(run, docs.schema)
 
 
 def op10_mixed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -99,6 +99,19 @@ def test_kept_rows_hold_the_words_taken(odd_docs):
     assert words == Counter({k: v for k, v in taken.items() if v})
 
 
+def test_repeated_rows_keep_their_own_columns(spark):
+    rows = [(1, "a b c d", "s", i) for i in range(200)] + [(2, "x " * 50, "t", -1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, row_no long").repartition(5)
+    kept = mixing.keep_mixed(docs, block_words=2)
+    assert kept.columns == docs.columns
+    taken = {r.row_no: r.n for r in kept.groupBy("row_no").agg(F.count("*").alias("n")).collect()}
+    sizes = {r.source: r.target for r in mixing.mix(docs, block_words=2)[0].select("source", "target").distinct().collect()}
+    words = Counter()
+    for r in kept.collect():
+        words[r.source] += _size(r.text)
+    assert all(abs(words[s] - t) <= 4 for s, t in sizes.items()) and len(taken) > 150
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 7, 64, 1000, 4097])
 def test_permutations(n):
     for key in (0, 1, 99):
