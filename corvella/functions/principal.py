@@ -30,6 +30,12 @@ class Principal:
         return [name for name, rank in LEVELS.items() if rank <= LEVELS[self.clearance]]
 
 
+def require_admin(p: Principal) -> None:
+    """PermissionError unless p is an active administrator; where the service answers 403."""
+    if not (p.active and p.is_admin):
+        raise PermissionError("Admin role is required.")
+
+
 def level_rank(c: Column) -> Column:
     rank = F.when(c == "public", LEVELS["public"])
     for name, value in LEVELS.items():

@@ -206,6 +206,18 @@ def iso_timestamp(c: Column) -> tuple[Column, Column]:
     return parsed, F.coalesce((F.nullif(c, F.lit("")).isNotNull()) & parsed.isNull(), F.lit(False))
 
 
+def json_log_line(time: Column, level: Column, logger: Column, message: Column, exception: Column) -> Column:
+    """A log record as one line of JSON, non-ASCII characters as they are; no exception, no such field.
+
+    The time is UTC to the millisecond. A null among the others reads as the empty text.
+    """
+    quoted = lambda c: F.regexp_extract(F.to_json(F.array(F.coalesce(c, F.lit("")))), "(?s)^\\[(.*)\\]$", 1)
+    field = lambda name, c: F.concat(F.lit(f'"{name}": '), c)
+    stamp = F.concat(F.lit('"'), F.date_format(time, "yyyy-MM-dd'T'HH:mm:ss.SSS"), F.lit('Z"'))
+    failed = F.when(exception.isNotNull(), field("exception", quoted(exception)))
+    return F.concat(F.lit("{"), F.concat_ws(", ", field("timestamp", stamp), field("level", quoted(level)), field("logger", quoted(logger)), field("message", quoted(message)), failed), F.lit("}"))
+
+
 def sse_event(name: Column, payload: Column) -> Column:
     """One server-sent event from an event name and a struct."""
     return F.concat(F.lit("event: "), name, F.lit("\ndata: "), F.to_json(payload), F.lit("\n\n"))

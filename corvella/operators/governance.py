@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.principal import Principal
 from ..functions.text import first_non_empty, session_title
-from .security import can_read_documents, delete_by_key, upsert
+from .security import can_access_bases, can_read_documents, delete_by_key, upsert
 
 # Progress and message of every document status.
 STATUSES: dict[str, tuple[int, str]] = {
@@ -123,6 +123,19 @@ def base_document_counts(bases: DataFrame, documents: DataFrame) -> DataFrame:
     return bases.join(counts, "knowledge_base_id", "left").withColumn("document_count", F.coalesce("_n", F.lit(0)).cast("long")).drop("_n")
 
 
+def create_bases(bases: DataFrame, new: DataFrame, now: dt.datetime) -> DataFrame:
+    """bases and the new ones, which take the time and, where they name none, the level ``internal``."""
+    level = F.coalesce("default_confidential_level", F.lit("internal")) if "default_confidential_level" in new.columns else F.lit("internal")
+    rows = new.withColumn("default_confidential_level", level).withColumn("created_at", F.lit(now).cast("timestamp_ntz"))
+    return bases.unionByName(rows, allowMissingColumns=True)
+
+
+def list_bases(bases: DataFrame, documents: DataFrame, kb_permissions: DataFrame, principal: Principal) -> DataFrame:
+    """Knowledge bases the principal may use, newest first, each with its number of documents."""
+    seen = can_access_bases(bases, kb_permissions, principal).where("can_access").drop("can_access")
+    return base_document_counts(seen, documents).orderBy(F.col("created_at").desc_nulls_first(), "knowledge_base_id")
+
+
 def chunk_counts(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("document_id").agg(F.count("*").alias("chunk_count"), F.sum("token_count").alias("token_count"))
 
@@ -205,6 +218,13 @@ def ensure_sessions(sessions: DataFrame, requests: DataFrame) -> DataFrame:
     return asked.withColumn("outcome", outcome).withColumn("title", session_title(F.col("query"))).drop("_owner", "_there")
 
 
+def record_events(events: DataFrame, new: DataFrame, now: dt.datetime) -> DataFrame:
+    """Audit events with new ones appended: these take the time, and metadata ``{}`` where they have none."""
+    given = F.coalesce("metadata", F.lit("{}")) if "metadata" in new.columns else F.lit("{}")
+    rows = new.withColumn("metadata", given).withColumn("created_at", F.lit(now).cast("timestamp_ntz"))
+    return events.unionByName(rows, allowMissingColumns=True)
+
+
 def llm_log_rows(calls: DataFrame) -> DataFrame:
     """Model calls with their total of tokens; unknown counts are 0."""
     total = F.coalesce("prompt_tokens", F.lit(0)) + F.coalesce("completion_tokens", F.lit(0))

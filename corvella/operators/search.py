@@ -24,6 +24,7 @@ from .security import retrieval_filter
 
 VECTOR_WEIGHT, KEYWORD_WEIGHT = 0.65, 0.35
 DEFAULT_TOP_K, MAX_TOP_K, RERANK_TOP_N = 8, 50, 8
+MAX_TOOL_CALLS = 4
 HIT = ("chunk_id", "document_id", "content", "vector_score", "keyword_score", "final_score", "metadata")
 #: A batch of query vectors travels with every task: so many bytes at most.
 MAX_QUERY_BYTES = 64 << 20
@@ -121,6 +122,11 @@ def agent_search(chunks: DataFrame, documents: DataFrame, permissions: DataFrame
     return tool_hits(rerank(leg, top_k))
 
 
+def first_tool_calls(calls: Column) -> Column:
+    """The tool calls that are run: the first MAX_TOOL_CALLS a model asks for."""
+    return F.slice(calls, 1, MAX_TOOL_CALLS)
+
+
 def retrieval_log(hits: DataFrame, message_id: int | str, used: DataFrame | None = None) -> DataFrame:
     """One row a hit; ``used``: the chunks that made it into the context."""
     flag = F.lit(False)

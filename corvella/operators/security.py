@@ -83,6 +83,16 @@ def delete_by_key(rows: DataFrame, gone: DataFrame, keys: list[str]) -> DataFram
     return rows.join(gone.select(*keys).distinct(), keys, "left_anti")
 
 
+def with_roles(users: DataFrame, user_roles: DataFrame, roles: DataFrame) -> DataFrame:
+    """users with ``roles``, the sorted distinct names of their roles; none gives an empty array.
+
+    Names are gathered by user before users are joined. Assignments to a role that is not there count for nothing.
+    """
+    named = user_roles.select("user_id", "role_id").distinct().join(roles.select("role_id", "name"), "role_id")
+    held = named.groupBy("user_id").agg(F.array_sort(F.collect_set("name")).alias("roles"))
+    return users.join(held, "user_id", "left").withColumn("roles", F.coalesce("roles", F.array().cast("array<string>")))
+
+
 def restrict_bases(requested: Column, allowed: Column) -> Column:
     """Requested ids that are allowed, in requested order, repeats kept; all allowed ones if none is left."""
     kept = F.filter(F.coalesce(requested, F.array().cast("array<string>")), lambda x: F.array_contains(allowed, x))

@@ -13,7 +13,7 @@ from ..operators import ingestion, jobs, security
 from ..streaming import queue
 from . import views
 from .scratch import scratch_dir
-from .search_queries import readable_sql
+from .search_queries import open_sql, readable_sql
 from .views import PRINCIPAL, with_views
 
 NOW = dt.datetime(2024, 6, 1)
@@ -211,11 +211,38 @@ def dependency_status(spark: SparkSession, sf: str) -> DataFrame:
     return reduce(DataFrame.unionByName, (gov.overall_status(rows.where(test)).select(F.lit(of).alias("of"), "status") for of, test in (("all", "true"), ("good", "status = 'ok'"), ("none", "false"))))
 
 
+def user_roles(spark: SparkSession, sf: str) -> DataFrame:
+    """Every even user edits, every third reads, every tenth administers; one assignment is doubled, one points nowhere."""
+    people = views.users(spark, sf)
+    u = F.col("user_id")
+    held = F.array_compact(F.array(F.when(u % 2 == 0, 2), F.when(u % 2 == 0, 2), F.when(u % 3 == 0, 3), F.when(u % 10 == 0, 1), F.when(u % 7 == 0, 9)))
+    roles = spark.createDataFrame([(1, "admin"), (2, "editor"), (3, "reader")], "role_id int, name string")
+    named = security.with_roles(people, people.select("user_id", F.explode(held).alias("role_id")), roles)
+    return named.select("user_id", F.array_join("roles", ",").alias("roles"), F.array_contains("roles", "admin").alias("is_admin"))
+
+
+def recorded_events(spark: SparkSession, sf: str) -> DataFrame:
+    """Audit events and one for every document that failed, without metadata."""
+    failed = views.documents(spark, sf).where("status = 'failed'")
+    new = failed.select((-F.col("document_id")).alias("event_id"), F.lit("document_failed").alias("event_type"), F.lit("document").alias("target_type"), F.col("document_id").cast("string").alias("target_id"), F.col("error_message").alias("message"))
+    rows = gov.record_events(views.audit_events(spark, sf), new, NOW)
+    sums = {"n": F.count("*"), "n_targets": F.count("target_id"), "n_messages": F.count("message"), "n_empty": F.count_if(F.col("metadata") == "{}"), "n_now": F.count_if(F.col("created_at") == F.lit(NOW).cast("timestamp_ntz"))}
+    return rows.groupBy("event_type").agg(*(c.alias(name) for name, c in sums.items()))
+
+
+def base_listing(spark: SparkSession, sf: str) -> DataFrame:
+    """The bases the principal may use, with two that were just created."""
+    bases = views.knowledge_bases(spark, sf).withColumn("default_confidential_level", F.lit("public")).withColumn("created_at", views.hours(F.length("knowledge_base_id")))
+    new = spark.createDataFrame([("new_a", PRINCIPAL.department, None), ("new_b", "nobody's", "restricted")], "knowledge_base_id string, owner_department string, default_confidential_level string")
+    seen = gov.list_bases(gov.create_bases(bases, new, NOW), views.documents(spark, sf), views.base_permissions(spark, sf), PRINCIPAL)
+    return seen.select("knowledge_base_id", "default_confidential_level", F.date_format("created_at", _DAY).alias("created"), "document_count")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         status_counts, audit_totals, kb_document_counts, chunk_stats, document_statuses, doc_listing_page, chat_logs, user_chat_logs, llm_logs, message_retrieval_logs, permission_denied,
-        user_audit_events, session_messages, retention_preview, retention_counts, retention_survivors, job_claim, job_dedupe, latest_active_job, job_outcomes, sessions, user_upsert, archived_documents, status_tool, grant_changes, ingested, queue_stream, worker_runs, token_totals, dependency_status,
+        user_audit_events, session_messages, retention_preview, retention_counts, retention_survivors, job_claim, job_dedupe, latest_active_job, job_outcomes, sessions, user_upsert, archived_documents, status_tool, grant_changes, ingested, queue_stream, worker_runs, token_totals, dependency_status, user_roles, recorded_events, base_listing,
     )
 }
 
@@ -320,6 +347,22 @@ ORACLES: dict[str, str] = {
     ),
     "token_totals": with_views(" SELECT message_id, CAST(sum(CASE WHEN log_id % 5 <> 0 THEN prompt_tokens ELSE 0 END + coalesce(completion_tokens, 0)) AS BIGINT) AS total_tokens FROM v_llm_logs GROUP BY ALL", "v_llm_logs"),
     "dependency_status": with_views(" SELECT 'all' AS of, CASE WHEN count(*) FILTER (WHERE status = 'failed') = 0 THEN 'ok' ELSE 'degraded' END AS status FROM v_documents UNION ALL VALUES ('good', 'ok'), ('none', 'ok')", "v_documents"),
+    "user_roles": with_views(
+        """ SELECT user_id, concat_ws(',', CASE WHEN user_id % 10 = 0 THEN 'admin' END, CASE WHEN user_id % 2 = 0 THEN 'editor' END, CASE WHEN user_id % 3 = 0 THEN 'reader' END) AS roles,
+          user_id % 10 = 0 AS is_admin FROM v_users""",
+        "v_users",
+    ),
+    "recorded_events": with_views(
+        f""" SELECT event_type, count(*) AS n, CAST(0 AS BIGINT) AS n_targets, CAST(0 AS BIGINT) AS n_messages, CAST(0 AS BIGINT) AS n_empty, count(*) FILTER (WHERE created_at = TIMESTAMP '{NOW:%Y-%m-%d} 00:00:00') AS n_now FROM v_audit_events GROUP BY ALL
+        UNION ALL SELECT 'document_failed', count(*), count(*), count(error_message), count(*), count(*) FROM v_documents WHERE status = 'failed' HAVING count(*) > 0""",
+        "v_audit_events", "v_documents",
+    ),
+    "base_listing": with_views(
+        f""", known AS (SELECT b.*, (SELECT count(*) FROM v_documents d WHERE d.knowledge_base_id = b.knowledge_base_id) AS n FROM v_bases b WHERE owner_department = '{PRINCIPAL.department}' OR {open_sql('v_base_permissions', 'knowledge_base_id', 'b')})
+        SELECT knowledge_base_id, 'public' AS default_confidential_level, strftime(TIMESTAMP '{views.EPOCH}' + length(knowledge_base_id) * INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S') AS created, n AS document_count FROM known
+        UNION ALL VALUES ('new_a', 'internal', '{NOW:%Y-%m-%d} 00:00:00', 0), ('new_b', 'restricted', '{NOW:%Y-%m-%d} 00:00:00', 0)""",
+        "v_documents", "v_bases", "v_base_permissions",
+    ),
     "queue_stream": "SELECT DISTINCT event_id % 200 AS document_id, CASE event_id % 3 WHEN 0 THEN 'document' WHEN 1 THEN 'ocr' ELSE 'embedding' END AS job_type FROM events",
 }
 

@@ -123,9 +123,31 @@ def bearer_tokens(spark: SparkSession, sf: str) -> DataFrame:
     return t.select("document_id", F.col("t.user").alias("user_name"), F.col("t.department").alias("department"), F.col("t.clearance").alias("clearance"), F.array_join("t.roles", ",").alias("roles"), F.col("t.error").isNull().alias("valid"))
 
 
+def base_choice(spark: SparkSession, sf: str) -> DataFrame:
+    """What a search may look into when a document's id, its base and a base that is not allowed are asked for."""
+    allowed = F.array(F.lit("source_a"), F.lit("empty_a"), F.lit("empty_b"))
+    d = F.col("document_id")
+    asked = F.when(d % 3 == 0, F.array(F.lit("empty_b"), F.lit("nowhere"), F.lit("empty_a"), F.lit("empty_b"))).when(d % 3 == 1, F.array(F.lit("nowhere"), d.cast("string")))
+    return views.documents(spark, sf).select(d, F.array_join(security.restrict_bases(asked, allowed), ",").alias("bases"))
+
+
+def prompts(spark: SparkSession, sf: str) -> DataFrame:
+    """The instructions and the prompt for every document's whole text, every second one with an image."""
+    d = F.col("document_id")
+    images = F.when(d % 2 == 0, F.concat(F.lit("[Image "), d, F.lit("]"))).otherwise("")
+    said = context.user_prompt(F.concat(F.lit("What does "), d, F.lit(" say?")), F.coalesce("text", F.lit("")), images)
+    return views.documents(spark, sf).select(d, F.sha2(F.lit(context.SYSTEM_PROMPT), 256).alias("system_sha256"), F.sha2(said, 256).alias("user_sha256"))
+
+
+def tool_calls(spark: SparkSession, sf: str) -> DataFrame:
+    """Up to seven calls asked for, of which at most four are run."""
+    asked = F.transform(F.sequence(F.lit(1), F.lit(7)), lambda i: F.when(i <= F.col("document_id") % 8, F.concat(F.lit("call "), i)))
+    return views.documents(spark, sf).select("document_id", F.array_join(search.first_tool_calls(F.array_compact(asked)), ",").alias("calls"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (hybrid_search, vector_topk, keyword_topk, rerank_cut, citations, agent_search, image_chunk_filter, vector_cells, vector_batch, context_build, context_text, restricted_block, hit_images, image_context, acl_retrieval, acl_documents, kb_access, bearer_tokens)
+    for f in (hybrid_search, vector_topk, keyword_topk, rerank_cut, citations, agent_search, image_chunk_filter, vector_cells, vector_batch, context_build, context_text, restricted_block, hit_images, image_context, acl_retrieval, acl_documents, kb_access, bearer_tokens, base_choice, prompts, tool_calls)
 }
 
 # ---- DuckDB ----------------------------------------------------------------------------------------------------
@@ -138,19 +160,19 @@ def _match(p: str) -> str:
     return f"({p}.permission IN ('read', 'admin') AND (({p}.subject_type = 'user' AND {p}.subject_value = '{PRINCIPAL.user}') OR ({p}.subject_type = 'department' AND {p}.subject_value = '{PRINCIPAL.department}') OR ({p}.subject_type = 'role' AND {p}.subject_value IN ({_ROLES}))))"
 
 
-def _open(table: str, key: str, outer: str) -> str:
+def open_sql(table: str, key: str, outer: str) -> str:
     return f"(NOT EXISTS (SELECT 1 FROM {table} p WHERE p.{key} = {outer}.{key}) OR EXISTS (SELECT 1 FROM {table} p WHERE p.{key} = {outer}.{key} AND {_match('p')}))"
 
 
 def readable_sql(d: str) -> str:
     """Whether the principal may read a document, as a condition."""
     own = f"coalesce({d}.department = '{PRINCIPAL.department}', false)"
-    return f"coalesce({d}.status <> 'archived' AND {d}.confidential_level IN ({_LEVELS}) AND ({own} OR ({_open('v_base_permissions', 'knowledge_base_id', d)} AND {_open('v_permissions', 'document_id', d)})), false)"
+    return f"coalesce({d}.status <> 'archived' AND {d}.confidential_level IN ({_LEVELS}) AND ({own} OR ({open_sql('v_base_permissions', 'knowledge_base_id', d)} AND {open_sql('v_permissions', 'document_id', d)})), false)"
 
 
 _ALLOWED = f"""
   SELECT d.document_id FROM v_documents d
-  WHERE d.confidential_level IN ({_LEVELS}) AND (coalesce(d.department = '{PRINCIPAL.department}', false) OR {_open('v_permissions', 'document_id', 'd')})"""
+  WHERE d.confidential_level IN ({_LEVELS}) AND (coalesce(d.department = '{PRINCIPAL.department}', false) OR {open_sql('v_permissions', 'document_id', 'd')})"""
 
 _TRIGRAMS = r"""list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(lower({0}), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> ''),
   lambda w: list_transform(range(1, length(w) + 2), lambda i: substring('  ' || w || ' ', i, 3)))))"""
@@ -258,7 +280,7 @@ ORACLES: dict[str, str] = {
     ),
     "acl_retrieval": with_views(_ALLOWED, "v_documents", "v_permissions"),
     "acl_documents": with_views(f" SELECT d.document_id, {readable_sql('d')} AS can_read FROM v_documents d", "v_documents", "v_permissions", "v_base_permissions"),
-    "kb_access": with_views(f" SELECT b.knowledge_base_id, coalesce(b.owner_department = '{PRINCIPAL.department}', false) OR {_open('v_base_permissions', 'knowledge_base_id', 'b')} AS can_access FROM v_bases b", "v_base_permissions"),
+    "kb_access": with_views(f" SELECT b.knowledge_base_id, coalesce(b.owner_department = '{PRINCIPAL.department}', false) OR {open_sql('v_base_permissions', 'knowledge_base_id', 'b')} AS can_access FROM v_bases b", "v_base_permissions"),
     "bearer_tokens": with_views(
         f"""
         SELECT document_id, 'u' || document_id AS user_name, department, CASE WHEN document_id % 7 = 0 THEN 'secret' ELSE confidential_level END AS clearance,
@@ -267,3 +289,14 @@ ORACLES: dict[str, str] = {
         "v_documents",
     ),
 }
+
+ORACLES["base_choice"] = with_views(" SELECT document_id, CASE document_id % 3 WHEN 0 THEN 'empty_b,empty_a,empty_b' ELSE 'source_a,empty_a,empty_b' END AS bases FROM v_documents", "v_documents")
+ORACLES["prompts"] = with_views(
+    f""" SELECT document_id, sha256('{context.SYSTEM_PROMPT.replace("'", "''")}') AS system_sha256,
+      sha256('User question:' || chr(10) || 'What does ' || document_id || ' say?' || chr(10) || chr(10) || 'Context:' || chr(10) || coalesce(text, '') || chr(10)
+        || CASE document_id % 2 WHEN 0 THEN chr(10) || 'Image context:' || chr(10) || '[Image ' || document_id || ']' || chr(10) ELSE '' END
+        || chr(10) || chr(10) || array_to_string(['Required output format:', '1. Answer', '2. Key points', '3. Sources', '4. Confidence', '5. Limitations', ''], chr(10))) AS user_sha256
+    FROM v_documents""",
+    "v_documents",
+)
+ORACLES["tool_calls"] = with_views(" SELECT document_id, array_to_string(list_transform(range(1, CAST(least(document_id % 8, 4) + 1 AS BIGINT)), lambda i: 'call ' || i), ',') AS calls FROM v_documents", "v_documents")

@@ -255,9 +255,17 @@ def dictionary_terms(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("document_id", F.size("found").alias("n_terms"), F.sha2(F.array_join("found", ","), 256).alias("terms_sha256"))
 
 
+def log_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Every whole text as the message of a log record, every fifth with an exception."""
+    d = F.col("document_id")
+    level = F.when(d % 5 == 0, "ERROR").otherwise("INFO")
+    line = text.json_log_line(F.col("created_at"), level, F.col("knowledge_base_id"), F.col("text"), F.when(d % 5 == 0, F.concat(F.lit('Error: "'), d, F.lit('"'))))
+    return views.documents(spark, sf).select("document_id", F.sha2(line, 256).alias("line_sha256"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (text_functions, prompt_predicates, scalar_helpers, vector_literals, chunk_text, chunk_pages, chunk_images, link_images, document_pages, pdf_structure, form_tables_fields, captions, image_ocr_chunks, image_names, parsed_values, ocr_lines, ocr_layout, office_documents, dlp_findings, dlp_mask, dlp_full, dlp_events, dictionary_rules, dictionary_terms)
+    for f in (text_functions, prompt_predicates, scalar_helpers, vector_literals, chunk_text, chunk_pages, chunk_images, link_images, document_pages, pdf_structure, form_tables_fields, captions, image_ocr_chunks, image_names, parsed_values, ocr_lines, ocr_layout, office_documents, dlp_findings, dlp_mask, dlp_full, dlp_events, dictionary_rules, dictionary_terms, log_lines)
 }
 
 # ---- DuckDB ----------------------------------------------------------------------------------------------------
@@ -449,3 +457,9 @@ ORACLES: dict[str, str] = {
           ('restricted_keyword', 'RESTRICTED_FORMULA', '[BLOCK]', 'high', true, '2024-02-01'), ('customer_name', 'Example Customer Corp', '[CUSTOMER_001]', 'medium', false, '2024-02-01')
         ) AS t(entity_type, value, replacement, risk_level, is_active, created)""",
 }
+ORACLES["log_lines"] = with_views(
+    """ SELECT document_id, sha256('{"timestamp": "' || strftime(created_at, '%Y-%m-%dT%H:%M:%S.%g') || 'Z", "level": "' || CASE document_id % 5 WHEN 0 THEN 'ERROR' ELSE 'INFO' END
+      || '", "logger": ' || to_json(coalesce(knowledge_base_id, '')) || ', "message": ' || to_json(coalesce(text, ''))
+      || CASE document_id % 5 WHEN 0 THEN ', "exception": "Error: \\"' || document_id || '\\""' ELSE '' END || '}') AS line_sha256 FROM v_documents""",
+    "v_documents",
+)

@@ -4,6 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from corvella.functions.principal import Principal
 from corvella.operators import governance as gov
 from corvella.operators import jobs
 from corvella.streaming import queue
@@ -144,3 +145,18 @@ def test_windows_count_requests(spark, tmp_path):
     q = queue.jobs_per_window(queue.read_requests(spark, str(tmp_path / "asked"))).writeStream.outputMode("complete").format("memory").queryName("per_window").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(r.n for r in spark.table("per_window").collect()) == [1, 2]
+
+
+def test_bases_and_events_are_appended(spark):
+    bases = spark.createDataFrame([("b1", "legal", "public", dt.datetime(2024, 1, 1)), ("b2", "sales", "public", None)], "knowledge_base_id string, owner_department string, default_confidential_level string, created_at timestamp_ntz")
+    new = spark.createDataFrame([("b0", "legal")], "knowledge_base_id string, owner_department string")
+    now = dt.datetime(2024, 2, 1)
+    docs = spark.createDataFrame([(1, "b1"), (2, "b1")], "document_id long, knowledge_base_id string")
+    grants = spark.createDataFrame([("b2", "user", "bob", "read")], "knowledge_base_id string, subject_type string, subject_value string, permission string")
+    every = gov.create_bases(bases, new, now)
+    see = lambda p: [(r.knowledge_base_id, r.default_confidential_level, r.document_count) for r in gov.list_bases(every, docs, grants, p).collect()]
+    assert see(Principal("bob")) == [("b2", "public", 0), ("b0", "internal", 0), ("b1", "public", 2)]
+    assert see(Principal("ann")) == [("b0", "internal", 0), ("b1", "public", 2)]
+    events = spark.createDataFrame([(1, "view", '{"a":1}', None)], "event_id long, event_type string, metadata string, created_at timestamp_ntz")
+    got = gov.record_events(events, spark.createDataFrame([(2, "click", None), (3, "view", "[]")], "event_id long, event_type string, metadata string"), now).orderBy("event_id").collect()
+    assert [(r.metadata, r.created_at) for r in got] == [('{"a":1}', None), ("{}", now), ("[]", now)]

@@ -86,3 +86,21 @@ def test_base_restriction(spark):
     allowed = F.array(F.lit("a"), F.lit("b"))
     pick = lambda *x: spark.range(1).select(security.restrict_bases(F.array(*map(F.lit, x)).cast("array<string>"), allowed)).first()[0]
     assert pick("b", "z", "b", "a") == ["b", "b", "a"] and pick("z") == ["a", "b"] and pick() == ["a", "b"]
+
+
+def test_roles_from_tables(spark):
+    users = spark.createDataFrame([(1,), (2,), (3,)], "user_id long")
+    held = spark.createDataFrame([(1, 2), (1, 2), (1, 1), (2, 9), (None, 1), (3, None)], "user_id long, role_id int")
+    roles = spark.createDataFrame([(1, "admin"), (2, "editor")], "role_id int, name string")
+    got = {r.user_id: r.roles for r in security.with_roles(users, held, roles).collect()}
+    assert got == {1: ["admin", "editor"], 2: [], 3: []}
+    assert [r.roles for r in security.with_roles(users.limit(1), held.limit(0), roles).collect()] == [[]]
+
+
+def test_admin_gate():
+    from corvella.functions.principal import Principal, require_admin
+
+    require_admin(Principal("root", roles=frozenset(("admin",))))
+    for p in (Principal("ann"), Principal("old", roles=frozenset(("admin",)), active=False)):
+        with pytest.raises(PermissionError):
+            require_admin(p)
