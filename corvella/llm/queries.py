@@ -10,6 +10,7 @@ from .bpe import op4_bpe_codes
 from .chat import OP8_SQL, op8_chat_prefix_trees
 from .media import op2_media_columns
 from .mixing import op10_mixed_sources
+from .pieces import op11_piece_codes
 from .pii import op7_private_spans
 from .quality import op6_quality_rules
 from .sharding import op5_jump_shards
@@ -28,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_prefix_trees": op8_chat_prefix_trees,
     "op9_simhash_components": op9_simhash_components,
     "op10_mixed_sources": op10_mixed_sources,
+    "op11_piece_codes": op11_piece_codes,
 }
 
 ORACLES: dict[str, str] = {"op8_chat_prefix_trees": OP8_SQL}
