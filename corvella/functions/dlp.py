@@ -1,4 +1,4 @@
-"""Sensitive-data expressions: detectors, overlap removal and masking, all as array functions inside the JVM.
+"""Sensitive data: detectors, overlap removal and masking, as array expressions and as a scanner over Arrow batches.
 
 A finding is a struct; a text's findings are an array of them in text order. Offsets count code points, ends exclusive.
 """
@@ -9,6 +9,7 @@ import re
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -131,22 +132,6 @@ def folded(text: Column) -> Column:
     return F.translate(F.lower(F.upper(F.translate(text, "\u1e9eİı", "ßii"))), "ς", "σ")
 
 
-def _found_rule(text: Column, rule: Column, place: Column) -> Column:
-    """All matches of a rule that is a struct (entity_type, value, replacement, risk_level), as of ``Rule``."""
-    literal = F.concat(F.lit("(?iU)\\Q"), F.replace(rule["value"], F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
-    put = F.coalesce(F.nullif(rule["replacement"], F.lit("")), F.concat(F.lit("["), F.upper(rule["entity_type"]), F.lit("]")))
-    action = F.when(put == "[BLOCK]", "block").otherwise("mask")
-    return _spans(text, literal, lambda start, value: _finding(start, value, place, rule["entity_type"], action, rule["risk_level"], F.lit(1.0), put))
-
-
-def detect_with(text: Column, rules: Column) -> Column:
-    """``detect`` with the built-in patterns, a row's own array of rules, then names."""
-    t = F.coalesce(text, F.lit(""))
-    first, last = len(BUILT_IN), F.size(rules) + len(BUILT_IN)
-    own = F.flatten(F.transform(rules, lambda r, i: _found_rule(t, r, i + first)))
-    return F.array_sort(F.concat(*(_found(t, d, F.lit(i)) for i, d in enumerate(BUILT_IN)), own, *(_found(t, d, last + i) for i, d in enumerate(NAMES))))
-
-
 def detect(text: Column, chosen: Sequence[Detector]) -> Column:
     """Every match of every detector, by start, then the longer, then the earlier detector. Null text: none."""
     return F.array_sort(F.concat(*(_found(F.coalesce(text, F.lit("")), d, F.lit(i)) for i, d in enumerate(chosen))))
@@ -186,6 +171,68 @@ def is_blocked(findings: Column) -> Column:
 
 
 def python_pattern(d: Detector) -> re.Pattern:
-    """The same pattern for re, whose classes are Unicode by default; rules are escaped anew by tests."""
+    """The same pattern for re, whose classes are Unicode by default."""
     flags, body = re.match(r"\(\?(\w+)\)(.*)", d.pattern, re.S).groups()
-    return re.compile(body, re.I if "i" in flags else 0)
+    literal = re.fullmatch(r"\\Q(.*)\\E", body, re.S)
+    return re.compile(re.escape(literal[1].replace("\\E\\\\E\\Q", "\\E")) if literal else body, re.I if "i" in flags else 0)
+
+
+class Scanner:
+    """All detectors over one text after another, each pattern once.
+
+    ``spans`` gives (start, end, detector, its number) of what is left of all matches by start, then the longer, then the
+    earlier detector, when each must start where those before it have ended.
+    """
+
+    def __init__(self, chosen: Sequence[Detector]):
+        self.chosen = list(chosen)
+        self.patterns = [python_pattern(d) for d in self.chosen]
+
+    def spans(self, text: str, more: Sequence[tuple[Detector, re.Pattern]] = (), place: int = 0) -> list[tuple[int, int, Detector, int]]:
+        """``more``: detectors of this text alone, which stand before number ``place`` in the order."""
+        lowered = text.lower()
+        found: list[tuple[int, int, int]] = []
+        chosen = [*self.chosen[:place], *(d for d, _ in more), *self.chosen[place:]] if more else self.chosen
+        patterns = [*self.patterns[:place], *(p for _, p in more), *self.patterns[place:]] if more else self.patterns
+        for nth, (d, pattern) in enumerate(zip(chosen, patterns, strict=True)):
+            if not d.hint or any(h in lowered for h in d.hint):
+                found += [(m.start(), -m.end(), nth) for m in pattern.finditer(text)]
+        found.sort()
+        kept, reach = [], 0
+        for start, end, nth in found:
+            if start >= reach:
+                kept.append((start, -end, chosen[nth], nth))
+                reach = -end
+        return kept
+
+
+def replaced_by(d: Detector) -> str:
+    return d.replacement or {"redact": "[REDACTED]", "block": "[BLOCKED]"}.get(d.action, f"[{d.entity_type.upper()}]")
+
+
+def scan_texts(scanner: Scanner, texts: Sequence[str | None], rules: Sequence[Sequence[Rule]] | None = None, place: int = 0) -> pa.StructArray:
+    """struct(findings, masked_text) of every text; null stays null and has no findings."""
+    fields: dict[str, list] = {f.split(":")[0]: [] for f in FINDING[7:-1].split(",")}
+    offsets, masked_texts = [0], []
+    compiled: dict[Rule, tuple[Detector, re.Pattern]] = {}
+    for k, text in enumerate(texts):
+        more = []
+        for rule in rules[k] if rules is not None and rules[k] else ():
+            if rule not in compiled:
+                if len(compiled) > 20_000:
+                    compiled.clear()
+                compiled[rule] = (rule.detector(), re.compile(re.escape(rule.value), re.I))
+            more.append(compiled[rule])
+        kept = scanner.spans(text, more, place) if text else []
+        out, at = [], 0
+        for start, end, d, nth in kept:
+            for name, value in (("start", start), ("shorter", start - end), ("detector", nth), ("end", end), ("entity_type", d.entity_type), ("value", text[start:end]), ("action", d.action), ("risk_level", d.risk_level), ("confidence", d.confidence), ("replacement", d.replacement)):
+                fields[name].append(value)
+            out += (text[at:start], replaced_by(d))
+            at = end
+        offsets.append(offsets[-1] + len(kept))
+        masked_texts.append("".join(out) + text[at:] if kept else text)
+    kinds = {"int": pa.int32(), "string": pa.string(), "double": pa.float64()}
+    columns = [pa.array(fields[name], kinds[kind]) for name, kind in (f.split(":") for f in FINDING[7:-1].split(","))]
+    findings = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(columns, list(fields)))
+    return pa.StructArray.from_arrays([findings, pa.array(masked_texts, pa.string())], ["findings", "masked_text"])

@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import ahocorasick
+import numpy as np
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dlp
-from ..functions.dlp import DEFAULT_RULES, MAX_RULES, Rule
+from ..functions.dlp import BUILT_IN, DEFAULT_RULES, MAX_RULES, NAMES, Rule, Scanner
 from .security import upsert
 
 
-#: Texts are looked up piece by piece, and first by so many characters of a term.
-_PIECE, _KEY = 128, 4
+#: Characters of terms in one automaton, which takes some 60 bytes for each.
+PART_CHARS = 1 << 21
+_RESULT = f"struct<findings:array<{dlp.FINDING}>,masked_text:string>"
 
 
 def scan_and_mask(rows: DataFrame, text: str, location: str, rules: Sequence[Rule] = DEFAULT_RULES) -> DataFrame:
@@ -21,7 +26,13 @@ def scan_and_mask(rows: DataFrame, text: str, location: str, rules: Sequence[Rul
 
     A null text has no findings and stays null.
     """
-    return _masked(rows.withColumn("_all", dlp.detect(F.col(text), dlp.detectors(rules))), text, location)
+    chosen = dlp.detectors(rules)
+
+    @F.arrow_udf(_RESULT)
+    def scan(texts: pa.Array) -> pa.Array:
+        return dlp.scan_texts(Scanner(chosen), texts.to_pylist())
+
+    return _masked(rows.withColumn("_scan", scan(text)), location)
 
 
 def scan_with_dictionary(rows: DataFrame, text: str, location: str, dictionary: DataFrame) -> DataFrame:
@@ -32,40 +43,76 @@ def scan_with_dictionary(rows: DataFrame, text: str, location: str, dictionary:
     ordered = F.array_sort(F.collect_list(F.struct((-F.unix_micros(F.col("created_at").cast("timestamp"))).alias("age"), "entity_type", "value", "replacement", "risk_level")))
     own = dictionary_hits(rows, text, dictionary).groupBy("text_hash").agg(ordered.alias("_rules")).withColumnRenamed("text_hash", "_text_hash")
     found = rows.withColumn("_text_hash", F.xxhash64(text)).join(own, "_text_hash", "left").drop("_text_hash")
-    rules = F.coalesce("_rules", F.array().cast(own.schema["_rules"].dataType))
-    return _masked(found.withColumn("_all", dlp.detect_with(F.col(text), rules)).drop("_rules"), text, location)
+
+    @F.arrow_udf(_RESULT)
+    def scan(texts: pa.Array, rules: pa.Array) -> pa.Array:
+        named = [[Rule(r["entity_type"], r["value"], r["replacement"], r["risk_level"]) for r in some or ()] for some in rules.to_pylist()]
+        return dlp.scan_texts(Scanner([*BUILT_IN, *NAMES]), texts.to_pylist(), named, len(BUILT_IN))
+
+    return _masked(found.withColumn("_scan", scan(text, "_rules")).drop("_rules"), location)
 
 
 def dictionary_hits(rows: DataFrame, text: str, dictionary: DataFrame) -> DataFrame:
     """(text_hash, rule columns): the active rules whose value may occur in a text, in any case, once each.
 
-    Every place of a text is looked up by the next characters among the terms' beginnings, then by the lengths
-    of the terms that begin so among the terms themselves. Both are joins by equality that Catalyst broadcasts
-    if they are small. Rules may be too many by what ``folded`` takes for equal, never too few.
+    Terms are dealt to parts by their first characters; a part's terms are an automaton that goes through each text once,
+    so the cost of a text depends neither on how long terms are nor on how many a part has. A dictionary of several parts
+    is that many passes. Rules may be too many by what ``folded`` takes for equal, never too few.
     """
+    spark = rows.sparkSession
     terms = dictionary.where("is_active and value != ''").select("entity_type", "value", "replacement", "risk_level", "created_at").withColumn("term", dlp.folded(F.col("value")))
-    begin = F.substring("term", 1, _KEY)
-    sizes = terms.agg(F.max(F.length("term")).alias("longest"), F.array_sort(F.collect_set(F.length(begin))).alias("keys")).first()
-    longest, keys = sizes.longest or 1, list(sizes["keys"])
-    starts = terms.groupBy(begin.alias("key")).agg(F.collect_set(F.length("term")).alias("sizes"))
-    width = max(_PIECE, longest)
-    cut = F.regexp_extract_all(dlp.folded(F.col(text)), F.lit(f"(?s).{{1,{width}}}"), F.lit(0))
-    # A term may begin in one piece and end in the next.
-    pieces = F.transform(cut, lambda c, i: F.struct(F.length(c).alias("own"), F.concat(c, F.coalesce(F.left(F.get(cut, i + 1), F.lit(longest - 1)), F.lit(""))).alias("said")))
-    looked = rows.select(F.xxhash64(text).alias("text_hash"), F.explode(pieces).alias("piece")).select("text_hash", "piece.own", "piece.said")
-    places = looked.select("text_hash", "said", F.explode(F.sequence(F.lit(1), "own")).alias("at"))
-    keyed = places.select("text_hash", "said", "at", F.explode(F.array(*map(F.lit, keys)).cast("array<int>")).alias("n"))
-    begun = keyed.withColumn("key", F.col("said").substr(F.col("at"), F.col("n"))).join(starts, "key")
-    whole = begun.select("text_hash", "said", "at", F.explode("sizes").alias("n")).select("text_hash", F.col("said").substr(F.col("at"), F.col("n")).alias("term"))
-    return whole.distinct().join(terms, "term").drop("term")
-
-
-def _masked(scanned: DataFrame, text: str, location: str) -> DataFrame:
+    folded = rows.where(F.col(text).isNotNull()).select(F.xxhash64(text).alias("text_hash"), dlp.folded(F.col(text)).alias("said"))
+    found: DataFrame | None = None
+    for part in _parts(terms):
+        words = part.select("term").distinct().toArrow().column("term").to_pylist()  # bounded: about PART_CHARS
+        sent = spark.sparkContext.broadcast(words)
+
+        def run(batches: Iterator[pa.RecordBatch], sent: Broadcast = sent) -> Iterator[pa.RecordBatch]:
+            automaton = _automaton(sent.value)
+            for b in batches if sent.value else ():
+                hits = [sorted({n for _, n in automaton.iter(s)}) for s in b.column("said").to_pylist()]
+                own = np.repeat(np.arange(len(hits)), [len(h) for h in hits])
+                yield pa.RecordBatch.from_arrays([b.column("text_hash").take(pa.array(own, pa.int64())), pa.array([sent.value[n] for h in hits for n in h], pa.string())], ["text_hash", "term"])
+
+        some = folded.mapInArrow(run, "text_hash long, term string")
+        found = some if found is None else found.unionByName(some)
+    return found.distinct().join(terms, "term").drop("term")
+
+
+def _parts(terms: DataFrame) -> list[DataFrame]:
+    """terms in parts of about PART_CHARS characters: whole first characters together, a crowded one dealt by hash."""
+    begin = F.substring("term", 1, 1)
+    sizes = terms.groupBy(begin.alias("begin")).agg(F.sum(F.length("term")).alias("n")).orderBy("begin").collect()  # one row a character
+    parts: list[DataFrame] = []
+    held: list[str] = []
+    room = PART_CHARS
+    for r in sizes:
+        if r.n > PART_CHARS:
+            k = -(-r.n // PART_CHARS)
+            parts += [terms.where((begin == r.begin) & (F.pmod(F.xxhash64("term"), F.lit(k)) == i)) for i in range(k)]
+            continue
+        if r.n > room:
+            parts.append(terms.where(begin.isin(*held)))
+            held, room = [], PART_CHARS
+        held.append(r.begin)
+        room -= r.n
+    return [*parts, terms.where(begin.isin(*held))] if held or not parts else parts
+
+
+def _automaton(terms: list[str]) -> ahocorasick.Automaton:
+    made = ahocorasick.Automaton()
+    for n, term in enumerate(terms):
+        made.add_word(term, n)
+    made.make_automaton()
+    return made
+
+
+def _masked(scanned: DataFrame, location: str) -> DataFrame:
     f = F.col("findings")
     return (
-        scanned.withColumn("findings", dlp.without_overlaps(F.col("_all")))
-        .drop("_all")
-        .withColumn("masked_text", dlp.masked(F.col(text), f))
+        scanned.withColumn("findings", F.col("_scan.findings"))
+        .withColumn("masked_text", F.col("_scan.masked_text"))
+        .drop("_scan")
         .withColumn("masked_entities", dlp.entities(f))
         .withColumn("risk_level", dlp.highest_risk(f))
         .withColumn("blocked", dlp.is_blocked(f))

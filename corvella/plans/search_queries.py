@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.principal import LEVELS, token_columns
-from ..operators import cells, context, search, security
+from ..operators import cells, context, postings, search, security
 from . import views
+from .scratch import scratch_dir
 from .views import PRINCIPAL, QUERY, QUERY_VECTOR, with_views
 
 TOP_K = 8
@@ -66,6 +67,15 @@ def vector_cells(spark: SparkSession, sf: str) -> DataFrame:
     return _flat(cells.cell_search(cells.with_cells(chunks, centroids), centroids, documents, permissions, QUERY_VECTOR, None, TOP_K, PRINCIPAL, cells.LISTS), "ord")
 
 
+def keyword_postings(spark: SparkSession, sf: str) -> DataFrame:
+    """Twelve characters of every 50th document, looked up by the gram index among all chunks."""
+    chunks, documents, permissions = _tables(spark, sf)
+    asked = documents.where(F.col("document_id") % QUERY_IDS_EVERY == 0).select(F.col("document_id").alias("query_id"), F.regexp_replace(F.substring("text", 11, 12), r"[%_\\\\]", "").alias("query"))
+    index = postings.build(chunks, scratch_dir(spark, "gram-index"))
+    found = postings.keyword_search_batch(index, asked, documents, permissions, None, TOP_K, PRINCIPAL)
+    return found.select("query_id", "chunk_id", "document_id", F.round("keyword_score", 6).alias("keyword_score"), F.col("metadata.confidential_level").alias("level"), "ord")
+
+
 def vector_batch(spark: SparkSession, sf: str) -> DataFrame:
     """Every 50th vector as a query against all vectors."""
     vectors = views.table(spark, sf, "embeddings")
@@ -147,7 +157,7 @@ def tool_calls(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (hybrid_search, vector_topk, keyword_topk, rerank_cut, citations, agent_search, image_chunk_filter, vector_cells, vector_batch, context_build, context_text, restricted_block, hit_images, image_context, acl_retrieval, acl_documents, kb_access, bearer_tokens, base_choice, prompts, tool_calls)
+    for f in (hybrid_search, vector_topk, keyword_topk, rerank_cut, citations, agent_search, image_chunk_filter, vector_cells, keyword_postings, vector_batch, context_build, context_text, restricted_block, hit_images, image_context, acl_retrieval, acl_documents, kb_access, bearer_tokens, base_choice, prompts, tool_calls)
 }
 
 # ---- DuckDB ----------------------------------------------------------------------------------------------------
@@ -290,6 +300,20 @@ ORACLES: dict[str, str] = {
     ),
 }
 
+ORACLES["keyword_postings"] = with_views(
+    f""", allowed AS ({_ALLOWED}),
+    found AS (SELECT c.* FROM v_chunks c JOIN v_documents d USING (document_id) WHERE d.status = 'ready' AND c.document_id IN (SELECT document_id FROM allowed)),
+    asked AS (SELECT document_id AS query_id, regexp_replace(substring(text, 11, 12), '[%_\\\\]', '', 'g') AS query FROM v_documents WHERE document_id % {QUERY_IDS_EVERY} = 0),
+    pairs AS (SELECT q.query_id, q.query, c.* FROM found c JOIN asked q ON trim(q.query, ' ') <> '' AND contains(lower(c.content), lower(q.query))),
+    scored AS (
+      SELECT *, coalesce(len(list_intersect(grams, own)) * 1.0 / nullif(len(grams) + len(own) - len(list_intersect(grams, own)), 0), 0) AS score
+      FROM (SELECT *, {_TRIGRAMS.format("content")} AS grams, {_TRIGRAMS.format("query")} AS own FROM pairs)
+    )
+    SELECT query_id, chunk_id, document_id, round(score, 6) AS keyword_score, confidential_level AS level, CAST(ord AS INTEGER) AS ord
+    FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS ord FROM scored) WHERE ord <= {TOP_K}""",
+    "v_chunks",
+    "v_permissions",
+)
 ORACLES["base_choice"] = with_views(" SELECT document_id, CASE document_id % 3 WHEN 0 THEN 'empty_b,empty_a,empty_b' ELSE 'source_a,empty_a,empty_b' END AS bases FROM v_documents", "v_documents")
 ORACLES["prompts"] = with_views(
     f""" SELECT document_id, sha256('{context.SYSTEM_PROMPT.replace("'", "''")}') AS system_sha256,

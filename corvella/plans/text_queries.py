@@ -235,11 +235,63 @@ def dlp_events(spark: SparkSession, sf: str) -> DataFrame:
     return found.groupBy("entity_type", "masking_method", "masked_value", "risk_level").agg(F.count("*").alias("n"))
 
 
+#: Texts, what masking makes of them, the events (type, masked value, method, risk, confidence), risk and whether blocked.
+PLANTED: list[tuple[str, str, list[tuple[str, str, str, str, float]], str, bool]] = [
+    ("write to user{n}@mail.example.org today", "write to [EMAIL] today", [("email", "[EMAIL]", "mask", "low", 1.0)], "low", False),
+    ("call 030-555-{n} now", "call [PHONE_NUMBER] now", [("phone_number", "[PHONE_NUMBER]", "mask", "low", 1.0)], "low", False),
+    ("host 10.20.30.40 is down", "host [IP_ADDRESS] is down", [("ip_address", "[IP_ADDRESS]", "mask", "low", 1.0)], "low", False),
+    ("key sk-abcdefghij{n}klmnop end", "key [REDACTED] end", [("api_key", "[REDACTED]", "redact", "high", 1.0)], "high", False),
+    ("Password : hunter{n} ok", "[REDACTED] ok", [("secret", "[REDACTED]", "redact", "high", 1.0)], "high", False),
+    ("see https://example.org/a/{n} there", "see [URL] there", [("url", "[URL]", "mask", "low", 1.0)], "low", False),
+    ("open /var/log/app{n}.txt please", "open [FILE_PATH] please", [("file_path", "[FILE_PATH]", "mask", "medium", 1.0)], "medium", False),
+    ("LOT AB{n}CD shipped", "[LOT_NUMBER] shipped", [("lot_number", "[LOT_NUMBER]", "mask", "medium", 1.0)], "medium", False),
+    ("eqp ZX-{n} idle", "[MACHINE_NAME] idle", [("machine_name", "[MACHINE_NAME]", "mask", "medium", 1.0)], "medium", False),
+    ("temperature: 25.5 C", "[PROCESS_PARAMETER]", [("process_parameter", "[PROCESS_PARAMETER]", "mask", "medium", 1.0)], "medium", False),
+    ("cust_C-{n} paid", "[CUSTOMER_CODE] paid", [("customer_code", "[CUSTOMER_CODE]", "mask", "medium", 1.0)], "medium", False),
+    ("prod: P-{n} sold", "[PRODUCT_CODE] sold", [("product_code", "[PRODUCT_CODE]", "mask", "medium", 1.0)], "medium", False),
+    ("owner: Ann Lee signed", "[PERSON_NAME] signed", [("person_name", "[PERSON_NAME]", "mask", "medium", 0.7)], "medium", False),
+    ("sued by Acme Widgets Ltd again", "sued by [ORGANIZATION] again", [("organization", "[ORGANIZATION]", "mask", "medium", 0.7)], "medium", False),
+    ("the restricted_Formula leaks", "the [BLOCK] leaks", [("restricted_keyword", "[BLOCK]", "block", "high", 1.0)], "high", True),
+    ("only for Example Customer Corp here", "only for [CUSTOMER_001] here", [("customer_name", "[CUSTOMER_001]", "mask", "medium", 1.0)], "medium", False),
+    ("on Machine-A12 now", "on [MACHINE_NAME] now", [("machine_name", "[MACHINE_NAME]", "mask", "medium", 1.0)], "medium", False),
+    ("secret={n}@example.org, then a@b.example", "[REDACTED] then [EMAIL]", [("secret", "[REDACTED]", "redact", "high", 1.0), ("email", "[EMAIL]", "mask", "low", 1.0)], "high", False),
+    ("é😀 10.20.30.40 😀 user@h.example", "é😀 [IP_ADDRESS] 😀 [EMAIL]", [("ip_address", "[IP_ADDRESS]", "mask", "low", 1.0), ("email", "[EMAIL]", "mask", "low", 1.0)], "low", False),
+    ("only plain words {n}", "only plain words {n}", [], "low", False),
+]
+
+
+def _planted(spark: SparkSession, sf: str) -> DataFrame:
+    """A text for every document, made from its id, that one detector or a few find something in."""
+    d = F.col("document_id")
+    nth = F.format_string("%04d", d % 10_000)
+    said = F.get(F.array(*(F.lit(t) for t, *_ in PLANTED)), (d % len(PLANTED)).cast("int"))
+    return views.documents(spark, sf).select("document_id", F.concat(F.lit("row "), nth, F.lit(": "), F.replace(said, F.lit("{n}"), nth)).alias("text"))
+
+
+def dlp_detectors(spark: SparkSession, sf: str) -> DataFrame:
+    """Masked texts in which every detector finds something."""
+    found = masking.scan_and_mask(_planted(spark, sf), "text", "query")
+    return found.select("document_id", "masked_text", "risk_level", "blocked", F.size("findings").alias("n"))
+
+
+def dlp_detector_events(spark: SparkSession, sf: str) -> DataFrame:
+    """Their masking events, one by one."""
+    events = masking.masking_events(masking.scan_and_mask(_planted(spark, sf), "text", "answer"), "document_id")
+    return events.select("message_id", "nth", "entity_type", "masked_value", "masking_method", "confidence", "risk_level", "location")
+
+
 def dictionary_rules(spark: SparkSession, sf: str) -> DataFrame:
-    """A dictionary after the templates are installed and a rule is switched on."""
-    old = spark.createDataFrame([("machine_name", "Machine-A12", "[M]", "low", True), ("word", "Ende", None, "low", True)], "entity_type string, value string, replacement string, risk_level string, is_active boolean")
-    own = old.withColumn("created_at", F.lit("2024-01-01").cast("timestamp_ntz"))
-    rules = masking.toggle_rule(masking.install_templates(own, dt.datetime(2024, 2, 1)), "restricted_keyword", "RESTRICTED_FORMULA", True)
+    """A dictionary of the benchmark's words and two templates after templates are installed, words changed and a rule switched on."""
+    words = F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[a-z]+"), F.lit(0))))
+    terms = views.table(spark, sf, "benchmark").select(words.alias("value")).distinct()
+    none, size = F.lit(None).cast("string"), F.length("value")
+    rule = lambda put, risk, active, at: (F.lit("word").alias("entity_type"), "value", put.alias("replacement"), F.lit(risk).alias("risk_level"), active.alias("is_active"), F.lit(at).cast("timestamp_ntz").alias("created_at"))
+    own = terms.select(*rule(none, "low", size % 2 == 0, "2024-01-01"))
+    kept = spark.createDataFrame([("machine_name", "Machine-A12", "[M]", "low", True)], "entity_type string, value string, replacement string, risk_level string, is_active boolean").withColumn("created_at", F.lit("2024-01-01").cast("timestamp_ntz"))
+    changed = terms.where(size > 5).select(*rule(F.concat(F.lit("["), "value", F.lit("]")), "high", F.lit(True), "2024-03-01"))
+    added = terms.where(size == 3).select(*rule(none, "medium", F.lit(False), "2024-03-01")).withColumn("value", F.upper("value"))
+    rules = masking.upsert_rules(masking.install_templates(own.unionByName(kept), dt.datetime(2024, 2, 1)), changed.unionByName(added))
+    rules = masking.toggle_rule(rules, "restricted_keyword", "RESTRICTED_FORMULA", True)
     return rules.select("entity_type", "value", "replacement", "risk_level", "is_active", F.date_format("created_at", "yyyy-MM-dd").alias("created"))
 
 
@@ -265,7 +317,7 @@ def log_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (text_functions, prompt_predicates, scalar_helpers, vector_literals, chunk_text, chunk_pages, chunk_images, link_images, document_pages, pdf_structure, form_tables_fields, captions, image_ocr_chunks, image_names, parsed_values, ocr_lines, ocr_layout, office_documents, dlp_findings, dlp_mask, dlp_full, dlp_events, dictionary_rules, dictionary_terms, log_lines)
+    for f in (text_functions, prompt_predicates, scalar_helpers, vector_literals, chunk_text, chunk_pages, chunk_images, link_images, document_pages, pdf_structure, form_tables_fields, captions, image_ocr_chunks, image_names, parsed_values, ocr_lines, ocr_layout, office_documents, dlp_findings, dlp_mask, dlp_full, dlp_events, dlp_detectors, dlp_detector_events, dictionary_rules, dictionary_terms, log_lines)
 }
 
 # ---- DuckDB ----------------------------------------------------------------------------------------------------
@@ -452,11 +504,36 @@ ORACLES: dict[str, str] = {
         FROM v_documents JOIN terms ON contains(lower(text), value) GROUP BY document_id""",
         "v_documents",
     ),
-    "dictionary_rules": """
-        SELECT * FROM (VALUES ('machine_name', 'Machine-A12', '[MACHINE_001]', 'medium', false, '2024-01-01'), ('word', 'Ende', NULL, 'low', true, '2024-01-01'),
-          ('restricted_keyword', 'RESTRICTED_FORMULA', '[BLOCK]', 'high', true, '2024-02-01'), ('customer_name', 'Example Customer Corp', '[CUSTOMER_001]', 'medium', false, '2024-02-01')
-        ) AS t(entity_type, value, replacement, risk_level, is_active, created)""",
 }
+ORACLES["dictionary_rules"] = """
+  WITH terms AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[a-z]+')) AS value FROM benchmark)
+  SELECT 'word' AS entity_type, value, CASE WHEN length(value) > 5 THEN '[' || value || ']' END AS replacement, CASE WHEN length(value) > 5 THEN 'high' ELSE 'low' END AS risk_level,
+    length(value) > 5 OR length(value) % 2 = 0 AS is_active, '2024-01-01' AS created FROM terms
+  UNION ALL SELECT 'word', upper(value), NULL, 'medium', false, '2024-03-01' FROM terms WHERE length(value) = 3
+  UNION ALL VALUES ('machine_name', 'Machine-A12', '[MACHINE_001]', 'medium', false, '2024-01-01'), ('restricted_keyword', 'RESTRICTED_FORMULA', '[BLOCK]', 'high', true, '2024-02-01'),
+    ('customer_name', 'Example Customer Corp', '[CUSTOMER_001]', 'medium', false, '2024-02-01')"""
+
+
+def _case(values: list[str]) -> str:
+    return f"CASE document_id % {len(PLANTED)} " + " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(values)) + " END"
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+ORACLES["dlp_detectors"] = with_views(
+    f""" SELECT document_id, 'row ' || n || ': ' || replace({_case([_quoted(m) for _, m, *_ in PLANTED])}, '{{n}}', n) AS masked_text, {_case([_quoted(r) for *_, r, _ in PLANTED])} AS risk_level,
+      {_case([str(b).lower() for *_, b in PLANTED])} AS blocked, {_case([str(len(e)) for _, _, e, _, _ in PLANTED])} AS n
+    FROM (SELECT document_id, lpad(CAST(document_id % 10000 AS VARCHAR), 4, '0') AS n FROM v_documents)""",
+    "v_documents",
+)
+ORACLES["dlp_detector_events"] = with_views(
+    f""" SELECT document_id AS message_id, nth, entity_type, masked_value, masking_method, CAST(confidence AS DOUBLE) AS confidence, risk_level, 'answer' AS location
+    FROM v_documents JOIN (VALUES {", ".join(f"({k}, {i}, {', '.join(map(_quoted, e[:4]))}, {e[4]})" for k, (_, _, events, _, _) in enumerate(PLANTED) for i, e in enumerate(events))})
+      AS t(k, nth, entity_type, masked_value, masking_method, risk_level, confidence) ON k = document_id % {len(PLANTED)}""",
+    "v_documents",
+)
 ORACLES["log_lines"] = with_views(
     """ SELECT document_id, sha256('{"timestamp": "' || strftime(created_at, '%Y-%m-%dT%H:%M:%S.%g') || 'Z", "level": "' || CASE document_id % 5 WHEN 0 THEN 'ERROR' ELSE 'INFO' END
       || '", "logger": ' || to_json(coalesce(knowledge_base_id, '')) || ', "message": ' || to_json(coalesce(text, ''))

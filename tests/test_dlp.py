@@ -141,3 +141,19 @@ def test_case_folding_misses_no_rule(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
     listed = masking.scan_and_mask(df, "t", "query", rules).orderBy("i").collect()
     assert _by_table(spark, texts, rules) == [(r.masked_text, [(e.entity_type, e.masked_value) for e in r.masked_entities], r.risk_level, r.blocked) for r in listed]
+
+
+def test_dictionary_in_many_parts(spark, monkeypatch):
+    """Terms dealt by first characters, a crowded first character by hash; the longest has 3,000 characters."""
+    monkeypatch.setattr(masking, "PART_CHARS", 60)
+    rules = [Rule("code", f"Unit-{i}", None, "low") for i in range(40)] + [Rule("long", "lang" * 750, None, "high"), Rule("z", "zeta", None, "low"), Rule("e", "eta", "[ETA]", "low"), Rule("off", "off", None, "low", is_active=False)]
+    assert len(masking._parts(_table(spark, rules).withColumn("term", dlp.folded(F.col("value"))))) > 8
+    texts = ["unit-7 UNIT-39", "x" * 50 + "LANG" * 750, "Zeta off", "none", ""]
+    assert _by_table(spark, texts, rules) == [_model(t, rules) for t in texts]
+
+
+def test_scanner_reads_patterns_of_rules_literally():
+    rule = Rule("odd", "a.b\\Ec", None, "low").detector()
+    assert [m[0] for m in dlp.python_pattern(rule).finditer("A.B\\EC axb\\Ec")] == ["A.B\\EC"]
+    scanner = dlp.Scanner([*dlp.BUILT_IN, rule])
+    assert [(a, z, d.entity_type) for a, z, d, _ in scanner.spans("token=a.b\\Ec a.b\\Ec")] == [(0, 12, "secret"), (13, 19, "odd")]
