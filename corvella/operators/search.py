@@ -30,7 +30,7 @@ HIT = ("chunk_id", "document_id", "content", "vector_score", "keyword_score", "f
 MAX_QUERY_BYTES = 64 << 20
 
 
-def _in_bases(kb_ids: Sequence[str] | None) -> Column:
+def in_bases(kb_ids: Sequence[str] | None) -> Column:
     return F.lit(True) if kb_ids is None else F.col("knowledge_base_id").isin(*kb_ids)
 
 
@@ -40,7 +40,7 @@ def searchable(chunks: DataFrame, documents: DataFrame, permissions: DataFrame,
     The level in a hit's metadata is the chunk's own.
     """
     ready = retrieval_filter(documents.where("status = 'ready'"), permissions, principal).select("document_id")
-    return chunks.where(_in_bases(kb_ids)).join(ready, "document_id").withColumn("metadata", F.struct("metadata.*", "confidential_level"))
+    return chunks.where(in_bases(kb_ids)).join(ready, "document_id").withColumn("metadata", F.struct("metadata.*", "confidential_level"))
 
 
 def vector_search(chunks: DataFrame, documents: DataFrame, permissions: DataFrame, query: Sequence[float], kb_ids: Sequence[str] | None, top_k: int, principal: Principal | None) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.principal import LEVELS, token_columns
-from ..operators import cells, context, postings, search, security
+from ..operators import cells, codes, context, postings, search, security
 from . import views
 from .scratch import scratch_dir
 from .views import PRINCIPAL, QUERY, QUERY_VECTOR, with_views
@@ -67,6 +67,17 @@ def vector_cells(spark: SparkSession, sf: str) -> DataFrame:
     return _flat(cells.cell_search(cells.with_cells(chunks, centroids), centroids, documents, permissions, QUERY_VECTOR, None, TOP_K, PRINCIPAL, cells.LISTS), "ord")
 
 
+def vector_codes(spark: SparkSession, sf: str) -> DataFrame:
+    """Every 50th vector by the index of codes, with default probes: its best hit, and whether recall over all is 0.9 or more."""
+    vectors = views.table(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("vec_id").alias("document_id"), F.lit("kb").alias("knowledge_base_id"), "embedding")
+    queries = vectors.where(F.col("chunk_id") % QUERY_IDS_EVERY == 0).select(F.col("chunk_id").alias("query_id"), "embedding")
+    found = codes.search_batch(codes.build(vectors, scratch_dir(spark, "vector-index")), queries, TOP_K)
+    exact = search.vector_search_batch(vectors.select("chunk_id", "embedding"), queries, TOP_K).select("query_id", "chunk_id", F.lit(1).alias("hit"))
+    both = exact.join(found, ["query_id", "chunk_id"], "full")
+    recall = both.agg(F.count(F.when(F.col("rank").isNotNull(), F.col("hit"))) / F.count("hit")).first()[0] or 0.0
+    return found.where("rank = 1").select("query_id", "chunk_id", F.round("vector_score", 6).alias("vector_score"), F.lit(recall >= 0.9).alias("recall_ok"))
+
+
 def keyword_postings(spark: SparkSession, sf: str) -> DataFrame:
     """Twelve characters of every 50th document, looked up by the gram index among all chunks."""
     chunks, documents, permissions = _tables(spark, sf)
@@ -157,7 +168,7 @@ def tool_calls(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (hybrid_search, vector_topk, keyword_topk, rerank_cut, citations, agent_search, image_chunk_filter, vector_cells, keyword_postings, vector_batch, context_build, context_text, restricted_block, hit_images, image_context, acl_retrieval, acl_documents, kb_access, bearer_tokens, base_choice, prompts, tool_calls)
+    for f in (hybrid_search, vector_topk, keyword_topk, rerank_cut, citations, agent_search, image_chunk_filter, vector_cells, vector_codes, keyword_postings, vector_batch, context_build, context_text, restricted_block, hit_images, image_context, acl_retrieval, acl_documents, kb_access, bearer_tokens, base_choice, prompts, tool_calls)
 }
 
 # ---- DuckDB ----------------------------------------------------------------------------------------------------
@@ -300,6 +311,12 @@ ORACLES: dict[str, str] = {
     ),
 }
 
+ORACLES["vector_codes"] = f"""
+  SELECT query_id, chunk_id, round(score, 6) AS vector_score, true AS recall_ok FROM (
+    SELECT q.vec_id AS query_id, v.vec_id AS chunk_id, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) AS score,
+      row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) DESC, v.vec_id) AS rank
+    FROM embeddings q, embeddings v WHERE q.vec_id % {QUERY_IDS_EVERY} = 0
+  ) WHERE rank = 1"""
 ORACLES["keyword_postings"] = with_views(
     f""", allowed AS ({_ALLOWED}),
     found AS (SELECT c.* FROM v_chunks c JOIN v_documents d USING (document_id) WHERE d.status = 'ready' AND c.document_id IN (SELECT document_id FROM allowed)),
