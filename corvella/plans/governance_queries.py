@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import governance as gov
 from ..operators import ingestion, jobs, security
-from ..streaming import queue
+from ..streaming import job_state, queue
 from . import views
 from .scratch import scratch_dir
 from .search_queries import open_sql, readable_sql
@@ -200,6 +200,27 @@ def worker_runs(spark: SparkSession, sf: str) -> DataFrame:
     return done.groupBy("job_type", "status", F.coalesce("error_message", F.lit("")).alias("error")).agg(F.count("*").alias("n"), F.sum("attempts").alias("attempts"))
 
 
+def job_states(spark: SparkSession, sf: str) -> DataFrame:
+    """A job of every document as keyed state: a tenth fails at first, a tenth always, a tenth is never answered and times out."""
+    root = scratch_dir(spark, "job-states")
+    d = F.col("document_id")
+    at = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    request = lambda key, kind, when: (key.cast("long").alias("document_id"), kind.alias("job_type"), F.lit("request").alias("event"), when.alias("at"), F.lit(None).cast("int").alias("attempt"), F.lit(None).cast("string").alias("error"))
+    docs = views.documents(spark, sf).select("document_id")
+    kind = F.get(F.array(*map(F.lit, jobs.JOB_TYPES)), (d % 3).cast("int"))
+    docs.unionByName(docs.where(d % 2 == 0)).select(*request(d, kind, at)).write.parquet(f"{root}/in/requests")
+
+    def process(claimed: DataFrame) -> DataFrame:
+        error = F.when(d % 10 == 5, "bad file").when((d % 10 == 3) & (F.col("attempt") == 1), "try again")
+        return claimed.where(d % 10 != 7).select("document_id", "job_type", "attempt", (F.col("at") + F.expr("interval 1 second")).alias("at"), error.alias("error"))
+
+    for hours in (0, 1, 2):  # events of another type let the time go on, past the timers
+        clock = spark.range(1).select(*request(F.lit(-1), F.lit("clock"), at + F.make_dt_interval(hours=F.lit(hours))))
+        clock.write.parquet(f"{root}/in/clock-{hours}")
+        moved = job_state.drain_queue(spark, f"{root}/in", f"{root}/out", f"{root}/checkpoint", dict.fromkeys(jobs.JOB_TYPES, process))
+    return job_state.latest_states(moved).where("job_type != 'clock'").select("document_id", "job_type", "status", "attempt", "progress", "error")
+
+
 def token_totals(spark: SparkSession, sf: str) -> DataFrame:
     rows = gov.llm_log_rows(views.llm_logs(spark, sf).withColumn("prompt_tokens", F.when(F.col("log_id") % 5 != 0, F.col("prompt_tokens"))))
     return rows.groupBy("message_id").agg(F.sum("total_tokens").alias("total_tokens"))
@@ -242,7 +263,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         status_counts, audit_totals, kb_document_counts, chunk_stats, document_statuses, doc_listing_page, chat_logs, user_chat_logs, llm_logs, message_retrieval_logs, permission_denied,
-        user_audit_events, session_messages, retention_preview, retention_counts, retention_survivors, job_claim, job_dedupe, latest_active_job, job_outcomes, sessions, user_upsert, archived_documents, status_tool, grant_changes, ingested, queue_stream, worker_runs, token_totals, dependency_status, user_roles, recorded_events, base_listing,
+        user_audit_events, session_messages, retention_preview, retention_counts, retention_survivors, job_claim, job_dedupe, latest_active_job, job_outcomes, sessions, user_upsert, archived_documents, status_tool, grant_changes, ingested, queue_stream, worker_runs, job_states, token_totals, dependency_status, user_roles, recorded_events, base_listing,
     )
 }
 
@@ -336,6 +357,12 @@ ORACLES: dict[str, str] = {
         SELECT document_id, CASE WHEN zh THEN 'zh' ELSE 'en' END AS language, confidential_level, own + 2 AS n_chunks, CAST(2 AS BIGINT) AS n_image_chunks, CAST(own + 1 AS INTEGER) AS last, CAST(2 AS BIGINT) AS n_linked FROM total""",
         "v_documents",
     ),
+    "job_states": with_views(
+        """ SELECT document_id, CASE document_id % 3 WHEN 0 THEN 'document' WHEN 1 THEN 'ocr' ELSE 'embedding' END AS job_type,
+          CASE WHEN document_id % 10 IN (5, 7) THEN 'failed' ELSE 'completed' END AS status, CAST(CASE WHEN document_id % 10 IN (3, 5, 7) THEN 2 ELSE 1 END AS INTEGER) AS attempt,
+          100 AS progress, CASE document_id % 10 WHEN 5 THEN 'bad file' WHEN 7 THEN 'Job timed out after 300 seconds.' END AS error FROM v_documents""",
+        "v_documents",
+    ),
     "worker_runs": with_views(
         """, w AS (SELECT *, status IN ('queued', 'running') AS waits, CASE WHEN status = 'running' THEN 1 ELSE 0 END AS before FROM v_jobs),
         x AS (SELECT job_type, waits, before, status AS old, CASE WHEN job_type = 'embedding' THEN 'queued' WHEN job_type = 'document' AND job_id % 2 = 0 AND job_id % 3 <> 0 AND job_id % 4 <> 0 THEN 'completed' ELSE 'failed' END AS ends,
