@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import count_tokens, first_non_empty, strip, words
+from ..functions.text import count_tokens, first_non_empty, words
 
 MAX_TOKENS, MAX_CHARS = 8192, 30_000
 MAX_IMAGES, IMAGE_CHARS = 4, 6_000
@@ -122,6 +122,6 @@ def image_references(images: DataFrame) -> DataFrame:
 
 def user_prompt(query: Column, context: Column, image_context: Column) -> Column:
     """The prompt sent with a question; the wording of its sections is fixed."""
-    images = F.when(strip(image_context) != "", F.concat(F.lit("\nImage context:\n"), image_context, F.lit("\n"))).otherwise("")
+    images = F.when(image_context != "", F.concat(F.lit("\nImage context:\n"), image_context, F.lit("\n"))).otherwise("")
     form = "\n\nRequired output format:\n1. Answer\n2. Key points\n3. Sources\n4. Confidence\n5. Limitations\n"
     return F.concat(F.lit("User question:\n"), query, F.lit("\n\nContext:\n"), context, F.lit("\n"), images, F.lit(form))
