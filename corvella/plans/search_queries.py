@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.principal import LEVELS, token_columns
-from ..operators import cells, codes, context, postings, search, security
+from ..operators import cells, codes, context, postings, questions, search, security
 from . import views
 from .scratch import scratch_dir
 from .views import PRINCIPAL, QUERY, QUERY_VECTOR, with_views
@@ -87,6 +87,32 @@ def keyword_postings(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("query_id", "chunk_id", "document_id", F.round("keyword_score", 6).alias("keyword_score"), F.col("metadata.confidential_level").alias("level"), "ord")
 
 
+def _questions(spark: SparkSession, sf: str) -> DataFrame:
+    """Twelve characters of every 50th document as a question, with a vector."""
+    vectors = views.table(spark, sf, "embeddings").select("vec_id", "embedding")
+    n = vectors.count()
+    said = F.regexp_replace(F.substring("text", 11, 12), r"[%_\\]", "")
+    asked = views.documents(spark, sf).where(F.col("document_id") % QUERY_IDS_EVERY == 0).select(F.col("document_id").alias("query_id"), said.alias("query"), F.pmod(F.col("document_id") + 7, F.lit(n)).alias("vec_id"))
+    return asked.join(vectors, "vec_id").drop("vec_id")
+
+
+def _question_hits(spark: SparkSession, sf: str) -> DataFrame:
+    chunks, documents, permissions = _tables(spark, sf)
+    index = postings.build(chunks, scratch_dir(spark, "gram-index"))
+    return questions.hybrid_search(chunks, index, documents, permissions, _questions(spark, sf), None, TOP_K, PRINCIPAL, 2 * TOP_K)
+
+
+def question_hits(spark: SparkSession, sf: str) -> DataFrame:
+    """The ranking of every question of a table."""
+    return _flat(_question_hits(spark, sf), "query_id", "rank")
+
+
+def question_contexts(spark: SparkSession, sf: str) -> DataFrame:
+    """The context of every question under tight budgets."""
+    found = questions.contexts(_question_hits(spark, sf), 1_500, 9_000)
+    return found.select("query_id", F.length("context").alias("n_chars"), F.sha2("context", 256).alias("context_sha256"))
+
+
 def vector_batch(spark: SparkSession, sf: str) -> DataFrame:
     """Every 50th vector as a query against all vectors."""
     vectors = views.table(spark, sf, "embeddings")
@@ -168,7 +194,7 @@ def tool_calls(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (hybrid_search, vector_topk, keyword_topk, rerank_cut, citations, agent_search, image_chunk_filter, vector_cells, vector_codes, keyword_postings, vector_batch, context_build, context_text, restricted_block, hit_images, image_context, acl_retrieval, acl_documents, kb_access, bearer_tokens, base_choice, prompts, tool_calls)
+    for f in (hybrid_search, vector_topk, keyword_topk, rerank_cut, citations, agent_search, image_chunk_filter, vector_cells, vector_codes, keyword_postings, question_hits, question_contexts, vector_batch, context_build, context_text, restricted_block, hit_images, image_context, acl_retrieval, acl_documents, kb_access, bearer_tokens, base_choice, prompts, tool_calls)
 }
 
 # ---- DuckDB ----------------------------------------------------------------------------------------------------
@@ -311,6 +337,50 @@ ORACLES: dict[str, str] = {
     ),
 }
 
+_QUESTIONS = f"""
+, allowed AS ({_ALLOWED}),
+found AS (SELECT c.* FROM v_chunks c JOIN v_documents d USING (document_id) WHERE d.status = 'ready' AND c.document_id IN (SELECT document_id FROM allowed)),
+asked AS (
+  SELECT d.document_id AS query_id, regexp_replace(substring(d.text, 11, 12), '[%_\\\\]', '', 'g') AS query, e.embedding AS asked_vector
+  FROM v_documents d JOIN embeddings e ON e.vec_id = (d.document_id + 7) % (SELECT count(*) FROM embeddings) WHERE d.document_id % {QUERY_IDS_EVERY} = 0
+),
+vec AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS ord
+  FROM (SELECT q.query_id, c.*, list_cosine_similarity(CAST(c.embedding AS DOUBLE[]), list_transform(q.asked_vector, lambda x: round(CAST(x AS DOUBLE), 8))) AS score FROM found c, asked q WHERE c.embedding IS NOT NULL)
+  QUALIFY ord <= {TOP_K}
+),
+kw AS (
+  SELECT * EXCLUDE (grams, own, query), row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS ord
+  FROM (SELECT *, coalesce(len(list_intersect(grams, own)) * 1.0 / nullif(len(grams) + len(own) - len(list_intersect(grams, own)), 0), 0) AS score
+        FROM (SELECT q.query_id, q.query, c.*, {_TRIGRAMS.format("c.content")} AS grams, {_TRIGRAMS.format("q.query")} AS own FROM found c JOIN asked q ON trim(q.query, ' ') <> '' AND contains(lower(c.content), lower(q.query))))
+  QUALIFY ord <= {TOP_K}
+),
+merged AS (
+  SELECT * EXCLUDE (score), score AS vector_score, 0.0 AS keyword_score, 0 AS src FROM vec
+  UNION ALL
+  SELECT * EXCLUDE (score), 0.0, score, 1 FROM kw WHERE NOT EXISTS (SELECT 1 FROM vec WHERE vec.query_id = kw.query_id AND vec.chunk_id = kw.chunk_id)
+),
+hits AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC, src, ord) AS rank FROM (SELECT *, 0.65 * vector_score + 0.35 * keyword_score AS final_score FROM merged))
+  WHERE rank <= {2 * TOP_K}
+)"""
+ORACLES["question_hits"] = with_views(_QUESTIONS + " SELECT query_id, " + _SCORES.format(v="vector_score", k="keyword_score", f="final_score") + ", CAST(rank AS INTEGER) AS rank FROM hits", "v_chunks", "v_permissions")
+#: The budgeted prefix as for one question, with every step by question.
+_BY_QUESTION = (
+    _sections(1_500, 9_000)
+    .replace("SELECT rank, chunk_id, content,", "SELECT query_id, rank, chunk_id, content,")
+    .replace("SELECT CAST(0 AS BIGINT) AS rank,", "SELECT query_id, CAST(0 AS BIGINT) AS rank,")
+    .replace("AS section\n  UNION ALL\n  SELECT rank,", "AS section FROM asked\n  UNION ALL\n  SELECT query_id, rank,")
+    .replace("SELECT h.rank,", "SELECT h.query_id, h.rank,")
+    .replace("ON h.rank = l.rank + 1", "ON h.query_id = l.query_id AND h.rank = l.rank + 1")
+)
+ORACLES["question_contexts"] = _recursive(
+    with_views(
+        _QUESTIONS + _BY_QUESTION + " SELECT query_id, CAST(length(t) AS INTEGER) AS n_chars, sha256(t) AS context_sha256 FROM (SELECT query_id, string_agg(section, chr(10) || chr(10) ORDER BY rank) AS t FROM loop WHERE rank > 0 GROUP BY query_id)",
+        "v_chunks",
+        "v_permissions",
+    )
+)
 ORACLES["vector_codes"] = f"""
   SELECT query_id, chunk_id, round(score, 6) AS vector_score, true AS recall_ok FROM (
     SELECT q.vec_id AS query_id, v.vec_id AS chunk_id, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) AS score,
