@@ -47,7 +47,11 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
 
 
 def one_of_each(docs: DataFrame, components: DataFrame) -> DataFrame:
-    """The rows of docs that stay; components: doc_id, text_hash, root and component_id of every row."""
+    """The rows of docs that stay; components: doc_id, text_hash, root and component_id of every row.
+
+    Of rows with one id and text that differ in other columns the one with the smallest hash of all columns stays, whatever
+    order they come in; rows that agree in all are alike.
+    """
     chosen = (
         components
         .where(F.col("doc_id").eqNullSafe(F.col("component_id")))
@@ -56,8 +60,9 @@ def one_of_each(docs: DataFrame, components: DataFrame) -> DataFrame:
         .select(F.col("doc_id").alias("_id"), "_hash")
     )
     # The rows travel as one struct, so no column of theirs clashes with the ones added here.
-    hashed = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.xxhash64(whole_text()).alias("text_hash"))
+    row = F.struct("*")
+    hashed = docs.select(row.alias("row"), F.col("doc_id").alias("id"), F.xxhash64(whole_text()).alias("text_hash"), F.xxhash64(F.to_json(row)).alias("row_hash"))
     same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))
-    repeats = Window.partitionBy("id", "text_hash").orderBy(F.lit(0))
+    repeats = Window.partitionBy("id", "text_hash").orderBy("row_hash")
     kept = hashed.join(chosen, same, "left_semi").withColumn("nth", F.row_number().over(repeats))
     return kept.where("nth = 1").select("row.*")
