@@ -30,10 +30,10 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 BOILER_TAGS = frozenset("nav header footer aside form button select dialog menu head datalist audio video canvas map".split())
 BOILER_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice pagination popup promo promoted recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split()
+    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookiebar cookies disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice pagination popup promo promoted recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split()
 )
 #: A class such as comment-list or ad-box is its first word's box; post-header is the article's own; has-sidebar says nothing.
-BOX_WORDS = frozenset("area articles bar block body box container form holder inner item items links list posts section slot stories unit widget widgets wrap wrapper".split())
+BOX_WORDS = frozenset("area articles bar block body box button buttons container content form holder inner item items links list posts section slot stories thread unit widget widgets wrap wrapper".split())
 ARTICLE_WORDS = frozenset("article content entry page post single story title".split())
 STATE_WORDS = frozenset("has hide is no not show with without".split())
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
@@ -42,8 +42,12 @@ MAIN_TAGS = frozenset(("article", "main"))
 _FLOW = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 _IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "body": ({"head"}, {"html"})}
 
-#: Elements below this many others keep their end, their kind and their texts, but are no items of their own.
-MAX_DEPTH = 120
+#: Elements below this many others keep their end, their kind and their texts, but are no items of their own; boilerplate
+#: is up to so many levels more.
+MAX_DEPTH, MORE_DEPTH = 120, 40
+#: An element that is boilerplate by its name holds the article all the same if there is nothing beside it; none of these.
+NO_ARTICLE_WORDS = frozenset("ad ads advert adverts advertisement advertising comment comments consent cookie cookiebar cookies disqus gdpr related recommended replies reply respond sponsor sponsored".split())
+_HEADINGS = frozenset("h1 h2 h3".split())
 #: Fixed text inside an article is the host's own if so many pages have it alike.
 TEMPLATE_PAGES = 3
 _MARKUP = re.compile(
@@ -92,10 +96,12 @@ def parse_page(page: str) -> list[Item]:
     """The page as nested items; text is decoded, with one space for white space, cut at block boundaries.
 
     Boilerplate has "!" before its label. A form, or an element that its class or id calls boilerplate, is none if it holds
-    the page's main element or an article with a heading of the first level; a form neither if it holds such a heading.
+    the page's main element or an article with a heading of the first level; a form neither if it holds such a heading. A
+    header inside an article, a main element, a section or a box named as an article is the article's own. If nothing
+    else is left of a page, such forms and elements are none if they hold a heading and a paragraph.
     """
     top: list[Item] = []
-    stack: list[tuple[str, list[Item], list]] = [("", top, ["", top, ""])]  # name, where its items go, [label, items, why]
+    stack: list[tuple[str, list[Item], list, int]] = [("", top, ["", top, ""], 0)]  # name, where its items go, [label, items, why], level
     open_: Counter[str] = Counter()
     pieces: list[str] = []
 
@@ -118,7 +124,7 @@ def parse_page(page: str) -> list[Item]:
                 return
 
     def absolve(upto: int, kinds: tuple[str, ...]) -> None:
-        for name, _, node in stack[1:upto]:
+        for name, _, node, _ in stack[1:upto]:
             if node[2] == "name" and "name" in kinds or name == "form" and node[2] == "tag":
                 node[2] = ""
 
@@ -142,7 +148,8 @@ def parse_page(page: str) -> list[Item]:
                 flush()
                 close(name)
         elif name:
-            label, why = _label(name, m["attrs"], open_["article"] > 0)
+            own_header = name == "header" and (open_["article"] or open_["section"] or any(x[2][0].split(".")[0] == "main" or not ARTICLE_WORDS.isdisjoint(x[2][0].split(".")[1:]) for x in stack))
+            label, why = _label(name, m["attrs"], bool(own_header))
             if name == "br" or (name not in INLINE or (why and name not in VOID)):
                 flush()
                 if name in _FLOW:
@@ -158,19 +165,48 @@ def parse_page(page: str) -> list[Item]:
                 elif label == "main" or label.startswith("main."):
                     absolve(len(stack), ("name",))
                 if name not in VOID and not m["attrs"].endswith("/"):
-                    node = [label, [], why]
-                    if len(stack) < MAX_DEPTH:
+                    node, level = [label, [], why], stack[-1][3]
+                    if level < MAX_DEPTH or why and level < MAX_DEPTH + MORE_DEPTH:
                         stack[-1][1].append(node)
-                    elif not why:
-                        node[1] = stack[-1][1]
-                    stack.append((name, node[1], node))
+                        level += 1
+                    else:  # its items stand among those of the element around it
+                        node[1] = stack[-1][1] if not why else []
+                    stack.append((name, node[1], node, level))
                     open_[name] += 1
         m = _MARKUP.search(page, at)
     plain(at, len(page))
     flush()
+    if not _plain_text(top):
+        _absolve_boxes(top)
     return _named(top)
 
 
+def _plain_text(items: list) -> bool:
+    """Whether there is text outside boilerplate."""
+    return any(isinstance(x, str) or not x[2] and _plain_text(x[1]) for x in items)
+
+
+def _tags(items: list) -> set[str]:
+    """Tags of what stands outside boilerplate."""
+    return {t for x in items if not isinstance(x, str) and not x[2] for t in (x[0].split(".")[0], *_tags(x[1]))}
+
+
+def _absolve_boxes(items: list) -> bool:
+    """Outermost forms and named boxes that hold a heading and a paragraph of their own stop being boilerplate, and so does what holds them."""
+    found = False
+    for x in items:
+        if isinstance(x, str):
+            continue
+        tag, *words = x[0].split(".")
+        box = x[2] == "name" and NO_ARTICLE_WORDS.isdisjoint(w for c in words for w in c.split("-")) or x[2] == "tag" and tag == "form"
+        if x[2] and not box:
+            continue
+        tags = _tags(x[1]) if box else set()
+        if not _HEADINGS.isdisjoint(tags) and "p" in tags or _absolve_boxes(x[1]):
+            x[2], found = "", True
+    return found
+
+
 def _named(items: list) -> list[Item]:
     """Items as (label, items), boilerplate marked in the label."""
     return [x if isinstance(x, str) else (("!" if x[2] else "") + x[0], _named(x[1])) for x in items]
@@ -460,14 +496,14 @@ def infer(pages: DataFrame, max_nodes: int = 200_000, parts: int = 64) -> DataFr
             for host, page in zip(b.column("host").to_pylist(), b.column("text").to_pylist(), strict=True):
                 own = page_wrapper(parse_page(page))
                 if host in open_:
-                    open_[host] = merge(open_[host], own)
-                    continue
-                size += _size(own)
-                if size > max_nodes and open_:
+                    size -= _size(open_[host])
+                    own = merge(open_.pop(host), own)
+                if size + _size(own) > max_nodes and open_:
                     yield _wrappers(list(open_), [0] * len(open_), list(open_.values()))
                     open_.clear()
-                    size = _size(own)
+                    size = 0
                 open_[host] = own
+                size += _size(own)
         if open_:
             yield _wrappers(list(open_), [0] * len(open_), list(open_.values()))
         release_memory()

@@ -150,6 +150,32 @@ def test_class_names_of_ordinary_pages(page):
     assert _read_host(pages[:1]) == ["Title 0 Text 0 of the page" + (" The same offer on every page" if "offer" in page else "")]
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<body><form id='aspnetForm'><div class='page'><h2>Title {k}</h2><p>Text {k} of the page</p></div></form></body>",
+        "<body><main><header><h1>Title {k}</h1><p>Lead {k}</p></header><p>Text {k} of the page</p></main></body>",
+        "<body><header><p>The site</p></header><div class='post'><header><h1>Title {k}</h1></header><p>Text {k} of the page</p></div></body>",
+        "<body><main><h1>Title {k}</h1><section><header><h2>Part {k}</h2></header><p>Text {k} of the page</p></section></main></body>",
+        "<body><div class='page-sidebar'><h2>Title {k}</h2><p>Text {k} of the page</p></div><footer>Rights</footer></body>",
+        "<body><div id='search'><div><h1>Title {k}</h1><div class='ad'>Buy</div><p>Text {k} of the page</p></div></div></body>",
+        "<body>" + "<div>" * 125 + "<div class='sidebar'><main>" + TEXT + "</main></div>" + "</div>" * 125 + "</body>",
+        "<body><article>" + TEXT + "<div class='comment-thread'>Reader {k}</div><div class='share-buttons'>Send {k}</div><div class='sponsored-content'>Buy {k}</div></article><div class='cookiebar'>Cookies {k}</div></body>",
+    ],
+)
+@pytest.mark.parametrize("n_pages", [1, 4])
+def test_no_article_is_lost_in_a_box(page, n_pages):
+    pages = [page.format(k=k) for k in range(n_pages)]
+    lead, part = "Lead" in page, "Part" in page
+    want = [" ".join([f"Title {k}", *[f"Lead {k}"] * lead, *[f"Part {k}"] * part, f"Text {k} of the page"]) for k in range(n_pages)]
+    assert _read_host(pages) == want
+
+
+def test_pages_of_boilerplate_alone_stay_empty():
+    for page in ("<body><nav>Home</nav><div class='comments'><h2>Comments</h2><p>Reader</p></div></body>", "<body><form><input><p>Sign up</p></form></body>", "<body><div class='cookie-notice'><h2>Cookies</h2><p>We use them</p></div></body>"):
+        assert _read_host([page]) == [""]
+
+
 def test_long_lists_align_exactly():
     rng = random.Random(6)
     a, b = [[rng.choice("abcdefghij") for _ in range(300)] for _ in range(2)]
