@@ -70,3 +70,8 @@ def token_columns(token: Column) -> Column:
         F.when(admin, F.array(F.lit("admin"))).otherwise(roles).alias("roles"),
         bad.alias("error"),
     )
+
+
+def may_administer(token: Column) -> Column:
+    """``require_admin`` of a struct of ``token_columns``: a valid token with the admin role."""
+    return token["error"].isNull() & F.array_contains(token["roles"], "admin")

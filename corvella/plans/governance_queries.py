@@ -8,8 +8,9 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.principal import may_administer, token_columns
 from ..operators import governance as gov
-from ..operators import ingestion, jobs, security
+from ..operators import ingestion, jobs, layout, security
 from ..streaming import job_state, queue
 from . import views
 from .scratch import scratch_dir
@@ -200,6 +201,50 @@ def worker_runs(spark: SparkSession, sf: str) -> DataFrame:
     return done.groupBy("job_type", "status", F.coalesce("error_message", F.lit("")).alias("error")).agg(F.count("*").alias("n"), F.sum("attempts").alias("attempts"))
 
 
+def status_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents by status, counted from the changes that a stream of late, repeated and shuffled events makes in four micro-batches."""
+    root = scratch_dir(spark, "status-stream")
+    d = F.col("document_id")
+    stages = list(gov.STATUSES)[1:7]
+    made = [("uploaded", 0, F.lit(True)), *((s, k + 1, d % 7 > k) for k, s in enumerate(stages)), ("failed", 50, d % 5 == 0), ("uploaded", 60, d % 10 == 0), ("parsing", 61, d % 20 == 0), ("archived", 70, d % 11 == 0)]
+    each = F.array_compact(F.array(*(F.when(when, F.struct(F.lit(e).alias("event"), F.lit(at).alias("at"))) for e, at, when in made)))
+    events = views.documents(spark, sf).select("document_id", F.explode(each).alias("e")).select("document_id", "e.event", F.timestamp_seconds("e.at").alias("at"))
+    twice = events.unionByName(events.where(d % 3 == 0)).withColumn("file", F.pmod(F.xxhash64("document_id", "event", "at"), F.lit(4)))
+    for k in range(4):
+        twice.where(F.col("file") == k).drop("file").coalesce(1).write.parquet(f"{root}/in/{k}")
+    stream = spark.readStream.schema("document_id long, event string, at timestamp").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{root}/in")
+    writer = queue.status_changes(stream).writeStream.outputMode("update").foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{root}/out/batch={n}"))
+    writer.option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return queue.counts_by_status(spark.read.schema("document_id long, old string, new string, batch int").parquet(f"{root}/out"))
+
+
+def image_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents that are images: chunks of their OCR text and of the images, links back, and those without text."""
+    docs = views.documents(spark, sf).withColumn("original_filename", F.concat(F.lit("f"), "document_id", F.lit(".png")))
+    stored, linked, failed = ingestion.ingest_images(docs, views.images(spark, sf))
+    kinds = stored.groupBy("document_id", "language").agg(F.count("*").alias("n_chunks"), F.sum((F.col("metadata.source_type") == "image_ocr").cast("long")).alias("n_ocr"), F.max("chunk_index").alias("last"))
+    links = linked.groupBy("document_id").agg(F.count("chunk_id").alias("n_linked"))
+    done = ingestion.finish_documents(docs, stored, failed).select("document_id", "status", "error_message")
+    return done.join(kinds, "document_id", "left").join(links, "document_id", "left")
+
+
+def admin_gate(spark: SparkSession, sf: str) -> DataFrame:
+    """Bearer tokens made from documents: who may use the administration, and who is nobody."""
+    d = F.col("document_id")
+    token = F.when(d % 13 == 0, "admin").when(d % 17 == 0, "").otherwise(F.concat_ws("|", F.concat(F.lit("u"), d), F.lit("sales"), F.when(d % 7 == 0, "secret").otherwise("internal"), F.when(d % 3 == 0, "reader, admin").otherwise("administrator")))
+    read = views.documents(spark, sf).select("document_id", token_columns(token).alias("t"))
+    return read.select("document_id", may_administer(F.col("t")).alias("allowed"), F.col("t.error").alias("error"))
+
+
+def box_centers(spark: SparkSession, sf: str) -> DataFrame:
+    """Centres of boxes made from vectors, some with an incomplete point, some without any."""
+    v = F.col("vec_id")
+    point = lambda i: F.array(F.get("embedding", F.lit(2 * i)).cast("double"), F.get("embedding", F.lit(2 * i + 1)).cast("double"))
+    box = F.when(v % 7 == 0, F.array(point(0), F.array(F.lit(1.0)))).when(v % 11 == 0, F.array().cast("array<array<double>>")).otherwise(F.array(*map(point, range(4))))
+    center = layout.box_center(box)
+    return views.table(spark, sf, "embeddings").select("vec_id", F.round(center["x"], 6).alias("x"), F.round(center["y"], 6).alias("y"))
+
+
 def job_states(spark: SparkSession, sf: str) -> DataFrame:
     """A job of every document as keyed state: a tenth fails at first, a tenth always, a tenth is never answered and times out."""
     root = scratch_dir(spark, "job-states")
@@ -263,7 +308,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         status_counts, audit_totals, kb_document_counts, chunk_stats, document_statuses, doc_listing_page, chat_logs, user_chat_logs, llm_logs, message_retrieval_logs, permission_denied,
-        user_audit_events, session_messages, retention_preview, retention_counts, retention_survivors, job_claim, job_dedupe, latest_active_job, job_outcomes, sessions, user_upsert, archived_documents, status_tool, grant_changes, ingested, queue_stream, worker_runs, job_states, token_totals, dependency_status, user_roles, recorded_events, base_listing,
+        user_audit_events, session_messages, retention_preview, retention_counts, retention_survivors, job_claim, job_dedupe, latest_active_job, job_outcomes, sessions, user_upsert, archived_documents, status_tool, grant_changes, ingested, queue_stream, worker_runs, job_states, status_stream, image_documents, admin_gate, box_centers, token_totals, dependency_status, user_roles, recorded_events, base_listing,
     )
 }
 
@@ -357,6 +402,22 @@ ORACLES: dict[str, str] = {
         SELECT document_id, CASE WHEN zh THEN 'zh' ELSE 'en' END AS language, confidential_level, own + 2 AS n_chunks, CAST(2 AS BIGINT) AS n_image_chunks, CAST(own + 1 AS INTEGER) AS last, CAST(2 AS BIGINT) AS n_linked FROM total""",
         "v_documents",
     ),
+    "status_stream": """
+        SELECT CASE WHEN doc_id % 11 = 0 THEN 'archived' WHEN doc_id % 20 = 0 THEN 'parsing' WHEN doc_id % 10 = 0 THEN 'uploaded' WHEN doc_id % 5 = 0 THEN 'failed'
+          ELSE ['uploaded', 'parsing', 'ocr_processing', 'chunking', 'embedding', 'indexing', 'ready'][doc_id % 7 + 1] END AS status, count(*) AS n FROM documents GROUP BY 1""",
+    "image_documents": with_views(
+        """ SELECT document_id, CASE WHEN status = 'archived' THEN 'archived' WHEN document_id % 3 = 0 THEN 'ready' ELSE 'failed' END AS status,
+          CASE WHEN document_id % 3 = 0 THEN error_message ELSE 'OCR produced no text.' END AS error_message,
+          CASE WHEN document_id % 3 = 0 THEN 'en' END AS language, CASE WHEN document_id % 3 = 0 THEN CAST(4 AS BIGINT) END AS n_chunks, CASE WHEN document_id % 3 = 0 THEN CAST(2 AS BIGINT) END AS n_ocr,
+          CASE WHEN document_id % 3 = 0 THEN 3 END AS last, CASE WHEN document_id % 3 = 0 THEN CAST(2 AS BIGINT) END AS n_linked FROM v_documents""",
+        "v_documents",
+    ),
+    "admin_gate": """
+        SELECT doc_id AS document_id, error IS NULL AND (doc_id % 13 = 0 OR doc_id % 3 = 0) AS allowed, error
+        FROM (SELECT doc_id, CASE WHEN doc_id % 13 = 0 THEN NULL WHEN doc_id % 17 = 0 THEN 'missing bearer token' WHEN doc_id % 7 = 0 THEN 'invalid clearance level' END AS error FROM documents)""",
+    "box_centers": """
+        SELECT vec_id, CASE WHEN whole THEN round((CAST(e[1] AS DOUBLE) + e[3] + e[5] + e[7]) / 4, 6) ELSE 0 END AS x, CASE WHEN whole THEN round((CAST(e[2] AS DOUBLE) + e[4] + e[6] + e[8]) / 4, 6) ELSE 0 END AS y
+        FROM (SELECT vec_id, embedding AS e, vec_id % 7 <> 0 AND vec_id % 11 <> 0 AS whole FROM embeddings)""",
     "job_states": with_views(
         """ SELECT document_id, CASE document_id % 3 WHEN 0 THEN 'document' WHEN 1 THEN 'ocr' ELSE 'embedding' END AS job_type,
           CASE WHEN document_id % 10 IN (5, 7) THEN 'failed' ELSE 'completed' END AS status, CAST(CASE WHEN document_id % 10 IN (3, 5, 7) THEN 2 ELSE 1 END AS INTEGER) AS attempt,

@@ -6,6 +6,7 @@ Progress lives in the stream's checkpoint; a micro-batch that fails is run again
 from __future__ import annotations
 
 import datetime as dt
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -121,6 +122,47 @@ def document_statuses(events: DataFrame) -> DataFrame:
     )
 
 
+def status_of(times: dict[str, int]) -> str | None:
+    """The status by the latest time of every kind of event: archived for good; after the last upload failed, or the farthest stage."""
+    if not times:
+        return None
+    if "archived" in times:
+        return "archived"
+    since = times.get("uploaded", min(times.values()) - 1)
+    later = [e for e, at in times.items() if at > since]
+    return "failed" if "failed" in later else max(later, key=_ORDER.__getitem__, default="uploaded")
+
+
+def _changed(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    times: dict[str, int] = json.loads(state.get[0]) if state.exists else {}
+    before = status_of(times)
+    for part in parts:
+        for event, at in zip(part["event"], part["at"], strict=True):
+            if event in _ORDER and not pd.isna(at):
+                times[event] = max(times.get(event, at.value), at.value)
+    state.update((json.dumps(times),))
+    after = status_of(times)
+    if after != before:
+        yield pd.DataFrame({"document_id": [key[0]], "old": [before], "new": [after]})
+
+
+def status_changes(events: DataFrame) -> DataFrame:
+    """(document_id, old, new) whenever a micro-batch of events (document_id, event, at) changes a document's status.
+
+    The state is the latest time of each kind of event, so late, repeated and reordered events lead to the same status
+    however they are split into micro-batches. Unknown events and those without a time change nothing.
+    """
+    return events.where("document_id is not null").groupBy("document_id").applyInPandasWithState(
+        _changed, "document_id long, old string, new string", "times string", "update", GroupStateTimeout.NoTimeout
+    )
+
+
+def counts_by_status(changes: DataFrame) -> DataFrame:
+    """(status, n) from status changes: what documents left is taken back from what they came to."""
+    moved = F.explode(F.array(F.struct(F.col("new").alias("status"), F.lit(1).alias("by")), F.struct(F.col("old").alias("status"), F.lit(-1).alias("by"))))
+    return changes.select(moved.alias("m")).where("m.status is not null").groupBy("m.status").agg(F.sum("m.by").alias("n")).where("n != 0")
+
+
 def jobs_per_window(requests: DataFrame, window: str = "10 minutes", late: str = "1 hour") -> DataFrame:
     """Requests by type and time window; later ones than ``late`` are dropped."""
     counted = requests.withWatermark("created_at", late).groupBy(F.window("created_at", window), "job_type").agg(F.count("*").alias("n"))

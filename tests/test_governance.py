@@ -1,12 +1,14 @@
 """Queue, retention and streaming behaviour on inline tables."""
 
 import datetime as dt
+import random
 
 from pyspark.sql import functions as F
 
 from corvella.functions.principal import Principal
 from corvella.operators import governance as gov
 from corvella.operators import jobs
+from corvella.operators.governance import STATUSES
 from corvella.streaming import queue
 
 NOW = dt.datetime(2024, 6, 1)
@@ -160,3 +162,36 @@ def test_bases_and_events_are_appended(spark):
     events = spark.createDataFrame([(1, "view", '{"a":1}', None)], "event_id long, event_type string, metadata string, created_at timestamp_ntz")
     got = gov.record_events(events, spark.createDataFrame([(2, "click", None), (3, "view", "[]")], "event_id long, event_type string, metadata string"), now).orderBy("event_id").collect()
     assert [(r.metadata, r.created_at) for r in got] == [('{"a":1}', None), ("{}", now), ("[]", now)]
+
+
+def _sequential(events):
+    """The status rules one event after another, in order of time."""
+    now = None
+    for _, event in sorted(events, key=lambda e: e[0]):
+        now = queue.next_status(now, event)
+    return now
+
+
+def test_statuses_and_counts_do_not_depend_on_micro_batches(spark, tmp_path):
+    """Shuffled and repeated events in several batches, against the rules applied to all of them in order."""
+    rng = random.Random(5)
+    kinds = list(STATUSES)
+    events = {d: [(t, rng.choice(kinds[:7] * 3 + kinds)) for t in range(1, rng.randrange(2, 9))] for d in range(80)}
+    events = {d: [(0, "uploaded"), *e] for d, e in events.items()}
+    rows = [(d, event, dt.datetime(2024, 1, 1) + dt.timedelta(seconds=t)) for d, e in events.items() for t, event in e]
+    rows += rng.sample(rows, 60) + [(5, "odd", dt.datetime(2025, 1, 1)), (6, "failed", None), (None, "failed", dt.datetime(2025, 1, 1))]
+    rng.shuffle(rows)
+    for k in range(5):
+        spark.createDataFrame(rows[k::5], "document_id long, event string, at timestamp").coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    stream = spark.readStream.schema("document_id long, event string, at timestamp").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    writer = queue.status_changes(stream).writeStream.outputMode("update").foreachBatch(lambda b, n: b.write.mode("overwrite").parquet(f"{tmp_path}/out/batch={n}"))
+    writer.option("checkpointLocation", f"{tmp_path}/mark").trigger(availableNow=True).start().awaitTermination()
+    changes = spark.read.schema("document_id long, old string, new string, batch int").parquet(f"{tmp_path}/out").cache()
+    want = {d: _sequential(e) for d, e in events.items()}
+    last = {}
+    for r in changes.orderBy("batch").collect():
+        assert last.get(r.document_id) == r.old
+        last[r.document_id] = r.new
+    assert last == want
+    counts = {r.status: r.n for r in queue.counts_by_status(changes).collect()}
+    assert counts == {s: list(want.values()).count(s) for s in set(want.values())}
