@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.principal import LEVELS, token_columns
-from ..operators import cells, codes, context, postings, questions, search, security
+from ..operators import access, cells, codes, context, postings, questions, search, security
 from . import views
 from .scratch import scratch_dir
 from .views import PRINCIPAL, QUERY, QUERY_VECTOR, with_views
@@ -157,6 +157,26 @@ def acl_documents(spark: SparkSession, sf: str) -> DataFrame:
     return marked.select("document_id", "can_read")
 
 
+def _principals(spark: SparkSession, sf: str) -> DataFrame:
+    """The users as principals: departments, levels and roles by number, an administrator among fifty."""
+    u = F.col("user_id")
+    pick = lambda values, i: F.get(F.array(*map(F.lit, values)), i.cast("int"))
+    roles = F.when(u % 50 == 0, F.array(F.lit("admin"))).when(u % 3 == 0, F.array(F.lit("reader"), F.lit("auditor"))).when(u % 3 == 1, F.array(F.lit("editor"))).otherwise(F.array().cast("array<string>"))
+    return views.users(spark, sf).select(u.alias("principal_id"), F.col("external_user_id").alias("user"), F.when(u % 7 != 0, pick(views.DEPARTMENTS, u % 5)).alias("department"), roles.alias("roles"), pick(views.LEVEL_NAMES, u % 4).alias("clearance"), (u % 9 != 0).alias("active"))
+
+
+def principals_of_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """How many principals may search each document, by classes of both."""
+    found = access.access_classes(views.documents(spark, sf), "document_id", views.document_permissions(spark, sf), _principals(spark, sf), "confidential_level")
+    return found.principals_of_objects().select(F.col("object_id").alias("document_id"), "n")
+
+
+def principals_of_bases(spark: SparkSession, sf: str) -> DataFrame:
+    """How many active principals may use each knowledge base."""
+    found = access.access_classes(views.knowledge_bases(spark, sf), "knowledge_base_id", views.base_permissions(spark, sf), _principals(spark, sf), department="owner_department", active_only=True)
+    return found.principals_of_objects().select(F.col("object_id").alias("knowledge_base_id"), "n")
+
+
 def kb_access(spark: SparkSession, sf: str) -> DataFrame:
     return security.can_access_bases(views.knowledge_bases(spark, sf), views.base_permissions(spark, sf), PRINCIPAL).select("knowledge_base_id", "can_access")
 
@@ -194,7 +214,7 @@ def tool_calls(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (hybrid_search, vector_topk, keyword_topk, rerank_cut, citations, agent_search, image_chunk_filter, vector_cells, vector_codes, keyword_postings, question_hits, question_contexts, vector_batch, context_build, context_text, restricted_block, hit_images, image_context, acl_retrieval, acl_documents, kb_access, bearer_tokens, base_choice, prompts, tool_calls)
+    for f in (hybrid_search, vector_topk, keyword_topk, rerank_cut, citations, agent_search, image_chunk_filter, vector_cells, vector_codes, keyword_postings, question_hits, question_contexts, vector_batch, context_build, context_text, restricted_block, hit_images, image_context, acl_retrieval, acl_documents, principals_of_documents, principals_of_bases, kb_access, bearer_tokens, base_choice, prompts, tool_calls)
 }
 
 # ---- DuckDB ----------------------------------------------------------------------------------------------------
@@ -401,6 +421,31 @@ ORACLES["keyword_postings"] = with_views(
     "v_chunks",
     "v_permissions",
 )
+_PRINCIPALS = f"""principals AS (
+  SELECT user_id, 'u' || user_id AS name, CASE WHEN user_id % 7 <> 0 THEN {list(views.DEPARTMENTS)}[user_id % 5 + 1] END AS department, user_id % 4 AS clearance, user_id % 9 <> 0 AS active, user_id % 50 = 0 AS is_admin,
+    CASE WHEN user_id % 50 = 0 THEN ['admin'] WHEN user_id % 3 = 0 THEN ['reader', 'auditor'] WHEN user_id % 3 = 1 THEN ['editor'] ELSE [] END AS roles
+  FROM (SELECT DISTINCT user_id FROM events)
+)"""
+
+
+def _open_to(table: str, key: str, o: str) -> str:
+    """Whether principal p may use object o by its grants or for want of them."""
+    named = "(g.subject_type = 'user' AND g.subject_value = p.name) OR (g.subject_type = 'department' AND g.subject_value = p.department) OR (g.subject_type = 'role' AND list_contains(p.roles, g.subject_value))"
+    return f"(NOT EXISTS (SELECT 1 FROM {table} g WHERE g.{key} = {o}.{key}) OR EXISTS (SELECT 1 FROM {table} g WHERE g.{key} = {o}.{key} AND g.permission IN ('read', 'admin') AND ({named})))"
+
+
+ORACLES["principals_of_documents"] = with_views(
+    f""", {_PRINCIPALS} SELECT d.document_id, count(*) FILTER (WHERE p.is_admin OR (list_position({list(views.LEVEL_NAMES)}, d.confidential_level) - 1 <= p.clearance
+      AND (coalesce(d.department = p.department, false) OR {_open_to("v_permissions", "document_id", "d")}))) AS n
+    FROM v_documents d, principals p GROUP BY d.document_id""",
+    "v_documents",
+    "v_permissions",
+)
+ORACLES["principals_of_bases"] = with_views(
+    f""", {_PRINCIPALS} SELECT b.knowledge_base_id, count(*) FILTER (WHERE p.active AND (p.is_admin OR coalesce(b.owner_department = p.department, false) OR {_open_to("v_base_permissions", "knowledge_base_id", "b")})) AS n
+    FROM v_bases b, principals p GROUP BY b.knowledge_base_id""",
+    "v_base_permissions",
+)
 ORACLES["base_choice"] = with_views(" SELECT document_id, CASE document_id % 3 WHEN 0 THEN 'empty_b,empty_a,empty_b' ELSE 'source_a,empty_a,empty_b' END AS bases FROM v_documents", "v_documents")
 ORACLES["prompts"] = with_views(
     f""" SELECT document_id, sha256('{context.SYSTEM_PROMPT.replace("'", "''")}') AS system_sha256,
