@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.principal import may_administer, token_columns
 from ..operators import governance as gov
 from ..operators import ingestion, jobs, layout, security
-from ..streaming import job_state, queue
+from ..streaming import ingest, job_state, queue
 from . import views
 from .scratch import scratch_dir
 from .search_queries import open_sql, readable_sql
@@ -228,6 +228,29 @@ def image_documents(spark: SparkSession, sf: str) -> DataFrame:
     return done.join(kinds, "document_id", "left").join(links, "document_id", "left")
 
 
+def ingestion_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document as an upload, streamed in four files: every fifth broken, every third a scan, every seventh sent twice, first empty."""
+    root = scratch_dir(spark, "ingestion")
+    d = F.col("document_id")
+    at = F.timestamp_seconds(d)
+    pictures = views.images(spark, sf).groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("image_id", "page_number", "image_index", "image_path", "caption", "ocr_text"))).alias("images"))
+    page = F.array(F.struct(F.lit(1).alias("page_number"), F.col("text").alias("text")))
+    made = views.documents(spark, sf).join(pictures, "document_id").select(
+        "document_id", "knowledge_base_id", "confidential_level", F.concat(F.lit("f"), d).alias("original_filename"), F.when(d % 3 == 0, "png").otherwise("pdf").alias("file_type"),
+        F.when(d % 3 != 0, page).alias("pages"), "images", F.when(d % 5 == 0, "broken file").alias("error"), at.alias("at"),
+    )
+    early = made.where(d % 7 == 0).withColumn("pages", F.lit(None).cast(made.schema["pages"].dataType)).withColumn("images", F.lit(None).cast(made.schema["images"].dataType)).withColumn("error", F.lit("lost")).withColumn("at", at - F.expr("interval 1 hour"))
+    landed = made.withColumn("file", F.pmod(F.xxhash64("document_id"), F.lit(4))).unionByName(early.withColumn("file", F.pmod(F.xxhash64("document_id") + 1, F.lit(4))))
+    landed.repartition(4, "file").write.partitionBy("file").parquet(f"{root}/in")
+    stream = spark.readStream.schema(made.schema).option("maxFilesPerTrigger", 2).option("recursiveFileLookup", "true").parquet(f"{root}/in")
+    ingest.run_ingestion(stream, f"{root}/out").awaitTermination()
+    documents, chunks, images, events = (ingest.current(spark, f"{root}/out", sink) for sink in ingest.SINKS)
+    cut = chunks.groupBy("document_id").agg(F.count("*").alias("n_chunks"), F.max("chunk_index").alias("last"), F.count_if(F.col("metadata.source_type") == "pdf_text").alias("n_text"))
+    linked = images.groupBy("document_id").agg(F.count("chunk_id").alias("n_linked"))
+    told = events.groupBy(F.col("target_id").cast("long").alias("document_id")).agg(F.count_if(F.col("event_type") == "document_uploaded").alias("n_uploads"))
+    return documents.select("document_id", "status", "error_message", "chunk_count").join(cut, "document_id", "left").join(linked, "document_id", "left").join(told, "document_id")
+
+
 def admin_gate(spark: SparkSession, sf: str) -> DataFrame:
     """Bearer tokens made from documents: who may use the administration, and who is nobody."""
     d = F.col("document_id")
@@ -308,7 +331,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         status_counts, audit_totals, kb_document_counts, chunk_stats, document_statuses, doc_listing_page, chat_logs, user_chat_logs, llm_logs, message_retrieval_logs, permission_denied,
-        user_audit_events, session_messages, retention_preview, retention_counts, retention_survivors, job_claim, job_dedupe, latest_active_job, job_outcomes, sessions, user_upsert, archived_documents, status_tool, grant_changes, ingested, queue_stream, worker_runs, job_states, status_stream, image_documents, admin_gate, box_centers, token_totals, dependency_status, user_roles, recorded_events, base_listing,
+        user_audit_events, session_messages, retention_preview, retention_counts, retention_survivors, job_claim, job_dedupe, latest_active_job, job_outcomes, sessions, user_upsert, archived_documents, status_tool, grant_changes, ingested, queue_stream, worker_runs, job_states, status_stream, image_documents, ingestion_stream, admin_gate, box_centers, token_totals, dependency_status, user_roles, recorded_events, base_listing,
     )
 }
 
@@ -412,6 +435,15 @@ ORACLES: dict[str, str] = {
           CASE WHEN document_id % 3 = 0 THEN 3 END AS last, CASE WHEN document_id % 3 = 0 THEN CAST(2 AS BIGINT) END AS n_linked FROM v_documents""",
         "v_documents",
     ),
+    "ingestion_stream": with_views(
+        f""", sized AS (SELECT document_id, len({views.sql_words('text')}) AS n, document_id % 3 = 0 AS scan, document_id % 5 = 0 AS broken FROM v_documents),
+        cut AS (SELECT *, CASE WHEN n < 700 THEN 0 ELSE (n - 700) // 580 + 1 END AS full_ones FROM sized),
+        total AS (SELECT *, CASE WHEN scan THEN 2 ELSE full_ones + CASE WHEN n - full_ones * 580 > 0 THEN 1 ELSE 0 END END AS own FROM cut)
+        SELECT document_id, CASE WHEN broken THEN 'failed' ELSE 'ready' END AS status, CASE WHEN broken THEN 'broken file' END AS error_message, CAST(CASE WHEN broken THEN 0 ELSE own + 2 END AS INTEGER) AS chunk_count,
+          CASE WHEN NOT broken THEN own + 2 END AS n_chunks, CAST(CASE WHEN NOT broken THEN own + 1 END AS INTEGER) AS last, CAST(CASE WHEN NOT broken THEN CASE WHEN scan THEN 0 ELSE own END END AS BIGINT) AS n_text,
+          CAST(CASE WHEN NOT broken THEN 2 END AS BIGINT) AS n_linked, CAST(CASE WHEN document_id % 7 = 0 THEN 2 ELSE 1 END AS BIGINT) AS n_uploads FROM total""",
+        "v_documents",
+    ),
     "admin_gate": """
         SELECT doc_id AS document_id, error IS NULL AND (doc_id % 13 = 0 OR doc_id % 3 = 0) AS allowed, error
         FROM (SELECT doc_id, CASE WHEN doc_id % 13 = 0 THEN NULL WHEN doc_id % 17 = 0 THEN 'missing bearer token' WHEN doc_id % 7 = 0 THEN 'invalid clearance level' END AS error FROM documents)""",

@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from ..functions import dlp, text, vectors
 from ..operators import chunking, ingestion, layout
 from ..operators import dlp as masking
-from ..sources import files, office
+from ..sources import files, office, sheets
 from . import views
+from .scratch import scratch_dir
 from .views import sql_words, with_views
 
 RULES = (
@@ -207,6 +208,49 @@ def office_documents(spark: SparkSession, sf: str) -> DataFrame:
     return office.parse_office(made).select(F.col("path").cast("long").alias("document_id"), "page_count", F.size(text.words(F.get("pages", F.lit(0))["text"])).alias("n_words"), "error")
 
 
+def workbook_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document as a workbook of three sheets, read back: words as shared strings, inline or raw; a sheet without a part; numbers from the end and beyond it."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import io
+        import zipfile
+        from xml.sax.saxutils import escape
+
+        space = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+        book = f'<workbook {space}><sheets><sheet name="Words" r:id="w"/><sheet name="Lost" r:id="l"/><sheet name="Ends" r:id="e"/></sheets></workbook>'
+        relations = "".join(f'<Relationship Id="{i}" Target="{t}"/>' for i, t in (("w", "worksheets/sheet1.xml"), ("e", "/xl/worksheets/sheet2.xml")))
+        for b in batches:
+            out = []
+            for t in b.column("text").to_pylist():
+                strings: dict[str, int] = {}
+                lines = []
+                for line in (t or "").split("\n"):
+                    cell = ""
+                    for k, w in enumerate(line.split()):
+                        if k % 3 == 0:
+                            cell += f'<c t="s"><v>{strings.setdefault(w, len(strings))}</v></c>'
+                        else:
+                            cell += f'<c t="inlineStr"><is><t>{escape(w)}</t></is></c>' if k % 3 == 1 else f"<c><v>{escape(w)}</v></c>"
+                    lines.append(f"<row>{cell}</row>")
+                ends = f'<row><c t="s"><v>-{len(strings)}</v></c><c t="s"><v>{len(strings)}</v></c><c t="s"><v>none</v></c><c><v>end</v></c></row>'
+                data = io.BytesIO()
+                with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as z:
+                    z.writestr("xl/workbook.xml", book)
+                    z.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">{relations}</Relationships>')
+                    z.writestr("xl/sharedStrings.xml", f"<sst {space}>" + "".join(f"<si><t>{escape(w)}</t></si>" for w in strings) + "</sst>")
+                    for i, rows in enumerate(("".join(lines), ends), 1):
+                        z.writestr(f"xl/worksheets/sheet{i}.xml", f"<worksheet {space}><sheetData>{rows}</sheetData></worksheet>")
+                out.append(data.getvalue())
+            yield pa.RecordBatch.from_arrays([b.column("path"), pa.array(["xlsx"] * b.num_rows), pa.array(out, pa.binary())], ["path", "file_type", "content"])
+
+    clean = F.regexp_replace("text", "[^\\x09\\x0a\\x20-\\ud7ff\\ue000-\\ufffd]", "")
+    files = views.documents(spark, sf).select(F.col("document_id").cast("string").alias("path"), clean.alias("text")).mapInArrow(write, "path string, file_type string, content binary")
+    where = scratch_dir(spark, "workbook-rows")
+    sheets.part_rows(files).write.parquet(where)
+    pages = sheets.workbook_pages(spark.read.schema(sheets.ROWS).parquet(where))
+    return pages.select(F.col("path").cast("long").alias("document_id"), "page_number", F.sha2("text", 256).alias("text_sha256"))
+
+
 def _scanned(spark: SparkSession, sf: str) -> DataFrame:
     return masking.scan_and_mask(views.documents(spark, sf).select("document_id", "text"), "text", "context", RULES)
 
@@ -317,7 +361,7 @@ def log_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (text_functions, prompt_predicates, scalar_helpers, vector_literals, chunk_text, chunk_pages, chunk_images, link_images, document_pages, pdf_structure, form_tables_fields, captions, image_ocr_chunks, image_names, parsed_values, ocr_lines, ocr_layout, office_documents, dlp_findings, dlp_mask, dlp_full, dlp_events, dlp_detectors, dlp_detector_events, dictionary_rules, dictionary_terms, log_lines)
+    for f in (text_functions, prompt_predicates, scalar_helpers, vector_literals, chunk_text, chunk_pages, chunk_images, link_images, document_pages, pdf_structure, form_tables_fields, captions, image_ocr_chunks, image_names, parsed_values, ocr_lines, ocr_layout, office_documents, workbook_pages, dlp_findings, dlp_mask, dlp_full, dlp_events, dlp_detectors, dlp_detector_events, dictionary_rules, dictionary_terms, log_lines)
 }
 
 # ---- DuckDB ----------------------------------------------------------------------------------------------------
@@ -472,6 +516,14 @@ ORACLES: dict[str, str] = {
         SELECT document_id, sha256(string_agg(said, chr(10) ORDER BY line)) AS text_sha256 FROM lines GROUP BY document_id""",
         "v_documents",
     ),
+    "workbook_pages": with_views(
+        f""", lines AS (SELECT document_id, generate_subscripts(l, 1) AS nth, unnest(l) AS line FROM (SELECT document_id, string_split(text, chr(10)) AS l FROM v_documents)),
+        cut AS (SELECT document_id, nth, {sql_words('line')} AS w FROM lines),
+        whole AS (SELECT document_id, string_agg(array_to_string(w, chr(9)), chr(10) ORDER BY nth) FILTER (WHERE len(w) > 0) AS body, arg_min(w[1], nth) FILTER (WHERE len(w) > 0) AS first FROM cut GROUP BY ALL)
+        SELECT document_id, 1 AS page_number, sha256('[Sheet: Words]' || coalesce(chr(10) || body, '')) AS text_sha256 FROM whole
+        UNION ALL SELECT document_id, 2, sha256('[Sheet: Ends]' || chr(10) || coalesce(first || chr(9), '') || 'end') FROM whole""",
+        "v_documents",
+    ),
     "office_documents": with_views(f"SELECT document_id, 1 AS page_count, CAST(len({sql_words('text')}) AS INTEGER) AS n_words, CAST(NULL AS VARCHAR) AS error FROM v_documents", "v_documents"),
     "dlp_findings": with_views(
         f", f AS ({' UNION ALL '.join(_kind_spans())}) SELECT document_id, entity_type, CAST(start AS INTEGER) AS start, CAST(start + length(value) AS INTEGER) AS \"end\", value FROM f", "v_documents"
