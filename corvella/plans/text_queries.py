@@ -246,7 +246,7 @@ def workbook_pages(spark: SparkSession, sf: str) -> DataFrame:
     clean = F.regexp_replace("text", "[^\\x09\\x0a\\x20-\\ud7ff\\ue000-\\ufffd]", "")
     files = views.documents(spark, sf).select(F.col("document_id").cast("string").alias("path"), clean.alias("text")).mapInArrow(write, "path string, file_type string, content binary")
     where = scratch_dir(spark, "workbook-rows")
-    sheets.part_rows(files).write.parquet(where)
+    sheets.part_rows(files).write.partitionBy("kind").parquet(where)
     pages = sheets.workbook_pages(spark.read.schema(sheets.ROWS).parquet(where))
     return pages.select(F.col("path").cast("long").alias("document_id"), "page_number", F.sha2("text", 256).alias("text_sha256"))
 

@@ -145,8 +145,8 @@ def errors(rows: DataFrame) -> DataFrame:
     return rows.where("kind = 'error'").select("path", F.col("value").alias("error"))
 
 
-def _readable(rows: DataFrame) -> DataFrame:
-    return rows.join(errors(rows).select("path"), "path", "left_anti")
+def _readable(some: DataFrame, rows: DataFrame) -> DataFrame:
+    return some.join(errors(rows).select("path"), "path", "left_anti")
 
 
 def _target(c: Column) -> Column:
@@ -163,11 +163,8 @@ def sheets(rows: DataFrame) -> DataFrame:
     return said.join(targets, ["path", "_id"]).select("path", "sheet", "name", "part")
 
 
-def cells(rows: DataFrame) -> DataFrame:
-    """(path, sheet, name, row, cell, value) of all cells; positions count from 0.
-
-    Shared strings are joined by number; negative numbers count from the end, bad ones give the empty text.
-    """
+def _values(rows: DataFrame) -> DataFrame:
+    """(path, part, row, cell, value) of all cells: shared strings joined by number."""
     raw = rows.where("kind = 'cell'").select("path", "part", F.col("nth").alias("row"), F.col("sub").alias("cell"), "value", F.col("ref").alias("_ref"))
     strings = rows.where("kind = 'string'").select("path", F.col("nth").alias("_ref"), F.col("value").alias("_string"))
     total = strings.groupBy("path").agg(F.count("*").alias("_n"))
@@ -175,8 +172,15 @@ def cells(rows: DataFrame) -> DataFrame:
     # Only negative numbers need the count; most workbooks have none.
     back = shared.where("_ref < 0").join(total, "path", "left").withColumn("_ref", F.when(F.col("_ref") + F.col("_n") >= 0, F.col("_ref") + F.col("_n")).otherwise(-1)).drop("_n")
     found = shared.where("_ref >= 0").unionByName(back).join(strings, ["path", "_ref"], "left").withColumn("value", F.coalesce("_string", F.lit(""))).drop("_string")
-    both = plain.unionByName(found).drop("_ref")
-    return both.join(sheets(rows), ["path", "part"]).select("path", "sheet", "name", "row", "cell", "value")
+    return plain.unionByName(found).drop("_ref")
+
+
+def cells(rows: DataFrame) -> DataFrame:
+    """(path, sheet, name, row, cell, value) of all cells; positions count from 0.
+
+    Shared strings are found by number; negative numbers count from the end, bad ones give the empty text.
+    """
+    return _values(rows).join(sheets(rows), ["path", "part"]).select("path", "sheet", "name", "row", "cell", "value")
 
 
 def _joined(value: str, order: str, between: str) -> Column:
@@ -193,15 +197,15 @@ def _numbered(texts: DataFrame) -> DataFrame:
 
 def workbook_pages(rows: DataFrame) -> DataFrame:
     """(path, page_number, text): a page a sheet, under a line that names it, a line a row, tabs between non-empty cells."""
-    rows = _readable(rows)
-    lines = cells(rows).groupBy("path", "sheet", "row").agg(_joined("value", "cell", "\t").alias("line"))
-    bodies = lines.groupBy("path", "sheet").agg(_joined("line", "row", "\n").alias("body"))
-    named = sheets(rows).join(bodies, ["path", "sheet"], "left")
+    # Sheets and errors are joined when a part is one row, not when it is its cells.
+    lines = _values(rows).groupBy("path", "part", "row").agg(_joined("value", "cell", "\t").alias("line"))
+    bodies = lines.groupBy("path", "part").agg(_joined("line", "row", "\n").alias("body"))
+    named = _readable(sheets(rows), rows).join(bodies, ["path", "part"], "left")
     head = F.concat(F.lit("[Sheet: "), "name", F.lit("]"))
     return _numbered(named.select("path", F.col("sheet").alias("nth"), F.concat_ws("\n", head, F.nullif("body", F.lit(""))).alias("text")))
 
 
 def slide_pages(rows: DataFrame) -> DataFrame:
     """(path, page_number, text): a page a slide by number, a line a paragraph; blank slides go."""
-    said = _readable(rows).where("kind = 'paragraph'")
-    return _numbered(said.groupBy("path", "nth").agg(_joined("value", "sub", "\n").alias("text")))
+    said = rows.where("kind = 'paragraph'").groupBy("path", "nth").agg(_joined("value", "sub", "\n").alias("text"))
+    return _numbered(_readable(said, rows))

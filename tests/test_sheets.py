@@ -87,7 +87,7 @@ def test_no_files(spark):
     assert sheets.workbook_pages(rows).count() == sheets.slide_pages(rows).count() == sheets.errors(rows).count() == 0
 
 
-@pytest.mark.parametrize("seed", range(4))
+@pytest.mark.parametrize("seed", range(2))
 def test_random_workbooks(pages_of, seed):
     rnd = random.Random(seed)
     files = []
@@ -103,5 +103,6 @@ def test_random_workbooks(pages_of, seed):
 def test_a_large_sheet_comes_in_bounded_batches(spark):
     book = workbook([("big", [[("s", str(i % 3)), ("n", str(i))] for i in range(30_000)])], ["aa", "bb", "cc"])
     rows = sheets.part_rows(spark.createDataFrame([("f", "xlsx", book)], "path string, file_type string, content binary"))
+    assert sheets.cells(rows).where("name = 'big' and sheet = 1 and cell = 1 and value = cast(row as string)").count() == 30_000
     text = sheets.workbook_pages(rows).first().text.split("\n")
     assert text == ["[Sheet: big]", *(f"{('aa', 'bb', 'cc')[i % 3]}\t{i}" for i in range(30_000))]
