@@ -4,17 +4,25 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-
 #: Vectors up to this length are compared by plain arithmetic.
 UNROLLED = 128
 
 
+def _literals(vectors: pa.Array) -> pa.Array:
+    said = [None if v is None else ",".join("null" if x is None else f"{x:.8f}" for x in v) for v in vectors.to_pylist()]
+    return pa.array([None if s is None else f"[{s}]" for s in said], pa.string())
+
+
 def vector_literal(c: Column) -> Column:
-    """``[0.10000000,0.20000000]``"""
-    return F.concat(F.lit("["), F.array_join(F.transform(c, lambda x: F.format_string("%.8f", x.cast("double"))), ","), F.lit("]"))
+    """``[0.10000000,0.20000000]``
+
+    Numbers are rounded by their exact value, ties to even, as C and Python do; Java rounds the shortest decimal, ties up.
+    """
+    return F.arrow_udf(_literals, "string")(c.cast("array<double>"))
 
 
 def rounded(values: Sequence[float]) -> Column:
