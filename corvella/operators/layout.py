@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator, Sequence
+from itertools import pairwise
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,21 +48,40 @@ def line_height(ys: Sequence[float]) -> float:
     return max(8.0, 0.6 * (levels[-1] - levels[0]) / (len(levels) - 1) if len(levels) > 1 else 12.0)
 
 
-def join_positioned(boxes: Sequence[tuple[float, float, int, str]]) -> str:
-    """Boxes (y, x, number, text) of one page as lines.
+def join_positioned(y: np.ndarray, x: np.ndarray, n: np.ndarray, text: Sequence[str]) -> str:
+    """Boxes of one page (heights, left edges, numbers, texts) as lines.
 
     From the top down, a box opens a line if it stands further from the line's first box than the line height; what
-    follows depends on where earlier lines began, so one pass goes through the page.
+    follows depends on where earlier lines began, so one pass goes through the page, a search a line.
     """
-    height = line_height([b[0] for b in boxes]) if boxes else 0.0
-    lines: list[list[tuple[float, int, str]]] = []
-    top = float("nan")
-    for nth, (y, x, _, text) in enumerate(sorted(boxes, key=lambda b: b[:3])):
-        if not abs(y - top) <= height:
-            lines.append([])
-            top = y
-        lines[-1].append((x, nth, text))
-    return "\n".join(" ".join(t for _, _, t in sorted(line)) for line in lines)
+    order = np.lexsort((n, x, y))
+    heights, lefts = y[order].tolist(), x[order]
+    limit = line_height(heights) if heights else 0.0
+    known = len(heights) - int(np.isnan(y).sum())  # what has no height comes last, each on a line of its own
+    lines, at = [], 0
+    while at < len(heights):
+        top = heights[at]
+        end = bisect_right(heights, limit, at, known, key=lambda v, top=top: v - top) if at < known else at + 1
+        lines.append(" ".join(text[k] for k in order[at:end][np.argsort(lefts[at:end], kind="stable")].tolist()))
+        at = end
+    return "\n".join(lines)
+
+
+#: Boxes whose lines leave a task together; one page may have more.
+_BOXES = 1 << 18
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, text) of (key, items): numbers stay arrays, and of the texts one page's are Python's at a time."""
+    for b in batches:
+        items, ends = b.column("items"), np.cumsum(b.column("items").value_lengths().to_numpy())
+        cuts = [0, *(np.flatnonzero(np.diff(ends // _BOXES)) + 1).tolist(), b.num_rows]
+        for a, z in pairwise(cuts):
+            texts = []
+            for k in range(a, z):
+                y, x, n, text = items[k].values.flatten()
+                texts.append(join_positioned(y.to_numpy(), x.to_numpy(), n.to_numpy(), text.to_pylist()))
+            yield pa.RecordBatch.from_arrays([b.column("key").slice(a, z - a), pa.array(texts, pa.string())], ["key", "text"])
 
 
 def positioned_text(boxes: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -67,10 +89,4 @@ def positioned_text(boxes: DataFrame, key: Sequence[str]) -> DataFrame:
     item = F.struct(F.col("y").cast("double").alias("y"), F.col("x").cast("double").alias("x"), F.col("box_no").cast("long").alias("n"), "text")
     pages = boxes.groupBy(F.struct(*key).alias("key")).agg(F.collect_list(item).alias("items"))
     kind = pages.schema["key"].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = [join_positioned([(i["y"], i["x"], i["n"], i["text"]) for i in items]) for items in b.column("items").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(texts, pa.string())], ["key", "text"])
-
-    return pages.mapInArrow(run, f"key {kind}, text string").select("key.*", "text")
+    return pages.mapInArrow(_joined, f"key {kind}, text string").select("key.*", "text")

@@ -2,8 +2,11 @@
 
 import io
 import random
+import tracemalloc
 import zipfile
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -89,6 +92,28 @@ def test_positioned_boxes(spark):
     assert [tuple(r.c) for r in centers] == [(1.0, 2.0), (0.0, 0.0), (0.0, 0.0), (0.0, 0.0)]
 
 
+def test_positioned_boxes_page_by_page():
+    """A batch of many pages never becomes Python objects as a whole, and lines are those of a plain loop."""
+    rng = np.random.default_rng(5)
+    sizes = rng.integers(0, 2_000, 200)
+    total = int(sizes.sum())
+    y, x = rng.integers(0, 900, total) * 1.5, rng.integers(0, 40, total) * 5.0
+    items = pa.StructArray.from_arrays([pa.array(y), pa.array(x), pa.array(rng.integers(0, 9, total)), pa.array([f"w{k}" for k in range(total)])], ["y", "x", "n", "text"])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(200)), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), items)], ["key", "items"])
+    tracemalloc.start()
+    got = [r["text"] for b in layout._joined(iter([batch])) for r in b.to_pylist()]
+    assert tracemalloc.get_traced_memory()[1] < 60 * total  # some 300 bytes a box as a list of dicts
+    tracemalloc.stop()
+    for k, boxes in enumerate(batch.column("items").to_pylist()):
+        height, lines, top = layout.line_height([b["y"] for b in boxes]) if boxes else 0, [], float("nan")
+        for b in sorted(boxes, key=lambda b: (b["y"], b["x"], b["n"])):
+            if not abs(b["y"] - top) <= height:
+                lines.append([])
+                top = b["y"]
+            lines[-1].append(b)
+        assert got[k] == "\n".join(" ".join(b["text"] for b in sorted(line, key=lambda b: b["x"])) for line in lines)
+
+
 def _zip(members):
     data = io.BytesIO()
     with zipfile.ZipFile(data, "w") as z:
