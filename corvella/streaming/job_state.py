@@ -3,8 +3,9 @@
 A request makes a job unless one of the same document and type is active. An admitted job runs at once: its transition to
 ``running`` leaves the state machine with the number of the attempt, and whoever processes the micro-batch answers with a
 ``done`` or ``error`` event for that attempt. An attempt without an answer ends when its timer fires. Failed attempts run
-again until they are used up; finished jobs leave the state after a while. A turn costs what its events touch, however
-many jobs there are. Answers to an attempt that is over, repeated ones too, change nothing, so a micro-batch may run again.
+again until they are used up; finished jobs leave the state after a while. States travel to Python with the events, in
+Arrow batches, and back, so a turn costs Python what its events and timers touch; the JVM looks through all states for
+timers. Answers to an attempt that is over, repeated ones too, change nothing, so a micro-batch may run again.
 """
 
 from __future__ import annotations
@@ -17,71 +18,75 @@ import pandas as pd
 from pyspark import InheritableThread
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.jobs import MAX_ATTEMPTS
 
 EVENT = "document_id long, job_type string, event string, at timestamp, attempt int, error string"
 TRANSITION = "document_id long, job_type string, requested_at timestamp, status string, attempt int, progress int, at timestamp, error string"
-#: The state store that timers need.
+#: Of a job: running, completed or failed; the times of its request and of this state, and when its timer is due, as epoch milliseconds.
+STATE = "status string, attempt int, requested long, since long, due long"
+#: The state store that the queue uses: states lie on disk.
 STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 _ORDER = {"done": 0, "error": 1, "request": 2}
 _PROGRESS = {"running": 1, "completed": 100, "failed": 100}
 
 
-class _Jobs(StatefulProcessor):
-    """States: running, completed, failed. Times are epoch milliseconds."""
+_COLUMNS = [c.split()[0] for c in TRANSITION.split(", ")]
 
-    def __init__(self, timeout: int, max_attempts: int, keep: int):
-        self.timeout, self.max_attempts, self.keep = timeout * 1000, max_attempts, keep * 1000
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.job = handle.getValueState("job", "status string, attempt int, requested long, since long")
+class _Jobs:
+    """What events and timers make of one key's state; times are epoch milliseconds."""
 
-    def close(self) -> None:
-        pass
-
-    def _timer(self, at: int) -> None:
-        for old in list(self.handle.listTimers()):
-            self.handle.deleteTimer(old)
-        self.handle.registerTimer(at)
+    def __init__(self, timeout: int, max_attempts: int, keep: int):
+        self.timeout, self.max_attempts, self.keep = timeout * 1000, max_attempts, keep * 1000
 
-    def _set(self, key: tuple, status: str, attempt: int, requested: int, at: int, error: str | None) -> tuple:
-        self.job.update((status, attempt, requested, at))
-        self._timer(at + (self.timeout if status == "running" else self.keep))
-        return (*key, pd.Timestamp(requested, unit="ms"), status, attempt, _PROGRESS[status], pd.Timestamp(at, unit="ms"), error)
+    def _next(self, status: str, attempt: int, requested: int, at: int, error: str | None) -> tuple[tuple, str | None]:
+        due = at + (self.timeout if status == "running" else self.keep)
+        return (status, attempt, requested, at, due), error
 
-    def _ended(self, key: tuple, attempt: int, requested: int, at: int, error: str) -> tuple:
+    def _ended(self, attempt: int, requested: int, at: int, error: str) -> tuple[tuple, str | None]:
         """A failed attempt: the next one, or the end."""
-        if attempt < self.max_attempts:
-            return self._set(key, "running", attempt + 1, requested, at, error)
-        return self._set(key, "failed", attempt, requested, at, error)
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        events = pd.concat(list(rows))
-        events["_order"] = events["event"].map(_ORDER)
-        out = []
-        for e in events.dropna(subset=["_order"]).sort_values(["at", "_order"], kind="stable").itertuples():
-            at = int(e.at.timestamp() * 1000)
-            status, attempt, requested, _ = self.job.get() if self.job.exists() else (None, 0, 0, 0)
-            if e.event == "request":
-                if status != "running":
-                    out.append(self._set(key, "running", 1, at, at, None))
-            elif status == "running" and e.attempt == attempt:
-                out.append(self._set(key, "completed", attempt, requested, at, None) if e.event == "done" else self._ended(key, attempt, requested, at, e.error or "failed"))
-        if out:
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in TRANSITION.split(", ")])
-
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if not self.job.exists():
-            return
-        status, attempt, requested, since = self.job.get()
-        if status != "running":
-            self.job.clear()
+        again = attempt < self.max_attempts
+        return self._next("running" if again else "failed", attempt + again, requested, at, error)
+
+    def _event(self, job: tuple | None, event: str, at: int, attempt: int, error: str | None) -> tuple[tuple, str | None] | None:
+        running = job is not None and job[0] == "running"
+        if event == "request":
+            return None if running else self._next("running", 1, at, at, None)
+        if not running or attempt != job[1]:
+            return None
+        return self._next("completed", job[1], job[2], at, None) if event == "done" else self._ended(job[1], job[2], at, error or "failed")
+
+    def turn(self, key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        job = state.get if state.exists else None
+        made = []
+        if state.hasTimedOut:
+            if job[0] != "running":
+                state.remove()
+                return
+            made.append(self._ended(job[1], job[2], job[4], f"Job timed out after {self.timeout // 1000} seconds."))
+        else:
+            events = []
+            for f in frames:
+                at = f["at"].to_numpy("datetime64[ms]").astype("int64").tolist()
+                events += zip(at, f["event"].tolist(), f["attempt"].tolist(), f["error"].tolist(), strict=True)
+            for at, event, attempt, error in sorted((e for e in events if e[1] in _ORDER), key=lambda e: (e[0], _ORDER[e[1]])):
+                step = self._event(job, event, at, attempt, error)
+                if step:
+                    made.append(step)
+                    job = step[0]
+        if job is None:
             return
-        made = self._ended(key, attempt, requested, since + self.timeout, f"Job timed out after {self.timeout // 1000} seconds.")
-        yield pd.DataFrame([made], columns=[c.split()[0] for c in TRANSITION.split(", ")])
+        if made:
+            job = made[-1][0]
+            state.update(job)
+        # A timer that is due already fires as the time goes on. Without a change the old one is set anew.
+        state.setTimeoutTimestamp(max(job[4], state.getCurrentWatermarkMs() + 1))
+        if made:
+            rows = [(*key, pd.Timestamp(r, unit="ms"), status, attempt, _PROGRESS[status], pd.Timestamp(at, unit="ms"), error) for (status, attempt, r, at, _), error in made]
+            yield pd.DataFrame(rows, columns=_COLUMNS)
 
 
 def job_transitions(events: DataFrame, timeout: int = 300, max_attempts: int = MAX_ATTEMPTS, keep: int = 86_400, late: str = "10 minutes") -> DataFrame:
@@ -92,7 +97,7 @@ def job_transitions(events: DataFrame, timeout: int = 300, max_attempts: int = M
     seconds until a finished job is forgotten. Unknown events change nothing. The stream needs the state store STORE.
     """
     known = events.where("document_id is not null and job_type is not null").withWatermark("at", late)
-    return known.groupBy("document_id", "job_type").transformWithStateInPandas(_Jobs(timeout, max_attempts, keep), TRANSITION, "update", "eventTime")
+    return known.groupBy("document_id", "job_type").applyInPandasWithState(_Jobs(timeout, max_attempts, keep).turn, TRANSITION, STATE, "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def latest_states(transitions: DataFrame) -> DataFrame:

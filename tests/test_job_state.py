@@ -95,3 +95,11 @@ def test_latest_states(spark, queue, tmp_path):
     last = job_state.latest_states(spark.read.schema(job_state.TRANSITION).option("recursiveFileLookup", "true").parquet(str(tmp_path / "out")))
     want = {d: ("failed", 2) if d % 10 == 5 else ("completed", 2) if d % 10 == 3 else ("running", 1) if d == 7 else ("completed", 1) for d in range(20)}
     assert {r.document_id: (r.status, r.attempt) for r in last.collect()} == want
+
+
+def test_states_travel_in_batches(spark, tmp_path):
+    """Calls to the state store one by one, several a job, made the queue wait; states must come with the events."""
+    spark.createDataFrame([], EVENT).write.parquet(str(tmp_path / "in"))
+    moved = job_state.job_transitions(spark.readStream.schema(EVENT).parquet(str(tmp_path / "in")))
+    plan = moved._jdf.queryExecution().analyzed().toString()
+    assert "FlatMapGroupsInPandasWithState" in plan and "TransformWithState" not in plan
