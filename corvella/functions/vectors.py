@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Vectors up to this length are compared by plain arithmetic.
 UNROLLED = 128
+#: What stands between the words of trigrams.
+WORD_GAP = "[^\\p{IsAlphabetic}\\p{IsDigit}]+"
 
 
 def _literals(vectors: pa.Array) -> pa.Array:
@@ -58,7 +60,8 @@ def cosine_to(a: Column, query: Sequence[float]) -> Column:
 
 def trigrams(c: Column) -> Column:
     """The set of trigrams of the lower-case alphanumeric words, each padded by two spaces left and one right."""
-    runs = F.filter(F.split(F.lower(c), "[^\\p{IsAlphabetic}\\p{IsDigit}]+"), lambda w: w != "")
+    # A word is cut once, however often it stands in a text.
+    runs = F.filter(F.array_distinct(F.split(F.lower(c), WORD_GAP)), lambda w: w != "")
     padded = F.transform(runs, lambda w: F.concat(F.lit("  "), w, F.lit(" ")))
     parts = F.transform(padded, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 2), lambda i: F.substring(w, i, F.lit(3))))
     return F.array_distinct(F.flatten(parts))

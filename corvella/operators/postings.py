@@ -4,6 +4,8 @@ Every chunk's lower-case content is cut into its grams of one, two and three cha
 chunks that have it; a query's rarest grams are intersected, so only chunks that may contain it are read and compared with
 the pattern. Chunks stand in bands by the size of their trigram set: a similarity is at most the query's set over the
 chunk's, so bands are visited from the smallest, and a query is done when its results are above what later bands can give.
+A batch of so many queries that their lists hold several times the chunks of some bands doesn't intersect them there: one
+automaton of all its literals goes through those chunks once, which costs what the chunks are, however many ask.
 
 Lists are never gathered: a row holds the ids of one gram in one batch of chunks, whatever is frequent has many rows.
 Content stands in parts by a hash of the chunk's id, so that few candidates mean few files; later chunks are appended.
@@ -16,14 +18,16 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from itertools import pairwise
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
 from ..functions.principal import Principal
-from ..functions.vectors import trigrams
+from ..functions.vectors import WORD_GAP, trigrams
 from ..plans.scratch import scratch_dir
 from .search import searchable
 
@@ -33,6 +37,8 @@ BUCKETS, MAX_PARTS, PART_ROWS = 32, 4096, 4096
 RAREST = 3
 #: Candidates a query should have in the first round of bands; every round takes four times as many.
 FIRST_CANDIDATES = 64
+#: Bands whose chunks are asked for so many times by the rarest lists are read once by an automaton, if it has at most so many characters.
+READ_ONCE, AUTOMATON_CHARS = 8, 2_000_000
 #: Bytes of content whose grams are listed together.
 _BATCH = 8 << 20
 #: The gram that every chunk has: a query of wildcards alone has no other.
@@ -170,6 +176,39 @@ def _wanted(queries: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, f"query_id {kind}, gram long")
 
 
+def _literal(pattern: str) -> str:
+    """The longest stretch between wildcards, which every match has; a backslash ends one, as in ``query_grams``."""
+    return max(re.split(r"[%_\\]", pattern), key=len)
+
+
+def _fits_automaton(queries: DataFrame) -> bool:
+    return (queries.agg(F.sum(F.length("query"))).first()[0] or 0) <= AUTOMATON_CHARS
+
+
+def _read_once(content: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, chunk_id): the chunks that hold the literal of a query, each of which has one."""
+    asked = queries.select("query_id", F.lower("query").alias("said"))
+    rows = asked.collect()
+    asking: dict[str, list] = {}
+    for r in rows:
+        asking.setdefault(_literal(r["said"]), []).append(r["query_id"])
+    shared = queries.sparkSession.sparkContext.broadcast(asking)
+    ids, chunk_ids = queries.schema["query_id"].dataType, content.schema["chunk_id"].dataType
+    kind = to_arrow_type(ids)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = ahocorasick.Automaton()
+        for literal, who in shared.value.items():
+            automaton.add_word(literal, who)
+        automaton.make_automaton()
+        for b in batches:
+            found = [[q for who in {id(who): who for _, who in automaton.iter(said)}.values() for q in who] for said in b.column("said").to_pylist()]
+            row = np.repeat(np.arange(b.num_rows), [len(f) for f in found])
+            yield pa.RecordBatch.from_arrays([pa.array([q for f in found for q in f], kind), b.column("chunk_id").take(pa.array(row))], ["query_id", "chunk_id"])
+
+    return content.select("chunk_id", F.lower("content").alias("said")).mapInArrow(run, f"query_id {ids.simpleString()}, chunk_id {chunk_ids.simpleString()}")
+
+
 def _distinct_ints(df: DataFrame, column: str) -> list[int]:
     """The values of a column that has few: buckets, parts or bands."""
     return sorted(r[0] for r in df.select(column).distinct().collect())
@@ -190,7 +229,8 @@ def keyword_search_batch(index: GramIndex, queries: DataFrame, documents: DataFr
     for every round of bands, how many candidates there were, and how many rows the parts of the content hold that were read.
     """
     spark = queries.sparkSession
-    asked = queries.where(F.trim("query") != "").select("query_id", "query", F.size(trigrams(F.col("query"))).alias("own"))
+    asked = queries.where(F.trim("query") != "").select("query_id", "query", trigrams(F.col("query")).alias("asked")).withColumn("own", F.size("asked"))
+    asked = _write(asked, "gram-asked")
     wanted = _write(_wanted(asked).withColumn("bucket", _bucket()), "gram-queries")
     buckets = _distinct_ints(wanted, "bucket")
     sizes = index.sizes(spark).where(F.col("bucket").isin(buckets)).join(wanted.select("gram").distinct(), "gram")
@@ -201,6 +241,7 @@ def keyword_search_batch(index: GramIndex, queries: DataFrame, documents: DataFr
     chosen = _write(ranked.where((F.col("nth") <= RAREST) & ~F.col("missing")).withColumn("bit", F.expr("shiftleft(1, nth - 1)")).withColumn("need", F.bit_or("bit").over(known)).select("query_id", "gram", "bucket", "nth", "bit", "need"), "gram-chosen")
 
     rarest = chosen.where("nth = 1").join(sizes, "gram").groupBy("band", "query_id").agg(F.sum("n").alias("n"))
+    held = {r["band"]: r["n"] for r in index.sizes(spark).where(F.col("gram") == ANY).groupBy("band").agg(F.sum("n").alias("n")).collect()}
     plan = [(r["band"], r["n"]) for r in rarest.groupBy("band").agg(F.sum("n").alias("n")).orderBy("band").collect()]
     found = _nothing(index, spark, asked)
     open_queries, goal, at = asked.join(chosen.select("query_id").distinct(), "query_id", "left_semi"), FIRST_CANDIDATES * max(1, asked.count()), 0
@@ -211,13 +252,14 @@ def keyword_search_batch(index: GramIndex, queries: DataFrame, documents: DataFr
             size += plan[at][1]
             at += 1
         goal *= 4
-        found = _round(index, open_queries, chosen, bands, found, documents, permissions, kb_ids, top_k, principal, reads)
+        once = size >= READ_ONCE * sum(held[b] for b in bands)
+        found = _round(index, open_queries, chosen, bands, once, found, documents, permissions, kb_ids, top_k, principal, reads)
         if at < len(plan):
             least = F.lit(float(_least(plan[at][0])))
             worst = found.groupBy("query_id").agg(F.count("*").alias("k"), F.min("_score").alias("worst"))
             bound = F.least(F.lit(1.0), F.col("own") / F.greatest(least, F.lit(1.0)))
             still = asked.join(worst, "query_id", "left").where((F.coalesce("k", F.lit(0)) < top_k) | (F.col("worst") <= bound))
-            open_queries = _write(still.join(chosen.select("query_id").distinct(), "query_id", "left_semi").select("query_id", "query", "own"), "gram-open")
+            open_queries = _write(still.join(chosen.select("query_id").distinct(), "query_id", "left_semi").select("query_id", "query", "asked", "own"), "gram-open")
             if open_queries.isEmpty():
                 break
     order = Window.partitionBy("query_id").orderBy(F.col("_score").desc_nulls_first(), "chunk_id")
@@ -231,25 +273,34 @@ def _nothing(index: GramIndex, spark: SparkSession, asked: DataFrame) -> DataFra
     return c.select(F.lit(None).cast(asked.schema["query_id"].dataType).alias("query_id"), "chunk_id", "document_id", "content", "metadata", F.lit(0.0).alias("_score"))
 
 
-def _round(index: GramIndex, queries: DataFrame, chosen: DataFrame, bands: list[int], found: DataFrame, documents: DataFrame, permissions: DataFrame, kb_ids: Sequence[str] | None, top_k: int, principal: Principal | None, reads: list[dict] | None) -> DataFrame:
+def _round(index: GramIndex, queries: DataFrame, chosen: DataFrame, bands: list[int], once: bool, found: DataFrame, documents: DataFrame, permissions: DataFrame, kb_ids: Sequence[str] | None, top_k: int, principal: Principal | None, reads: list[dict] | None) -> DataFrame:
     """The best results so far and of some bands, of open queries; closed queries keep what they have."""
     spark = queries.sparkSession
-    mine = chosen.join(queries.select("query_id"), "query_id", "left_semi")
+    stored = index.content(spark).where(F.col("band").isin(bands)).drop("band")
+    once = once and _fits_automaton(queries)
+    bare = F.rlike("query", F.lit(r"^[%_\\]*$"))
+    listed = queries.where(bare) if once else queries
+    mine = chosen.join(listed.select("query_id"), "query_id", "left_semi")
     rows = index.grams(spark).where(F.col("bucket").isin(_distinct_ints(mine, "bucket")) & F.col("band").isin(bands))
     hits = rows.join(mine, ["bucket", "gram"]).select("query_id", "bit", "need", F.explode("ids").alias("chunk_id"))
     candidates = hits.groupBy("query_id", "chunk_id").agg(F.bit_or("bit").alias("had"), F.first("need").alias("need")).where("had = need").select("query_id", "chunk_id")
+    if once:
+        candidates = candidates.unionByName(_read_once(stored, queries.where(~bare)))
     candidates = _write(candidates.withColumn("part", _part(index.parts)), "gram-candidates")
     parts = _distinct_ints(candidates, "part")
-    content = index.content(spark).where(F.col("part").isin(parts) & F.col("band").isin(bands)).drop("n_trigrams", "band")
+    content = stored.where(F.col("part").isin(parts)).withColumn("_said", F.lower("content"))
     if reads is not None:
         reads.append({"bands": bands, "candidates": candidates.count(), "rows_read": content.count()})
     pairs = content.join(candidates, ["part", "chunk_id"]).drop("part").join(queries, "query_id")
-    matching = pairs.where(F.ilike("content", F.concat(F.lit("%"), "query", F.lit("%"))))
-    readable = searchable(matching, documents, permissions, principal, kb_ids)
-    asked, said = trigrams(F.col("query")), trigrams(F.col("content"))
-    shared = F.size(F.array_intersect(said, asked))
-    score = F.coalesce(F.try_divide(shared.cast("double"), (F.size(said) + F.col("own") - shared).cast("double")), F.lit(0.0))
-    fresh = readable.withColumn("_score", score).select(*found.columns)
+    # A pattern without wildcards is just contained; any other is compiled for every pair.
+    wild = F.rlike("query", F.lit(r"[%_\\]"))
+    same = F.when(wild, F.ilike("content", F.concat(F.lit("%"), "query", F.lit("%")))).otherwise(F.contains("_said", F.lower("query")))
+    readable = searchable(pairs.where(same), documents, permissions, principal, kb_ids)
+    # Padded words laid end to end hold a trigram of a padded word just where a word has it.
+    padded = F.concat(F.lit("  "), F.regexp_replace("_said", WORD_GAP, "   "), F.lit(" "))
+    shared = F.size(F.filter("asked", lambda g: F.contains(F.col("_padded"), g)))
+    score = F.coalesce(F.try_divide(shared.cast("double"), (F.col("n_trigrams") + F.col("own") - shared).cast("double")), F.lit(0.0))
+    fresh = readable.withColumn("_padded", padded).withColumn("_score", score).select(*found.columns)
     best = Window.partitionBy("query_id").orderBy(F.col("_score").desc_nulls_first(), "chunk_id")
     merged = found.unionByName(fresh).withColumn("_nth", F.row_number().over(best)).where(F.col("_nth") <= top_k).drop("_nth")
     return _write(merged, "gram-found")

@@ -36,6 +36,20 @@ def test_a_batch_of_queries_equals_the_scan_of_each(spark, tables, index, princi
         assert _rows(found.where(F.col("query_id") == k)) == scan, pattern
 
 
+def test_many_queries_read_the_chunks_once(spark, tables, index, monkeypatch):
+    """By one automaton: as by the lists, but of queries without wildcards only matches are candidates."""
+    monkeypatch.setattr(postings, "READ_ONCE", 0)
+    asked = spark.createDataFrame(list(enumerate(PATTERNS)), "query_id long, query string")
+    found = postings.keyword_search_batch(index, asked, *tables[1:], None, 3, None).cache()
+    for k, pattern in list(enumerate(PATTERNS)):
+        scan = [] if pattern is None else _rows(search.keyword_search(*tables, pattern, None, 3, None))
+        assert _rows(found.where(F.col("query_id") == k)) == scan, pattern
+    reads: list[dict] = []
+    postings.keyword_search_batch(index, spark.createDataFrame([(1, "mente raarga"), (2, "de la")], "query_id long, query string"), *tables[1:], None, 10**6, None, reads).collect()
+    said = F.lower("content")
+    assert sum(r["candidates"] for r in reads) == sum(tables[0].where(F.contains(said, F.lit(q))).count() for q in ("mente raarga", "de la"))
+
+
 def test_one_query_within_knowledge_bases(tables, index):
     bases = ["src0", "src3"]
     scan = search.keyword_search(*tables, "er", bases, 5, PRINCIPAL)
