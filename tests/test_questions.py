@@ -52,3 +52,13 @@ def test_limits_and_no_question(spark, tables, tmp_path):
         questions.hybrid_search(chunks, index, documents, permissions, asked, None, 51)
     none = questions.hybrid_search(chunks, index, documents, permissions, asked.where("false"), None, 5)
     assert none.count() == 0 and questions.contexts(none).count() == 0
+
+
+def test_many_questions_read_the_chunks_once(spark, tables, tmp_path, monkeypatch):
+    """The ranking is the same where the keyword leg matches by one automaton."""
+    chunks, documents, permissions, asked, hits = tables
+    monkeypatch.setattr(postings, "READ_ONCE", 0)
+    index = postings.build(chunks, str(tmp_path), parts=8)
+    again = questions.hybrid_search(chunks, index, documents, permissions, asked, None, 6, PRINCIPAL, 10)
+    rows = lambda df: sorted((r.query_id, r.rank, r.chunk_id, round(r.final_score, 9)) for r in df.collect())
+    assert rows(again) == rows(hits) != []
