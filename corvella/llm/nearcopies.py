@@ -1,4 +1,8 @@
-"""Near copies by exact Jaccard similarity of word shingles, found by prefix filtering.
+"""Near copies by exact Jaccard similarity of word shingles, found by fingerprints and then by prefix filtering.
+
+Every set of shingles has a 64-bit fingerprint. Those of 2 differing bits or fewer link as in ``simhash``, by tables of
+distances to pivots over runs of equal bit blocks; what the links join is compared by whole sets and contracted to
+components. Similar sets may be further apart than that, so prefix filtering looks for the pairs between components.
 
 Two sets of shingles with similarity t share at least t times the larger one's size. So in any common order of all
 shingles each set may be cut to its first n - ceil(t n) + 1 shingles, and two similar sets still have one of them in
@@ -19,6 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import discard, hash_filter, map_texts, materialize, passes, shuffle_width, whole_text
 from .components import connected_components, one_of_each
 
@@ -72,28 +77,29 @@ def _common(rows: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _prints(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(doc_id, text_hash, id, n, bits, prefix) of every row; id names the set of shingles, n is its size."""
+    """(doc_id, text_hash, id, n, bits, fp, prefix) of every row; id names the set of shingles, n is its size, fp its fingerprint."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.xxhash64(whole_text()).alias("text_hash"), whole_text().alias("text"))
     known, counts = _common(rows, width)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids, sizes, bits, prefixes = [], [], [], []
+        ids, sizes, bits, fps, prefixes = [], [], [], [], []
         for text in batch.column("text").to_pylist():
             h = _hashes(text, width)
             n = len(h)
             ids.append(xxhash.xxh64_intdigest(h.tobytes(), 11))
             sizes.append(n)
             bits.append(_bitmap(h))
+            fps.append(simhash.majority(h))
             if len(known) and n:
                 at = np.minimum(np.searchsorted(known, h), len(known) - 1)
                 seen = np.where(known[at] == h, counts[at], 0)
                 h = h[np.argsort(seen, kind="stable")]
             prefixes.append(h[: n + 1 - -(-percent * n // 100) if n else 0].view(np.int64))
-        columns = [batch.column("doc_id"), batch.column("text_hash"), pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(bits, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))]
-        return pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "id", "n", "bits", "prefix"])
+        columns = [batch.column("doc_id"), batch.column("text_hash"), pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(bits, pa.binary()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(prefixes, pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "id", "n", "bits", "fp", "prefix"])
 
-    return map_texts(rows, run, f"doc_id {kind}, text_hash long, id long, n int, bits binary, prefix array<long>")
+    return map_texts(rows, run, f"doc_id {kind}, text_hash long, id long, n int, bits binary, fp long, prefix array<long>")
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
@@ -249,18 +255,38 @@ def _keyed(prints: DataFrame) -> DataFrame:
     return materialize(prints.select("id", "n", "prefix").mapInArrow(run, "id long, n int, key long"), "near-keys")
 
 
-def components_of(docs: DataFrame, width: int = SHINGLE_WORDS, percent: int = SIMILARITY, crowd: int = CROWD) -> DataFrame:
+def _by_fingerprint(sets: DataFrame, run_limit: int) -> DataFrame:
+    """Candidate pairs (a, b): the first set of every fingerprint with its others, and with those of linked fingerprints."""
+    classes = sets.groupBy("fp").agg(F.min("id").alias("lead"))
+    same = sets.join(classes, "fp").where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b"))
+    links = simhash.link_fingerprints(classes.select("fp"), run_limit).select(F.col("a").alias("x"), F.col("b").alias("y"))
+    lead = lambda fp, name: classes.select(F.col("fp").alias(fp), F.col("lead").alias(name))
+    other = links.join(lead("x", "a"), "x").join(lead("y", "b"), "y").select("a", "b")
+    pairs = same.unionByName(other).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return materialize(pairs, "near-fingerprints")
+
+
+def _between(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose ends are in different components."""
+    end = lambda name: roots.select(F.col("node").alias(name), F.col("root").alias(f"root_{name}"))
+    known = pairs.join(end("a"), "a", "left").join(end("b"), "b", "left")
+    return known.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+
+
+def components_of(docs: DataFrame, width: int = SHINGLE_WORDS, percent: int = SIMILARITY, crowd: int = CROWD, run_limit: int = simhash.RUN_LIMIT) -> DataFrame:
     """(doc_id, text_hash, root, component_id) of every row; root is the component's least set."""
     spark = docs.sparkSession
     prints = materialize(_prints(docs, width, percent), "near-prints")
     keyed = _keyed(prints)
-    sets = prints.groupBy("id").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("bits").alias("bits"))
+    sets = prints.groupBy("id").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("fp").alias("fp"))
     sets = materialize(sets, "near-sets")
     slim = materialize(prints.select("doc_id", "text_hash", "id"), "near-rows")
     discard(prints)
+    links = _verified(docs, slim, sets, _by_fingerprint(sets, run_limit), width, percent)
+    roots = connected_components(links, "near-cc")
     dealt = keyed.repartition(shuffle_width(spark), "key").sortWithinPartitions("key", "id").select("key", "id", "n")
     found = materialize(dealt.mapInArrow(_first(crowd, percent), "a long, b long"), "near-first")
-    links = _verified(docs, slim, sets, found.where("b is not null").distinct(), width, percent)
+    links = links.unionByName(_verified(docs, slim, sets, _between(found.where("b is not null").distinct(), roots), width, percent))
     roots = connected_components(links, "near-cc")
     crowded = found.where("b is null").select(F.col("a").alias("key")).distinct()
     if not crowded.isEmpty():

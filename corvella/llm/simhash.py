@@ -22,7 +22,6 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import nearcopies
 from .common import map_texts, materialize, shuffle_width, table, whole_text
 from .components import connected_components, one_of_each
 
@@ -46,7 +45,11 @@ def fingerprint(text: str, words_per_shingle: int = SHINGLE_WORDS) -> int:
         shingles = [b" ".join(words)]
     else:
         shingles = map(b" ".join, zip(*(words[i:] for i in range(words_per_shingle)), strict=False))
-    hashes = np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in shingles), np.uint64)
+    return majority(np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in shingles), np.uint64))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half of the hashes have; zero of none."""
     ones = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 65_536):  # bounded memory for very long texts
         part = hashes[i : i + 65_536].astype("<u8").view(np.uint8).reshape(-1, 8)
@@ -224,12 +227,16 @@ def keep_one(docs: DataFrame, run_limit: int = RUN_LIMIT, percent: int | None =
     """The rows of docs without near-duplicates: of each component one row of its least id stays.
 
     Texts link by their fingerprints or, with ``percent``, if their sets of five-word shingles have at least that Jaccard
-    similarity: fingerprints of 64 bits can't tell that (texts 80 % alike differ in some ten bits, as many that are not do),
-    so this setting compares what ``nearcopies`` finds. Of several rows with the least id the one whose text hashes
+    similarity: links of fingerprints are compared exactly first, then, since texts 80 % alike may differ in some ten bits,
+    what other candidates ``nearcopies`` finds between the components they leave. Of several rows with the least id the one whose text hashes
     lowest stays; a component without any id keeps the one row of all whose text hashes lowest. Of rows repeated in
     full one stays. Null and empty texts are copies of each other. All columns are returned, whatever their names.
     """
-    return one_of_each(docs, _components(docs, run_limit) if percent is None else nearcopies.components_of(docs, percent=percent))
+    if percent is None:
+        return one_of_each(docs, _components(docs, run_limit))
+    from . import nearcopies  # it takes its links of fingerprints from here
+
+    return one_of_each(docs, nearcopies.components_of(docs, percent=percent, run_limit=run_limit))
 
 
 def op9_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:

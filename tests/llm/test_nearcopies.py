@@ -3,7 +3,7 @@ import random
 import pytest
 
 import corpus_pipeline as P
-from corvella.llm import nearcopies
+from corvella.llm import nearcopies, simhash
 
 from .conftest import SF, odd_rows
 
@@ -62,3 +62,19 @@ def test_odd_rows(odd_docs, no_docs):
     assert kept.columns == odd_docs.columns
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [1, 4, 7, 8, 10]
     assert nearcopies.keep_one(no_docs).count() == 0 < len(odd_rows())
+
+
+def test_fingerprints_link_first(make_docs, monkeypatch):
+    """Links of fingerprints by pivots and bit blocks come before prefix filtering, which gets what they leave apart."""
+    rng = random.Random(7)
+    words = [f"w{rng.randrange(4000)}" for _ in range(900)]
+    copies = [" ".join([*words[:-k], f"end{k}"]) for k in range(1, 6)]
+    far = " ".join(w if k % 150 else f"x{k}" for k, w in enumerate(words))
+    rows = [*enumerate(copies), (9, "other words " * 30), (10, far)]
+    link, between, linked, left = simhash.link_fingerprints, nearcopies._between, [], []
+    monkeypatch.setattr(simhash, "link_fingerprints", lambda classes, *a: linked.append(classes.count()) or link(classes, *a))
+    monkeypatch.setattr(nearcopies, "_between", lambda pairs, roots: left.append((pairs.count(), between(pairs, roots).count())) or between(pairs, roots))
+    kept = nearcopies.keep_one(make_docs([(i, t, "a") for i, t in rows])).collect()
+    assert sorted(r.doc_id for r in kept) == _kept(rows) == [0, 9]
+    assert len(linked) == 1 and linked[0] > 1
+    assert left[0][1] < left[0][0]
