@@ -1,8 +1,8 @@
 """Workbooks and slides as relations: parts of files are shredded to rows, and what refers to what is resolved by joins.
 
-``office.parse_office`` reads a file in one call. Here a task streams the XML of its files into narrow rows, so that a
-workbook's cells spread over the cluster: shared strings and sheet targets are joined, and only a line of cells, then a
-sheet, comes together again.
+``office.parse_office`` reads a file in one call. Here a task shreds the XML of its files into rows in bounded batches, a
+line of cells or a run of shared strings each; shared strings and sheet targets are joined, and a sheet comes together again
+once, beside its workbook's strings.
 """
 
 from __future__ import annotations
@@ -11,12 +11,14 @@ import io
 import re
 import zipfile
 from collections.abc import Iterator
+from itertools import islice
 from xml.etree import ElementTree
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.batches import bounded
 from ..functions.text import clean_db_text, strip
 
 # XML namespaces of the formats, and the names of their parts.
@@ -26,13 +28,21 @@ _R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 _REL = "{http://schemas.openxmlformats.org/package/2006/relationships}"
 WORKBOOK, RELATIONS, STRINGS = "xl/workbook.xml", "xl/_rels/workbook.xml.rels", "xl/sharedStrings.xml"
 
-#: A row of a part. ``nth`` and ``sub`` say where it stands, ``name`` and ``value`` what it says, ``ref`` a string's number.
-ROWS = "path string, part string, kind string, nth long, sub long, name string, value string, ref long"
-_BATCH_ROWS = 8192
+#: A row of a part. ``nth`` and ``sub`` say where it stands, ``name`` and ``value`` what it says. Of a line of cells ``said`` has
+#: the values, ``refs`` the numbers of those that are shared strings, else null; of a run of shared strings ``said`` has these.
+ROWS = "path string, part string, kind string, nth long, sub long, name string, value string, said array<string>, refs array<long>"
+_BATCH_ROWS, _BATCH_VALUES, _RUN = 8192, 1 << 16, 1024
+#: A number that no shared string has.
+_NOWHERE = -(1 << 62)
+#: Parts of so many bytes at most are parsed in one call.
+_SMALL = 4 << 20
 
 
 def _elements(archive: zipfile.ZipFile, part: str, tag: str) -> Iterator[ElementTree.Element]:
-    """The elements of a part with a tag as they end; what has been given is cleared, so a part is never whole in memory."""
+    """The elements of a part with a tag; of a large part as they end, and then cleared, so that it is never whole in memory."""
+    if archive.getinfo(part).file_size <= _SMALL:
+        yield from ElementTree.fromstring(archive.read(part)).iter(tag)
+        return
     with archive.open(part) as stream:
         held: list[ElementTree.Element] = []
         for event, element in ElementTree.iterparse(stream, ("start", "end")):
@@ -51,45 +61,55 @@ def _said(element: ElementTree.Element, tag: str) -> str:
     return "".join(t.text or "" for t in element.iter(tag)).strip()
 
 
-def _number(raw: str) -> int | None:
-    """The number a cell gives for a shared string; none if it is no 64-bit integer."""
+def _number(raw: str) -> int:
+    """The number a cell gives for a shared string; _NOWHERE if it is no 64-bit integer."""
     try:
         n = int(raw)
     except ValueError:
-        return None
-    return n if abs(n) < 1 << 62 else None
+        return _NOWHERE
+    return n if abs(n) < 1 << 62 else _NOWHERE
+
+
+def _line(row: ElementTree.Element) -> tuple[list[str], list[int | None]]:
+    said, refs = [], []
+    for cell in row.findall(_S + "c"):
+        kind, ref = cell.get("t"), None
+        if kind == "inlineStr":
+            value = _said(cell, _S + "t")
+        else:
+            value = cell.findtext(_S + "v") or ""
+            if kind == "s":
+                value, ref = "", _number(value)
+        said.append(value)
+        refs.append(ref)
+    return said, refs
 
 
 def _workbook_rows(archive: zipfile.ZipFile) -> Iterator[tuple]:
     there = set(archive.namelist())
     if STRINGS in there:
-        yield from ((STRINGS, "string", i, 0, None, _said(si, _S + "t"), None) for i, si in enumerate(_elements(archive, STRINGS, _S + "si")))
+        strings = (_said(si, _S + "t") for si in _elements(archive, STRINGS, _S + "si"))
+        for nth, run in enumerate(iter(lambda: list(islice(strings, _RUN)), [])):
+            yield STRINGS, "strings", nth, 0, None, None, run, None
     ids = set()
     for i, sheet in enumerate(_elements(archive, WORKBOOK, _S + "sheet"), 1):
         ids.add(sheet.get(_R + "id"))
-        yield WORKBOOK, "sheet", i, 0, sheet.get(_R + "id"), sheet.get("name") or f"Sheet {i}", None
+        yield WORKBOOK, "sheet", i, 0, sheet.get(_R + "id"), sheet.get("name") or f"Sheet {i}", None, None
     named = set()
     for i, r in enumerate(_elements(archive, RELATIONS, _REL + "Relationship") if RELATIONS in there else ()):
         if r.get("Id") in ids and r.get("Target"):
             named.add(target_of(r.get("Target")))
-            yield RELATIONS, "target", i, 0, r.get("Id"), r.get("Target"), None
+            yield RELATIONS, "target", i, 0, r.get("Id"), r.get("Target"), None, None
     for part in sorted(named & there):
         for i, row in enumerate(_elements(archive, part, _S + "row")):
-            for j, cell in enumerate(row.findall(_S + "c")):
-                kind, raw = cell.get("t"), cell.findtext(_S + "v") or ""
-                if kind == "inlineStr":
-                    yield part, "cell", i, j, None, _said(cell, _S + "t"), None
-                elif kind == "s":
-                    yield part, "cell", i, j, "s", "", _number(raw)
-                else:
-                    yield part, "cell", i, j, None, raw, None
+            yield part, "line", i, 0, None, None, *_line(row)
 
 
 def _slide_rows(archive: zipfile.ZipFile) -> Iterator[tuple]:
     numbered = {int(m[1]): part for part in archive.namelist() if (m := re.fullmatch(r"ppt/slides/slide(\d+)\.xml", part))}
     for nth, part in numbered.items():
         for j, p in enumerate(_elements(archive, part, _A + "p")):
-            yield part, "paragraph", nth, j, None, _said(p, _A + "t"), None
+            yield part, "paragraph", nth, j, None, _said(p, _A + "t"), None, None
 
 
 def target_of(target: str) -> str:
@@ -106,11 +126,11 @@ def _safe_rows(content: bytes | None, kind: str) -> Iterator[tuple]:
         with zipfile.ZipFile(io.BytesIO(content or b"")) as archive:
             yield from _SHREDDERS[kind](archive)
     except zipfile.BadZipFile:
-        yield "", "error", 0, 0, None, "Office document is not a valid OpenXML file.", None
+        yield "", "error", 0, 0, None, "Office document is not a valid OpenXML file.", None, None
     except KeyError as e:
-        yield "", "error", 0, 0, None, f"Office document is missing {re.search(r"'([^']+)'", str(e))[1] if "'" in str(e) else e}.", None
+        yield "", "error", 0, 0, None, f"Office document is missing {re.search(r"'([^']+)'", str(e))[1] if "'" in str(e) else e}.", None, None
     except ElementTree.ParseError:
-        yield "", "error", 0, 0, None, "Office document contains invalid XML.", None
+        yield "", "error", 0, 0, None, "Office document contains invalid XML.", None, None
 
 
 def part_rows(files: DataFrame) -> DataFrame:
@@ -120,20 +140,22 @@ def part_rows(files: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
-        names = ["path", "part", "kind", "nth", "sub", "name", "value", "ref"]
+        types = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.int64()))
+        names = [c.split()[0] for c in ROWS.split(", ")]
 
         def batch(rows: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
         rows: list[tuple] = []
-        for b in batches:
+        values = 0
+        for b in bounded(batches, "content"):
             for path, kind, content in zip(*(b.column(c).to_pylist() for c in ("path", "file_type", "content")), strict=True):
                 for row in _safe_rows(content, kind):
                     rows.append((path, *row))
-                    if len(rows) == _BATCH_ROWS:
+                    values += len(row[-2] or ())
+                    if len(rows) == _BATCH_ROWS or values >= _BATCH_VALUES:
                         yield batch(rows)
-                        rows = []
+                        rows, values = [], 0
         if rows:
             yield batch(rows)
 
@@ -163,16 +185,19 @@ def sheets(rows: DataFrame) -> DataFrame:
     return said.join(targets, ["path", "_id"]).select("path", "sheet", "name", "part")
 
 
-def _values(rows: DataFrame) -> DataFrame:
-    """(path, part, row, cell, value) of all cells: shared strings joined by number."""
-    raw = rows.where("kind = 'cell'").select("path", "part", F.col("nth").alias("row"), F.col("sub").alias("cell"), "value", F.col("ref").alias("_ref"))
-    strings = rows.where("kind = 'string'").select("path", F.col("nth").alias("_ref"), F.col("value").alias("_string"))
-    total = strings.groupBy("path").agg(F.count("*").alias("_n"))
-    plain, shared = raw.where("_ref is null"), raw.where("_ref is not null")
-    # Only negative numbers need the count; most workbooks have none.
-    back = shared.where("_ref < 0").join(total, "path", "left").withColumn("_ref", F.when(F.col("_ref") + F.col("_n") >= 0, F.col("_ref") + F.col("_n")).otherwise(-1)).drop("_n")
-    found = shared.where("_ref >= 0").unionByName(back).join(strings, ["path", "_ref"], "left").withColumn("value", F.coalesce("_string", F.lit(""))).drop("_string")
-    return plain.unionByName(found).drop("_ref")
+def _bodies(rows: DataFrame) -> DataFrame:
+    """(path, part, lines) of all sheets' parts: their lines in order, each (row, cells), with shared strings by number."""
+    in_order = lambda *columns: F.array_sort(F.collect_list(F.struct("nth", *columns)))
+    strings = rows.where("kind = 'strings'").groupBy("path").agg(F.flatten(F.transform(in_order("said"), lambda s: s["said"])).alias("strings"))
+    parts = rows.where("kind = 'line'").groupBy("path", "part").agg(in_order("said", "refs").alias("lines")).join(strings, "path", "left")
+    total = F.coalesce(F.size("strings"), F.lit(0))
+
+    def shared(ref: Column) -> Column:
+        place = F.when(ref < 0, ref + total).otherwise(ref)
+        return F.coalesce(F.get("strings", F.when((place >= 0) & (place < total), place).cast("int")), F.lit(""))
+
+    cells_of = lambda line: F.zip_with(line["said"], line["refs"], lambda v, ref: F.when(ref.isNull(), v).otherwise(shared(ref)))
+    return parts.select("path", "part", F.transform("lines", lambda line: F.struct(line["nth"].alias("row"), cells_of(line).alias("cells"))).alias("lines"))
 
 
 def cells(rows: DataFrame) -> DataFrame:
@@ -180,7 +205,9 @@ def cells(rows: DataFrame) -> DataFrame:
 
     Shared strings are found by number; negative numbers count from the end, bad ones give the empty text.
     """
-    return _values(rows).join(sheets(rows), ["path", "part"]).select("path", "sheet", "name", "row", "cell", "value")
+    lines = _bodies(rows).select("path", "part", F.inline("lines"))
+    each = lines.select("path", "part", "row", F.posexplode("cells").alias("cell", "value")).withColumn("cell", F.col("cell").cast("long"))
+    return each.join(sheets(rows), ["path", "part"]).select("path", "sheet", "name", "row", "cell", "value")
 
 
 def _joined(value: str, order: str, between: str) -> Column:
@@ -197,9 +224,8 @@ def _numbered(texts: DataFrame) -> DataFrame:
 
 def workbook_pages(rows: DataFrame) -> DataFrame:
     """(path, page_number, text): a page a sheet, under a line that names it, a line a row, tabs between non-empty cells."""
-    # Sheets and errors are joined when a part is one row, not when it is its cells.
-    lines = _values(rows).groupBy("path", "part", "row").agg(_joined("value", "cell", "\t").alias("line"))
-    bodies = lines.groupBy("path", "part").agg(_joined("line", "row", "\n").alias("body"))
+    text = lambda line: F.array_join(F.filter(line["cells"], lambda v: v != ""), "\t")
+    bodies = _bodies(rows).select("path", "part", F.array_join(F.filter(F.transform("lines", text), lambda t: t != ""), "\n").alias("body"))
     named = _readable(sheets(rows), rows).join(bodies, ["path", "part"], "left")
     head = F.concat(F.lit("[Sheet: "), "name", F.lit("]"))
     return _numbered(named.select("path", F.col("sheet").alias("nth"), F.concat_ws("\n", head, F.nullif("body", F.lit(""))).alias("text")))

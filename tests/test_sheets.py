@@ -106,3 +106,12 @@ def test_a_large_sheet_comes_in_bounded_batches(spark):
     assert sheets.cells(rows).where("name = 'big' and sheet = 1 and cell = 1 and value = cast(row as string)").count() == 30_000
     text = sheets.workbook_pages(rows).first().text.split("\n")
     assert text == ["[Sheet: big]", *(f"{('aa', 'bb', 'cc')[i % 3]}\t{i}" for i in range(30_000))]
+
+
+def test_a_line_of_cells_is_one_row(spark):
+    """Cells travel as arrays: rows grow with the lines of a workbook, not with its cells."""
+    book = workbook([("wide", [[("s", str(i % 3000 - 1)) for i in range(5_000)]] * 3)], [f"t{i}" for i in range(3_000)])
+    rows = sheets.part_rows(spark.createDataFrame([("f", "xlsx", book)], "path string, file_type string, content binary")).cache()
+    assert rows.where("kind = 'line'").count() == 3 and rows.count() < 10
+    line = "\t".join(f"t{(i % 3000 - 1) % 3000}" for i in range(5_000))
+    assert sheets.workbook_pages(rows).first().text == "\n".join(["[Sheet: wide]", *[line] * 3])
