@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dlp
+from ..functions.batches import bounded, slices
 from ..functions.dlp import BUILT_IN, DEFAULT_RULES, MAX_RULES, NAMES, Rule, Scanner
 from .security import upsert
 
@@ -30,7 +31,9 @@ def scan_and_mask(rows: DataFrame, text: str, location: str, rules: Sequence[Rul
 
     @F.arrow_udf(_RESULT)
     def scan(texts: pa.Array) -> pa.Array:
-        return dlp.scan_texts(Scanner(chosen), texts.to_pylist())
+        scanner = Scanner(chosen)
+        parts = [dlp.scan_texts(scanner, texts.slice(at, n).to_pylist()) for at, n in slices(texts)]
+        return pa.concat_arrays(parts) if parts else dlp.scan_texts(scanner, [])
 
     return _masked(rows.withColumn("_scan", scan(text)), location)
 
@@ -46,8 +49,11 @@ def scan_with_dictionary(rows: DataFrame, text: str, location: str, dictionary:
 
     @F.arrow_udf(_RESULT)
     def scan(texts: pa.Array, rules: pa.Array) -> pa.Array:
-        named = [[Rule(r["entity_type"], r["value"], r["replacement"], r["risk_level"]) for r in some or ()] for some in rules.to_pylist()]
-        return dlp.scan_texts(Scanner([*BUILT_IN, *NAMES]), texts.to_pylist(), named, len(BUILT_IN))
+        scanner, parts = Scanner([*BUILT_IN, *NAMES]), []
+        for at, n in slices(texts):
+            named = [[Rule(r["entity_type"], r["value"], r["replacement"], r["risk_level"]) for r in some or ()] for some in rules.slice(at, n).to_pylist()]
+            parts.append(dlp.scan_texts(scanner, texts.slice(at, n).to_pylist(), named, len(BUILT_IN)))
+        return pa.concat_arrays(parts) if parts else dlp.scan_texts(scanner, [])
 
     return _masked(found.withColumn("_scan", scan(text, "_rules")).drop("_rules"), location)
 
@@ -69,7 +75,7 @@ def dictionary_hits(rows: DataFrame, text: str, dictionary: DataFrame) -> DataFr
 
         def run(batches: Iterator[pa.RecordBatch], sent: Broadcast = sent) -> Iterator[pa.RecordBatch]:
             automaton = _automaton(sent.value)
-            for b in batches if sent.value else ():
+            for b in bounded(batches, "said") if sent.value else ():
                 hits = [sorted({n for _, n in automaton.iter(s)}) for s in b.column("said").to_pylist()]
                 own = np.repeat(np.arange(len(hits)), [len(h) for h in hits])
                 yield pa.RecordBatch.from_arrays([b.column("text_hash").take(pa.array(own, pa.int64())), pa.array([sent.value[n] for h in hits for n in h], pa.string())], ["text_hash", "term"])
