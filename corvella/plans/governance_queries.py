@@ -210,11 +210,11 @@ def status_stream(spark: SparkSession, sf: str) -> DataFrame:
     each = F.array_compact(F.array(*(F.when(when, F.struct(F.lit(e).alias("event"), F.lit(at).alias("at"))) for e, at, when in made)))
     events = views.documents(spark, sf).select("document_id", F.explode(each).alias("e")).select("document_id", "e.event", F.timestamp_seconds("e.at").alias("at"))
     twice = events.unionByName(events.where(d % 3 == 0)).withColumn("file", F.pmod(F.xxhash64("document_id", "event", "at"), F.lit(4)))
-    for k in range(4):
-        twice.where(F.col("file") == k).drop("file").coalesce(1).write.parquet(f"{root}/in/{k}")
-    stream = spark.readStream.schema("document_id long, event string, at timestamp").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{root}/in")
-    writer = queue.status_changes(stream).writeStream.outputMode("update").foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{root}/out/batch={n}"))
-    writer.option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    for k in range(4):  # what lands between two runs is a micro-batch, of as many files as tasks have written
+        twice.where(F.col("file") == k).drop("file").write.parquet(f"{root}/in/{k}")
+        stream = spark.readStream.schema("document_id long, event string, at timestamp").option("recursiveFileLookup", "true").parquet(f"{root}/in")
+        writer = queue.status_changes(stream).writeStream.outputMode("update").foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{root}/out/batch={n}"))
+        writer.option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return queue.counts_by_status(spark.read.schema("document_id long, old string, new string, batch int").parquet(f"{root}/out"))
 
 
