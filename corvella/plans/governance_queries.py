@@ -229,7 +229,7 @@ def image_documents(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def ingestion_stream(spark: SparkSession, sf: str) -> DataFrame:
-    """Every document as an upload, streamed in four files: every fifth broken, every third a scan, every seventh sent twice, first empty."""
+    """Every document as an upload, streamed in two micro-batches: every fifth broken, every third a scan, every seventh sent twice, first empty."""
     root = scratch_dir(spark, "ingestion")
     d = F.col("document_id")
     at = F.timestamp_seconds(d)
@@ -241,9 +241,10 @@ def ingestion_stream(spark: SparkSession, sf: str) -> DataFrame:
     )
     early = made.where(d % 7 == 0).withColumn("pages", F.lit(None).cast(made.schema["pages"].dataType)).withColumn("images", F.lit(None).cast(made.schema["images"].dataType)).withColumn("error", F.lit("lost")).withColumn("at", at - F.expr("interval 1 hour"))
     landed = made.withColumn("file", F.pmod(F.xxhash64("document_id"), F.lit(4))).unionByName(early.withColumn("file", F.pmod(F.xxhash64("document_id") + 1, F.lit(4))))
-    landed.repartition(4, "file").write.partitionBy("file").parquet(f"{root}/in")
-    stream = spark.readStream.schema(made.schema).option("maxFilesPerTrigger", 2).option("recursiveFileLookup", "true").parquet(f"{root}/in")
-    ingest.run_ingestion(stream, f"{root}/out").awaitTermination()
+    for half in range(2):  # what lands between two runs is a micro-batch, of as many files as tasks have written
+        landed.where(F.col("file").isin(2 * half, 2 * half + 1)).drop("file").write.parquet(f"{root}/in/{half}")
+        stream = spark.readStream.schema(made.schema).option("recursiveFileLookup", "true").parquet(f"{root}/in")
+        ingest.run_ingestion(stream, f"{root}/out").awaitTermination()
     documents, chunks, images, events = (ingest.current(spark, f"{root}/out", sink) for sink in ingest.SINKS)
     cut = chunks.groupBy("document_id").agg(F.count("*").alias("n_chunks"), F.max("chunk_index").alias("last"), F.count_if(F.col("metadata.source_type") == "pdf_text").alias("n_text"))
     linked = images.groupBy("document_id").agg(F.count("chunk_id").alias("n_linked"))
