@@ -142,8 +142,9 @@ FIELD = "^([A-Za-z][A-Za-z0-9 _/\\-]{1,40})(?U)\\s*[:\\uff1a]\\s*(.{1,120})$"
 
 def field_entries(c: Column) -> Column:
     """(key, value) of every line ``Key: value``, in order."""
+    might = F.filter(lines_of(c), lambda line: line.contains(":") | line.contains("\uff1a"))
     pairs = F.transform(
-        lines_of(c),
+        might,
         lambda line: F.struct(
             strip(F.regexp_replace(F.regexp_extract(strip(line), FIELD, 1), "(?U)\\s+", " ")).alias("key"),
             strip(F.regexp_extract(strip(line), FIELD, 2)).alias("value"),
@@ -164,9 +165,13 @@ def field_list(c: Column) -> Column:
     )
 
 
-def structured_text(c: Column) -> Column:
-    """Page text with the tables and fields found in it appended; blank pages become empty."""
-    tables, fields = table_blocks(c), F.transform(field_list(c), lambda f: F.concat(f["key"], F.lit(": "), f["value"]))
+def structured_text(c: Column, tables: Column | None = None, fields: Column | None = None) -> Column:
+    """Page text with the tables and fields found in it appended; blank pages become empty.
+
+    ``tables`` and ``fields``: columns that hold ``table_blocks`` and ``field_list`` of the text already.
+    """
+    tables = table_blocks(c) if tables is None else tables
+    fields = F.transform(field_list(c) if fields is None else fields, lambda f: F.concat(f["key"], F.lit(": "), f["value"]))
     body = F.concat_ws(
         "\n\n",
         strip(c),
