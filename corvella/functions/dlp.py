@@ -128,8 +128,11 @@ def _found(text: Column, d: Detector, place: Column) -> Column:
 
 
 def folded(text: Column) -> Column:
-    """Texts that the rules' patterns hold alike in another case become equal (so do a few others: ß and ss)."""
-    return F.translate(F.lower(F.upper(F.translate(text, "\u1e9eİı", "ßii"))), "ς", "σ")
+    """Texts that the rules' patterns hold alike in another case become equal (so do a few others: ligatures and their letters)."""
+    # A search each: translate() makes an object of every character. ß has no upper case of one character and is put aside.
+    for a, b in (("\u1e9e", "\ue0df"), ("ß", "\ue0df"), ("İ", "i"), ("ı", "i")):
+        text = F.replace(text, F.lit(a), F.lit(b))
+    return F.replace(F.lower(F.upper(text)), F.lit("ς"), F.lit("σ"))
 
 
 def detect(text: Column, chosen: Sequence[Detector]) -> Column:

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
+from functools import reduce
+from itertools import chain
+from operator import itemgetter
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dlp
@@ -19,6 +22,8 @@ from .security import upsert
 
 #: Characters of terms in one automaton; random words took 42 bytes for each.
 PART_CHARS = 1 << 21
+#: Terms of one or two characters that are looked for one by one; more of them go into the automaton too.
+_SHORT_TERMS = 128
 _RESULT = f"struct<findings:array<{dlp.FINDING}>,masked_text:string>"
 
 
@@ -61,28 +66,84 @@ def scan_with_dictionary(rows: DataFrame, text: str, location: str, dictionary:
 def dictionary_hits(rows: DataFrame, text: str, dictionary: DataFrame) -> DataFrame:
     """(text_hash, rule columns): the active rules whose value may occur in a text, in any case, once each.
 
-    Terms are dealt to parts by their first characters; a part's terms are an automaton that goes through each text once,
-    so the cost of a text depends neither on how long terms are nor on how many a part has. A dictionary of several parts
-    is that many passes. Rules may be too many by what ``folded`` takes for equal, never too few.
+    Rules may be too many by what ``folded`` takes for equal, never too few. A text's terms stay one array until copies of
+    texts are gone.
+    """
+    terms = _terms(dictionary)
+    found = _found(rows, F.xxhash64(text).alias("text_hash"), text, terms.withColumn("label", F.col("term")))
+    one = [part.dropDuplicates(["text_hash"]).select("text_hash", F.explode("found").alias("term")) for part in found]
+    return reduce(DataFrame.unionByName, one).join(terms, "term").drop("term")
+
+
+def dictionary_values(rows: DataFrame, key: str, text: str, dictionary: DataFrame) -> DataFrame:
+    """(key, found): the different values of the active rules that ``dictionary_hits`` finds in each row's text, in order.
+
+    ``key`` tells rows apart; rows whose text is null or holds nothing are left out. Nothing is shuffled for a dictionary of one part.
+    """
+    parts = _found(rows, F.col(key), text, _terms(dictionary).withColumn("label", F.col("value")))
+    if len(parts) == 1:
+        return parts[0]
+    whole = reduce(DataFrame.unionByName, parts).groupBy(key).agg(F.flatten(F.collect_list("found")).alias("found"))
+    return whole.withColumn("found", F.sort_array(F.array_distinct("found")))
+
+
+def _terms(dictionary: DataFrame) -> DataFrame:
+    return dictionary.where("is_active and value != ''").select("entity_type", "value", "replacement", "risk_level", "created_at").withColumn("term", dlp.folded(F.col("value")))
+
+
+def _found(rows: DataFrame, key: Column, text: str, terms: DataFrame) -> list[DataFrame]:
+    """For each part of terms (term, label): (key, found), the labels of the terms in a text, different and in order, of rows with any.
+
+    Terms are dealt to parts by their first characters, and a part's terms are a ``Terms``, so the cost of a text depends
+    neither on how long terms are nor on how many a part has. A dictionary of several parts is that many passes.
     """
     spark = rows.sparkSession
-    terms = dictionary.where("is_active and value != ''").select("entity_type", "value", "replacement", "risk_level", "created_at").withColumn("term", dlp.folded(F.col("value")))
-    folded = rows.where(F.col(text).isNotNull()).select(F.xxhash64(text).alias("text_hash"), dlp.folded(F.col(text)).alias("said"))
-    found: DataFrame | None = None
+    folded = rows.where(F.col(text).isNotNull()).select(key, dlp.folded(F.col(text)).alias("said"))
+    name, kind = folded.columns[0], folded.schema[0].dataType.simpleString()
+    out = []
     for part in _parts(terms):
-        words = part.select("term").distinct().toArrow().column("term").to_pylist()  # bounded: about PART_CHARS
-        sent = spark.sparkContext.broadcast(words)
+        table = part.select("term", "label").distinct().toArrow()  # bounded: about PART_CHARS
+        sent = spark.sparkContext.broadcast((table.column("term").to_pylist(), table.column("label").to_pylist()))
 
         def run(batches: Iterator[pa.RecordBatch], sent: Broadcast = sent) -> Iterator[pa.RecordBatch]:
-            automaton = _automaton(sent.value)
-            for b in bounded(batches, "said") if sent.value else ():
-                hits = [sorted({n for _, n in automaton.iter(s)}) for s in b.column("said").to_pylist()]
-                own = np.repeat(np.arange(len(hits)), [len(h) for h in hits])
-                yield pa.RecordBatch.from_arrays([b.column("text_hash").take(pa.array(own, pa.int64())), pa.array([sent.value[n] for h in hits for n in h], pa.string())], ["text_hash", "term"])
+            known = Terms(*sent.value)
+            labels = pa.array(known.labels, pa.string())
+            for b in bounded(batches, "said") if known.labels else ():
+                hits = [known.of(s) for s in b.column("said").to_pylist()]
+                ends = np.cumsum([0, *(len(h) for h in hits)])
+                numbers = np.fromiter(chain.from_iterable(hits), np.int32, ends[-1])
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), labels.take(pa.array(numbers)))
+                some = pa.array(np.diff(ends) > 0)
+                yield pa.RecordBatch.from_arrays([b.column(0).filter(some), lists.filter(some)], [name, "found"])
+
+        out.append(folded.mapInArrow(run, f"`{name}` {kind}, found array<string>"))
+    return out
+
+
+class Terms:
+    """Terms and their labels; ``of`` a text gives the numbers of the labels, in order, whose term it holds.
+
+    An automaton reports every place a term stands at. Terms of one or two characters stand at most places, so if they
+    are few each is looked for by itself instead, up to its first place.
+    """
 
-        some = folded.mapInArrow(run, "text_hash long, term string")
-        found = some if found is None else found.unionByName(some)
-    return found.distinct().join(terms, "term").drop("term")
+    def __init__(self, terms: Sequence[str], labels: Sequence[str]):
+        self.labels = sorted(set(labels))
+        number = {label: n for n, label in enumerate(self.labels)}
+        own: dict[str, list[int]] = {}
+        for term, label in sorted(zip(terms, labels, strict=True), key=itemgetter(1)):
+            own.setdefault(term, []).append(number[label])
+        self._own = list(own.values())
+        self._alone = self._own == [[n] for n in range(len(own))]  # numbers of terms are those of labels
+        short = [(n, term) for n, term in enumerate(own) if len(term) <= 2]
+        self._short = short if len(short) <= _SHORT_TERMS else []
+        alone = {n for n, _ in self._short}
+        self._long = _automaton((n, term) for n, term in enumerate(own) if n not in alone)
+
+    def of(self, text: str) -> list[int]:
+        hits = set(map(itemgetter(1), self._long.iter(text))) if len(self._long) else set()  # without terms it can't be searched
+        hits.update(n for n, term in self._short if term in text)
+        return sorted(hits if self._alone else {label for n in hits for label in self._own[n]})
 
 
 def _parts(terms: DataFrame) -> list[DataFrame]:
@@ -105,9 +166,9 @@ def _parts(terms: DataFrame) -> list[DataFrame]:
     return [*parts, terms.where(begin.isin(*held))] if held or not parts else parts
 
 
-def _automaton(terms: list[str]) -> ahocorasick.Automaton:
+def _automaton(terms: Iterable[tuple[int, str]]) -> ahocorasick.Automaton:
     made = ahocorasick.Automaton()
-    for n, term in enumerate(terms):
+    for n, term in terms:
         made.add_word(term, n)
     made.make_automaton()
     return made

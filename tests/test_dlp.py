@@ -152,6 +152,23 @@ def test_dictionary_in_many_parts(spark, monkeypatch):
     assert _by_table(spark, texts, rules) == [_model(t, rules) for t in texts]
 
 
+def test_values_of_a_dictionary_in_each_text(spark, monkeypatch):
+    """Values by row, in order and once each, in any case; ß is not ss; short ones few and many; one part and several alike."""
+    values = ["e", "st", "ss", "esst", "Esst", "a b", "lang" * 30, "zeta", "eta", "straße", "é"]
+    rules = [Rule(kind, v, None, "low") for v in values for kind in ("x", "y")] + [Rule("x", "off", None, "low", is_active=False)]
+    texts = ["Zeta A B", "eßt STRAẞE", "ESST", "a  b off", "LANG" * 30, "É", "", None, "ZETA a b"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").repartition(3)
+    want = {i: sorted(v for v in values if v.lower() in t.lower()) for i, t in enumerate(texts) if t}
+    for part, short in ((1 << 21, 128), (1 << 21, 1), (60, 128)):
+        monkeypatch.setattr(masking, "PART_CHARS", part)
+        monkeypatch.setattr(masking, "_SHORT_TERMS", short)
+        found = masking.dictionary_values(df, "i", "t", _table(spark, rules))
+        assert {r.i: r.found for r in found.collect()} == {i: v for i, v in want.items() if v}
+        if part > 60:  # what a dictionary of one part finds is neither grouped nor joined
+            plan = found._jdf.queryExecution().executedPlan().toString()
+            assert "Aggregate" not in plan and "Join" not in plan
+
+
 def test_scanner_reads_patterns_of_rules_literally():
     rule = Rule("odd", "a.b\\Ec", None, "low").detector()
     assert [m[0] for m in dlp.python_pattern(rule).finditer("A.B\\EC axb\\Ec")] == ["A.B\\EC"]
