@@ -32,8 +32,8 @@ SAMPLE_ROWS, ROUNDS = 65_536, 8
 #: The share of cells a search probes, and how many rows for each wanted one are compared exactly (fewer of a small table).
 #: Vectors without any clusters need most cells; the codes of a row are a sixteenth of its numbers.
 PROBE_SHARE, COMPARED = 0.8, 16
-#: Scores that a task holds at once.
-_SCORES = 1 << 22
+#: Scores of queries, and distances to centers, that a task holds at once.
+_SCORES, _DISTANCES = 1 << 22, 1 << 20
 
 
 @dataclass(frozen=True)
@@ -75,7 +75,9 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
 
 
 def _nearest(points: np.ndarray, centers: np.ndarray) -> np.ndarray:
-    return np.argmin((centers * centers).sum(axis=1) - 2 * points @ centers.T, axis=1)
+    """The number of each point's nearest center; _DISTANCES at once, since centers grow with the rows."""
+    length, step = (centers * centers).sum(axis=1), max(1, _DISTANCES // len(centers))
+    return np.concatenate([np.zeros(0, np.int64), *(np.argmin(length - 2 * points[at : at + step] @ centers.T, axis=1) for at in range(0, len(points), step))])
 
 
 def _round(sample: DataFrame, books: list[tuple[int, np.ndarray]], dim: int) -> list[tuple[int, np.ndarray]]:
@@ -152,7 +154,9 @@ def _coded(chunks: DataFrame, centroids: np.ndarray, words: np.ndarray) -> DataF
         centers, books = sent.value
         for b in batches:
             points = _matrix(b.column("embedding"), centers.shape[1])
-            cell = np.where(points.any(axis=1), np.argmax(points @ centers.T, axis=1), NO_CELL)
+            step = max(1, _DISTANCES // len(centers))
+            best = np.concatenate([np.zeros(0, np.int64), *(np.argmax(points[at : at + step] @ centers.T, axis=1) for at in range(0, len(points), step))])
+            cell = np.where(points.any(axis=1), best, NO_CELL)
             padded = np.pad(points, ((0, 0), (0, len(books) * SUB - points.shape[1])))
             code = np.stack([_nearest(padded[:, k * SUB : (k + 1) * SUB], w) for k, w in enumerate(books)], axis=1).astype(np.uint8)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([c.tobytes() for c in code], pa.binary()), pa.array(cell, pa.int32())], out.names)

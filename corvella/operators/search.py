@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.principal import Principal
 from ..functions.text import wants_images
@@ -28,6 +29,8 @@ MAX_TOOL_CALLS = 4
 HIT = ("chunk_id", "document_id", "content", "vector_score", "keyword_score", "final_score", "metadata")
 #: A batch of query vectors travels with every task: so many bytes at most.
 MAX_QUERY_BYTES = 64 << 20
+#: Scores of queries with chunks that a task holds at once, 16 MB, whatever the number of queries.
+_SCORES = 1 << 21
 
 
 def in_bases(kb_ids: Sequence[str] | None) -> Column:
@@ -136,6 +139,54 @@ def retrieval_log(hits: DataFrame, message_id: int | str, used: DataFrame | None
     return hits.select(F.lit(message_id).alias("message_id"), "document_id", "chunk_id", "vector_score", "keyword_score", F.lit(None).cast("double").alias("rerank_score"), "final_score", "rank", flag.alias("used_in_context"))
 
 
+class Nearest:
+    """The best ``top_k`` of the vectors added, for each of many unit queries, by score and then by key.
+
+    Scores come in tiles of _SCORES. What may be among the best is scored again row by row, so that equal vectors tie
+    wherever they stand in a tile.
+    """
+
+    def __init__(self, queries: np.ndarray, top_k: int):
+        self.queries, self.top_k, self.keys = queries, top_k, None
+        self.scores = np.full((len(queries), top_k), -np.inf)
+
+    def add(self, keys: np.ndarray, vectors: np.ndarray) -> None:
+        if not len(keys):
+            return
+        if self.keys is None:
+            self.keys = np.full(self.scores.shape, keys[0], keys.dtype)
+        norms = np.linalg.norm(vectors, axis=1, keepdims=True)
+        vectors = np.divide(vectors, norms, out=np.zeros_like(vectors), where=norms > 0)
+        step, k = max(1, _SCORES // len(keys)), self.top_k
+        for at in range(0, len(self.queries), step):
+            queries = self.queries[at : at + step]
+            scores = queries @ vectors.T
+            edge = self.scores[at : at + step, -1]
+            if len(keys) > k and np.isneginf(edge).any():
+                edge = np.maximum(edge, np.partition(scores, len(keys) - k, axis=1)[:, len(keys) - k])
+            query, vector = np.nonzero(scores >= edge[:, None] - 1e-12)
+            wide = max(1, _SCORES // max(1, vectors.shape[1]))
+            again = [(queries[query[i : i + wide]] * vectors[vector[i : i + wide]]).sum(axis=1) for i in range(0, len(query), wide)]
+            if again:
+                self._merge(query + at, keys[vector], np.concatenate(again))
+
+    def _merge(self, query: np.ndarray, keys: np.ndarray, scores: np.ndarray) -> None:
+        k = self.top_k
+        rows, own = np.unique(query, return_inverse=True)
+        own = np.concatenate([np.repeat(np.arange(len(rows)), k), own])
+        keys, scores = np.concatenate([self.keys[rows].ravel(), keys]), np.concatenate([self.scores[rows].ravel(), scores])
+        order = np.lexsort((np.unique(keys, return_inverse=True)[1], -scores, own))
+        sizes = np.bincount(own)  # k at least: those held
+        first = np.repeat(np.cumsum(sizes) - sizes, sizes)
+        kept = order[np.arange(len(order)) - first < k]
+        self.keys[rows], self.scores[rows] = keys[kept].reshape(-1, k), scores[kept].reshape(-1, k)
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(number of the query, key, score) of all that is held."""
+        query, nth = np.nonzero(self.scores > -np.inf)
+        return query, self.keys[query, nth], self.scores[query, nth]
+
+
 def vector_search_batch(chunks: DataFrame, queries: DataFrame, top_k: int, block: int = 4096, max_query_bytes: int = MAX_QUERY_BYTES) -> DataFrame:
     """(query_id, chunk_id, vector_score, rank) for many queries (query_id, embedding) at once.
 
@@ -163,28 +214,22 @@ def _search_block(chunks: DataFrame, queries: DataFrame, top_k: int, block: int)
     matrix = np.array(table.column("embedding").to_pylist(), np.float64).reshape(table.num_rows, -1 if table.num_rows else 0)
     ids, kind = table.column("query_id").to_pylist(), queries.schema["query_id"].dataType.simpleString()
     key = chunks.schema["chunk_id"].dataType.simpleString()
+    id_type, key_type = table.schema.field("query_id").type, to_arrow_type(chunks.schema["chunk_id"].dataType)
     norms = np.linalg.norm(matrix, axis=1, keepdims=True)
     unit = np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
     sent = chunks.sparkSession.sparkContext.broadcast((ids, unit))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, q = sent.value
-        best: list[list[tuple]] = [[] for _ in names]
+        best = Nearest(q, top_k)
         for batch in batches if names else ():
             for at in range(0, batch.num_rows, block):
                 part = batch.slice(at, block)
-                keys = part.column("chunk_id").to_pylist()
-                v = np.array(part.column("embedding").to_pylist(), np.float64).reshape(len(keys), -1)
-                n = np.linalg.norm(v, axis=1)
-                scores = np.divide(q @ v.T, n, out=np.zeros((len(names), len(keys))), where=n > 0)
-                for i, row in enumerate(scores):
-                    few = np.argpartition(-row, min(top_k, len(row)) - 1)[:top_k] if len(row) else []
-                    edge = row[few].min() if len(few) else 0.0
-                    near = np.flatnonzero(row >= edge)
-                    best[i] = sorted([*best[i], *((-float(row[j]), keys[j]) for j in near)])[:top_k]
-        out = [(name, k, -s) for name, b in zip(names, best, strict=True) for s, k in b]
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], ["query_id", "chunk_id", "vector_score"])
+                v = np.array(part.column("embedding").to_pylist(), np.float64).reshape(part.num_rows, -1)
+                best.add(part.column("chunk_id").to_numpy(zero_copy_only=False), v)
+        if best.keys is not None:
+            query, keys, scores = best.rows()
+            yield pa.RecordBatch.from_arrays([pa.array(names, id_type).take(pa.array(query)), pa.array(keys, key_type), pa.array(scores)], ["query_id", "chunk_id", "vector_score"])
 
     local = chunks.where("embedding is not null").select("chunk_id", "embedding").mapInArrow(run, f"query_id {kind}, chunk_id {key}, vector_score double")
     order = Window.partitionBy("query_id").orderBy(F.col("vector_score").desc(), "chunk_id")

@@ -110,3 +110,37 @@ def test_codewords_are_near_what_they_stand_for(vectors, index):
         part = unit[:, k * codes.SUB : (k + 1) * codes.SUB]
         error += ((part - words[codes._nearest(part, words)]) ** 2).sum()
     assert error / len(unit) < 0.25
+
+
+def test_best_of_many_queries_in_bounded_memory(monkeypatch):
+    """Scores are held by tiles: memory does not grow with the number of queries; copies tie by key wherever they stand."""
+    rng = np.random.default_rng(5)
+    few = rng.normal(size=(700, 16))
+    vectors = np.concatenate([few, few, np.zeros((3, 16))])  # every vector twice
+    q = few / np.linalg.norm(few, axis=1, keepdims=True)
+    monkeypatch.setattr(search, "_SCORES", 5_000)
+    for keys in (rng.permutation(len(vectors)), np.array([f"k{i:04}" for i in rng.permutation(len(vectors))], object)):
+        best = search.Nearest(q, 5)
+        for at in range(0, len(vectors), 333):
+            best.add(keys[at : at + 333], vectors[at : at + 333])
+        norms = np.linalg.norm(vectors, axis=1)
+        scores = np.array([(vectors * row).sum(axis=1) for row in q]) / np.where(norms > 0, norms, 1)
+        query, found, _ = best.rows()
+        for i, row in enumerate(scores):
+            want = sorted(range(len(vectors)), key=lambda j, row=row: (-round(row[j], 12), keys[j]))[:5]
+            assert found[query == i].tolist() == [keys[j] for j in want]
+
+
+def test_tiles_of_scores_stay_small():
+    import tracemalloc
+
+    rng = np.random.default_rng(6)
+    q = rng.normal(size=(20_000, 8))
+    q /= np.linalg.norm(q, axis=1, keepdims=True)
+    tracemalloc.start()
+    best = search.Nearest(q, 8)
+    best.add(np.arange(4_096), rng.normal(size=(4_096, 8)))
+    codes._nearest(q, rng.normal(size=(4_096, 8)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200 << 20  # one score of each pair alone has 625 MB
