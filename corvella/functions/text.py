@@ -13,8 +13,12 @@ INJECTION_PHRASES = ("ignore previous instructions", "reveal system prompt", "by
 IMAGE_TERMS = ("image", "figure", "fig.", "fig ", "chart", "diagram", "graph", "table", "圖", "表")
 
 
+#: The characters of SPACE.
+_SPACES = "".join(map(chr, (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+
+
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, "(?U)^[\\s\\x1c-\\x1f]+|[\\s\\x1c-\\x1f]+$", "")
+    return F.btrim(c, F.lit(_SPACES))
 
 
 def words(c: Column) -> Column:
@@ -66,7 +70,8 @@ def session_title(query: Column) -> Column:
 
 def safe_int(c: Column) -> Column:
     """An integer, or 0 where the text is none."""
-    return F.coalesce(strip(c.cast("string")).try_cast("int"), F.lit(0))
+    text = c.cast("string")
+    return F.coalesce(text.try_cast("int"), strip(text).try_cast("int"), F.lit(0))  # the cast takes off ASCII white space itself
 
 
 def clamp_top_k(c: Column, default: int = 8, most: int = 20) -> Column:

@@ -15,7 +15,8 @@ from ..functions.text import clean_db_text, safe_int, strip
 
 
 def _ordered_text(items: Column, separator: str) -> Column:
-    return F.array_join(F.transform(F.array_sort(items), lambda s: s["text"]), separator)
+    """Texts of structs, which are never null themselves, in the order of their fields."""
+    return F.array_join(F.sort_array(items)["text"], separator)  # array_sort() would call a lambda for every comparison
 
 
 def ocr_text(words: DataFrame, key: Sequence[str]) -> DataFrame:

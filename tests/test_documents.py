@@ -245,3 +245,16 @@ def test_long_texts_are_split_once(spark):
     rows = chunking.chunk_text(docs, "document_id", "text").agg({"token_count": "sum", "chunk_index": "max"}).collect()
     assert time.monotonic() - began < 8
     assert rows[0]["max(chunk_index)"] == -(-(320_000 - 700) // 580)
+
+
+def test_words_of_scans_are_trimmed_and_sorted_without_patterns_or_lambdas(spark):
+    """Every character at both ends as the pattern of white space takes it; numbers with white space; no regex or lambda a word."""
+    from corvella.functions import text
+
+    df = spark.createDataFrame([(i, f"{chr(i)}{chr(i)}7{chr(i)}") for i in range(0x3100)], "c int, s string")
+    old = F.regexp_replace("s", "(?U)^[\\s\\x1c-\\x1f]+|[\\s\\x1c-\\x1f]+$", "")
+    number = F.coalesce(old.try_cast("int"), F.lit(0))
+    assert df.where(~text.strip(F.col("s")).eqNullSafe(old) | (text.safe_int(F.col("s")) != number)).count() == 0
+    words = spark.createDataFrame([(1, "a", "1", "1", "1", "1", "1", 0)], "d int, text string, conf string, block_num string, par_num string, line_num string, left string, word_no int")
+    plan = layout.ocr_text(words, ["d"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan and plan.count("regexp_replace") <= 1  # the control characters of whole texts
