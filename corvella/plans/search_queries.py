@@ -80,9 +80,9 @@ def vector_codes(spark: SparkSession, sf: str) -> DataFrame:
 
 def keyword_postings(spark: SparkSession, sf: str) -> DataFrame:
     """Twelve characters of every 50th document, looked up by the gram index among all chunks."""
-    chunks, documents, permissions = _tables(spark, sf)
+    documents, permissions = views.documents(spark, sf), views.document_permissions(spark, sf)
     asked = documents.where(F.col("document_id") % QUERY_IDS_EVERY == 0).select(F.col("document_id").alias("query_id"), F.regexp_replace(F.substring("text", 11, 12), r"[%_\\\\]", "").alias("query"))
-    index = postings.build(chunks, scratch_dir(spark, "gram-index"))
+    index = postings.build(views.chunks(spark, sf, embedded=False), scratch_dir(spark, "gram-index"))
     found = postings.keyword_search_batch(index, asked, documents, permissions, None, TOP_K, PRINCIPAL)
     return found.select("query_id", "chunk_id", "document_id", F.round("keyword_score", 6).alias("keyword_score"), F.col("metadata.confidential_level").alias("level"), "ord")
 
@@ -98,7 +98,7 @@ def _questions(spark: SparkSession, sf: str) -> DataFrame:
 
 def _question_hits(spark: SparkSession, sf: str) -> DataFrame:
     chunks, documents, permissions = _tables(spark, sf)
-    index = postings.build(chunks, scratch_dir(spark, "gram-index"))
+    index = postings.build(views.chunks(spark, sf, embedded=False), scratch_dir(spark, "gram-index"))
     return questions.hybrid_search(chunks, index, documents, permissions, _questions(spark, sf), None, TOP_K, PRINCIPAL, 2 * TOP_K)
 
 

@@ -45,13 +45,15 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def chunks(spark: SparkSession, sf: str, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
-    """Chunks with the vector of their document's turn; every 50th document has none."""
+def chunks(spark: SparkSession, sf: str, size: int = SIZE, overlap: int = OVERLAP, embedded: bool = True) -> DataFrame:
+    """Chunks with the vector of their document's turn; every 50th document has none. Without vectors the texts join nothing."""
     d = F.col("document_id")
     cut = chunk_text(documents(spark, sf), "document_id", "text", size, overlap, ("knowledge_base_id", "confidential_level"))
-    vectors = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("_vector"))
-    n = vectors.agg(F.count("*")).first()[0]
-    joined = cut.join(vectors, F.pmod(d, F.lit(n)) == F.col("vec_id"), "left")
+    joined = cut
+    if embedded:
+        vectors = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("_vector"))
+        n = vectors.agg(F.count("*")).first()[0]
+        joined = cut.join(vectors, F.pmod(d, F.lit(n)) == F.col("vec_id"), "left")
     return joined.select(
         (d * 100_000 + F.col("chunk_index")).alias("chunk_id"),
         "document_id",
@@ -59,7 +61,7 @@ def chunks(spark: SparkSession, sf: str, size: int = SIZE, overlap: int = OVERLA
         "chunk_index",
         "content",
         "token_count",
-        F.when(d % 50 != 49, F.col("_vector")).alias("embedding"),
+        *([F.when(d % 50 != 49, F.col("_vector")).alias("embedding")] if embedded else []),
         "confidential_level",
         F.struct(
             F.when(d % 2 == 0, F.concat(F.lit("Document "), d)).alias("title"),

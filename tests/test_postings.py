@@ -5,6 +5,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from corvella.functions.vectors import trigrams
 from corvella.operators import postings, search
 from corvella.plans import views
 from corvella.plans.views import PRINCIPAL
@@ -106,3 +107,50 @@ def test_a_match_has_all_grams_of_the_query(pattern, text):
     like = "".join(".*" if p == "%" else "." if p == "_" else re.escape(p[-1]) for p in re.findall(r"\\.|[^\\]", pattern.rstrip("\\"), re.S))
     if re.search(like, text, re.S):
         assert set(postings.query_grams(pattern.rstrip("\\"))) <= set(postings.gram_keys(text).tolist())
+
+
+def test_sets_of_padded_words_are_those_of_trigrams(spark):
+    """Their sizes are counted, and queries cut, from words laid end to end."""
+    said = ["", " ", "a", "ab, a", ". ", "İstanbul ß", "x  y\tz", "ciónñ--9", "  lead", "日本語 \U0001f600q", "a a a", "É_1"]
+    rows = spark.createDataFrame(list(enumerate(said)), "k int, content string")
+    padded = postings._padded(F.lower("content"))
+    got = rows.select("k", padded.alias("p"), F.arrow_udf(postings._n_trigrams, "int")(padded).alias("n"), trigrams(F.col("content")).alias("t")).collect()
+    assert [(r.n, postings.padded_trigrams(r.p)) for r in got] == [(len(r.t), set(r.t)) for r in got] and len(got) == len(said)
+
+
+def test_content_is_written_once_and_rounds_keep_ids_alone(spark, tables, tmp_path, monkeypatch):
+    """On disk: the index, and narrow tables beside it. Another copy of the content, or one a round, would not fit at scale."""
+    monkeypatch.setattr(postings, "READ_ONCE", 0)
+    written = []
+    narrow = postings._write
+    monkeypatch.setattr(postings, "_write", lambda df, name: written.append(df.columns) or narrow(df, name))
+    index = postings.build(tables[0], str(tmp_path))
+    assert not written and sorted(p.name for p in tmp_path.iterdir()) == ["content", "grams", "ledger", "sizes"]
+    asked = spark.createDataFrame([(1, "da"), (2, "mente"), (3, "los%")], "query_id long, query string")
+    hits = postings.keyword_search_batch(index, asked, *tables[1:], None, 8, None)
+    assert {r.query_id for r in hits.collect()} == {1, 2, 3}
+    assert written and not any({"content", "metadata"} & set(c) for c in written)
+
+
+def test_large_sides_of_joins_are_not_sent_to_all_tasks(spark, tables, index, monkeypatch):
+    """However small a table of ids is on disk; the results are the same."""
+    asked = spark.createDataFrame([(1, "da"), (2, "e%a")], "query_id long, query string")
+    want = [_rows(postings.keyword_search_batch(index, asked, *tables[1:], None, 8, PRINCIPAL).where(F.col("query_id") == k)) for k in (1, 2)]
+    monkeypatch.setattr(postings, "SENT_ROWS", 0)
+    found = postings.keyword_search_batch(index, asked, *tables[1:], None, 8, PRINCIPAL)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert [_rows(found.where(F.col("query_id") == k)) for k in (1, 2)] == want
+
+
+def test_an_addition_that_was_broken_off_is_not_seen(spark, tables, tmp_path, monkeypatch):
+    chunks, documents, permissions = tables
+    monkeypatch.setattr(postings, "READ_ONCE", 0)
+    index = postings.build(chunks.where("document_id % 2 = 0"), str(tmp_path), parts=8)
+    new = chunks.where("document_id % 2 = 1")
+    with monkeypatch.context() as m:
+        m.setattr(postings, "_lists", lambda content: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            postings.add(index, new)
+    assert index.content(spark).where("document_id % 2 = 1").count() == 0
+    postings.add(index, new)
+    assert _rows(postings.keyword_search(index, documents, permissions, "er", None, 8, None)) == _rows(search.keyword_search(*tables, "er", None, 8, None))
