@@ -16,35 +16,35 @@ from . import context, postings, search
 from .search import KEYWORD_WEIGHT, MAX_TOP_K, RERANK_TOP_N, VECTOR_WEIGHT
 
 
-def vector_leg(chunks: DataFrame, documents: DataFrame, permissions: DataFrame, questions: DataFrame, kb_ids: Sequence[str] | None, top_k: int, principal: Principal | None) -> DataFrame:
-    """``search.vector_search`` of questions (query_id, embedding): its columns after query_id. Exact.
+def nearest_chunks(chunks: DataFrame, documents: DataFrame, permissions: DataFrame, questions: DataFrame, kb_ids: Sequence[str] | None, top_k: int, principal: Principal | None) -> DataFrame:
+    """(query_id, chunk_id, vector_score, rank): ``search.vector_search`` of questions (query_id, embedding). Exact.
 
     Vectors of zeros or of another length than the question's are as far as can be: they are left out here.
     """
     ready = search.searchable(chunks.where("embedding is not null"), documents, permissions, principal, kb_ids)
     asked = questions.select("query_id", F.transform("embedding", lambda x: F.round(x.cast("double"), 8)).alias("embedding"))
     norm = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
-    found = search.vector_search_batch(ready.where(norm > 0).select("chunk_id", "embedding"), asked, top_k)
-    rows = ready.select("chunk_id", "document_id", "content", "metadata")
-    score = F.col("vector_score")
-    return rows.join(found, "chunk_id").select("query_id", "chunk_id", "document_id", "content", "vector_score", F.lit(0.0).alias("keyword_score"), score.alias("final_score"), "metadata", F.col("rank").alias("ord"))
+    return search.vector_search_batch(ready.where(norm > 0).select("chunk_id", "embedding"), asked, top_k)
 
 
 def hybrid_search(chunks: DataFrame, index: postings.GramIndex, documents: DataFrame, permissions: DataFrame, questions: DataFrame, kb_ids: Sequence[str] | None, top_k: int = search.DEFAULT_TOP_K, principal: Principal | None = None, rerank_top_n: int = RERANK_TOP_N) -> DataFrame:
     """``search.hybrid_search`` of questions (query_id, query, embedding): its columns after query_id.
 
     ``index`` lists the same chunks. A question without a vector, or with blank words, has hits of the other leg alone.
+    Ids and scores alone are ranked; content is fetched from the index for the hits that are left.
     """
     if not 1 <= top_k <= MAX_TOP_K:
         raise ValueError(f"top_k must be between 1 and {MAX_TOP_K}")
-    near = vector_leg(chunks, documents, permissions, questions, kb_ids, top_k, principal)
-    worded = postings.keyword_search_batch(index, questions.select("query_id", "query"), documents, permissions, kb_ids, top_k, principal)
-    both = near.withColumn("src", F.lit(0)).unionByName(worded.withColumn("src", F.lit(1)))
+    near = nearest_chunks(chunks, documents, permissions, questions, kb_ids, top_k, principal)
+    worded = postings.ranked_chunks(index, questions.select("query_id", "query"), documents, permissions, kb_ids, top_k, principal)
+    leg = lambda found, vector, keyword, ord, src: found.select("query_id", "chunk_id", vector.alias("vector_score"), keyword.alias("keyword_score"), F.col(ord).alias("ord"), F.lit(src).alias("src"))  # noqa: A006, E731
+    both = leg(near, F.col("vector_score"), F.lit(0.0), "rank", 0).unionByName(leg(worded, F.lit(0.0), F.col("_score"), "ord", 1))
     first = Window.partitionBy("query_id", "chunk_id").orderBy("src")
     merged = both.withColumn("_nth", F.row_number().over(first)).where("_nth = 1").drop("_nth")
     scored = merged.withColumn("final_score", VECTOR_WEIGHT * F.col("vector_score") + KEYWORD_WEIGHT * F.col("keyword_score"))
     order = Window.partitionBy("query_id").orderBy(F.col("final_score").desc(), "src", "ord")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= rerank_top_n)
+    ranked = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= rerank_top_n)
+    return postings.with_content(index, ranked).select("query_id", "chunk_id", "document_id", "content", "vector_score", "keyword_score", "final_score", "metadata", "ord", "src", "rank")
 
 
 def contexts(hits: DataFrame, max_tokens: int = context.MAX_TOKENS, max_chars: int = context.MAX_CHARS) -> DataFrame:

@@ -192,7 +192,8 @@ def vector_search_batch(chunks: DataFrame, queries: DataFrame, top_k: int, block
 
     The query vectors go to the tasks in blocks of about ``max_query_bytes``, sized before anything is fetched; a task
     multiplies blocks of chunks with them and keeps ``top_k`` a query, so what is shuffled is queries x top_k rows a task,
-    never all pairs. With several blocks each one's result is written to the shared folder before the next is fetched.
+    never all pairs. There are as many tasks as cores, twice, however many parts the chunks have: else both numbers would
+    grow with the tables. With several blocks each one's result is written to the shared folder before the next is fetched.
     """
     spark = chunks.sparkSession
     asked = queries.where("embedding is not null")
@@ -231,6 +232,7 @@ def _search_block(chunks: DataFrame, queries: DataFrame, top_k: int, block: int)
             query, keys, scores = best.rows()
             yield pa.RecordBatch.from_arrays([pa.array(names, id_type).take(pa.array(query)), pa.array(keys, key_type), pa.array(scores)], ["query_id", "chunk_id", "vector_score"])
 
-    local = chunks.where("embedding is not null").select("chunk_id", "embedding").mapInArrow(run, f"query_id {kind}, chunk_id {key}, vector_score double")
+    few = 2 * chunks.sparkSession.sparkContext.defaultParallelism
+    local = chunks.where("embedding is not null").select("chunk_id", "embedding").coalesce(few).mapInArrow(run, f"query_id {kind}, chunk_id {key}, vector_score double")
     order = Window.partitionBy("query_id").orderBy(F.col("vector_score").desc(), "chunk_id")
     return local.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k), sent

@@ -62,3 +62,29 @@ def test_many_questions_read_the_chunks_once(spark, tables, tmp_path, monkeypatc
     again = questions.hybrid_search(chunks, index, documents, permissions, asked, None, 6, PRINCIPAL, 10)
     rows = lambda df: sorted((r.query_id, r.rank, r.chunk_id, round(r.final_score, 9)) for r in df.collect())
     assert rows(again) == rows(hits) != []
+
+
+def test_rows_shuffled_by_the_vector_leg_follow_cores_not_parts(spark, tables):
+    """Each task keeps the best of every question: more parts of the chunks must not mean more of them."""
+    chunks, _, _, asked, _ = tables
+    near = chunks.where("embedding is not null").select("chunk_id", "embedding")
+    rows = lambda df: sorted((r.query_id, r.chunk_id, r["rank"]) for r in df.collect())
+    found = search.vector_search_batch(near.repartition(60), asked, 6)
+    tasks = 2 * spark.sparkContext.defaultParallelism
+    local, sent = search._search_block(near.repartition(60), asked.where("embedding is not null"), 6, 4096)
+    assert f"Coalesce {tasks}" in local._jdf.queryExecution().executedPlan().toString()
+    sent.destroy()
+    assert rows(found) == rows(search.vector_search_batch(near, asked, 6)) != []
+
+
+def test_legs_are_ranked_without_content(spark, tables, tmp_path, monkeypatch):
+    """Content is fetched for the hits that are left; it went through every step of both legs."""
+    chunks, documents, permissions, asked, hits = tables
+    index = postings.build(chunks, str(tmp_path), parts=8)
+    written = []
+    narrow = postings._write
+    monkeypatch.setattr(postings, "_write", lambda df, name: written.append(df.columns) or narrow(df, name))
+    again = questions.hybrid_search(chunks, index, documents, permissions, asked, None, 6, PRINCIPAL, 10)
+    assert again.columns == hits.columns and written and not any({"content", "metadata"} & set(c) for c in written)
+    rows = lambda df: sorted((r.query_id, r.context) for r in questions.contexts(df, 120, 2_000).collect())
+    assert rows(again) == rows(hits) != []
