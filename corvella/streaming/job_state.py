@@ -1,15 +1,16 @@
-"""The job queue as keyed state: one state per document and job type, moved by events and by timers.
+"""The job queue as keyed state: a job per document and type, moved by events and by timers.
 
 A request makes a job unless one of the same document and type is active. An admitted job runs at once: its transition to
 ``running`` leaves the state machine with the number of the attempt, and whoever processes the micro-batch answers with a
 ``done`` or ``error`` event for that attempt. An attempt without an answer ends when its timer fires. Failed attempts run
-again until they are used up; finished jobs leave the state after a while. States travel to Python with the events, in
-Arrow batches, and back, so a turn costs Python what its events and timers touch; the JVM looks through all states for
-timers. Answers to an attempt that is over, repeated ones too, change nothing, so a micro-batch may run again.
+again until they are used up; finished jobs leave the state after a while. A call of Python costs a hundred times what a job's
+step does, so the jobs of neighbouring documents share a state, with the earliest of their timers. States travel to Python with the events, in
+Arrow batches, and back; the JVM looks through all states for timers. Answers to an attempt that is over, repeated ones too, change nothing, so a micro-batch may run again.
 """
 
 from __future__ import annotations
 
+import json
 import threading
 import uuid
 from collections.abc import Callable, Iterator
@@ -25,8 +26,11 @@ from ..operators.jobs import MAX_ATTEMPTS
 
 EVENT = "document_id long, job_type string, event string, at timestamp, attempt int, error string"
 TRANSITION = "document_id long, job_type string, requested_at timestamp, status string, attempt int, progress int, at timestamp, error string"
-#: Of a job: running, completed or failed; the times of its request and of this state, and when its timer is due, as epoch milliseconds.
-STATE = "status string, attempt int, requested long, since long, due long"
+#: A list of jobs as JSON: document, type, what the job is (running, completed or failed; its attempt; the times of its request and of this
+#: state, and when its timer is due, as epoch milliseconds), and from when on its timer may fire.
+STATE = "jobs string"
+#: A state holds the jobs of documents whose ids agree but for so many low bits, 256 documents at most.
+BLOCK_BITS = 8
 #: The state store that the queue uses: states lie on disk.
 STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 _ORDER = {"done": 0, "error": 1, "request": 2}
@@ -37,7 +41,7 @@ _COLUMNS = [c.split()[0] for c in TRANSITION.split(", ")]
 
 
 class _Jobs:
-    """What events and timers make of one key's state; times are epoch milliseconds."""
+    """What events and timers make of a block's jobs; times are epoch milliseconds."""
 
     def __init__(self, timeout: int, max_attempts: int, keep: int):
         self.timeout, self.max_attempts, self.keep = timeout * 1000, max_attempts, keep * 1000
@@ -60,33 +64,39 @@ class _Jobs:
         return self._next("completed", job[1], job[2], at, None) if event == "done" else self._ended(job[1], job[2], at, error or "failed")
 
     def turn(self, key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        job = state.get if state.exists else None
-        made = []
-        if state.hasTimedOut:
-            if job[0] != "running":
-                state.remove()
-                return
-            made.append(self._ended(job[1], job[2], job[4], f"Job timed out after {self.timeout // 1000} seconds."))
-        else:
-            events = []
-            for f in frames:
-                at = f["at"].to_numpy("datetime64[ms]").astype("int64").tolist()
-                events += zip(at, f["event"].tolist(), f["attempt"].tolist(), f["error"].tolist(), strict=True)
-            for at, event, attempt, error in sorted((e for e in events if e[1] in _ORDER), key=lambda e: (e[0], _ORDER[e[1]])):
+        now = state.getCurrentWatermarkMs()
+        jobs = {(document, kind): (tuple(job), fires) for document, kind, job, fires in json.loads(state.get[0])} if state.exists else {}
+        events: dict[tuple, list[tuple]] = {}
+        for f in frames if not state.hasTimedOut else ():
+            at = f["at"].to_numpy("datetime64[ms]").astype("int64").tolist()
+            for document, kind, *event in zip(f["document_id"].tolist(), f["job_type"].tolist(), at, f["event"].tolist(), f["attempt"].tolist(), f["error"].tolist(), strict=True):
+                events.setdefault((document, kind), []).append(event)
+        made: list[tuple[tuple, tuple, str | None]] = []
+        # A job's events come before its timer, which is set anew then.
+        for own in [own for own, (_, fires) in jobs.items() if fires < now and own not in events]:
+            job, _ = jobs.pop(own)
+            if job[0] == "running":
+                job, error = self._ended(job[1], job[2], job[4], f"Job timed out after {self.timeout // 1000} seconds.")
+                made.append((own, job, error))
+                jobs[own] = job, max(job[4], now + 1)
+        for own, given in events.items():
+            job = jobs[own][0] if own in jobs else None
+            for at, event, attempt, error in sorted((e for e in given if e[1] in _ORDER), key=lambda e: (e[0], _ORDER[e[1]])):
                 step = self._event(job, event, at, attempt, error)
                 if step:
-                    made.append(step)
                     job = step[0]
-        if job is None:
-            return
-        if made:
-            job = made[-1][0]
-            state.update(job)
-        # A timer that is due already fires as the time goes on. Without a change the old one is set anew.
-        state.setTimeoutTimestamp(max(job[4], state.getCurrentWatermarkMs() + 1))
+                    made.append((own, *step))
+            if job is not None:
+                jobs[own] = job, max(job[4], now + 1)
+        if jobs:
+            state.update((json.dumps([(*own, job, fires) for own, (job, fires) in jobs.items()]),))
+            # A timer that is due already fires as the time goes on.
+            state.setTimeoutTimestamp(max(min(fires for _, fires in jobs.values()), now + 1))
+        elif state.exists:
+            state.remove()
         if made:
-            rows = [(*key, pd.Timestamp(r, unit="ms"), status, attempt, _PROGRESS[status], pd.Timestamp(at, unit="ms"), error) for (status, attempt, r, at, _), error in made]
-            yield pd.DataFrame(rows, columns=_COLUMNS)
+            rows = pd.DataFrame([(*own, r, status, attempt, _PROGRESS[status], at, error) for own, (status, attempt, r, at, _), error in made], columns=_COLUMNS)
+            yield rows.assign(**{c: pd.to_datetime(rows[c], unit="ms") for c in ("requested_at", "at")})
 
 
 def job_transitions(events: DataFrame, timeout: int = 300, max_attempts: int = MAX_ATTEMPTS, keep: int = 86_400, late: str = "10 minutes") -> DataFrame:
@@ -94,10 +104,10 @@ def job_transitions(events: DataFrame, timeout: int = 300, max_attempts: int = M
 
     Events older than the watermark, ``late`` behind the newest, are dropped (an answer so late counts as none, so it should
     be longer than ``timeout``); timers fire as it passes them. ``keep``:
-    seconds until a finished job is forgotten. Unknown events change nothing. The stream needs the state store STORE.
+    seconds until a finished job is forgotten. A state holds the jobs of up to 256 documents. Unknown events change nothing. The stream needs the state store STORE.
     """
     known = events.where("document_id is not null and job_type is not null").withWatermark("at", late)
-    return known.groupBy("document_id", "job_type").applyInPandasWithState(_Jobs(timeout, max_attempts, keep).turn, TRANSITION, STATE, "update", GroupStateTimeout.EventTimeTimeout)
+    return known.withColumn("block", F.shiftright("document_id", BLOCK_BITS)).groupBy("block").applyInPandasWithState(_Jobs(timeout, max_attempts, keep).turn, TRANSITION, STATE, "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def latest_states(transitions: DataFrame) -> DataFrame:

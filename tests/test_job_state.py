@@ -3,6 +3,7 @@
 import datetime as dt
 import time
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -103,3 +104,47 @@ def test_states_travel_in_batches(spark, tmp_path):
     moved = job_state.job_transitions(spark.readStream.schema(EVENT).parquet(str(tmp_path / "in")))
     plan = moved._jdf.queryExecution().analyzed().toString()
     assert "FlatMapGroupsInPandasWithState" in plan and "TransformWithState" not in plan
+
+
+def test_neighbouring_documents_share_a_call():
+    """A call of Python a job took most of the time; events, timers and answers of a block's jobs keep apart."""
+    class State:
+        exists, hasTimedOut, value, due, now = False, False, None, None, 0  # noqa: N815
+
+        get = property(lambda self: self.value)
+
+        def update(self, value):
+            self.exists, self.value = True, value
+
+        def remove(self):
+            self.exists, self.value = False, None
+
+        def setTimeoutTimestamp(self, at):  # noqa: N802
+            assert at > self.now
+            self.due = at
+
+        def getCurrentWatermarkMs(self):  # noqa: N802
+            return self.now
+
+    def frame(*rows):
+        return pd.DataFrame([(d, k, e, pd.Timestamp(s, unit="s"), a, None) for d, k, e, s, a in rows], columns=["document_id", "job_type", "event", "at", "attempt", "error"])
+
+    jobs, state = job_state._Jobs(300, 2, 1_000), State()
+    rows = lambda found: [(r.document_id, r.job_type, r.status, r.attempt, int(r.at.timestamp())) for f in found for r in f.itertuples()]
+    assert rows(jobs.turn((0,), iter([frame(*((d, "ocr", "request", d, None) for d in range(200))), frame((3, "x", "request", 9, None))]), state)) == [*((d, "ocr", "running", 1, d) for d in range(200)), (3, "x", "running", 1, 9)]
+    assert state.due == 300_000
+    state.now = 302_000  # documents 0 and 1 are late, but 1 has an answer now
+    assert rows(jobs.turn((0,), iter([frame((1, "ocr", "done", 5, 1), (5, "ocr", "error", 6, 1))]), state)) == [(0, "ocr", "running", 2, 300), (1, "ocr", "completed", 1, 5), (5, "ocr", "running", 2, 6)]
+    assert state.due == 302_001
+    state.now, state.hasTimedOut = 10**10, True
+    assert len(rows(jobs.turn((0,), iter([]), state))) == 200  # all but the finished one, which is forgotten
+    for _ in range(4):
+        state.now *= 2
+        last = rows(jobs.turn((0,), iter([]), state))
+    assert last == [] and not state.exists
+
+
+def test_a_block_is_one_group(spark, tmp_path):
+    spark.createDataFrame([], EVENT).write.parquet(str(tmp_path / "in"))
+    moved = job_state.job_transitions(spark.readStream.schema(EVENT).parquet(str(tmp_path / "in")))
+    assert "shiftright(document_id" in moved._jdf.queryExecution().analyzed().toString()
