@@ -154,3 +154,18 @@ def test_an_addition_that_was_broken_off_is_not_seen(spark, tables, tmp_path, mo
     assert index.content(spark).where("document_id % 2 = 1").count() == 0
     postings.add(index, new)
     assert _rows(postings.keyword_search(index, documents, permissions, "er", None, 8, None)) == _rows(search.keyword_search(*tables, "er", None, 8, None))
+
+
+def test_a_task_lets_go_of_all_but_the_best_matches(spark, tables, index, monkeypatch):
+    """Matches of a query that asks for many copies: what leaves a task is top_k a query, of readable chunks alone."""
+    asked = spark.createDataFrame([(1, "e"), (2, "de"), (3, "e")], "query_id long, query string")
+    stored = index.content(spark).where("content is not null").coalesce(1)
+    for held, most in ((1_000, 24), (40, None)):
+        monkeypatch.setattr(postings, "HELD_MATCHES", held)
+        matches, sent = postings._read_once(stored, asked, 8)
+        assert most is None or matches.count() <= most < stored.count()
+        sent.destroy()
+        monkeypatch.setattr(postings, "READ_ONCE", 0)
+        found = postings.keyword_search_batch(index, asked, *tables[1:], None, 8, PRINCIPAL).cache()
+        for k, said in ((1, "e"), (2, "de"), (3, "e")):
+            assert _rows(found.where(F.col("query_id") == k)) == _rows(search.keyword_search(*tables, said, None, 8, PRINCIPAL))
